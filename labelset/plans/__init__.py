@@ -3,7 +3,7 @@
 
 def all_queries():
     """Import every query module so that the registry is complete; return it."""
-    from labelset.plans import scoring_tables, text_tables  # noqa: F401
+    from labelset.plans import match_tables, scoring_tables, text_tables  # noqa: F401
     from labelset.plans.registry import REGISTRY
 
     return REGISTRY
