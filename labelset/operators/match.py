@@ -269,37 +269,44 @@ def canonicalize(names: DataFrame, universe: DataFrame, name: str = "name", norm
                  string_method: str = "ratio", stopwords=STOPWORDS) -> DataFrame:
     """Canonical form of every distinct normalised name: ``(name, canon, stage)``.
 
-    rules -> exact -> tokens -> strings -> unchanged. A name whose token set is empty
-    skips the token and string stages and stays unchanged; an empty name maps to "".
-    Output of a stage is not fed back to the rules.
+    Precedence rules -> exact -> tokens -> strings -> unchanged. The cheap stages see
+    every distinct name; the token and string stages only the names the cheap stages left
+    (and only those with a non-empty token set: an empty one skips both and stays
+    unchanged). Each stage is computed once and the winner per name is one ``min_by`` on
+    the stage rank, so no stage result is recomputed for a residual. An empty name maps to
+    "". Output of a stage is not fed back to the rules.
     """
     d = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    hits = []
-    rest = d
+    cands, cheap = [], []
     if "rules" in stages:
         r = d.select("name", match_rules(F.col("name"), rules).alias("canon"))
-        r = r.filter(F.col("canon").isNotNull() & (F.col("name") != "")).withColumn("stage", F.lit("rules"))
-        hits.append(r)
-        rest = rest.join(r.select("name"), "name", "left_anti")
+        r = r.filter(F.col("canon").isNotNull() & (F.col("name") != ""))
+        cands.append(r.select("name", "canon", F.lit(1).alias("rank"), F.lit("rules").alias("stage")))
+        cheap.append(r.select("name"))
     if "exact" in stages:
-        e = match_exact(rest, universe, "name", norm).withColumn("stage", F.lit("exact"))
-        hits.append(e)
-        rest = rest.join(e.select("name"), "name", "left_anti")
-    notok = rest.filter(F.size(token_set(F.col("name"), stopwords, normalized=True)) == 0)
+        e = match_exact(d, universe, "name", norm)
+        cands.append(e.select("name", "canon", F.lit(2).alias("rank"), F.lit("exact").alias("stage")))
+        cheap.append(e.select("name"))
+    rest = d
+    if cheap:
+        done = cheap[0]
+        for c in cheap[1:]:
+            done = done.unionByName(c)
+        rest = d.join(done, "name", "left_anti")
     rest = rest.filter(F.size(token_set(F.col("name"), stopwords, normalized=True)) > 0)
     if "tokens" in stages:
-        t = match_tokens(rest, universe, "name", norm, stopwords).select(
-            "name", "canon", F.lit("tokens").alias("stage"))
-        hits.append(t)
-        rest = rest.join(t.select("name"), "name", "left_anti")
+        t = match_tokens(rest, universe, "name", norm, stopwords)
+        cands.append(t.select("name", "canon", F.lit(3).alias("rank"), F.lit("tokens").alias("stage")))
     if "strings" in stages:
-        s = match_strings(rest, universe, "name", norm, string_method).select(
-            "name", "canon", F.lit("strings").alias("stage"))
-        hits.append(s)
-        rest = rest.join(s.select("name"), "name", "left_anti")
-    unchanged = rest.unionByName(notok).select("name", F.col("name").alias("canon"),
-                                               F.lit("unchanged").alias("stage"))
-    out = unchanged
-    for h in hits:
-        out = out.unionByName(h.select("name", "canon", "stage"))
+        st = match_strings(rest, universe, "name", norm, string_method)
+        cands.append(st.select("name", "canon", F.lit(4).alias("rank"), F.lit("strings").alias("stage")))
+    out = d.select("name", F.col("name").alias("canon"), F.lit("unchanged").alias("stage"))
+    if cands:
+        allc = cands[0]
+        for c in cands[1:]:
+            allc = allc.unionByName(c)
+        best = allc.groupBy("name").agg(F.min_by(F.struct("canon", "stage"), "rank").alias("_b"))
+        out = d.join(best, "name", "left").select(
+            "name", F.coalesce(F.col("_b.canon"), F.col("name")).alias("canon"),
+            F.coalesce(F.col("_b.stage"), F.lit("unchanged")).alias("stage"))
     return out.withColumnRenamed("name", name)

@@ -25,45 +25,31 @@ NAME_FIELDS = ("kpi", "nome", "metric", "name")
 def get_ci(m: Column, key: str) -> Column:
     """Value of the first map entry whose key equals ``key`` ignoring case."""
     hits = F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == F.lit(key.lower()))
-    return F.element_at(hits, 1)["value"]
+    return F.try_element_at(hits, F.lit(1))["value"]
 
 
 # --- P3/P4: scenario key -------------------------------------------------------------------
-def _v_str(v: Column, path: str) -> Column:
-    """String at ``path`` of a variant only if it is a JSON string."""
-    got = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(got) == "STRING", F.try_variant_get(got, "$", "string"))
-
-
-def _v_truthy(v: Column, path: str) -> Column:
-    """Variant at ``path`` if Python would call it truthy (non-empty, non-zero, not null)."""
-    got = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(got)
-    s = F.try_variant_get(got, "$", "string")
-    truthy = (F.when(kind == "STRING", F.length(s) > 0)
-              .when(kind == "BOOLEAN", s == "true")
-              .when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT"),
-                    F.try_variant_get(got, "$", "double") != 0)
-              .when(kind.startswith("ARRAY"), F.coalesce(F.json_array_length(F.to_json(got)), F.lit(0)) > 0)
-              .when(kind.startswith("OBJECT"), F.size(F.coalesce(F.json_object_keys(F.to_json(got)),
-                                                              F.array())) > 0)
-              .otherwise(F.lit(False)))
-    return F.when(truthy, got)
-
-
-def resolve_key(record: Column) -> tuple[Column, Column]:
-    """(raw, normalised) scenario id of a record held as a variant.
-
-    First truthy of scenario_id | scenario | id | slug | name; if that is an object, its
-    first truthy id | slug | name that is a string; a non-string choice gives "".
+def resolve_key(record_map: Column) -> tuple[Column, Column]:
+    """(raw, normalised) scenario id of a record given as ``map<string, variant>``.
+
+    The first truthy of scenario_id | scenario | id | slug | name is taken; an object
+    yields its first truthy id | slug | name, a string itself, anything else "". A
+    non-string choice normalises to "" (the record is then dropped by ``drop_unkeyed``).
     """
-    cand = F.coalesce(*[_v_truthy(record, f"$.{k}") for k in ID_FIELDS])
-    kind = F.schema_of_variant(cand)
-    nested = F.coalesce(*[_v_truthy(cand, f"$.{k}") for k in NESTED_ID_FIELDS])
-    nested_s = F.when(F.schema_of_variant(nested) == "STRING", F.try_variant_get(nested, "$", "string"))
-    raw = (F.when(kind.startswith("OBJECT"), F.coalesce(nested_s, F.lit("")))
-           .when(kind == "STRING", F.try_variant_get(cand, "$", "string"))
-           .otherwise(F.lit("")))
+    from labelset.functions import replies as RP
+
+    def on_cand(cand):
+        inner = F.try_variant_get(cand, "$", "map<string,variant>")
+        nested = RP.let(inner, lambda m: RP.first_truthy([RP.entry_last(m, f) for f in NESTED_ID_FIELDS]))
+        nested_str = RP.let(nested, lambda n: F.when(RP.kind(n) == "STRING",
+                                                     F.try_variant_get(n, "$", "string")))
+        return RP.let(RP.kind(cand), lambda k: (
+            F.when(k == "OBJECT", F.coalesce(nested_str, F.lit("")))
+            .when(k == "STRING", F.try_variant_get(cand, "$", "string"))
+            .otherwise(F.lit(""))))
+
+    raw = RP.let(record_map, lambda m: RP.let(
+        RP.first_truthy([RP.entry_last(m, k) for k in ID_FIELDS]), on_cand))
     return raw, normalize_text(raw)
 
 
@@ -86,7 +72,7 @@ def map_label(df: DataFrame, col: str, labels: Mapping[str, str], out: str = "mo
     """
     m = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
     raw = F.col(col) if default is None else F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(default))
-    return df.withColumn(out, F.coalesce(F.element_at(m, F.col(col)), raw))
+    return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(col)), raw))
 
 
 def label_lookup(df: DataFrame, labels: DataFrame, col: str, label_col: str = "label",
