@@ -3,7 +3,8 @@
 
 def all_queries():
     """Import every query module so that the registry is complete; return it."""
-    from labelset.plans import ingest_tables, match_tables, scoring_tables, text_tables  # noqa: F401
+    from labelset.plans import (  # noqa: F401
+        generation_tables, ingest_tables, match_tables, scoring_tables, text_tables)
     from labelset.plans.registry import REGISTRY
 
     return REGISTRY
