@@ -216,3 +216,31 @@ def q_flatten_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = c.select(F.struct("conv_id", F.struct("turn", "role").alias("meta")).alias("rec"),
                       F.length("text").alias("n_chars"))
     return flatten_records(nested)
+
+
+STREAM_CHUNK_ORDERS = 20000  # order keys per landed file group
+
+
+def _evaluate_runs_sql() -> str:
+    from labelset.plans.registry import REGISTRY
+
+    return REGISTRY["evaluate_runs"].sql
+
+
+@register("evaluate_stream", sql=_evaluate_runs_sql())
+def q_evaluate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring job run incrementally: order records land as several files, a
+    file-source stream scores them batch by batch; the final scores equal the batch job."""
+    from labelset.streaming.incremental import current_scores, evaluate_stream
+
+    base = scratch_path(spark, f"evaluate_stream-{uuid.uuid4().hex}")
+    src = f"{base}/landing"
+    recs = order_records(spark, sf_dir)
+    (recs.select("pos", "record", F.floor(F.col("pos") / STREAM_CHUNK_ORDERS).alias("chunk"))
+     .repartition("chunk").drop("chunk").write.json(src))
+    part = table(spark, sf_dir, "part").select("p_name")
+    universe = expand_universe(part, "p_name")
+    q = evaluate_stream(spark, src, base, universe, order_gold(spark, sf_dir), source="orders")
+    q.awaitTermination()
+    cur = current_scores(spark, base)
+    return cur.select("model", "sid_norm", *M.COUNT_COLS, *[r6(m).alias(m) for m in M.METRIC_COLS])
