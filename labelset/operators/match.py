@@ -183,6 +183,31 @@ def best_match(pairs: DataFrame, left_id: str, right_id: str, score: str = "scor
     return best.select(left_id, F.col("_b._r").alias(right_id), F.col("_b._s").alias(score))
 
 
+def best_earlier_match(docs: DataFrame, id_col: str, tokens: str = "tokens",
+                       match_col: str = "match_id") -> DataFrame:
+    """Best earlier partner of every set by token score (>= 0.6), ties by smallest id:
+    ``(id, match_id, score)``.
+
+    Exact copies are collapsed first: identical sets score 1.1, the maximum, and only tie
+    with each other, so every copy's answer is the smallest id of its group (when that is
+    earlier) and only one representative per distinct set enters the similarity join. A
+    group of copies holding a large share of the rows therefore costs one hash
+    aggregation, not a quadratic number of candidate pairs.
+    """
+    s = docs.select(F.col(id_col).alias("_id"), F.col(tokens).alias("_t")).filter(F.size("_t") > 0)
+    s = s.withColumn("_h", F.sha2(F.array_join(F.array_sort("_t"), " "), 256))
+    groups = s.groupBy("_h").agg(F.min("_id").alias("_rep"))
+    tagged = s.join(groups, "_h")
+    copies = tagged.filter(F.col("_id") != F.col("_rep")).select(
+        F.col("_id").alias(id_col), F.col("_rep").alias(match_col),
+        F.lit(1.0 + CONTAINMENT_BONUS).alias("score"))
+    reps = tagged.filter(F.col("_id") == F.col("_rep")).select("_id", "_t")
+    pairs = token_similarity_pairs(reps, reps, "_id", "_m", "_t", "_t", self_join=True)
+    best = best_match(pairs, "_id", "_m").select(
+        F.col("_id").alias(id_col), F.col("_m").alias(match_col), "score")
+    return best.unionByName(copies)
+
+
 def match_tokens(names: DataFrame, universe: DataFrame, name: str = "name", norm: str = "norm",
                  stopwords=STOPWORDS) -> DataFrame:
     """Best universe entry per name by token score (>= 0.6): ``(name, canon, score)``.

@@ -92,6 +92,13 @@ def fill_total(df: DataFrame, total: str = "total_tokens", prompt: str = "prompt
     return df.withColumn(total, F.coalesce(F.col(total), fill.cast("double")))
 
 
+def coerce_numeric_col(c: str) -> Column:
+    """A column to double whatever its type (strings parsed, unparsable -> NULL)."""
+    from labelset.functions.text import coerce_numeric
+
+    return coerce_numeric(F.col(c))
+
+
 def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Keep rows where every column is present (NULL and NaN count as missing)."""
     cond = F.lit(True)

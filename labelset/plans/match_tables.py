@@ -110,8 +110,7 @@ SELECT doc_id, match_id, round(score, 6) AS score FROM r WHERE rn = 1
 def q_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     toks = docs.select("doc_id", T.token_set(F.col("text")).alias("tokens"))
-    pairs = MT.token_similarity_pairs(toks, toks, "doc_id", "match_id", self_join=True)
-    best = MT.best_match(pairs, "doc_id", "match_id")
+    best = MT.best_earlier_match(toks, "doc_id", "tokens", "match_id")
     return best.select("doc_id", "match_id", r6("score").alias("score"))
 
 

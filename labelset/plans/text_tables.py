@@ -146,3 +146,34 @@ def q_map_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(R.default_model(F.col("event_type")).alias("model"))
     labelled = R.map_label(ev, "model", EVENT_LABELS, out="model_label")
     return labelled.groupBy("model_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("corr_summary", sql="""
+WITH r AS (
+  SELECT coalesce(CASE event_type WHEN 'click' THEN 'Click' WHEN 'purchase' THEN 'Purchase' END,
+                  event_type) AS model_label,
+         TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS total_tokens,
+         value AS latency_s
+  FROM events),
+g AS (SELECT CASE WHEN grouping(model_label) = 1 THEN '_overall_' ELSE model_label END AS model_label,
+             count(*) AS n, corr(latency_s, total_tokens) AS c,
+             regr_slope(latency_s, total_tokens) AS s, regr_intercept(latency_s, total_tokens) AS i
+      FROM r GROUP BY GROUPING SETS ((model_label), ()))
+SELECT model_label, n,
+       round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS corr,
+       round(CASE WHEN isnan(s) THEN NULL ELSE s END, 6) AS slope,
+       round(CASE WHEN isnan(i) THEN NULL ELSE i END, 6) AS intercept
+FROM g
+""")
+def q_corr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chart tables on runs derived from events: model = event type, latency = value,
+    prompt tokens = props.k, total filled from the parts."""
+    from labelset.plans.charts import corr_summary, runs_table, tokens_latency
+
+    ev = table(spark, sf_dir, "events")
+    runs = ev.select(F.col("event_type").alias("model"), F.col("value").alias("latency_s"),
+                     F.get_json_object("props", "$.k").alias("prompt_tokens"),
+                     F.col("event_id").cast("string").alias("request_id"))
+    s = corr_summary(tokens_latency(runs_table(runs, EVENT_LABELS)))
+    return s.select("model_label", "n", r6("corr").alias("corr"), r6("slope").alias("slope"),
+                    r6("intercept").alias("intercept"))

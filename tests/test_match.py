@@ -83,3 +83,19 @@ def test_canonicalize_precedence(spark):
     assert got["taxa de"] == ("taxa de", "unchanged")      # only stopwords, not in U
     assert got["blue anvils"] == ("blue anvil", "strings")
     assert got[""] == ("", "unchanged")
+
+
+def test_best_earlier_match_collapses_copies(spark):
+    rnd = random.Random(2)
+    vocab = [f"w{i}" for i in range(10)]
+    sets = [set(rnd.sample(vocab, rnd.randrange(1, 5))) for _ in range(25)]
+    sets += [set(sets[3]) for _ in range(15)] + [set(sets[7]) for _ in range(5)]   # copy groups
+    df = spark.createDataFrame([(i, sorted(v)) for i, v in enumerate(sets)], "id int, tokens array<string>")
+    got = {r.id: (r.match_id, round(r.score, 9)) for r in MT.best_earlier_match(df, "id").collect()}
+    want = {}
+    for i, a in enumerate(sets):
+        cands = [(score(a, b), j) for j, b in enumerate(sets[:i]) if score(a, b) >= 0.6]
+        if cands:
+            sc, j = max(cands, key=lambda x: (x[0], -x[1]))
+            want[i] = (j, round(sc, 9))
+    assert got == want
