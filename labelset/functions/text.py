@@ -52,40 +52,26 @@ def _nfkd_ascii(s: str) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, str]:
-    """(src, dst, fallback regex class).
-
-    src/dst: BMP characters whose NFKD form keeps exactly one ASCII character; a
-    ``translate`` maps them one to one. Characters whose NFKD form keeps nothing need no
-    entry: the non-ASCII deletion that follows removes them. The fallback class lists
-    code points that keep two or more ASCII characters, or that lie outside the BMP
-    (where ``translate`` tables are not used); rows holding one go through the UDF.
+def _fold_tables() -> tuple[str, str]:
+    """(src, dst) for ``translate``, generated from the Unicode database.
+
+    First the BMP characters whose NFKD form keeps exactly one ASCII character (mapped to
+    it), then those that keep none (src longer than dst: deleted). What survives the
+    translate as non-ASCII keeps two or more ASCII characters under NFKD (ligatures,
+    fractions, ...) or lies outside the BMP: such rows take the exact UDF path.
     """
-    src, dst, fallback = [], [], []
-    for cp in range(0x80, 0x110000):
+    one_src, one_dst, zero = [], [], []
+    for cp in range(0x80, 0x10000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
         folded = _nfkd_ascii(ch)
-        if not folded:
-            continue
-        if len(folded) == 1 and cp <= 0xFFFF:
-            src.append(ch)
-            dst.append(folded)
-        else:
-            fallback.append(cp)
-    ranges = []
-    for cp in fallback:
-        if ranges and ranges[-1][1] == cp - 1:
-            ranges[-1][1] = cp
-        else:
-            ranges.append([cp, cp])
-
-    def esc(cp: int) -> str:
-        return f"\\x{{{cp:x}}}"
-
-    cls = "".join(esc(a) if a == b else f"{esc(a)}-{esc(b)}" for a, b in ranges)
-    return "".join(src), "".join(dst), f"[{cls}]"
+        if len(folded) == 1:
+            one_src.append(ch)
+            one_dst.append(folded)
+        elif not folded:
+            zero.append(ch)
+    return "".join(one_src) + "".join(zero), "".join(one_dst)
 
 
 def strip_ws(c: Column) -> Column:
@@ -93,10 +79,14 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
+def _translate(c: Column) -> Column:
+    src, dst = _fold_tables()
+    return F.translate(c, src, dst)
+
+
 def fold_accents(c: Column) -> Column:
     """NFKD fold to ASCII for one-to-one characters, then delete what is left non-ASCII."""
-    src, dst, _ = _fold_tables()
-    return F.regexp_replace(F.translate(c, src, dst), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(_translate(c), r"[^\x00-\x7F]", "")
 
 
 def normalize_text(c: Column) -> Column:
@@ -111,8 +101,8 @@ def normalize_text(c: Column) -> Column:
 
 
 def needs_unicode_fallback(c: Column) -> Column:
-    """True where ``normalize_text`` would differ from full NFKD (rare characters)."""
-    return F.coalesce(c.rlike(_fold_tables()[2]), F.lit(False))
+    """True where ``normalize_text`` could differ from full NFKD (rare characters)."""
+    return F.coalesce(_translate(c).rlike(r"[^\x00-\x7F]"), F.lit(False))
 
 
 @F.pandas_udf(T.StringType())
@@ -132,12 +122,12 @@ def normalize_text_df(df: DataFrame, col: str, out: str) -> DataFrame:
     """``normalize_text`` with exact NFKD semantics for every character.
 
     Rows without rare characters take the native expression; the others go through an
-    Arrow UDF. Both branches read the same input and are unioned, so no row is dropped.
+    Arrow UDF, which receives NULL for every other row (cheap Arrow batches).
     """
     flag = needs_unicode_fallback(F.col(col))
-    native = df.filter(~flag).withColumn(out, normalize_text(F.col(col)))
-    exact = df.filter(flag).withColumn(out, _normalize_text_exact(F.col(col)))
-    return native.unionByName(exact)
+    # one pass: the UDF only receives the text of flagged rows (NULL elsewhere)
+    exact = _normalize_text_exact(F.when(flag, F.col(col)))
+    return df.withColumn(out, F.when(flag, exact).otherwise(normalize_text(F.col(col))))
 
 
 def stopword_array(stopwords=STOPWORDS) -> Column:

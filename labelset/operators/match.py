@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from labelset.functions.text import STOPWORDS, token_set
+from labelset.session import cut_lineage
 
 TOKEN_THRESHOLD = 0.60
 CONTAINMENT_BONUS = 0.1
@@ -184,7 +185,7 @@ def best_match(pairs: DataFrame, left_id: str, right_id: str, score: str = "scor
 
 
 def best_earlier_match(docs: DataFrame, id_col: str, tokens: str = "tokens",
-                       match_col: str = "match_id") -> DataFrame:
+                       match_col: str = "match_id", materialize: bool = True) -> DataFrame:
     """Best earlier partner of every set by token score (>= 0.6), ties by smallest id:
     ``(id, match_id, score)``.
 
@@ -196,6 +197,10 @@ def best_earlier_match(docs: DataFrame, id_col: str, tokens: str = "tokens",
     """
     s = docs.select(F.col(id_col).alias("_id"), F.col(tokens).alias("_t")).filter(F.size("_t") > 0)
     s = s.withColumn("_h", F.sha2(F.array_join(F.array_sort("_t"), " "), 256))
+    if materialize:
+        # the token sets are read by the grouping, the prefixes and both verification
+        # sides: compute them once (reliable checkpoint in the shared folder)
+        s = cut_lineage(s)
     groups = s.groupBy("_h").agg(F.min("_id").alias("_rep"))
     tagged = s.join(groups, "_h")
     copies = tagged.filter(F.col("_id") != F.col("_rep")).select(
