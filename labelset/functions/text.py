@@ -52,26 +52,30 @@ def _nfkd_ascii(s: str) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str]:
-    """(src, dst) for ``translate``, generated from the Unicode database.
-
-    First the BMP characters whose NFKD form keeps exactly one ASCII character (mapped to
-    it), then those that keep none (src longer than dst: deleted). What survives the
-    translate as non-ASCII keeps two or more ASCII characters under NFKD (ligatures,
-    fractions, ...) or lies outside the BMP: such rows take the exact UDF path.
+def _fold_tables() -> tuple[str, str, str]:
+    """(src, dst, multi), generated from the Unicode database.
+
+    src/dst: the BMP characters whose NFKD form keeps exactly one ASCII character, for a
+    one-to-one ``translate``; characters that keep none need no entry (the non-ASCII
+    deletion that follows removes them). ``multi``: BMP characters that keep two or more
+    ASCII characters (ligatures, fractions, ...); rows holding one, or a character outside
+    the BMP, take the exact UDF path.
     """
-    one_src, one_dst, zero = [], [], []
+    src, dst, multi = [], [], []
     for cp in range(0x80, 0x10000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
         folded = _nfkd_ascii(ch)
         if len(folded) == 1:
-            one_src.append(ch)
-            one_dst.append(folded)
-        elif not folded:
-            zero.append(ch)
-    return "".join(one_src) + "".join(zero), "".join(one_dst)
+            src.append(ch)
+            dst.append(folded)
+        elif len(folded) > 1:
+            multi.append(ch)
+    return "".join(src), "".join(dst), "".join(multi)
+
+
+_MARK = "\x01"
 
 
 def strip_ws(c: Column) -> Column:
@@ -80,7 +84,7 @@ def strip_ws(c: Column) -> Column:
 
 
 def _translate(c: Column) -> Column:
-    src, dst = _fold_tables()
+    src, dst, _ = _fold_tables()
     return F.translate(c, src, dst)
 
 
@@ -101,8 +105,12 @@ def normalize_text(c: Column) -> Column:
 
 
 def needs_unicode_fallback(c: Column) -> Column:
-    """True where ``normalize_text`` could differ from full NFKD (rare characters)."""
-    return F.coalesce(_translate(c).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    """True where ``normalize_text`` could differ from full NFKD: a character that folds
+    to several ASCII characters, or one outside the BMP. (A literal U+0001 in the text
+    also routes the row to the exact path, which is still correct.)"""
+    multi = _fold_tables()[2]
+    marked = F.translate(c, multi, _MARK * len(multi))
+    return F.coalesce(marked.rlike(r"[\x01\x{10000}-\x{10FFFF}]"), F.lit(False))
 
 
 @F.pandas_udf(T.StringType())

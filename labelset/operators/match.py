@@ -296,9 +296,14 @@ STAGES = ("rules", "exact", "tokens", "strings")
 
 def canonicalize(names: DataFrame, universe: DataFrame, name: str = "name", norm: str = "norm",
                  rules: Sequence[tuple[str, str]] = ALIAS_RULES, stages: Sequence[str] = STAGES,
-                 string_method: str = "ratio", stopwords=STOPWORDS) -> DataFrame:
+                 string_method: str = "ratio", stopwords=STOPWORDS,
+                 materialize: bool = True) -> DataFrame:
     """Canonical form of every distinct normalised name: ``(name, canon, stage)``.
 
+    The distinct names feed five branches (rules, exact, residual, final join); with
+    ``materialize`` they are computed once and checkpointed in the shared folder, so the
+    (possibly large) input is scanned and de-duplicated a single time.
+
     Precedence rules -> exact -> tokens -> strings -> unchanged. The cheap stages see
     every distinct name; the token and string stages only the names the cheap stages left
     (and only those with a non-empty token set: an empty one skips both and stays
@@ -307,6 +312,8 @@ def canonicalize(names: DataFrame, universe: DataFrame, name: str = "name", norm
     "". Output of a stage is not fed back to the rules.
     """
     d = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    if materialize:
+        d = cut_lineage(d)
     cands, cheap = [], []
     if "rules" in stages:
         r = d.select("name", match_rules(F.col("name"), rules).alias("canon"))

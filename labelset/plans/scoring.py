@@ -75,8 +75,10 @@ def evaluate_runs(records: DataFrame, universe: DataFrame, gold: DataFrame,
         *KEYS, normalize_text(F.col("raw_name")).alias("name"))
     cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
                         string_method=string_method)
-    pred = names.join(cmap.select("name", "canon"), "name").select(*KEYS, F.col("canon").alias("item"))
-    pred = M.in_universe(pred, universe, "item", "norm").distinct()
+    # keep only names whose canonical form is in U: filtered on the distinct-name map,
+    # then joined back to the name rows
+    kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
+    pred = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
     gold_att = seen.select(*KEYS).join(gold.select("sid_norm", "item"), "sid_norm")
     conf = M.set_confusion(pred, gold_att, list(KEYS), "item", universe=universe)
     per_key = M.set_metrics(conf).join(seen, list(KEYS))

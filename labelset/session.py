@@ -60,9 +60,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    The plan is persisted while the checkpoint is written: an eager reliable checkpoint of
+    an unpersisted plan computes it twice (once to count, once to write the files). The
+    persisted copy is dropped afterwards; the checkpoint files are the lineage cut.
+    """
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -49,9 +49,8 @@ def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
         *KEYS, normalize_text(F.col("raw_name")).alias("name"))
     cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
                         string_method=string_method)
-    pred = names.join(cmap.select("name", "canon"), "name").select(
-        *KEYS, F.col("canon").alias("item"))
-    pred = M.in_universe(pred, universe, "item", "norm").distinct()
+    kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
+    pred = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
     pred.write.mode("append").parquet(p["pred"])
     seen.write.mode("append").parquet(p["seen"])
     touched = rows.select(*KEYS).distinct()
