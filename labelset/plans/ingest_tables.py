@@ -218,7 +218,7 @@ def q_flatten_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_records(nested)
 
 
-STREAM_CHUNK_ORDERS = 20000  # order keys per landed file group
+STREAM_FILES = 4  # landed files, one micro-batch each; a customer's orders span several
 
 
 def _evaluate_runs_sql() -> str:
@@ -236,8 +236,7 @@ def q_evaluate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, f"evaluate_stream-{uuid.uuid4().hex}")
     src = f"{base}/landing"
     recs = order_records(spark, sf_dir)
-    (recs.select("pos", "record", F.floor(F.col("pos") / STREAM_CHUNK_ORDERS).alias("chunk"))
-     .repartition("chunk").drop("chunk").write.json(src))
+    recs.select("pos", "record").repartition(STREAM_FILES).write.json(src)
     part = table(spark, sf_dir, "part").select("p_name")
     universe = expand_universe(part, "p_name")
     q = evaluate_stream(spark, src, base, universe, order_gold(spark, sf_dir), source="orders")
