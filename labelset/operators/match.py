@@ -131,6 +131,13 @@ def _prefixes(rows: DataFrame, freq: DataFrame) -> DataFrame:
     return ranked.filter(F.col("pos") <= F.floor(F.col("sz") / 2) + 1)
 
 
+def _hash_is_injective(freq: DataFrame) -> bool:
+    """True when ``xxhash64`` gives every distinct token its own value (one aggregation
+    over the vocabulary; a single boolean comes back to the driver)."""
+    row = freq.agg((F.count_distinct(F.xxhash64("tok")) == F.count(F.lit(1))).alias("ok")).first()
+    return bool(row and row["ok"])
+
+
 def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                            left_tokens: str = "tokens", right_tokens: str = "tokens",
                            self_join: bool = False) -> DataFrame:
@@ -163,6 +170,11 @@ def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, righ
     if self_join:
         cond.append(rp.rid < lp.lid)
     cand = lp.join(rp, cond).select("lid", "rid").distinct()
+    if _hash_is_injective(freq):
+        # ship 64-bit token hashes instead of strings to the candidate pairs; exact
+        # because the hash was checked to be collision-free on this vocabulary
+        l = l.select("lid", F.transform("lt", lambda t: F.xxhash64(t)).alias("lt"))
+        r = r.select("rid", F.transform("rt", lambda t: F.xxhash64(t)).alias("rt"))
     ver = cand.join(l, "lid").join(r, "rid")
     inter = F.size(F.array_intersect("lt", "rt"))
     ls, rs = F.size("lt"), F.size("rt")

@@ -99,3 +99,14 @@ def test_best_earlier_match_collapses_copies(spark):
             sc, j = max(cands, key=lambda x: (x[0], -x[1]))
             want[i] = (j, round(sc, 9))
     assert got == want
+
+
+def test_token_pairs_string_path_when_hash_collides(spark, monkeypatch):
+    rnd = random.Random(13)
+    vocab = [f"t{i}" for i in range(9)]
+    left = {i: set(rnd.sample(vocab, rnd.randrange(1, 5))) for i in range(40)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in left.items()], "id int, tokens array<string>")
+    want = {(i, j) for i in left for j in left if j < i and score(left[i], left[j]) >= 0.6}
+    monkeypatch.setattr(MT, "_hash_is_injective", lambda freq: False)
+    got = {(r.id, r.m) for r in MT.token_similarity_pairs(df, df, "id", "m", self_join=True).collect()}
+    assert got == want
