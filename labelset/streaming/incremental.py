@@ -28,6 +28,11 @@ from labelset.functions.text import normalize_text
 from labelset.session import cut_lineage
 
 RECORD_SCHEMA = "pos long, record string"
+STATE_BUCKETS = 16  # default number of key-hash buckets partitioning the state tables
+
+
+def _bucket(n: int = STATE_BUCKETS):
+    return F.pmod(F.xxhash64(*[F.col(k) for k in KEYS]), F.lit(n)).cast("int").alias("bucket")
 
 
 def _paths(base: str) -> dict[str, str]:
@@ -38,25 +43,31 @@ def _paths(base: str) -> dict[str, str]:
 
 def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str, source: str,
                 universe: DataFrame, gold: DataFrame, rules=ALIAS_RULES,
-                string_method: str = "ratio") -> None:
+                string_method: str = "ratio", buckets: int = STATE_BUCKETS) -> None:
     p = _paths(base)
     recs = batch.select(F.lit(source).alias("_source_file"), "pos", "record")
     rows = record_rows(recs).filter(F.col("sid_norm") != "")
     # the parsed batch feeds three writes: parse it once (checkpoint in the shared folder)
     rows = cut_lineage(rows)
-    seen = rows.select(*KEYS, "sid_raw", "pos")
+    seen = rows.select(*KEYS, "sid_raw", "pos", _bucket(buckets))
     names = rows.select(*KEYS, F.explode("names").alias("raw_name")).select(
         *KEYS, normalize_text(F.col("raw_name")).alias("name"))
+    # the batch rows are already checkpointed: re-deriving the distinct names is cheap
     cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
-                        string_method=string_method)
+                        string_method=string_method, materialize=False)
     kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
     pred = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
-    pred.write.mode("append").parquet(p["pred"])
-    seen.write.mode("append").parquet(p["seen"])
-    touched = rows.select(*KEYS).distinct()
-    all_seen = spark.read.parquet(p["seen"]).join(touched, list(KEYS), "left_semi")
+    # one writer per bucket: one file per bucket and batch
+    (pred.select("*", _bucket(buckets)).repartition("bucket")
+     .write.mode("append").partitionBy("bucket").parquet(p["pred"]))
+    seen.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(p["seen"])
+    # touched keys carry their bucket: the semi joins below prune state partitions
+    # (dynamic partition pruning), so a batch reads the buckets it touched, not all history
+    touched = rows.select(*KEYS, _bucket(buckets)).distinct()
+    jk = ["bucket", *KEYS]
+    all_seen = spark.read.parquet(p["seen"]).join(touched, jk, "left_semi")
     seen_k = all_seen.groupBy(*KEYS).agg(F.min_by("sid_raw", "pos").alias("sid_raw"))
-    all_pred = spark.read.parquet(p["pred"]).join(touched, list(KEYS), "left_semi")
+    all_pred = spark.read.parquet(p["pred"]).join(touched, jk, "left_semi").drop("bucket")
     gold_att = seen_k.select(*KEYS).join(gold.select("sid_norm", "item"), "sid_norm")
     conf = M.set_confusion(all_pred, gold_att, list(KEYS), "item", universe=universe)
     per_key = M.set_metrics(conf).join(seen_k, list(KEYS))
@@ -70,14 +81,15 @@ def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
 def evaluate_stream(spark: SparkSession, source_dir: str, base: str, universe: DataFrame,
                     gold: DataFrame, source: str = "stream", rules=ALIAS_RULES,
                     string_method: str = "ratio", max_files_per_trigger: int = 1,
-                    available_now: bool = True) -> StreamingQuery:
+                    available_now: bool = True, buckets: int = STATE_BUCKETS) -> StreamingQuery:
     """Start the incremental scorer over the JSON-lines files landing in ``source_dir``."""
     p = _paths(base)
     stream = (spark.readStream.schema(RECORD_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        score_batch(spark, batch, batch_id, base, source, universe, gold, rules, string_method)
+        score_batch(spark, batch, batch_id, base, source, universe, gold, rules, string_method,
+                    buckets)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", p["checkpoint"])
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
