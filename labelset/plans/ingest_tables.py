@@ -18,7 +18,7 @@ from labelset.functions.text import UNIVERSE_ABBREVIATIONS, expand_universe, nor
 from labelset.operators import metrics as M
 from labelset.operators.records import flatten_records, resolve_key
 from labelset.plans.registry import r6, register, sql_metrics, table
-from labelset.plans.scoring import evaluate_runs
+from labelset.plans.scoring import evaluate_runs, scenario_report
 from labelset.plans.scoring_tables import CUTOFF
 from labelset.session import scratch_path
 from labelset.sources.json_docs import read_results, results_table
@@ -243,3 +243,28 @@ def q_evaluate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     cur = current_scores(spark, base)
     return cur.select("model", "sid_norm", *M.COUNT_COLS, *[r6(m).alias(m) for m in M.METRIC_COLS])
+
+
+def _scenario_report_sql() -> str:
+    base = _evaluate_runs_sql()
+    head, _, _ = base.rpartition("SELECT model, sid_norm, tp, fp, fn, tn,")
+    return head + """,
+pl AS (SELECT model, sid_norm, string_agg(item, '|' ORDER BY item) AS pred
+       FROM pr GROUP BY 1, 2),
+gl AS (SELECT model, sid_norm, string_agg(item, '|' ORDER BY item) AS gold
+       FROM ga GROUP BY 1, 2)
+SELECT c.model, c.sid_norm, 'cust-' || substr(c.sid_norm, 6) AS sid_raw, tp, fp, fn, tn,
+       coalesce(pl.pred, '') AS pred, coalesce(gl.gold, '') AS gold
+FROM c LEFT JOIN pl ON c.model = pl.model AND c.sid_norm = pl.sid_norm
+LEFT JOIN gl ON c.model = gl.model AND c.sid_norm = gl.sid_norm
+"""
+
+
+@register("scenario_report", sql=_scenario_report_sql())
+def q_scenario_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows of the scoring job: metrics with sorted predicted and gold lists."""
+    part = table(spark, sf_dir, "part").select("p_name")
+    universe = expand_universe(part, "p_name")
+    rep = scenario_report(evaluate_runs(order_records(spark, sf_dir), universe, order_gold(spark, sf_dir)))
+    return rep.select("model", "sid_norm", "sid_raw", *M.COUNT_COLS,
+                      F.array_join("pred", "|").alias("pred"), F.array_join("gold", "|").alias("gold"))

@@ -32,6 +32,7 @@ class Scores:
     totals: DataFrame     # source, model, tp..tn, evaluated, skipped
     skipped: DataFrame    # source, model, sid_norm, sid_raw
     pred: DataFrame       # source, model, sid_norm, item (distinct, in U)
+    gold: DataFrame       # source, model, sid_norm, item (gold attached to seen keys)
 
 
 def record_rows(records: DataFrame) -> DataFrame:
@@ -85,7 +86,17 @@ def evaluate_runs(records: DataFrame, universe: DataFrame, gold: DataFrame,
     skipped = M.skipped_keys(seen, conf.select(*KEYS), list(KEYS))
     macro = M.macro_average(per_key, list(GROUPS), groups)
     tot = M.totals(per_key, list(GROUPS), skipped.select(*GROUPS), groups)
-    return Scores(per_key, macro, tot, skipped, pred)
+    return Scores(per_key, macro, tot, skipped, pred, gold_att)
+
+
+def scenario_report(scores: Scores) -> DataFrame:
+    """Per evaluated key: metrics plus the sorted predicted and gold lists (the report's
+    per-scenario entry), ordered by source, model and normalised key."""
+    lists = report_lists(scores.pred, scores.gold)
+    rep = scores.per_key.join(lists, list(KEYS), "left")
+    empty = F.array().cast("array<string>")
+    rep = rep.withColumns({"pred": F.coalesce("pred", empty), "gold": F.coalesce("gold", empty)})
+    return rep.orderBy(*KEYS)
 
 
 def report_lists(pred: DataFrame, gold: DataFrame, keys=KEYS) -> DataFrame:
