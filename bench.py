@@ -17,13 +17,7 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-# headline queries first; BENCH_QUERIES=all runs every registered query
-HEADLINE = ("set_confusion", "set_metrics", "macro_average", "totals", "skipped_keys",
-            "binary_label_metrics", "regression_summary", "normalize_text", "token_set",
-            "extract_abbreviations", "match_rules", "in_universe", "match_exact", "match_tokens",
-            "match_strings", "canonicalize", "sanitize_replies", "resolve_key", "evaluate_runs",
-            "coerce_numeric", "map_label", "slug", "flatten_records", "build_grid",
-            "apply_responder", "lenient_read", "evaluate_stream")
+# every registered query is timed unless BENCH_QUERIES lists a subset (comma-separated)
 
 
 def main() -> None:
@@ -41,8 +35,7 @@ def main() -> None:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="labelset-bench-ckpt-"))
     reg = all_queries()
     wanted = os.environ.get("BENCH_QUERIES", "")
-    names = list(reg) if wanted == "all" else ([q for q in wanted.split(",") if q] or
-                                               [q for q in HEADLINE if q in reg])
+    names = [q for q in wanted.split(",") if q in reg] if wanted and wanted != "all" else list(reg)
     times, errors = {}, {}
     for name in names:
         t0 = time.time()

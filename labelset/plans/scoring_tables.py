@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelset.operators import metrics as M
+import uuid
+
 from labelset.plans.registry import register, round_cols, sql_metrics, table
+from labelset.session import scratch_path
+from labelset.sources.sinks import write_reports
 
 CUTOFF = "1998-01-01 00:00:00"
 LONG_DOC_CHARS = 1000  # prediction rule of binary_label_metrics: long documents are "good"
@@ -197,3 +201,27 @@ def q_binary_label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   universe_keys=["lang"])
     m = M.set_metrics(conf)
     return round_cols(m.select("lang", *M.COUNT_COLS, *M.METRIC_COLS), M.METRIC_COLS)
+
+
+REPORT_SEGMENT = "BUILDING"  # the partition read back by write_reports
+
+
+@register("write_reports", sql=_CONF_SQL + f"""
+SELECT m.c_custkey, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, round(mcc, 6) AS mcc
+FROM m JOIN customer cu ON m.c_custkey = cu.c_custkey
+WHERE cu.c_mktsegment = '{REPORT_SEGMENT}'
+""")
+def q_write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write per-customer metrics as report rows partitioned by source and model slug,
+    then read one model's partition back (the other partitions are pruned)."""
+    m, _ = _segment_metrics(spark, sf_dir)
+    out = scratch_path(spark, f"write_reports-{uuid.uuid4().hex}")
+    rows = m.select(F.lit("orders").alias("source"), "c_mktsegment", "c_custkey", *M.COUNT_COLS,
+                    *M.METRIC_COLS)
+    write_reports(rows, out, source="source", model="c_mktsegment")
+    back = spark.read.json(out).filter(F.col("model_slug") == REPORT_SEGMENT)
+    back = back.select(F.col("c_custkey").cast("long").alias("c_custkey"),
+                       *[F.col(c).cast("long").alias(c) for c in M.COUNT_COLS],
+                       *[F.col(c) for c in ("precision", "recall", "f1", "mcc")])
+    return round_cols(back, ["precision", "recall", "f1", "mcc"])
