@@ -20,8 +20,14 @@ from labelset.functions.text import expand_universe, normalize_text, repair_trai
 
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """Paths that exist (a missing file is skipped, not an error)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # noqa: BLE001 - no JVM handle: local paths only
+        import glob
+        import os
+
+        return [p for p in paths if (glob.glob(p) if any(c in p for c in "*?[") else os.path.exists(p))]
     out = []
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
