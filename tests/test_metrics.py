@@ -107,3 +107,29 @@ def test_array_form_equals_long_form(spark):
     c = M.array_confusion(F.col("p"), F.col("g"), F.lit(10))
     row = df.select(*[v.alias(k) for k, v in c.items()]).collect()[0]
     assert (row.tp, row.fp, row.fn, row.tn) == (1, 2, 1, 6)
+
+
+# Per-scenario counts (tp, fp, fn, tn) of one published report (baseline model,
+# unlimited condition), and its published macro averages and totals.
+REPORT_COUNTS = [
+    (2, 1, 3, 309), (1, 2, 9, 303), (2, 2, 5, 306), (4, 0, 7, 304), (2, 1, 4, 308), (1, 2, 5, 307),
+    (1, 2, 7, 305), (0, 0, 5, 310), (1, 1, 5, 308), (3, 1, 3, 308), (2, 2, 3, 308), (2, 0, 3, 310),
+    (0, 1, 6, 308), (1, 1, 5, 308), (2, 3, 4, 306), (2, 0, 2, 311), (0, 3, 4, 308), (2, 2, 4, 307),
+    (1, 1, 3, 310), (1, 0, 3, 311), (1, 1, 4, 309), (1, 3, 4, 307), (1, 2, 4, 308), (0, 4, 5, 306),
+]
+REPORT_MACRO = dict(precision=0.4819444444444445, recall=0.23643127705627706, f1=0.3098644411144411,
+                    denom=1649808.6666666667, mcc=0.3251564767802468, npv=0.985717113584417,
+                    fdr=0.4763888888888888)
+REPORT_TOTALS = (33, 35, 107, 7385)
+
+
+def test_published_macro_and_totals(spark):
+    df = spark.createDataFrame([("m", i, *c) for i, c in enumerate(REPORT_COUNTS)],
+                               "model string, k int, tp long, fp long, fn long, tn long")
+    m = M.set_metrics(df)
+    macro = M.macro_average(m, ["model"]).collect()[0]
+    for k, v in REPORT_MACRO.items():
+        assert math.isclose(macro[k], v, rel_tol=1e-12), (k, macro[k], v)
+    assert macro.evaluated == 24
+    tot = M.totals(m, ["model"]).collect()[0]
+    assert (tot.tp, tot.fp, tot.fn, tot.tn) == REPORT_TOTALS
