@@ -10,8 +10,9 @@ micro-batch (``foreachBatch``):
    tagged with the batch id, to the output table.
 
 The latest row per key (highest batch id) is the current score: :func:`current_scores`.
-Replaying a batch after a failure appends the same set rows again; predicted items and
-seen keys are sets, so the recomputed metrics do not change (idempotent). The stream
+Every write of a batch goes to that batch's own ``batch_id`` partitions with dynamic
+partition overwrite, so replaying a batch after a failure replaces its rows instead of
+adding copies (and the state holds sets, so the recomputed metrics are the same). The stream
 checkpoint and the tables live under one folder in the shared checkpoint location.
 """
 
@@ -35,6 +36,12 @@ def _bucket(n: int = STATE_BUCKETS):
     return F.pmod(F.xxhash64(*[F.col(k) for k in KEYS]), F.lit(n)).cast("int").alias("bucket")
 
 
+def _write_batch(df: DataFrame, path: str, parts: list[str]) -> None:
+    """Write into the batch's own partitions, replacing them if the batch is replayed."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*parts).parquet(path))
+
+
 def _paths(base: str) -> dict[str, str]:
     b = base.rstrip("/")
     return {"pred": f"{b}/state/pred", "seen": f"{b}/state/seen", "out": f"{b}/out/per_key",
@@ -57,17 +64,20 @@ def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
                         string_method=string_method, materialize=False)
     kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
     pred = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
-    # one writer per bucket: one file per bucket and batch
-    (pred.select("*", _bucket(buckets)).repartition("bucket")
-     .write.mode("append").partitionBy("bucket").parquet(p["pred"]))
-    seen.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(p["seen"])
+    # one writer per bucket: one file per bucket and batch; each batch owns its batch_id
+    # partitions (dynamic overwrite), so a replayed batch replaces its own rows
+    bid = F.lit(batch_id).cast("long").alias("batch_id")
+    _write_batch(pred.select("*", _bucket(buckets), bid).repartition("bucket"), p["pred"],
+                 ["batch_id", "bucket"])
+    _write_batch(seen.select("*", bid).repartition("bucket"), p["seen"], ["batch_id", "bucket"])
     # touched keys carry their bucket: the semi joins below prune state partitions
     # (dynamic partition pruning), so a batch reads the buckets it touched, not all history
     touched = rows.select(*KEYS, _bucket(buckets)).distinct()
     jk = ["bucket", *KEYS]
     all_seen = spark.read.parquet(p["seen"]).join(touched, jk, "left_semi")
-    seen_k = all_seen.groupBy(*KEYS).agg(F.min_by("sid_raw", "pos").alias("sid_raw"))
-    all_pred = spark.read.parquet(p["pred"]).join(touched, jk, "left_semi").drop("bucket")
+    seen_k = all_seen.groupBy(*KEYS).agg(F.min_by("sid_raw", F.struct("batch_id", "pos")).alias("sid_raw"))
+    all_pred = (spark.read.parquet(p["pred"]).join(touched, jk, "left_semi")
+                .drop("bucket", "batch_id"))
     gold_att = seen_k.select(*KEYS).join(gold.select("sid_norm", "item"), "sid_norm")
     conf = M.set_confusion(all_pred, gold_att, list(KEYS), "item", universe=universe)
     per_key = M.set_metrics(conf).join(seen_k, list(KEYS))
@@ -75,7 +85,7 @@ def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
     skipped = M.skipped_keys(seen_k, conf.select(*KEYS), list(KEYS))
     out = per_key.withColumn("skipped", F.lit(False)).unionByName(
         skipped.withColumn("skipped", F.lit(True)), allowMissingColumns=True)
-    out.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(p["out"])
+    _write_batch(out.withColumn("batch_id", F.lit(batch_id).cast("long")), p["out"], ["batch_id"])
 
 
 def evaluate_stream(spark: SparkSession, source_dir: str, base: str, universe: DataFrame,
