@@ -432,3 +432,24 @@ def extract_items(parsed_items_json: Column, output: Column) -> Column:
         lambda x: x.isNotNull()), empty)
     return let(from_parsed, lambda fp: F.when(F.size(fp) > 0, fp).otherwise(
         let(output, lambda o: from_output(o))))
+
+
+# --- names used by the blueprint ----------------------------------------------------------
+def parse_strict(text: Column) -> Column:
+    """the whole text as a JSON value (variant), NULL when it does not parse."""
+    return F.try_parse_json(strip_ws(text))
+
+
+def to_compact_json(items: Column) -> Column:
+    """items as compact JSON (no spaces, non-ASCII kept)."""
+    return F.to_json(items)
+
+
+normalize_keys = normalize_key          # F10
+normalize_items = items_from_objects    # F12: object texts -> items with a kpi
+
+
+def sanitize_replies(df, text: str, limited: str | None = None, out: str = "reply"):
+    """F13 on a DataFrame: adds ``out`` = struct<items, valid, issues, output>."""
+    lim = F.col(limited) if limited else None
+    return df.withColumn(out, sanitize_reply(F.col(text), lim))

@@ -83,3 +83,24 @@ def test_sinks(spark, scratch):
     paths = write_sheets({"runs/x": df, "macro": df}, scratch, "kpi_charts_data")
     assert [os.path.basename(p) for p in paths] == ["kpi_charts_data__runs_x", "kpi_charts_data__macro"]
     assert spark.read.option("header", True).csv(paths[1]).count() == 1
+
+
+def test_chart_tables(spark, scratch):
+    from labelset.plans.charts import chart_tables
+
+    with open(os.path.join(scratch, "eval_results__llama3_1_8b.json"), "w") as f:
+        json.dump({"model_name": "llama3.1:8b", "macro_avg": {"precision": 0.5, "recall": 0.25,
+                                                              "f1": 0.3, "mcc": 0.2}}, f)
+    with open(os.path.join(scratch, "results.json"), "w") as f:
+        json.dump([{"model": "llama3.1:8b", "scenario_id": "a", "condition": "unlimited",
+                    "latency_s": 1.0, "prompt_tokens": 10, "completion_tokens": 5, "total_tokens": None},
+                   {"model": "llama3.1:8b", "scenario_id": "b", "condition": "unlimited",
+                    "latency_s": 2.0, "total_tokens": 30},
+                   {"model": "x", "scenario_id": "c", "condition": "limited", "latency_s": None}], f)
+    t = chart_tables(spark, scratch)
+    macro = t["macro"].collect()
+    assert [(r.run, r.model_label, r.macro_precision) for r in macro] == [("baseline_no_wcap", "llama3.1:base", 0.5)]
+    assert t["runs"].count() == 3 and t["tokens_latency"].count() == 2
+    cs = {r.model_label: r for r in t["corr_summary"].collect()}
+    assert cs["llama3.1:base"].n == 2 and abs(cs["llama3.1:base"].slope - 1 / 15) < 1e-12
+    assert cs["_overall_"].n == 2
