@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelset.functions.text import coalesce_truthy, normalize_text, strip_ws
+from labelset.functions.text import coalesce_truthy, normalize_text
 
 UNKNOWN_MODEL = "unknown_model"
 RUN_COLUMNS = ("_source_file", "model", "model_label", "scenario_id", "condition",
@@ -169,5 +169,3 @@ def item_name(item: Column) -> Column:
     """First truthy of kpi | nome | metric | name of a ``map<string,string>`` item."""
     return coalesce_truthy(*[get_ci(item, k) for k in NAME_FIELDS])
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["strip_ws"]

@@ -218,7 +218,7 @@ def q_flatten_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_records(nested)
 
 
-STREAM_FILES = 4  # landed files, one micro-batch each; a customer's orders span several
+STREAM_FILES = 2  # landed files, one micro-batch each; a customer's orders span both
 
 
 def _evaluate_runs_sql() -> str:

@@ -59,9 +59,9 @@ def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
     seen = rows.select(*KEYS, "sid_raw", "pos", _bucket(buckets))
     names = rows.select(*KEYS, F.explode("names").alias("raw_name")).select(
         *KEYS, normalize_text(F.col("raw_name")).alias("name"))
-    # the batch rows are already checkpointed: re-deriving the distinct names is cheap
+    # distinct names feed several branches: canonicalize checkpoints them once
     cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
-                        string_method=string_method, materialize=False)
+                        string_method=string_method)
     kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
     pred = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
     # one writer per bucket: one file per bucket and batch; each batch owns its batch_id

@@ -63,3 +63,13 @@ def test_slug_sheet_and_repair(spark):
     assert one(spark, T.coerce_numeric(F.col("s")), " 1e3 ") == 1000.0
     assert one(spark, T.coerce_numeric(F.col("s")), "abc") is None
     assert one(spark, T.coalesce_truthy(F.col("s"), F.lit("b")), "  ") == "b"
+
+
+def test_normalize_is_idempotent(spark):
+    rnd = random.Random(9)
+    alphabet = "aB9 -_/ÉéçÑñß½ﬁ→\t\n"
+    rows = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 20))) for _ in range(200)]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+    once = T.normalize_text_df(df, "s", "n1")
+    twice = T.normalize_text_df(once, "n1", "n2")
+    assert all(r.n1 == r.n2 for r in twice.collect())
