@@ -273,6 +273,56 @@ def sequence_ratio(cand: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+QGRAM = 2
+
+
+def _qgram_rows(df: DataFrame, col: str, threshold: float) -> DataFrame:
+    """``(_s, _l, g, need)``: the q-grams of each string made unique by occurrence number
+    (so sets behave as multisets), and the overlap a match needs at least.
+
+    Levenshtein similarity >= t means lev <= k = floor((1-t)*M), M the longer length;
+    then the strings share >= (M-q+1) - q*k q-grams (q-gram lemma), which is at least
+    g(l) = l*(1 - q*(1-t)) - q + 1 for either string's length l (g grows with l).
+    """
+    base = df.select(F.col(col).alias("_s"))
+    s = F.col("_s")
+    grams = F.transform(F.sequence(F.lit(1), F.length(s) - QGRAM + 1), lambda i: F.substring(s, i, QGRAM))
+    uniq = F.transform(grams, lambda g, i: F.concat(
+        g, F.lit("\u0000"), F.size(F.filter(F.slice(grams, 1, i), lambda h: h == g)).cast("string")))
+    need = F.ceil(F.length(s) * F.lit(1 - QGRAM * (1 - threshold)) - QGRAM + 1 - 1e-9)
+    base = base.select("_s", F.length(s).alias("_l"), need.alias("need"),
+                       F.when(F.length(s) >= QGRAM, uniq).otherwise(F.array().cast("array<string>")).alias("_g"))
+    return base.select("_s", "_l", "need", F.explode_outer("_g").alias("g"))
+
+
+def _qgram_candidates(names: DataFrame, universe: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(_n, _u, _ln, _lu)`` that can reach Levenshtein similarity >= threshold.
+
+    Strings whose bound is positive keep their ``|G| - need + 1`` rarest q-grams (one
+    global frequency order); two such strings can only match if those prefixes share a
+    q-gram (equi-join). Strings too short for a positive bound are paired by the length
+    band join. Every candidate also satisfies the length band. Lossless.
+    """
+    nr = _qgram_rows(names.select("_n"), "_n", threshold).withColumn("side", F.lit("n"))
+    ur = _qgram_rows(universe.select("_u"), "_u", threshold).withColumn("side", F.lit("u"))
+    rows = nr.unionByName(ur)
+    freq = rows.filter(F.col("g").isNotNull()).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("side", "_s").orderBy("df", "g")
+    ranked = rows.filter(F.col("need") >= 1).join(freq, "g").withColumn("pos", F.row_number().over(w))
+    n_grams = F.col("_l") - QGRAM + 1
+    pref = ranked.filter(F.col("pos") <= n_grams - F.col("need") + 1)
+    lp = pref.filter(F.col("side") == "n").select(F.col("_s").alias("_n"), F.col("_l").alias("_ln"), "g")
+    rp = pref.filter(F.col("side") == "u").select(F.col("_s").alias("_u"), F.col("_l").alias("_lu"), "g")
+    band = ((F.col("_lu") >= F.col("_ln") * F.lit(threshold) - 1e-9) &
+            (F.col("_lu") <= F.col("_ln") / F.lit(threshold) + 1e-9))
+    blocked = lp.join(rp, "g").filter(band).select("_n", "_u", "_ln", "_lu").distinct()
+    short_n = names.filter(F.length("_n") * F.lit(1 - QGRAM * (1 - threshold)) - QGRAM + 1 <= 1e-9)
+    short_u = universe.filter(F.length("_u") * F.lit(1 - QGRAM * (1 - threshold)) - QGRAM + 1 <= 1e-9)
+    # a pair whose longer side has no positive bound: both sides are short
+    short = _length_band_pairs(short_n, short_u, threshold, 1 / threshold).select("_n", "_u", "_ln", "_lu")
+    return blocked.unionByName(short).distinct()
+
+
 def match_strings(names: DataFrame, universe: DataFrame, name: str = "name", norm: str = "norm",
                   method: str = "ratio", threshold: float = STRING_THRESHOLD) -> DataFrame:
     """Best universe entry per name by string similarity >= threshold: (name, canon, score).
@@ -288,7 +338,7 @@ def match_strings(names: DataFrame, universe: DataFrame, name: str = "name", nor
         pairs = _length_band_pairs(n, u, threshold / (2 - threshold), (2 - threshold) / threshold)
         scored = pairs.withColumn("score", sequence_ratio(F.col("_u"), F.col("_n")))
     elif method == "levenshtein":
-        pairs = _length_band_pairs(n, u, threshold, 1 / threshold)
+        pairs = _qgram_candidates(n, u, threshold)
         mx = F.greatest(F.col("_ln"), F.col("_lu"))
         k = F.floor(mx * F.lit(1 - threshold) + 1e-9).cast("int")
         d = F.call_function("levenshtein", F.col("_n"), F.col("_u"), k)

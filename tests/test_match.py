@@ -110,3 +110,47 @@ def test_token_pairs_string_path_when_hash_collides(spark, monkeypatch):
     monkeypatch.setattr(MT, "_hash_is_injective", lambda freq: False)
     got = {(r.id, r.m) for r in MT.token_similarity_pairs(df, df, "id", "m", self_join=True).collect()}
     assert got == want
+
+
+def _lev(a, b):
+    prev = list(range(len(b) + 1))
+    for i, ca in enumerate(a, 1):
+        cur = [i]
+        for j, cb in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+        prev = cur
+    return prev[-1]
+
+
+def test_levenshtein_stage_equals_brute_force(spark):
+    rnd = random.Random(21)
+    alpha = "abcde "
+    u = sorted({"".join(rnd.choice(alpha) for _ in range(rnd.randrange(1, 24))) for _ in range(120)})
+    names = set()
+    for x in u[:60]:                       # near variants of universe entries
+        y = list(x)
+        for _ in range(rnd.randrange(0, 4)):
+            op = rnd.randrange(3)
+            pos = rnd.randrange(len(y) + 1)
+            if op == 0:
+                y.insert(pos, rnd.choice(alpha))
+            elif op == 1 and y:
+                y.pop(min(pos, len(y) - 1))
+            elif y:
+                y[min(pos, len(y) - 1)] = rnd.choice(alpha)
+        names.add("".join(y))
+    names |= {"".join(rnd.choice(alpha) for _ in range(rnd.randrange(1, 24))) for _ in range(60)}
+    names.discard("")
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.canon for r in MT.match_strings(df, uni(spark, u), method="levenshtein").collect()}
+    want = {}
+    for n in names:
+        best = None
+        for x in u:
+            m = max(len(n), len(x))
+            sc = 1.0 - _lev(n, x) / m
+            if sc >= 0.85 and (best is None or (sc, x) > best):
+                best = (sc, x)
+        if best:
+            want[n] = best[1]
+    assert got == want
