@@ -104,3 +104,36 @@ def test_chart_tables(spark, scratch):
     cs = {r.model_label: r for r in t["corr_summary"].collect()}
     assert cs["llama3.1:base"].n == 2 and abs(cs["llama3.1:base"].slope - 1 / 15) < 1e-12
     assert cs["_overall_"].n == 2
+
+
+def test_small_record_helpers(spark, scratch):
+    from labelset.operators import metrics as M
+    from labelset.sources.sinks import write_results
+
+    df = spark.createDataFrame([("a", None, 1.0), ("b", "TimeoutError: x", float("nan")), ("c", None, float("inf"))],
+                               "model string, error string, v double")
+    failed, ok = R.split_errors(df)
+    assert [r.model for r in failed.collect()] == ["b"] and ok.count() == 2
+    assert [r.model for r in R.drop_missing(df, ["v"]).collect()] == ["a", "c"]
+    assert [r.model for r in R.finite_only(df, ["v"]).collect()] == ["a"]
+    labels = spark.createDataFrame([("a", "A!")], "model string, label string")
+    assert {r.model: r.model_label for r in R.label_lookup(df, labels, "model").collect()} == \
+        {"a": "A!", "b": "b", "c": "c"}
+    recs = spark.createDataFrame([("k", "Raw-K", 2), ("k", "raw k", 1), ("j", "J", 5)], "sid string, raw string, pos int")
+    assert {r.sid: r.raw for r in M.first_raw_key(recs, ["sid"], "raw", "pos").collect()} == {"k": "raw k", "j": "J"}
+    write_results(df, os.path.join(scratch, "res"))
+    assert spark.read.json(os.path.join(scratch, "res")).count() == 3
+
+
+def test_scenario_report_lists(spark):
+    from labelset.functions.text import expand_universe
+    from labelset.plans.scoring import evaluate_runs, scenario_report
+
+    u = expand_universe(spark.createDataFrame([("CPA",), ("CTR",), ("ROI",)], "n string"), "n")
+    gold = spark.createDataFrame([("s", "ctr"), ("s", "cpa")], "sid_norm string, item string")
+    recs = spark.createDataFrame([("f", 0, json.dumps({"scenario_id": "S", "model": "m",
+                                                        "parsed_items": [{"kpi": "ROI"}, {"kpi": "CTR"}]}))],
+                                 "_source_file string, pos long, record string")
+    rep = scenario_report(evaluate_runs(recs, u, gold)).collect()
+    assert len(rep) == 1 and rep[0].pred == ["ctr", "roi"] and rep[0].gold == ["cpa", "ctr"]
+    assert (rep[0].tp, rep[0].fp, rep[0].fn) == (1, 1, 1)
