@@ -181,12 +181,23 @@ def macro_average(metrics: DataFrame, group_cols: Sequence[str],
 
 
 def totals(metrics: DataFrame, group_cols: Sequence[str], skipped: DataFrame | None = None,
-           groups: DataFrame | None = None) -> DataFrame:
+           groups: DataFrame | None = None, seen_counts: DataFrame | None = None) -> DataFrame:
     """Sum of TP, FP, FN, TN per group, evaluated and skipped counts.
 
-    Skipped keys stay a long table (:func:`skipped_keys`); here only their number.
+    Skipped keys stay a long table (:func:`skipped_keys`); here only their number. With
+    ``seen_counts`` (``group_cols, n_seen``) the number is ``n_seen - evaluated``, which
+    needs no anti join against the (expensive) evaluated keys.
     """
     group_cols = _as_list(group_cols)
+    if seen_counts is not None:
+        agg = metrics.groupBy(*group_cols).agg(
+            *[F.sum(c).alias(c) for c in COUNT_COLS], F.count(F.lit(1)).alias("evaluated"))
+        base = seen_counts.select(*group_cols, "n_seen")
+        out = base.join(agg, group_cols, "left")
+        ev = F.coalesce(F.col("evaluated"), F.lit(0)).cast("long")
+        return out.select(*group_cols,
+                          *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in COUNT_COLS],
+                          ev.alias("evaluated"), (F.col("n_seen").cast("long") - ev).alias("skipped"))
     agg = metrics.groupBy(*group_cols).agg(
         *[F.sum(c).alias(c) for c in COUNT_COLS], F.count(F.lit(1)).alias("evaluated"))
     base = groups.select(*group_cols).distinct() if groups is not None else None

@@ -85,7 +85,11 @@ def evaluate_runs(records: DataFrame, universe: DataFrame, gold: DataFrame,
     per_key = M.set_metrics(conf).join(seen, list(KEYS))
     skipped = M.skipped_keys(seen, conf.select(*KEYS), list(KEYS))
     macro = M.macro_average(per_key, list(GROUPS), groups)
-    tot = M.totals(per_key, list(GROUPS), skipped.select(*GROUPS), groups)
+    # skipped per group = seen - evaluated (no anti join against the confusion subtree)
+    n_seen = seen.groupBy(*GROUPS).agg(F.count(F.lit(1)).alias("n_seen"))
+    seen_counts = groups.join(n_seen, list(GROUPS), "left").select(
+        *GROUPS, F.coalesce(F.col("n_seen"), F.lit(0)).alias("n_seen"))
+    tot = M.totals(per_key, list(GROUPS), seen_counts=seen_counts)
     return Scores(per_key, macro, tot, skipped, pred, gold_att)
 
 
