@@ -76,6 +76,9 @@ def evaluate_runs(records: DataFrame, universe: DataFrame, gold: DataFrame,
         *KEYS, normalize_text(F.col("raw_name")).alias("name"))
     cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
                         string_method=string_method)
+    if materialize:
+        # one row per distinct name; read by the scores and by report lists
+        cmap = cut_lineage(cmap)
     # keep only names whose canonical form is in U: filtered on the distinct-name map,
     # then joined back to the name rows
     kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
