@@ -137,3 +137,18 @@ def test_scenario_report_lists(spark):
     rep = scenario_report(evaluate_runs(recs, u, gold)).collect()
     assert len(rep) == 1 and rep[0].pred == ["ctr", "roi"] and rep[0].gold == ["cpa", "ctr"]
     assert (rep[0].tp, rep[0].fp, rep[0].fn) == (1, 1, 1)
+
+
+def test_report_with_empty_model_gets_base_label(spark, scratch):
+    from labelset.sources.dimensions import DEFAULT_REPORT_LABEL, MODEL_LABELS
+
+    a = os.path.join(scratch, "a.json")
+    with open(a, "w") as f:
+        json.dump({"model_name": "", "macro_avg": {"precision": 0.1}}, f)
+    b = os.path.join(scratch, "b.json")
+    with open(b, "w") as f:
+        json.dump({"model_name": "meta-llama-3.1-8b.Q4_K_M:latest", "macro_avg": {"recall": 0.2}}, f)
+    df = J.read_reports(spark, {"r1": a, "r2": b, "r3": os.path.join(scratch, "missing.json")},
+                        MODEL_LABELS, DEFAULT_REPORT_LABEL)
+    got = {r.run: (r.model_label, r.macro_precision, r.macro_recall) for r in df.collect()}
+    assert got == {"r1": ("llama3.1:base", 0.1, None), "r2": ("llama3.1:trained", None, 0.2)}
