@@ -29,40 +29,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelset.session import cut_lineage
+from labelset.llm.landing import land, small
 
 MIN_WORDS = 8
-#: Key tables of at most this many rows (8 to 16 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_KEYS = 500_000
+#: Key tables of at most this many rows (8 to 40 bytes each) are broadcast; larger ones are shuffled.
+BROADCAST_KEYS = 400_000
 SWAP, WHOLE, DROP = 0, 1, 2
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line with a word: ``_doc``, ``_no`` (line number from 0), ``_line`` (its words joined by one space), ``_h1``, ``_h2``."""
     each = docs.select(F.col(doc_id).alias("_doc"), F.posexplode(F.split(F.col(text), "\n")).alias("_no", "_raw"))
-    line = F.btrim(F.regexp_replace("_raw", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
-    each = each.select("_doc", "_no", line.alias("_line")).where(F.col("_line") != "")
-    return each.withColumns({"_h1": F.xxhash64("_line"), "_h2": F.xxhash64(F.lit(17), "_line")})
+    return each.where(F.col("_raw").rlike(r"[^\x20\x09-\x0D]")).select("_doc", "_no", one_spaced("_raw").alias("_line"))
 
 
-def n_words(line: Column) -> Column:
-    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+def one_spaced(raw: str) -> Column:
+    return F.btrim(F.regexp_replace(raw, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
 
 
-def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` whose key is in ``keys`` (distinct rows, written to the shared folder and counted first)."""
-    keys = cut_lineage(keys)
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+def n_words(line: Column) -> Column:
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _halves(n: Column, line: Column) -> Column:
-    """Half keys of a line: for the length classes n and n - 1, first half and last half."""
-    def pair(m: Column) -> list[Column]:
-        left = F.floor(m / 2).cast("int")
-        return [F.xxhash64(m, F.lit(0), F.call_function("substring_index", line, F.lit(" "), left)),
-                F.xxhash64(m, F.lit(1), F.call_function("substring_index", line, F.lit(" "), left - m))]
+    """Half keys of a line: struct(key, left, size) for its length classes.
+
+    Class c holds lines of 2c to 2c + 2 words and compares their first c and their last c words;
+    lines of an even number n of words are in n / 2 and n / 2 - 1, others in (n - 1) / 2. Lines
+    one edit apart have a class in common and agree in one of its two halves.
+    """
+    def pair(c: Column) -> list[Column]:
+        return [F.struct(F.xxhash64(c, F.lit(side), F.call_function("substring_index", line, F.lit(" "), part)).alias("key"),
+                         F.lit(side == 0).alias("left"), c.alias("size")) for side, part in ((0, c), (1, -c))]
 
-    return F.array(*pair(n), *pair(n - 1))
+    c = F.floor(n / 2).cast("int")
+    return F.when(n % 2 == 0, F.array(*pair(c), *pair(c - 1))).otherwise(F.array(*pair(c)))
 
 
 def _variant_keys(n: Column, h: Column) -> Column:
@@ -83,25 +84,31 @@ def _keys(v: str, h: str) -> Column:
     n, got = F.col(f"{v}.n"), lambda i: F.get(F.col(h), i)
     before = lambda i, x: F.when(i == 0, F.xxhash64(F.lit(-1), x)).otherwise(F.xxhash64(got(i - 1), x))
     after = lambda i: F.coalesce(got(i + 1), F.lit(0).cast("long"))
-    swap = F.transform(F.col(f"{v}.place"), lambda p, i: F.xxhash64(n, i, p.bitwiseXOR(F.col(f"{v}.places"))))
-    drop = F.transform(F.col(f"{v}.pair"), lambda p, i: F.xxhash64(
-        n - 1, F.lit(-1), F.col(f"{v}.pairs").bitwiseXOR(p).bitwiseXOR(before(i, got(i))).bitwiseXOR(before(i, after(i)))))
-    kinds = lambda keys, kind: F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
+    # a shared first half leaves the edit to the places after it, a shared last half to those before it
+    may = lambda i: (i >= F.col("_from")) | (i < F.col("_to"))
+    swap = F.transform(F.col(f"{v}.place"), lambda p, i: F.when(may(i), F.xxhash64(n, i, p.bitwiseXOR(F.col(f"{v}.places")))))
+    drop = F.transform(F.col(f"{v}.pair"), lambda p, i: F.when(may(i), F.xxhash64(
+        n - 1, F.lit(-1), F.col(f"{v}.pairs").bitwiseXOR(p).bitwiseXOR(before(i, got(i))).bitwiseXOR(before(i, after(i))))))
+    kinds = lambda keys, kind: F.transform(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())), lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
     whole = F.array(F.xxhash64(n, F.lit(-1), F.col(f"{v}.pairs")))
     return F.concat(kinds(swap, SWAP), kinds(whole, WHOLE), kinds(drop, DROP))
 
 
-def near_lines(docs: DataFrame, index: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id",
-               text: str = "text") -> DataFrame:
+def near_lines(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Places ``_at`` of the distinct lines within one word edit of an earlier distinct line."""
-    long_ = index.where(F.size("_halves") > 0)
-    half = long_.select("_h1", F.explode(F.array_distinct("_halves")).alias("_half"))
-    shared = half.groupBy("_half").agg(F.min("_h1").alias("_a"), F.max("_h1").alias("_b")).where("_a <> _b").select("_half")
-    able = only(half, shared, ["_half"]).select("_h1").distinct()
-    lines = lines_of(docs, doc_id, text).where(n_words(F.col("_line")) >= min_words)
-    some = only(lines, able, ["_h1"]).groupBy("_h1", "_h2").agg(
-        F.min(F.struct(F.struct("_doc", "_no").alias("_at"), "_line")).alias("_x"))
-    some = cut_lineage(some.select("_x._at", "_x._line", n_words(F.col("_x._line")).alias("_n")))
+    half = index.select("_h1", "_h2", "_at", "_n", F.explode("_halves").alias("_half")).select("_h1", "_h2", "_at", "_n", "_half.*")
+    shared = half.groupBy("key").agg(F.min("_h1").alias("_a"), F.max("_h1").alias("_b")).where("_a <> _b").select("key")
+    some = half.join(small(land(shared), BROADCAST_KEYS), "key").groupBy("_h1", "_h2").agg(
+        F.min("_at").alias("_at"), F.first("_n").alias("_n"),
+        F.coalesce(F.min(F.when(F.col("left"), F.col("size"))), F.first("_n")).alias("_from"),
+        F.coalesce(F.max(F.when(~F.col("left"), F.col("_n") - F.col("size"))), F.lit(0)).alias("_to"))
+    # a document's own lines: at most as many as its text has
+    wanted = some.groupBy("_at._doc").agg(F.collect_list(F.struct(F.col("_at._no").alias("_no"), "_from", "_to")).alias("_want"))
+    at = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(small(land(wanted), BROADCAST_KEYS), "_doc")
+    marked = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(x.alias("_raw"), i.alias("_no"), F.get(F.filter("_want", lambda w: w["_no"] == i), F.lit(0)).alias("_w")))
+    at = at.select("_doc", F.explode(F.filter(marked, lambda x: x["_w"].isNotNull())).alias("_x"))
+    some = land(at.select(F.struct("_doc", "_x._no").alias("_at"), "_x._w._from", "_x._w._to", one_spaced("_x._raw").alias("_line"))
+                .groupBy("_at").agg(*[F.first(c).alias(c) for c in ("_from", "_to", "_line")]).withColumn("_n", n_words(F.col("_line"))))
     keyed = some.withColumn("_wh", F.transform(F.split("_line", " "), lambda w: F.xxhash64(w)))
     keyed = keyed.withColumn("_v", _variant_keys(F.col("_n"), F.col("_wh"))).select(
         "_at", F.explode(_keys("_v", "_wh")).alias("_k")).select("_at", "_k.key", "_k.kind")
@@ -129,15 +136,14 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Places (``_doc``, ``_no``) of the removed lines."""
-    n = n_words(F.col("_line"))
-    halves = F.when(F.col("_n") >= min_words, _halves(F.col("_n"), F.col("_line"))).otherwise(F.array().cast("array<bigint>"))
-    index = cut_lineage(lines_of(docs, doc_id, text).withColumn("_n", n).select(
-        F.struct("_doc", "_no").alias("_at"), "_h1", "_h2", halves.alias("_halves")))
+    halves = F.when(F.col("_n") >= min_words, _halves(F.col("_n"), F.col("_line")))
+    index = land(lines_of(docs, doc_id, text).withColumn("_n", n_words(F.col("_line"))).select(
+        F.struct("_doc", "_no").alias("_at"), F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(17), "_line").alias("_h2"), "_n", halves.alias("_halves")))
     place = index.select("_h1", "_h2", "_at")
     first = place.groupBy("_h1", "_h2").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
     again = first.where(F.col("_first") != F.col("_last")).select("_h1", "_h2", "_first")
-    copies = place.join(again, ["_h1", "_h2"]).where(F.col("_at") != F.col("_first")).select("_at")
-    near = near_lines(docs, index, min_words, doc_id, text)
+    copies = place.join(small(land(again), BROADCAST_KEYS), ["_h1", "_h2"]).where(F.col("_at") != F.col("_first")).select("_at")
+    near = near_lines(docs, index, doc_id, text)
     return copies.unionByName(near).select("_at._doc", "_at._no")
 
 
