@@ -89,7 +89,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("_win", F.sort_array(_windows(F.col("_hashes"), F.col("_high"))))
     d = d.withColumn("_pos", _repeated_positions(F.col("_win"), F.col("_high")))
     d = d.withColumn("n_repeat_words", _covered(F.col("_pos"), 3))
-    return d.drop("_words", "_lines", "_high", "_hashes", "_win", "_pos")
+    # the generator keeps filters on measurements above it: pushed below, the optimiser would inline
+    # the arrays into the lambdas over them and compute them again for every element
+    kept = [c for c in docs.columns if c not in MEASURES]
+    return d.select(*kept, F.explode(F.array(F.struct(*MEASURES))).alias("_m")).select(*kept, "_m.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
