@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,6 @@ def get_spark(app: str = "labelset", cpus: int | str | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.driver.memory": "16g",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -45,7 +45,8 @@ def get_spark(app: str = "labelset", cpus: int | str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a fresh scratch folder is created.
+    Only when the setting is absent in local mode (tests) a fresh scratch folder is created;
+    on a cluster a machine-local folder would be lost to the other machines, so that raises.
     """
     try:
         sc = spark.sparkContext
@@ -56,6 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="labelset-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None:
@@ -81,6 +85,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         held.unpersist()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, whatever folder the driver runs from.
+
+    Local workers get its place on their path; on a cluster a zip of it is added once per
+    application. Sessions without a local SparkContext are left to the cluster's setup.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    if sc.master.startswith("local[") or sc.master == "local":
+        paths = [root, *filter(None, [sc.environment.get("PYTHONPATH")])]
+        sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(os.pathsep.join(paths).split(os.pathsep)))
+    elif sc.applicationId not in _shipped:
+        zipped = os.path.join(tempfile.mkdtemp(prefix="labelset-pkg-"), "labelset.zip")
+        with zipfile.ZipFile(zipped, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(zipped)
+        _shipped.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
