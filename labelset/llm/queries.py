@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelset.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
+from labelset.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules, repeats, url_filter
 from labelset.llm.registry import LLM_QUERIES, Query, register, table  # noqa: F401
 
 _SQL_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -81,3 +81,42 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op1_substring_dedup", rf"""
+WITH w AS (SELECT doc_id, {_SQL_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - {repeats.SPAN - 2})) AS i, w FROM w),
+g AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + {repeats.SPAN - 1}], ' ')) AS g FROM s),
+late AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range({repeats.SPAN})) AS k FROM late)),
+kept AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY t.i) AS kept, count(*) AS n
+         FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w) t
+         ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY t.doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Host labels whose pages make up the list of the URL query (fixed values).
+LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+_SQL_LABELS = "|".join(LISTED_LABELS)
+_SQL_RULES = " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.verdict} {r.host}{r.path}'"
+    for r in sorted(url_filter.RULES, key=lambda r: -len(r.host + r.path)))
+
+
+@register("op9_url_filter", rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+c AS (SELECT *, CASE {_SQL_RULES} END AS hit,
+             regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '^(www|m)\.', '') || regexp_replace(path, '/+$', '') AS key FROM u),
+listed AS (SELECT DISTINCT key FROM c WHERE regexp_matches(host, '(^|\.)({_SQL_LABELS})\.'))
+SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule,
+       CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 1) WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM c""")
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of().rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\."))
+    return url_filter.judge(pages, listed).drop("url")
