@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from labelset.llm.landing import land
 from labelset.llm.textcore import U, Words, mix, text_chunks
 
-CLASSES, SINGLES, BUCKETS, TEMPLATES = 64, 24, 1 << 13, 4
+CLASSES, SINGLES, BUCKETS, TEMPLATES = 32, 12, 1 << 13, 4
 HEAD = 150_000
 ALPHA = 0.1
 BATCH, RATE = 4096, 0.5
@@ -98,7 +98,8 @@ class Model:
                 order = np.argsort(k, kind="stable")
                 at = np.flatnonzero(np.diff(k[order], prepend=-1))
                 rows = k[order[at]]
-                total = np.add.reduceat(grad[order], at, axis=0)
+                total = np.cumsum(grad[order], axis=0)[np.r_[at[1:], len(order)] - 1]  # sums of equal rows, by difference
+                total[1:] -= total[:-1].copy()
                 seen[rows] += np.einsum("ij,ij->i", total, total)
                 self.table[rows] -= RATE / np.sqrt(seen[rows])[:, None] * total
             self.bias -= 0.02 * grad.mean(axis=0)
