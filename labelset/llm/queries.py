@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelset.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules, repeats, url_filter
+from labelset.llm import (
+    decontaminate, jaccard_join, language_model, line_dedup, packing, personal_data,
+    quality_classifier, quality_rules, repeats, url_filter)
 from labelset.llm.registry import LLM_QUERIES, Query, register, table  # noqa: F401
 
 _SQL_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -120,3 +122,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(url_filter.host_of().rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\."))
     return url_filter.judge(pages, listed).drop("url")
+
+
+@register("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register("op6_language_model")
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
