@@ -155,4 +155,4 @@ def _scan(items: list[tuple[int, str]]):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """``docs`` without the documents in which an item was found; null ids stay."""
     bad = find_items(docs, benchmark, doc_id, text, **names).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")

@@ -181,7 +181,7 @@ def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text:
     training = all_.where("NOT held_out").select("text")
     counts = land(token_counts(training))
     n_tokens, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the head: every token with a count from which on there are at most HEAD tokens
+    # the head: every token with a count from which on there are at most HEAD tokens, and the end token
     levels = counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(HEAD).collect()
     least, room = n_tokens + 1, HEAD
     for r in levels:
@@ -189,7 +189,7 @@ def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text:
         if room < 0:
             break
         least = r["c"]
-    head = sorted(((r["h"] % 2**64, r["c"], r["cls"]) for r in counts.where(F.col("c") >= least).collect()))
+    head = sorted(((r["h"] % 2**64, r["c"], r["cls"]) for r in counts.where((F.col("c") >= least) | (F.col("word") == "")).collect()))
     top = sorted((c, h) for h, c, _ in head if h)[-(SINGLES - 1):]
     singles = np.array(sorted(h for _, h in top), dtype=np.uint64)
     stats = {r["cls"]: [r["n"], r["v"]] for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}

@@ -152,8 +152,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     # a document's own line numbers: at most as many as its text has lines
     gone = removed_lines(docs, min_words, doc_id, text).groupBy(F.col("_doc").alias("_gone_doc")).agg(
         F.collect_set("_no").alias("_gone"))
-    d = docs.join(gone, F.col(doc_id) == F.col("_gone_doc"), "left")
-    keep = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))
-    count = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return d.withColumns({text: new, "n_lines_removed": count}).select(*docs.columns, "n_lines_removed")
+    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    d = d.join(gone, F.col("_id") == F.col("_gone_doc"), "left")
+    keep = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    new = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(keep, "\n"))
+    kept = [(new if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns if c != "n_lines_removed"]
+    return d.select(*kept, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_lines_removed"))

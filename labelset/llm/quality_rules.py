@@ -71,10 +71,11 @@ def _covered(pos: Column, width: int) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns MEASURES, each a long."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    body = F.col("_text")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     long = lambda c: c.cast("long")
-    d = docs.withColumns({"_words": F.filter(F.split(body, WORD_BREAK), lambda w: w != ""), "_lines": lines})
+    d = row.withColumns({"_words": F.filter(F.split(body, WORD_BREAK), lambda w: w != ""), "_lines": lines})
     d = d.withColumns({
         "n_words": long(F.size("_words")),
         "word_chars": long(F.char_length(F.array_join("_words", ""))),
@@ -92,7 +93,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     # the generator keeps filters on measurements above it: pushed below, the optimiser would inline
     # the arrays into the lambdas over them and compute them again for every element
     kept = [c for c in docs.columns if c not in MEASURES]
-    return d.select(*kept, F.explode(F.array(F.struct(*MEASURES))).alias("_m")).select(*kept, "_m.*")
+    own = [F.col("_row").getField(c).alias(c) for c in kept]
+    return d.select("_row", F.explode(F.array(F.struct(*MEASURES))).alias("_m")).select(*own, "_m.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

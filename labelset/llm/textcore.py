@@ -71,8 +71,10 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array):
-        off = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-        raw = texts.buffers()[2]
+        off, raw = np.zeros(1, dtype=np.int64), None
+        if len(texts):
+            off = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+            raw = texts.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8)[off[0]:off[-1]] if raw is not None else np.zeros(0, np.uint8)
         off = off - off[0]
         self.data, self.off, n = data, off, len(data)

@@ -90,8 +90,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[Ru
     keys = listed.select(canonical(host_of(), path_of()).alias("key")).where("key IS NOT NULL").distinct()
     words, blocks = bloom(keys)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    d = pages.withColumns({"_host": host_of(url), "_path": path_of(url)})
-    d = d.select(*kept, "_host", "_path", longest_rule(F.col("_host"), F.col("_path"), rules).alias("_rule"),
+    d = pages.select(F.struct(*pages.columns).alias("_row"), host_of(url).alias("_host"), path_of(url).alias("_path"))
+    d = d.select("_row", "_host", "_path", longest_rule(F.col("_host"), F.col("_path"), rules).alias("_rule"),
                  canonical(F.col("_host"), F.col("_path")).alias("_key"))
     d = d.withColumn("_block", _block(F.col("_key"), blocks)).join(F.broadcast(words.withColumnRenamed("block", "_block")), "_block", "left")
     hit = F.aggregate(F.zip_with("words", _masks(F.col("_key")), lambda w, m: w.bitwiseAND(m) != 0), F.lit(True), lambda a, x: a & x)
@@ -100,4 +100,4 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[Ru
     rest = d.where("NOT _maybe").withColumn("_listed", F.lit(None).cast("boolean"))
     both = exact.unionByName(rest)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_listed"), "block").otherwise("allow"))
-    return both.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
+    return both.select(*[F.col("_row").getField(c).alias(c) for c in kept], F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
