@@ -29,14 +29,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that came earlier; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs)
+    if "n_lines_removed" not in docs.columns:
+        out = out.drop("n_lines_removed")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest id."""
     later = jaccard_join.near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    return docs.join(later, docs["doc_id"] == later["_later"], "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
