@@ -44,6 +44,9 @@ ITEM_FIELDS = ("kpi", "importancia", "formula", "metricas")
 ITEM_TYPE = "struct<kpi:string,importancia:string,formula:string,metricas:array<string>>"
 ITEMS_TYPE = f"array<{ITEM_TYPE}>"
 
+#: JSON as the strict parsers read it: single-quoted strings are an error.
+STRICT_JSON = {"allowSingleQuotes": "false"}
+
 _NUMERIC_KINDS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 
@@ -256,7 +259,7 @@ def truthy(v: Column) -> Column:
 def parse_object(text: Column) -> Column:
     """JSON object text -> ``map<string, variant>`` in document order (NULL if not an
     object). Duplicate keys are kept."""
-    return let(strip_ws(text), lambda t: F.when(t.startswith("{"), F.from_json(t, "map<string,variant>")))
+    return let(strip_ws(text), lambda t: F.when(t.startswith("{"), F.from_json(t, "map<string,variant>", STRICT_JSON)))
 
 
 def entry_last(m: Column, key: str) -> Column:
@@ -333,7 +336,7 @@ def json_array_elements(text: Column) -> Column:
                 .when(strip_ws(r).startswith("["), F.lit("ARRAY")).otherwise(F.lit("STRING")))
 
     def body(t):
-        raws = F.from_json(t, "array<string>")
+        raws = F.from_json(t, "array<string>", STRICT_JSON)
         kinds = F.transform(F.try_variant_get(F.try_parse_json(t), "$", "array<variant>"),
                             lambda e: kind(e))
         elems = let(kinds, lambda ks: F.transform(raws, lambda r, i: F.struct(

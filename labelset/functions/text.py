@@ -75,9 +75,6 @@ def _fold_tables() -> tuple[str, str, str]:
     return "".join(src), "".join(dst), "".join(multi)
 
 
-_MARK = "\x01"
-
-
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace of any kind."""
     return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
@@ -106,11 +103,11 @@ def normalize_text(c: Column) -> Column:
 
 def needs_unicode_fallback(c: Column) -> Column:
     """True where ``normalize_text`` could differ from full NFKD: a character that folds
-    to several ASCII characters, or one outside the BMP. (A literal U+0001 in the text
-    also routes the row to the exact path, which is still correct.)"""
+    to several ASCII characters, or one outside the BMP."""
     multi = _fold_tables()[2]
-    marked = F.translate(c, multi, _MARK * len(multi))
-    return F.coalesce(marked.rlike(r"[\x01\x{10000}-\x{10FFFF}]"), F.lit(False))
+    rare = F.regexp_replace(c, r"[\x00-\x7F]+", "")  # empty for ASCII texts, the rest is short
+    marked = F.translate(rare, multi, "\x01" * len(multi))
+    return F.coalesce(c.rlike(r"[^\x00-\x7F]") & marked.rlike(r"[\x01\x{10000}-\x{10FFFF}]"), F.lit(False))
 
 
 @F.pandas_udf(T.StringType())
@@ -162,9 +159,9 @@ def expand_universe(df: DataFrame, col: str, constants=UNIVERSE_ABBREVIATIONS,
     form (the scored tool keeps an arbitrary one).
     """
     raw = df.select(F.col(col).cast("string").alias("canon")).filter(F.col("canon").isNotNull())
-    names = raw.select(normalize_text(F.col("canon")).alias("norm"), "canon")
-    abbrs = (raw.select(F.explode(extract_abbreviations(F.col("canon"))).alias("canon"))
-             .select(normalize_text(F.col("canon")).alias("norm"), "canon"))
+    names = normalize_text_df(raw, "canon", "norm").select("norm", "canon")
+    abbrs = normalize_text_df(raw.select(F.explode(extract_abbreviations(F.col("canon"))).alias("canon")),
+                              "canon", "norm").select("norm", "canon")
     spark = df.sparkSession
     consts = spark.createDataFrame([(a, a.upper()) for a in constants], "norm string, canon string")
     allrows = names.unionByName(abbrs).unionByName(consts).filter(F.col("norm") != "")

@@ -116,7 +116,9 @@ def match_exact(names: DataFrame, universe: DataFrame, name: str = "name",
 
 # --- J6: token similarity --------------------------------------------------------------------
 def _token_rows(df: DataFrame, id_col: str, tok_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.explode(F.col(tok_col)).alias("tok"),
+    # 64-bit token hashes: a collision only adds a candidate, the strings are compared at the end
+    hashed = F.array_distinct(F.transform(F.col(tok_col), lambda t: F.xxhash64(t)))
+    return df.select(F.col(id_col).alias("id"), F.explode(hashed).alias("tok"),
                      F.size(F.col(tok_col)).alias("sz"))
 
 
@@ -131,13 +133,6 @@ def _prefixes(rows: DataFrame, freq: DataFrame) -> DataFrame:
     return ranked.filter(F.col("pos") <= F.floor(F.col("sz") / 2) + 1)
 
 
-def _hash_is_injective(freq: DataFrame) -> bool:
-    """True when ``xxhash64`` gives every distinct token its own value (one aggregation
-    over the vocabulary; a single boolean comes back to the driver)."""
-    row = freq.agg((F.count_distinct(F.xxhash64("tok")) == F.count(F.lit(1))).alias("ok")).first()
-    return bool(row and row["ok"])
-
-
 def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                            left_tokens: str = "tokens", right_tokens: str = "tokens",
                            self_join: bool = False) -> DataFrame:
@@ -145,8 +140,9 @@ def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, righ
 
     score = |a&b| / |a|b| + 0.1 if one set contains the other. Accepting needs Jaccard
     >= 0.5, hence (lossless): prefix filter on frequency-ordered tokens, size ratio within
-    [1/2, 2], and the positional bound 1 + min(|a|-i, |b|-j) >= ceil((|a|+|b|)/3) at the
-    first shared prefix token. Survivors are verified exactly with ``array_intersect``.
+    [1/2, 2], the positional bound 1 + min(|a|-i, |b|-j) >= ceil((|a|+|b|)/3) at the
+    first shared prefix token, and a prefix of only |x| - ceil(2|x|/3) + 1 tokens for the
+    smaller set x (its share of the overlap is at least two thirds). Survivors are verified exactly with ``array_intersect``.
     With ``self_join`` both sides are the same table and only ``right_id < left_id`` pairs
     are produced. Empty token sets never pair.
     """
@@ -166,15 +162,13 @@ def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, righ
                                         F.col("pos").alias("rpos")))
     cond = [lp.tok == rp.tok,
             rp.rs * 2 >= lp.ls, lp.ls * 2 >= rp.rs,
-            (F.lit(1) + F.least(lp.ls - lp.lpos, rp.rs - rp.rpos)) * 3 >= lp.ls + rp.rs]
+            (F.lit(1) + F.least(lp.ls - lp.lpos, rp.rs - rp.rpos)) * 3 >= lp.ls + rp.rs,
+            # the smaller set needs two thirds of its tokens in common: its prefix is shorter
+            F.when(lp.ls <= rp.rs, lp.lpos <= lp.ls - F.ceil(lp.ls * 2 / 3) + 1)
+            .otherwise(rp.rpos <= rp.rs - F.ceil(rp.rs * 2 / 3) + 1)]
     if self_join:
         cond.append(rp.rid < lp.lid)
     cand = lp.join(rp, cond).select("lid", "rid").distinct()
-    if _hash_is_injective(freq):
-        # ship 64-bit token hashes instead of strings to the candidate pairs; exact
-        # because the hash was checked to be collision-free on this vocabulary
-        l = l.select("lid", F.transform("lt", lambda t: F.xxhash64(t)).alias("lt"))
-        r = r.select("rid", F.transform("rt", lambda t: F.xxhash64(t)).alias("rt"))
     ver = cand.join(l, "lid").join(r, "rid")
     inter = F.size(F.array_intersect("lt", "rt"))
     ls, rs = F.size("lt"), F.size("rt")
@@ -258,53 +252,69 @@ def _length_band_pairs(names: DataFrame, universe: DataFrame, lo_ratio: float,
                     (F.col("_lu") <= F.col("_ln") * F.lit(hi_ratio) + 1e-9))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(cand: pd.Series, name: pd.Series) -> pd.Series:
-    """difflib ratio with the name as the second sequence (as ``get_close_matches``);
-    pairs failing the cheap upper bounds get 0.0."""
-    out = []
-    sm = difflib.SequenceMatcher()
-    for a, b in zip(cand, name):
-        sm.set_seqs(a, b)
-        if sm.real_quick_ratio() < STRING_THRESHOLD or sm.quick_ratio() < STRING_THRESHOLD:
-            out.append(0.0)
-        else:
-            out.append(sm.ratio())
-    return pd.Series(out, dtype="float64")
+def sequence_ratio(threshold: float):
+    """Arrow UDF (cand, name): difflib ratio with the name as the second sequence (as
+    ``get_close_matches``); pairs whose cheap upper bounds miss ``threshold`` get 0.0."""
+    @F.pandas_udf(T.DoubleType())
+    def ratio(cand: pd.Series, name: pd.Series) -> pd.Series:
+        out = [0.0] * len(cand)
+        sm = difflib.SequenceMatcher()
+        # the second sequence is indexed once per name
+        for i in sorted(range(len(name)), key=lambda k: name.iloc[k]):
+            if sm.b != name.iloc[i]:
+                sm.set_seq2(name.iloc[i])
+            sm.set_seq1(cand.iloc[i])
+            if sm.real_quick_ratio() >= threshold and sm.quick_ratio() >= threshold:
+                out[i] = sm.ratio()
+        return pd.Series(out, dtype="float64")
+
+    return ratio
 
 
 QGRAM = 2
 
 
-def _qgram_rows(df: DataFrame, col: str, threshold: float) -> DataFrame:
-    """``(_s, _l, g, need)``: the q-grams of each string made unique by occurrence number
-    (so sets behave as multisets), and the overlap a match needs at least.
+def levenshtein_need(length: Column, threshold: float) -> Column:
+    """Bigrams that a string of this length shares at least with a match.
 
-    Levenshtein similarity >= t means lev <= k = floor((1-t)*M), M the longer length;
-    then the strings share >= (M-q+1) - q*k q-grams (q-gram lemma), which is at least
-    g(l) = l*(1 - q*(1-t)) - q + 1 for either string's length l (g grows with l).
+    Similarity >= t means lev <= (1-t)*M, M the longer length; one edit spoils at most two
+    bigrams, so (M-1) - 2*(1-t)*M remain, which grows with M >= length.
     """
+    return F.ceil(length * F.lit(1 - QGRAM * (1 - threshold)) - QGRAM + 1 - 1e-9)
+
+
+def ratio_need(length: Column, threshold: float) -> Column:
+    """Bigrams that a string of this length shares at least with a match.
+
+    Ratio 2M/(a+b) >= t: M characters match in order, at most a+b-2M gaps split them, so
+    3M - (a+b) - 1 >= (1.5t-1)(a+b) - 1 adjacent pairs stay; a+b >= 2*length/(2-t).
+    """
+    return F.ceil(length * F.lit((1.5 * threshold - 1) * 2 / (2 - threshold)) - 1 - 1e-9)
+
+
+def _qgram_rows(df: DataFrame, col: str, need) -> DataFrame:
+    """``(_s, _l, g, need)``: the bigrams of each string made unique by occurrence number
+    (so sets behave as multisets), and the overlap a match needs at least."""
     base = df.select(F.col(col).alias("_s"))
     s = F.col("_s")
     grams = F.transform(F.sequence(F.lit(1), F.length(s) - QGRAM + 1), lambda i: F.substring(s, i, QGRAM))
     uniq = F.transform(grams, lambda g, i: F.concat(
         g, F.lit("\u0000"), F.size(F.filter(F.slice(grams, 1, i), lambda h: h == g)).cast("string")))
-    need = F.ceil(F.length(s) * F.lit(1 - QGRAM * (1 - threshold)) - QGRAM + 1 - 1e-9)
-    base = base.select("_s", F.length(s).alias("_l"), need.alias("need"),
+    base = base.select("_s", F.length(s).alias("_l"), need(F.length(s)).alias("need"),
                        F.when(F.length(s) >= QGRAM, uniq).otherwise(F.array().cast("array<string>")).alias("_g"))
     return base.select("_s", "_l", "need", F.explode_outer("_g").alias("g"))
 
 
-def _qgram_candidates(names: DataFrame, universe: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(_n, _u, _ln, _lu)`` that can reach Levenshtein similarity >= threshold.
+def string_candidates(names: DataFrame, universe: DataFrame, need, lo: float, hi: float) -> DataFrame:
+    """Pairs ``(_n, _u, _ln, _lu)`` within the length band that can match.
 
-    Strings whose bound is positive keep their ``|G| - need + 1`` rarest q-grams (one
-    global frequency order); two such strings can only match if those prefixes share a
-    q-gram (equi-join). Strings too short for a positive bound are paired by the length
-    band join. Every candidate also satisfies the length band. Lossless.
+    Strings with a positive ``need`` keep their ``|G| - need + 1`` rarest bigrams (one global
+    frequency order); two such strings can only match if those prefixes share a bigram
+    (equi-join). A pair with a string too short for a positive bound, on either side, is
+    found through the length band. Lossless at every threshold.
     """
-    nr = _qgram_rows(names.select("_n"), "_n", threshold).withColumn("side", F.lit("n"))
-    ur = _qgram_rows(universe.select("_u"), "_u", threshold).withColumn("side", F.lit("u"))
+    nr = _qgram_rows(names.select("_n"), "_n", need).withColumn("side", F.lit("n"))
+    ur = _qgram_rows(universe.select("_u"), "_u", need).withColumn("side", F.lit("u"))
     rows = nr.unionByName(ur)
     freq = rows.filter(F.col("g").isNotNull()).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("side", "_s").orderBy("df", "g")
@@ -313,13 +323,14 @@ def _qgram_candidates(names: DataFrame, universe: DataFrame, threshold: float) -
     pref = ranked.filter(F.col("pos") <= n_grams - F.col("need") + 1)
     lp = pref.filter(F.col("side") == "n").select(F.col("_s").alias("_n"), F.col("_l").alias("_ln"), "g")
     rp = pref.filter(F.col("side") == "u").select(F.col("_s").alias("_u"), F.col("_l").alias("_lu"), "g")
-    band = ((F.col("_lu") >= F.col("_ln") * F.lit(threshold) - 1e-9) &
-            (F.col("_lu") <= F.col("_ln") / F.lit(threshold) + 1e-9))
+    band = ((F.col("_lu") >= F.col("_ln") * F.lit(lo) - 1e-9) &
+            (F.col("_lu") <= F.col("_ln") * F.lit(hi) + 1e-9))
     blocked = lp.join(rp, "g").filter(band).select("_n", "_u", "_ln", "_lu").distinct()
-    short_n = names.filter(F.length("_n") * F.lit(1 - QGRAM * (1 - threshold)) - QGRAM + 1 <= 1e-9)
-    short_u = universe.filter(F.length("_u") * F.lit(1 - QGRAM * (1 - threshold)) - QGRAM + 1 <= 1e-9)
-    # a pair whose longer side has no positive bound: both sides are short
-    short = _length_band_pairs(short_n, short_u, threshold, 1 / threshold).select("_n", "_u", "_ln", "_lu")
+    short_n = names.filter(need(F.length("_n")) < 1)
+    short_u = universe.filter(need(F.length("_u")) < 1)
+    long_n = names.filter(need(F.length("_n")) >= 1)
+    pick = lambda df: df.select("_n", "_u", "_ln", "_lu")
+    short = pick(_length_band_pairs(short_n, universe, lo, hi)).unionByName(pick(_length_band_pairs(long_n, short_u, lo, hi)))
     return blocked.unionByName(short).distinct()
 
 
@@ -335,10 +346,11 @@ def match_strings(names: DataFrame, universe: DataFrame, name: str = "name", nor
     n = names.select(F.col(name).alias("_n")).distinct().filter(F.length("_n") > 0)
     u = universe.select(F.col(norm).alias("_u")).distinct().filter(F.length("_u") > 0)
     if method == "ratio":
-        pairs = _length_band_pairs(n, u, threshold / (2 - threshold), (2 - threshold) / threshold)
-        scored = pairs.withColumn("score", sequence_ratio(F.col("_u"), F.col("_n")))
+        pairs = string_candidates(n, u, lambda l: ratio_need(l, threshold), threshold / (2 - threshold),
+                                  (2 - threshold) / threshold)
+        scored = pairs.withColumn("score", sequence_ratio(threshold)(F.col("_u"), F.col("_n")))
     elif method == "levenshtein":
-        pairs = _qgram_candidates(n, u, threshold)
+        pairs = string_candidates(n, u, lambda l: levenshtein_need(l, threshold), threshold, 1 / threshold)
         mx = F.greatest(F.col("_ln"), F.col("_lu"))
         k = F.floor(mx * F.lit(1 - threshold) + 1e-9).cast("int")
         d = F.call_function("levenshtein", F.col("_n"), F.col("_u"), k)
@@ -397,7 +409,9 @@ def canonicalize(names: DataFrame, universe: DataFrame, name: str = "name", norm
         t = match_tokens(rest, universe, "name", norm, stopwords)
         cands.append(t.select("name", "canon", F.lit(3).alias("rank"), F.lit("tokens").alias("stage")))
     if "strings" in stages:
-        st = match_strings(rest, universe, "name", norm, string_method)
+        # the residual of the token stage only
+        left = rest.join(t.select("name"), "name", "left_anti") if "tokens" in stages else rest
+        st = match_strings(left, universe, "name", norm, string_method)
         cands.append(st.select("name", "canon", F.lit(4).alias("rank"), F.lit("strings").alias("stage")))
     out = d.select("name", F.col("name").alias("canon"), F.lit("unchanged").alias("stage"))
     if cands:

@@ -22,6 +22,7 @@ from labelset.plans.scoring import evaluate_runs, scenario_report
 from labelset.plans.scoring_tables import CUTOFF
 from labelset.session import scratch_path
 from labelset.sources.json_docs import read_results, results_table
+from labelset.sources.sinks import write_results
 
 _K = "get_json_object(props, '$.k')"
 
@@ -107,6 +108,24 @@ def q_resolve_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("pos").alias("event_id"), "sid_raw", "sid_norm", "model")
 
 
+@register("results_roundtrip", sql="""
+SELECT CAST(event_id AS VARCHAR) AS request_id, 'user-' || user_id AS scenario_id, event_type AS model,
+       round(value, 6) AS latency_s, 'it''s "' || event_type || '", ok' AS output, event_type <> 'error' AS valid
+FROM events
+""")
+def q_results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a result record, written by the results sink and read by the results source."""
+    ev = table(spark, sf_dir, "events")
+    recs = ev.select(
+        F.col("event_id").cast("string").alias("request_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("scenario_id"),
+        F.col("event_type").alias("model"), F.col("value").cast("double").alias("latency_s"),
+        F.concat(F.lit("it's \""), "event_type", F.lit("\", ok")).alias("output"), (F.col("event_type") != "error").alias("valid"))
+    path = scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    write_results(recs, path)
+    back = results_table(read_results(spark, path))
+    return back.select("request_id", "scenario_id", "model", r6("latency_s").alias("latency_s"), "output", "valid")
+
+
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One result record per order placed before the cut-off: the customer is the
     scenario, the order priority the model, the bought part names (spelled upper-case on

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelset.functions import replies as RP
-from labelset.functions.text import normalize_text
+from labelset.functions.text import normalize_text_df
 from labelset.operators import metrics as M
 from labelset.operators.match import ALIAS_RULES, canonicalize
 from labelset.operators.records import UNKNOWN_MODEL, resolve_key
@@ -39,7 +39,7 @@ def record_rows(records: DataFrame) -> DataFrame:
     """``(source, pos, model, sid_raw, sid_norm, names)`` from ``(_source_file, pos,
     record)``: model defaults to ``unknown_model``; names come from ``parsed_items`` or,
     failing that, from the first array in ``output``."""
-    m = F.from_json(F.col("record"), "map<string,variant>")
+    m = F.from_json(F.col("record"), "map<string,variant>", RP.STRICT_JSON)
     parsed = record_raw(F.col("record"), "parsed_items")
     base = records.select(F.col("_source_file").alias("source"), "pos", m.alias("_m"),
                           parsed.alias("_parsed"))
@@ -50,8 +50,8 @@ def record_rows(records: DataFrame) -> DataFrame:
     output = RP.let(ov, lambda v: F.when(RP.kind(v) == "STRING", F.try_variant_get(v, "$", "string")))
     step = base.select("source", "pos", model.alias("model"), raw.alias("sid_raw"),
                        RP.extract_items(F.col("_parsed"), output).alias("names"))
-    return step.select("source", "pos", "model", "sid_raw",
-                       normalize_text(F.col("sid_raw")).alias("sid_norm"), "names")
+    return normalize_text_df(step, "sid_raw", "sid_norm").select(
+        "source", "pos", "model", "sid_raw", "sid_norm", "names")
 
 
 def evaluate_runs(records: DataFrame, universe: DataFrame, gold: DataFrame,
@@ -72,8 +72,8 @@ def evaluate_runs(records: DataFrame, universe: DataFrame, gold: DataFrame,
     groups = rows.select(*GROUPS).distinct()
     keyed = rows.filter(F.col("sid_norm") != "")
     seen = keyed.groupBy(*KEYS).agg(F.min_by("sid_raw", "pos").alias("sid_raw"))
-    names = keyed.select(*KEYS, F.explode("names").alias("raw_name")).select(
-        *KEYS, normalize_text(F.col("raw_name")).alias("name"))
+    names = normalize_text_df(keyed.select(*KEYS, F.explode("names").alias("raw_name")),
+                              "raw_name", "name").select(*KEYS, "name")
     cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
                         string_method=string_method)
     if materialize:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelset.functions import replies as RP
-from labelset.functions.text import expand_universe, normalize_text, repair_trailing_commas, strip_ws
+from labelset.functions.text import expand_universe, normalize_text_df, repair_trailing_commas, strip_ws
 
 
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -44,8 +44,8 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 def _json_ok(t: Column) -> Column:
     """True when the text is a whole JSON value Spark can parse."""
     return (F.try_parse_json(t).isNotNull()
-            | F.from_json(t, "array<string>").isNotNull()
-            | F.from_json(t, "map<string,string>").isNotNull())
+            | F.from_json(t, "array<string>", RP.STRICT_JSON).isNotNull()
+            | F.from_json(t, "map<string,string>", RP.STRICT_JSON).isNotNull())
 
 
 def lenient_text(raw: Column) -> Column:
@@ -74,20 +74,54 @@ def record_texts(text: Column) -> Column:
     """Raw texts of the records of a results document: a bare array, or the list under
     ``results`` of an object; anything else -> empty."""
     t = strip_ws(text)
-    as_list = F.when(t.startswith("["), F.from_json(t, "array<string>"))
-    obj = F.when(t.startswith("{"), F.from_json(t, "map<string,string>"))
+    as_list = F.when(t.startswith("["), F.from_json(t, "array<string>", RP.STRICT_JSON))
+    obj = F.when(t.startswith("{"), F.from_json(t, "map<string,string>", RP.STRICT_JSON))
     res = F.try_element_at(obj, F.lit("results"))
-    under = F.when(strip_ws(res).startswith("["), F.from_json(res, "array<string>"))
+    under = F.when(strip_ws(res).startswith("["), F.from_json(res, "array<string>", RP.STRICT_JSON))
     return F.coalesce(as_list, under, F.array().cast("array<string>"))
 
 
-def read_results(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+def _layout(spark: SparkSession, path: str) -> str:
+    """``documents``, ``lines`` or ``parquet``, by the name of a file or of a folder's files."""
+    def of(name: str) -> str | None:
+        n = name.lower()
+        return "parquet" if n.endswith(".parquet") else "lines" if n.endswith((".jsonl", ".ndjson")) else None
+
+    if (own := of(path.rstrip("/"))) is not None or any(c in path for c in "*?[{"):
+        return own or "documents"
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.getFileStatus(folder).isDirectory() else []
+    except Exception:  # noqa: BLE001 - no JVM handle: local folders only
+        import os
+
+        names = os.listdir(path) if os.path.isdir(path) else []
+    kinds = {of(n) for n in names} - {None}
+    # a folder written by a Spark job holds one record a line
+    return kinds.pop() if len(kinds) == 1 else "lines" if any(n == "_SUCCESS" or n.startswith("part-") for n in names) else "documents"
+
+
+def read_results(spark: SparkSession, paths: Sequence[str] | str, layout: str | None = None) -> DataFrame:
     """One row per record object: ``(_source_file, pos, record)`` with ``record`` the raw
-    JSON text. Non-object elements are skipped. Missing files are skipped."""
-    docs = read_json_lenient(spark, paths)
-    recs = docs.select(F.col("file_name").alias("_source_file"),
-                       F.posexplode(record_texts(F.col("text"))).alias("pos", "record"))
-    return recs.filter(strip_ws(F.col("record")).startswith("{"))
+    JSON text and ``_source_file`` the full path (the given one for folders of lines or
+    Parquet, as ``write_results`` leaves them). Non-object elements are skipped. Missing
+    files are skipped. ``layout`` (``documents``, ``lines``, ``parquet``) overrides the
+    choice by name; several files are united by column name.
+    """
+    paths = existing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
+    kinds = {p: layout or _layout(spark, p) for p in paths}
+    docs = read_json_lenient(spark, [p for p in paths if kinds[p] == "documents"])
+    out = docs.select(F.col("path").alias("_source_file"),
+                      F.posexplode(record_texts(F.col("text"))).alias("pos", "record"))
+    out = out.withColumn("pos", F.col("pos").cast("long"))
+    for p in paths:
+        if kinds[p] == "documents":
+            continue
+        rows = (spark.read.parquet(p).select(F.to_json(F.struct("*")).alias("record")) if kinds[p] == "parquet"
+                else spark.read.text(p).select(F.col("value").alias("record")))
+        out = out.unionByName(rows.select(F.lit(p).alias("_source_file"), F.monotonically_increasing_id().alias("pos"), "record"))
+    return out.filter(strip_ws(F.col("record")).startswith("{"))
 
 
 read_runs = read_results
@@ -95,12 +129,12 @@ read_runs = read_results
 
 def record_field(record: Column, key: str) -> Column:
     """Value of a top-level key of a record text as a variant (last duplicate wins)."""
-    return RP.entry_last(F.from_json(record, "map<string,variant>"), key)
+    return RP.entry_last(F.from_json(record, "map<string,variant>", RP.STRICT_JSON), key)
 
 
 def record_raw(record: Column, key: str) -> Column:
     """Raw JSON text of a top-level key of a record (document order kept)."""
-    m = F.from_json(record, "map<string,string>")
+    m = F.from_json(record, "map<string,string>", RP.STRICT_JSON)
     return F.try_element_at(F.filter(F.map_entries(m), lambda e: e["key"] == F.lit(key)),
                             F.lit(-1))["value"]
 
@@ -134,17 +168,17 @@ def results_table(records: DataFrame) -> DataFrame:
 # --- S6 --------------------------------------------------------------------------------------
 def gold_names(text: Column) -> Column:
     """``{sid: [ {kpi|nome|metric|name}, ... ] | [str, ...]}`` -> array of
-    ``struct<sid, name>``; non-list values are skipped; a non-string name gives ""."""
-    m = F.from_json(strip_ws(text), "map<string,string>")
+    ``struct<sid, at, name>`` (``at``: place of the key); non-list values are skipped; a non-string name gives ""."""
+    m = F.from_json(strip_ws(text), "map<string,string>", RP.STRICT_JSON)
 
-    def names(e):
+    def names(e, at):
         elems = RP.json_array_elements(e["value"])
 
         def one(x):
             obj = RP.parse_object(x["raw"])
             v = RP.first_truthy([RP.get_ci(obj, k) for k in RP.NAME_KEYS])
             from_obj = F.when(RP.kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
-            return F.struct(e["key"].alias("sid"),
+            return F.struct(e["key"].alias("sid"), at.alias("at"),
                             F.coalesce(F.when(x["kind"] == "OBJECT", from_obj)
                                        .when(x["kind"] == "STRING", x["raw"]), F.lit("")).alias("name"))
 
@@ -160,8 +194,11 @@ def read_gold(spark: SparkSession, path: str, universe: DataFrame, canon=None) -
 
     docs = read_json_lenient(spark, path)
     rows = docs.select(F.explode(gold_names(F.col("text"))).alias("g")).select(
-        F.col("g.sid").alias("sid_raw"), normalize_text(F.col("g.sid")).alias("sid_norm"),
-        normalize_text(F.col("g.name")).alias("name"))
+        F.col("g.sid").alias("sid_raw"), F.col("g.at").alias("at"), F.col("g.name").alias("raw"))
+    rows = normalize_text_df(normalize_text_df(rows, "sid_raw", "sid_norm"), "raw", "name")
+    # of several keys with one normal form the last non-empty list holds
+    last = rows.groupBy("sid_norm").agg(F.max("at").alias("at"))
+    rows = rows.join(last, ["sid_norm", "at"])
     cmap = canon if canon is not None else canonicalize(rows.select("name"), universe, "name", "norm")
     items = rows.join(cmap.select("name", "canon"), "name").select(
         "sid_norm", "sid_raw", F.col("canon").alias("item"))
@@ -174,7 +211,7 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of names -> ``(norm, canon, tokens)``; not a list -> empty."""
     docs = read_json_lenient(spark, path)
     t = strip_ws(F.col("text"))
-    raws = F.when(t.startswith("["), F.from_json(t, "array<string>"))
+    raws = F.when(t.startswith("["), F.from_json(t, "array<string>", RP.STRICT_JSON))
     names = docs.select(F.explode(raws).alias("name")).filter(F.col("name").isNotNull()).distinct()
     return expand_universe(names, "name")
 

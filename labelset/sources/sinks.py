@@ -34,13 +34,16 @@ def write_sheets(sheets: Mapping[str, DataFrame], out_dir: str, stem: str,
                  fmt: str = "csv") -> list[str]:
     """Each named DataFrame to ``{out_dir}/{stem}__{name}`` (CSV with header, or Parquet).
 
-    Names are made safe with the sheet-name rule. Returns the written paths; an empty
-    mapping writes nothing.
+    Names stay whole (only path separators become ``_``); two names that lead to one path
+    raise before anything is written. Returns the written paths; an empty mapping writes
+    nothing.
     """
+    safe = {name: _file_name(name) for name in sheets}
+    if len({x.casefold() for x in safe.values()}) < len(safe):
+        raise ValueError(f"sheet names lead to the same path: {sorted(safe.values())}")
     written = []
     for name, df in sheets.items():
-        safe = _safe_name(name)
-        path = f"{out_dir.rstrip('/')}/{stem}__{safe}"
+        path = f"{out_dir.rstrip('/')}/{stem}__{safe[name]}"
         w = df.write.mode("overwrite")
         if fmt == "csv":
             w.option("header", True).csv(path)
@@ -50,12 +53,8 @@ def write_sheets(sheets: Mapping[str, DataFrame], out_dir: str, stem: str,
     return written
 
 
-def _safe_name(name: str) -> str:
-    """Driver-side twin of :func:`sheet_name` for a literal name."""
-    import re
-
-    n = re.sub(r"[:\\/?*\[\]]", "_", str(name))
-    return n[:31]
+def _file_name(name: str) -> str:
+    return str(name).replace("/", "_").replace("\\", "_")
 
 
 __all__ = ["write_reports", "write_results", "write_sheets", "sheet_name"]

@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labelset.operators import metrics as M
 from labelset.operators.match import ALIAS_RULES, canonicalize
 from labelset.plans.scoring import GROUPS, KEYS, record_rows
-from labelset.functions.text import normalize_text
+from labelset.functions.text import normalize_text_df
 from labelset.session import cut_lineage
 
 RECORD_SCHEMA = "pos long, record string"
@@ -57,8 +57,8 @@ def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
     # the parsed batch feeds three writes: parse it once (checkpoint in the shared folder)
     rows = cut_lineage(rows)
     seen = rows.select(*KEYS, "sid_raw", "pos", _bucket(buckets))
-    names = rows.select(*KEYS, F.explode("names").alias("raw_name")).select(
-        *KEYS, normalize_text(F.col("raw_name")).alias("name"))
+    names = normalize_text_df(rows.select(*KEYS, F.explode("names").alias("raw_name")),
+                              "raw_name", "name").select(*KEYS, "name")
     # distinct names feed several branches: canonicalize checkpoints them once
     cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
                         string_method=string_method)

@@ -101,13 +101,12 @@ def test_best_earlier_match_collapses_copies(spark):
     assert got == want
 
 
-def test_token_pairs_string_path_when_hash_collides(spark, monkeypatch):
+def test_token_pairs_of_small_vocabularies(spark):
     rnd = random.Random(13)
     vocab = [f"t{i}" for i in range(9)]
     left = {i: set(rnd.sample(vocab, rnd.randrange(1, 5))) for i in range(40)}
     df = spark.createDataFrame([(k, sorted(v)) for k, v in left.items()], "id int, tokens array<string>")
     want = {(i, j) for i in left for j in left if j < i and score(left[i], left[j]) >= 0.6}
-    monkeypatch.setattr(MT, "_hash_is_injective", lambda freq: False)
     got = {(r.id, r.m) for r in MT.token_similarity_pairs(df, df, "id", "m", self_join=True).collect()}
     assert got == want
 
@@ -154,3 +153,27 @@ def test_levenshtein_stage_equals_brute_force(spark):
         if best:
             want[n] = best[1]
     assert got == want
+
+
+def test_string_stage_is_complete_at_any_threshold(spark):
+    import difflib
+
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 12)))
+    names = sorted({word() for _ in range(60)} | {"abcdxx", "abcde"})
+    uni = sorted({word() for _ in range(60)} | {"abcdef"})
+    n, u = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in uni], "norm string")
+    for method in ("ratio", "levenshtein"):
+        for t in (0.6, 0.85):
+            def sim(a, b):
+                if method == "ratio":
+                    return difflib.SequenceMatcher(None, b, a, autojunk=True).ratio()
+                return 1 - _lev(a, b) / max(len(a), len(b))
+
+            want = {}
+            for a in names:
+                hits = [(sim(a, b), b) for b in uni if sim(a, b) >= t - 1e-12]
+                if hits:
+                    want[a] = max(hits)[1]
+            got = {r.name: r.canon for r in MT.match_strings(n, u, method=method, threshold=t).collect()}
+            assert got == want, (method, t)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from labelset.operators import records as R
 from labelset.operators.regression import regression_summary
 from labelset.sources import json_docs as J
-from labelset.sources.sinks import write_reports, write_sheets
+from labelset.sources.sinks import write_reports, write_results, write_sheets
 
 
 def test_resolve_key_cases(spark):
@@ -56,10 +56,42 @@ def test_lenient_documents_and_results(spark, scratch):
     docs = {r.file_name: r.text for r in J.read_json_lenient(spark, [a, b, c, a + ".missing"]).collect()}
     assert docs["broken.json"] is None and len(docs) == 3
     recs = J.results_table(J.read_results(spark, [a, b]))
-    got = sorted((r._source_file, r.scenario_id, r.latency_s) for r in recs.collect())
+    got = sorted((os.path.basename(r._source_file), r.scenario_id, r.latency_s) for r in recs.collect())
     assert got == [("results.json", "s1", None), ("results_wcap.json", "s2", 1.5)]
 
 
+def test_same_named_files_stay_apart_and_written_results_read_back(spark, scratch):
+    for k in "ab":
+        os.makedirs(os.path.join(scratch, k))
+        with open(os.path.join(scratch, k, "results.json"), "w") as f:
+            f.write('[{"scenario_id": "%s"}]' % k)
+    recs = J.read_results(spark, [os.path.join(scratch, k, "results.json") for k in "ab"])
+    assert len({r._source_file for r in recs.collect()}) == 2
+    df = spark.createDataFrame([("r1", "s", 1.5), ("r2", "t", None)], "request_id string, scenario_id string, latency_s double")
+    out = os.path.join(scratch, "written")
+    write_results(df, out)
+    df.write.parquet(os.path.join(scratch, "p"))
+    for path in (out, os.path.join(scratch, "p")):
+        got = sorted((r.request_id, r.scenario_id, r.latency_s, r._source_file) for r in J.results_table(J.read_results(spark, path)).collect())
+        assert got == [("r1", "s", 1.5, path), ("r2", "t", None, path)]
+
+
+def test_single_quotes_are_not_json(spark, scratch):
+    p = os.path.join(scratch, "q.json")
+    with open(p, "w") as f:
+        f.write("[{'scenario_id': 's1'}]")
+    assert J.read_results(spark, p).count() == 0
+
+
+def test_last_gold_key_of_a_normal_form_wins(spark, scratch):
+    gp = os.path.join(scratch, "g2.json")
+    with open(gp, "w") as f:
+        f.write('{"A b": ["CPA"], "a-b": ["ROI"], "A  B": [], "c": ["Alfa\u2026Beta", "eﬁciência"]}')
+    u = spark.createDataFrame([("cpa", "CPA"), ("roi", "ROI"), ("alfa beta", "x"), ("eficiencia", "y")], "norm string, canon string").withColumn("tokens", F.split("norm", " "))
+    gold = {(r.sid_norm, r.item) for r in J.read_gold(spark, gp, u).collect()}
+    assert gold == {("a b", "roi"), ("c", "alfa beta"), ("c", "eficiencia")}
+
+
 def test_gold_and_universe(spark, scratch):
     up = os.path.join(scratch, "u.json")
     with open(up, "w") as f:
