@@ -4,7 +4,7 @@ A text is its set of hashed n-gram indicators: words, word endings, 1- to 3-gram
 shapes, and how much of the text repeated 3-grams and repeated neighbours make up. Indicators
 are scaled by the class log-count ratios, which are counted over all labelled training rows; a
 linear hinge-loss model on the scaled indicators is fitted by dual coordinate descent on a
-bounded sample of them (SAMPLE rows, chosen by a hash of the id), one fifth of which calibrates
+bounded sample of them (about SAMPLE rows, chosen by a hash of the id), one fifth of which calibrates
 the margins to probabilities. Only the text enters a score.
 
 Defined results: null text is empty and has no indicators, its score is the calibrated margin
@@ -155,8 +155,8 @@ def fit(rows: DataFrame) -> Model:
         return Model(np.zeros(FEATURES), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     p = (counts[:, :FEATURES] + 1) / (totals[:, None] + 2)
     ratio = np.log(p[1] / p[0])
-    order = F.xxhash64(F.lit(5), "doc_id")
-    sample = rows.orderBy(order, "doc_id").limit(SAMPLE).select("text", "y")
+    share = min(1.0, SAMPLE / totals.sum())
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +165,7 @@ def fit(rows: DataFrame) -> Model:
                 sets = pa.ListArray.from_arrays(bounds.astype(np.int32), f.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([sets, part.column("y")], names=["f", "y"])
 
-    got = sample.mapInArrow(run, "f array<int>, y int").toArrow()  # SAMPLE rows
+    got = sample.mapInArrow(run, "f array<int>, y int").toArrow()  # about SAMPLE rows
     sets, y = [np.asarray(x, dtype=np.int64) for x in got.column("f").to_pylist()], got.column("y").to_numpy()
     test = np.arange(len(y)) % 5 == 0
     w, b = descend([s for s, t in zip(sets, test, strict=True) if not t], y[~test], ratio)
