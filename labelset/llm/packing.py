@@ -16,6 +16,7 @@ columns other than the id and the text are not carried.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -31,44 +32,56 @@ from labelset.session import cut_lineage
 CAPACITY, END_ID = 4096, 1
 #: Rows that one (length, salt) group holds on average at most.
 GROUP_ROWS = 20_000
-#: Words kept per Python worker with their ids; others are encoded again in each batch.
-CACHE_WORDS = 600_000
+#: Words and word pieces kept per Python worker with their ids; others are encoded again in each batch.
+CACHE_WORDS, CACHE_PIECES = 400_000, 400_000
+#: Words whose pieces are known without the tokenizer: printable ASCII and Latin letters that
+#: stay one letter in lower case. The pieces follow the vocabulary file's own splitter.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-įı-ɏ0-9]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _tokenizers: dict = {}
 
 
 def _tokenizer(path: str):
-    """The worker's tokenizer for this file with its cache of word ids."""
+    """The worker's tokenizer for this file with its caches of word and piece ids."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
+        _tokenizers[path] = Tokenizer.from_file(path), {}, {}
     return _tokenizers[path]
 
 
+def _encode(words: list[str], tok, cache: dict[str, bytes]) -> dict[str, bytes]:
+    """Ids of the words; pieces of plain words are encoded once each."""
+    split = {w: PIECE.findall(w) if PLAIN.fullmatch(w) and "<|" not in w else [w] for w in words}
+    new = list(set().union(*split.values()).difference(cache)) if split else []
+    got = tok.encode_batch(new, add_special_tokens=False) if new else []
+    ids = {x: np.asarray(e.ids, dtype="<u4").tobytes() for x, e in zip(new, got, strict=True)}
+    if len(cache) + len(ids) <= CACHE_PIECES:
+        cache.update(ids)
+    return {w: b"".join([ids[x] if x in ids else cache[x] for x in xs]) for w, xs in split.items()}
+
+
 def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers.
 
     Words (runs without ASCII white space) are encoded once each: this vocabulary's splitter
-    drops white space and none of its pieces spans it, so a text's ids are its words' ids in order.
+    drops white space and none of its pieces spans it, so a text's ids are its words' ids in
+    order. It also folds case, so A-Z go to lower case first, unless the text could hold the
+    name of a special token.
     """
-    tok, cache = _tokenizer(path)
-    split = [t.split() for t in texts]
+    tok, cache, pieces_ = _tokenizer(path)
+    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
     new = list(set().union(*split).difference(cache)) if split else []
-    ids = {}
-    if new:
-        got = tok.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        ids = {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(new, got, strict=True)}
-        if len(cache) + len(ids) <= CACHE_WORDS:
-            cache.update(ids)
-            ids = cache
-        else:
-            ids = {**ids, **{w: cache[w] for w in set().union(*split) if w in cache}}
-    else:
-        ids = cache
+    ids = dict(zip(new, _encode([w.decode() for w in new], tok, pieces_).values(), strict=True))
+    room = len(cache) + len(ids) <= CACHE_WORDS
+    cache.update(ids)
     for words in split:
-        yield b"".join([ids[w] for w in words])
+        yield b"".join(map(cache.__getitem__, words))
+    if not room:
+        for w in ids:
+            del cache[w]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
