@@ -77,10 +77,10 @@ def map_label(df: DataFrame, col: str, labels: Mapping[str, str], out: str = "mo
 
 def label_lookup(df: DataFrame, labels: DataFrame, col: str, label_col: str = "label",
                  out: str = "model_label") -> DataFrame:
-    """Join form of :func:`map_label` for a label table (broadcast: a label table is a
-    configuration table whose size does not grow with the data)."""
+    """Join form of :func:`map_label` for a label table of any size: AQE broadcasts it at run
+    time if its measured size is under the threshold."""
     lab = labels.select(F.col(col).alias("_k"), F.col(label_col).alias("_lab"))
-    j = df.join(F.broadcast(lab), F.col(col) == F.col("_k"), "left")
+    j = df.join(lab, F.col(col) == F.col("_k"), "left")
     return j.withColumn(out, F.coalesce(F.col("_lab"), F.col(col))).drop("_k", "_lab")
 
 

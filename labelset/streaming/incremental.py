@@ -94,6 +94,8 @@ def evaluate_stream(spark: SparkSession, source_dir: str, base: str, universe: D
                     available_now: bool = True, buckets: int = STATE_BUCKETS) -> StreamingQuery:
     """Start the incremental scorer over the JSON-lines files landing in ``source_dir``."""
     p = _paths(base)
+    # every batch reads gold and universe: compute them once
+    universe, gold = cut_lineage(universe), cut_lineage(gold)
     stream = (spark.readStream.schema(RECORD_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
 
