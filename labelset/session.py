@@ -32,6 +32,8 @@ def get_spark(app: str = "labelset", cpus: int | str | None = None,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
     }
+    if cpus is not None:  # local run: the executors live in the driver's heap
+        conf["spark.driver.memory"] = "8g"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
