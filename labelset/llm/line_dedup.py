@@ -11,7 +11,9 @@ two lines share if they differ by replacing word i, and (n - 1, line without wor
 meets the whole-line key (n - 1, line) of a line with one word less. Variants of equal key are
 reduced to their earliest line with a map-side combine, so no group is ever gathered and no
 pairs within a group are made; each line then meets only the earliest holder of each of its
-keys, and the edit distance to that holder is verified on the words themselves.
+keys. That is enough as the keys are true to order: lines of equal key have equal words left (up
+to a chance meeting of 64 bits), so all holders are within the bound or none is. The edit
+distance to the holder is verified on the words themselves.
 
 Only lines that can have a partner emit variants: by the pigeonhole principle lines one edit
 apart agree in their first or in their last half, so a line stays out of the variant join if
@@ -69,28 +71,29 @@ def _halves(n: Column, line: Column) -> Column:
 def _variant_keys(n: Column, h: Column) -> Column:
     """Hashed deletion variants of a line with the word hashes ``h``, and its whole-line key.
 
-    Same length: the words at their places, exclusive-or of all but word i. One word less: the
-    neighbouring word pairs left after word i goes, exclusive-or of their hashes. Each key costs
-    constant time; lines that meet by chance are told apart by the verification.
+    A word list is hashed as the exclusive-or of its (place, word) hashes, all of them different,
+    so equal keys mean equal word lists up to chance of 64 bits. Same length: all but word i at
+    their places. One word less: the words after i move down by one place, so neighbouring
+    variants i - 1 and i differ in the hash of place i - 1 alone, and a running exclusive-or (by
+    doubled distances, n log n steps) gives them all.
     """
-    place = F.transform(h, lambda x, i: F.xxhash64(i, x))
-    pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.coalesce(F.get(h, i + 1), F.lit(0).cast("long"))))
     xor = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    return F.struct(place.alias("place"), xor(place).alias("places"), pairs.alias("pair"),
-                    xor(pairs).bitwiseXOR(F.xxhash64(F.lit(-1), F.get(h, F.lit(0)))).alias("pairs"), n.alias("n"))
+    place = F.transform(h, lambda x, i: F.xxhash64(i, x))
+    first = xor(F.transform(h, lambda x, i: F.when(i > 0, F.xxhash64(i - 1, x)).otherwise(F.lit(0).cast("long"))))
+    step = F.transform(h, lambda x, i: F.when(i == 0, first).otherwise(F.xxhash64(i - 1, F.get(h, i - 1)).bitwiseXOR(F.xxhash64(i - 1, x))))
+    rounds = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n)).cast("int"))), lambda k: F.pow(F.lit(2), k - 1).cast("int"))
+    less = F.aggregate(rounds, step, lambda a, d: F.transform(a, lambda x, i: x.bitwiseXOR(F.coalesce(F.get(a, i - d), F.lit(0).cast("long")))))
+    return F.struct(place.alias("place"), xor(place).alias("places"), less.alias("less"), n.alias("n"))
 
 
-def _keys(v: str, h: str) -> Column:
-    n, got = F.col(f"{v}.n"), lambda i: F.get(F.col(h), i)
-    before = lambda i, x: F.when(i == 0, F.xxhash64(F.lit(-1), x)).otherwise(F.xxhash64(got(i - 1), x))
-    after = lambda i: F.coalesce(got(i + 1), F.lit(0).cast("long"))
+def _keys(v: str) -> Column:
+    n = F.col(f"{v}.n")
     # a shared first half leaves the edit to the places after it, a shared last half to those before it
     may = lambda i: (i >= F.col("_from")) | (i < F.col("_to"))
     swap = F.transform(F.col(f"{v}.place"), lambda p, i: F.when(may(i), F.xxhash64(n, i, p.bitwiseXOR(F.col(f"{v}.places")))))
-    drop = F.transform(F.col(f"{v}.pair"), lambda p, i: F.when(may(i), F.xxhash64(
-        n - 1, F.lit(-1), F.col(f"{v}.pairs").bitwiseXOR(p).bitwiseXOR(before(i, got(i))).bitwiseXOR(before(i, after(i))))))
+    drop = F.transform(F.col(f"{v}.less"), lambda x, i: F.when(may(i), F.xxhash64(n - 1, F.lit(-1), x)))
     kinds = lambda keys, kind: F.transform(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())), lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
-    whole = F.array(F.xxhash64(n, F.lit(-1), F.col(f"{v}.pairs")))
+    whole = F.array(F.xxhash64(n, F.lit(-1), F.col(f"{v}.places")))
     return F.concat(kinds(swap, SWAP), kinds(whole, WHOLE), kinds(drop, DROP))
 
 
@@ -111,7 +114,7 @@ def near_lines(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text:
                 .groupBy("_at").agg(*[F.first(c).alias(c) for c in ("_from", "_to", "_line")]).withColumn("_n", n_words(F.col("_line"))))
     keyed = some.withColumn("_wh", F.transform(F.split("_line", " "), lambda w: F.xxhash64(w)))
     keyed = keyed.withColumn("_v", _variant_keys(F.col("_n"), F.col("_wh"))).select(
-        "_at", F.explode(_keys("_v", "_wh")).alias("_k")).select("_at", "_k.key", "_k.kind")
+        "_at", F.explode(_keys("_v")).alias("_k")).select("_at", "_k.key", "_k.kind")
     # a variant meets lines that hold it by replacing the same word, or as a whole against one with a word more
     at = lambda c: F.min(F.when(c, F.col("_at")))
     holder = keyed.groupBy("key").agg(at(F.col("kind") != DROP).alias("_held"), at(F.col("kind") == DROP).alias("_longer"),

@@ -103,6 +103,17 @@ def test_line_dedup(docs, rows):
     assert {r.doc_id: r.n_lines_removed for r in got} == {i: len(gone[i]) for i in want}
 
 
+def test_line_dedup_word_order(shipped):
+    """Lines with the same word pairs in another number or order are told apart before the earliest holder is chosen."""
+    tail = "total of the first region today"
+    data = [(1, f"| 5 | 5 | {tail}"), (2, f"| 7 | 7 | {tail}"), (3, f"| 7 | 7 | {tail} again"), (4, f"| 7 | 7 {tail}"),
+            (11, "a b c a d e a f g h"), (12, "a d e a b c a f g h"), (13, "a d e a b c a f g h i")]
+    want = {i: any(one_edit(words(u), words(t)) for j, u in data if j < i) for i, t in data}
+    got = line_dedup.dedup_lines(shipped.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_lines_removed == 1 for r in got} == want
+    assert [i for i in want if want[i]] == [3, 4, 13]
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
