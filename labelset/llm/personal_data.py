@@ -3,14 +3,18 @@
 Base spans (email, ip, card, phone) come from patterns and checks. The field then labels the
 document's tokens that hold a digit or an at sign. Its potentials are
 
-- per token: log share of each label among the corpus tokens of the same shape;
+- per token: log-odds of each label among the corpus tokens of the same shape against all tokens;
 - between neighbours: log-odds of label pairs of adjacent such tokens in the corpus;
 - skip links: equal tokens (letters folded, outer punctuation dropped), or tokens whose digits
-  are equal and at least MIN_DIGITS long, share a potential that favours one label, linked each
-  to its next occurrence, so that n occurrences make n - 1 links however distant.
-
-All counts are taken over every document, with the base spans as labels. Loopy sum-product
-messages run within each document; tokens inside base spans are clamped to their kind. A token
+  are equal and at least MIN_DIGITS long, share a potential that favours one label. Tokens are
+  linked to the first base token of each kind on their chain, or without one each to its next
+  occurrence, so that n occurrences make n - 1 links a kind however distant.
+
+All counts are taken over every document, with the base spans as labels; both log-odds are
+clipped to CLIP, and LINK is what outweighs a token's shape and both its neighbours at BELIEF, so
+a link to a base token holds whatever the corpus holds besides, and the counts decide between
+kinds. Loopy sum-product messages run within each document until they settle (at most ROUNDS
+times); tokens inside base spans are clamped to their kind. A token
 outside of them becomes a span of its kind if that label's belief is at least BELIEF and the
 kind has a base span on the token's own skip chain, so texts without a repeated item gain
 nothing.
@@ -45,8 +49,10 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 OUTER = "\"'`.,;:!?()[]{}<>*#$%&|"
 LABELS = len(KINDS) + 1  # 0: none
 SHAPES = 1 << 12
-MIN_DIGITS, BELIEF, ROUNDS = 7, 0.8, 12
-LINK = 3.0  # log potential of equal labels over a skip link
+MIN_DIGITS, BELIEF, ROUNDS, SETTLED = 7, 0.8, 200, 1e-4
+CLIP = 2.0  # bound of the log-odds from the corpus
+#: Log potential of equal labels over a skip link: two labels differ by 2 * CLIP at most in the token's shape and in each of two neighbours.
+LINK = 6 * CLIP + float(np.log(BELIEF / (1 - BELIEF) * (LABELS - 1)))
 SKIP = re.compile(r"[0-9@]")
 
 
@@ -152,9 +158,9 @@ class Field:
 
     def __init__(self, shapes: np.ndarray, pairs: np.ndarray):
         share = (shapes.sum(axis=0) + 1) / (shapes.sum() + LABELS)
-        self.unary = np.log((shapes + 2 * share) / (shapes.sum(axis=1, keepdims=True) + 2))
+        self.unary = np.clip(np.log((shapes + 2 * share) / (shapes.sum(axis=1, keepdims=True) + 2) / share), -CLIP, CLIP)
         joint = (pairs + 0.5) / (pairs.sum() + 0.5 * LABELS**2)
-        self.chain = np.clip(np.log(joint / joint.sum(axis=1, keepdims=True) / joint.sum(axis=0, keepdims=True)), -2, 2)
+        self.chain = np.clip(np.log(joint / joint.sum(axis=1, keepdims=True) / joint.sum(axis=0, keepdims=True)), -CLIP, CLIP)
         self.skip = np.eye(LABELS) * LINK
 
     def beliefs(self, tokens: list[tuple], edges: list[tuple[int, int, bool]]) -> np.ndarray:
@@ -162,7 +168,7 @@ class Field:
         node = self.unary[[x[2] for x in tokens]]
         for i, x in enumerate(tokens):
             if x[3]:
-                node[i] = -50.0
+                node[i] = -np.inf  # whatever number of links meets here
                 node[i, x[3]] = 0.0
         src = np.array([e[k] for e in edges for k in (0, 1)])
         dst = np.array([e[k] for e in edges for k in (1, 0)])
@@ -177,7 +183,10 @@ class Field:
             top = z.max(axis=1, keepdims=True)
             new = (top + np.log(np.exp(z - top).sum(axis=1, keepdims=True)))[:, 0]
             new -= new.max(axis=1, keepdims=True)
+            moved = np.abs(new - msg).max(initial=0)
             msg = 0.5 * msg + 0.5 * new
+            if moved < SETTLED:
+                break
         total = node
         np.add.at(total, dst, msg)
         total = np.exp(total - total.max(axis=1, keepdims=True))
@@ -191,7 +200,7 @@ class Field:
         if all(x[3] for x in tokens):
             return []
         last: dict[str, int] = {}
-        kinds: dict[str, set[int]] = {}  # base labels along each chain
+        kinds: dict[str, dict[int, int]] = {}  # first token of each base label along each chain
         keys_of: dict[int, list[str]] = {}
         edges = []
         for i, (a, b, _, label, near) in enumerate(tokens):
@@ -199,13 +208,16 @@ class Field:
                 edges.append((i - 1, i, False))
             core = t[a:b].casefold()
             digits = _digits(core)
-            for key in {core, digits} if len(digits) >= MIN_DIGITS else {core} if len(core) >= MIN_DIGITS else ():
-                if key in last:
+            keys_of[i] = [*({core, digits} if len(digits) >= MIN_DIGITS else {core} if len(core) >= MIN_DIGITS else ())]
+            for key in keys_of[i] if label else ():
+                kinds.setdefault(key, {}).setdefault(label, i)
+        for i, keys in keys_of.items():
+            for key in keys:
+                if key in kinds:
+                    edges += [(j, i, True) for j in kinds[key].values()] if not tokens[i][3] else []
+                elif key in last:
                     edges.append((last[key], i, True))
                 last[key] = i
-                keys_of.setdefault(i, []).append(key)
-                if label:
-                    kinds.setdefault(key, set()).add(label)
         open_ = {i: set().union(*(kinds.get(k, ()) for k in keys)) for i, keys in keys_of.items() if not tokens[i][3]}
         if not any(open_.values()):
             return []

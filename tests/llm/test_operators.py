@@ -270,6 +270,17 @@ def test_personal_data(shipped, docs, rows):
     assert personal_data.find_personal_data(docs).count() == len(rows)
 
 
+@pytest.mark.parametrize("n", [1, 40, 4000])
+def test_personal_data_in_a_large_corpus(shipped, n):
+    """A repeat of a base item stays a span however many tokens of its shape, alone or among numbers, are none."""
+    one, cards = "call +4930123456 then 4930123456", "4111111111111111, 77 4111111111111111 88"
+    data = [(1, one), (2, cards), (3, one + " 4930123456" * 60)]
+    data += [(10 + k, f"no {5000000000 + k} here, {k % 90 + 10} {6000000000000000 + 2 * k} 88 {5200000000 + k}") for k in range(n)]
+    got = {r.doc_id: r.spans for r in personal_data.find_personal_data(shipped.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[1] == "phone:5:16,phone:22:32" and got[2] == "card:0:16,card:21:37"
+    assert got[3].count("phone") == 62
+
+
 def test_language_model(docs, rows):
     got = language_model.score(docs).collect()
     assert len(got) == len(rows)
