@@ -8,7 +8,11 @@ document's tokens that hold a digit or an at sign. Its potentials are
 - skip links: equal tokens (letters folded, outer punctuation dropped), or tokens whose digits
   are equal and at least MIN_DIGITS long, share a potential that favours one label. Tokens are
   linked to the first base token of each kind on their chain, or without one each to its next
-  occurrence, so that n occurrences make n - 1 links a kind however distant.
+  occurrence, so that n occurrences make n - 1 links a kind however distant;
+- so do the tokens of a run of digit groups (joined across spaces, dots, hyphens and round
+  brackets) whose digits end a base card or phone and are at least MIN_DIGITS long, or equal all
+  digits of a base address, linked to that base item. Zeros before the first group's matched
+  digits (trunk prefix) count as part of it.
 
 All counts are taken over every document, with the base spans as labels; both log-odds are
 clipped to CLIP, and LINK is what outweighs a token's shape and both its neighbours at BELIEF, so
@@ -17,7 +21,7 @@ kinds. Loopy sum-product messages run within each document until they settle (at
 times); tokens inside base spans are clamped to their kind. A token
 outside of them becomes a span of its kind if that label's belief is at least BELIEF and the
 kind has a base span on the token's own skip chain, so texts without a repeated item gain
-nothing.
+nothing. A run becomes one span, as long as it is matched, if all its tokens do.
 
 Defined results: null text is empty; repeated rows are treated alike; texts have no length
 limit, patterns run in linear time; an empty table gives an empty table; other columns are not
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,6 +59,9 @@ CLIP = 2.0  # bound of the log-odds from the corpus
 #: Log potential of equal labels over a skip link: two labels differ by 2 * CLIP at most in the token's shape and in each of two neighbours.
 LINK = 6 * CLIP + float(np.log(BELIEF / (1 - BELIEF) * (LABELS - 1)))
 SKIP = re.compile(r"[0-9@]")
+GROUP = re.compile(r"[0-9]+")
+JOINT = re.compile(r"[\x20().-]+")
+LONGEST = 19  # digits of a base card or phone at most
 
 
 def emails(t: str) -> list[tuple[int, int]]:
@@ -128,6 +136,53 @@ def candidates(t: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
+def runs(t: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, dict[int, int]]]:
+    """(start, end, {kind number: start of its first base span}) of the longest runs of digit groups outside the base spans that repeat a base item."""
+    ends: dict[str, dict[int, int]] = {}  # digits that repeat an item, at most LONGEST of them
+    for a, k, b in spans:
+        d = _digits(t[a:b]) if k else ""
+        if len(d) >= MIN_DIGITS:
+            for i in range(1 if k == 1 else len(d) - MIN_DIGITS + 1):
+                ends.setdefault(d[i:], {}).setdefault(k, a)
+    if not ends:
+        return []
+    found, groups, at, last = [], [], 0, 0  # groups: (start, digits) of the groups joined to the one at hand
+    for m in GROUP.finditer(t):
+        while at < len(spans) and spans[at][2] <= m.start():
+            at += 1
+        if any(s < m.end() for s, _, _ in spans[at:at + 1]):
+            groups = []
+            continue
+        if groups and not JOINT.fullmatch(t, last, m.start()):
+            groups = []
+        groups.append((m.start(), m[0]))
+        last, d = m.end(), ""
+        best = None
+        for a, g in reversed(groups):
+            if len(d) + len(g.lstrip("0")) > LONGEST:
+                break
+            zeros = len(g) - len(g.lstrip("0"))
+            # all digits of the group first, then without zeros before others
+            for z in range(max(0, len(g) + len(d) - LONGEST), min(zeros, len(g) - 1) + 1):
+                if kinds := ends.get(g[z:] + d):
+                    best = (a, kinds)
+                    break
+            d = g + d
+            if len(d) > LONGEST:
+                break
+        if best:
+            a, kinds = best
+            open_ = a and t[a - 1] == "(" and t.find(")", a, last) > 0 or a and t[a - 1] == "+"
+            found.append((a - 1 if open_ else a, last, kinds))
+    out: list[tuple[int, int, dict[int, int]]] = []
+    for r in found:  # ends ascend; of runs that meet the longer one stays
+        while out and out[-1][1] > r[0] and out[-1][1] - out[-1][0] < r[1] - r[0]:
+            out.pop()
+        if not out or out[-1][1] <= r[0]:
+            out.append(r)
+    return out
+
+
 def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts (shape, label) and (label, next label) over all documents; bounded tables."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +273,31 @@ class Field:
                 elif key in last:
                     edges.append((last[key], i, True))
                 last[key] = i
-        open_ = {i: set().union(*(kinds.get(k, ()) for k in keys)) for i, keys in keys_of.items() if not tokens[i][3]}
-        if not any(open_.values()):
+        starts = [x[0] for x in tokens]
+        found = []
+        for a, b, items in runs(t, spans):
+            inside = [i for i in range(max(bisect_right(starts, a) - 1, 0), bisect_left(starts, b)) if tokens[i][1] > a]
+            if inside and not any(tokens[i][3] for i in inside):
+                found.append((a, b, set(items), inside))
+                for start in items.values():
+                    j = next(j for j in range(max(bisect_right(starts, start) - 1, 0), len(tokens)) if tokens[j][1] > start)
+                    edges += [(j, i, True) for i in inside]
+        open_ = {i: {x for k in keys for x in kinds.get(k, ())} for i, keys in keys_of.items() if not tokens[i][3]}
+        if not found and not any(open_.values()):
             return []
         p = self.beliefs(tokens, edges)
         best = p[:, 1:].argmax(axis=1)
-        return [(tokens[i][0], int(best[i]), tokens[i][1]) for i in sorted(open_)
-                if best[i] + 1 in open_[i] and p[i, best[i] + 1] >= BELIEF]
+        sure = p[np.arange(len(p)), best + 1] >= BELIEF
+        new = [(tokens[i][0], int(best[i]), tokens[i][1]) for i in sorted(open_) if best[i] + 1 in open_[i] and sure[i]]
+        new += [(a, int(best[inside[0]]), b) for a, b, items, inside in found
+                if best[inside[0]] in items and all(sure[i] and best[i] == best[inside[0]] for i in inside)]
+        out: list[tuple[int, int, int]] = []
+        for a, k, b in sorted(new):  # a token and a run that meet are one span
+            if out and out[-1][1] == k and a < out[-1][2]:
+                out[-1] = (out[-1][0], k, max(b, out[-1][2]))
+            else:
+                out.append((a, k, b))
+        return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -281,6 +281,21 @@ def test_personal_data_in_a_large_corpus(shipped, n):
     assert got[3].count("phone") == 62
 
 
+def test_personal_data_spaced(shipped):
+    """Repeats of spaced items, in part or with a trunk prefix, become one span each."""
+    phone, card = "+49 30 1234 5678", "4111 1111 1111 1111"
+    cases = [(f"{phone}, then 49 30 1234 5678.", "49 30 1234 5678"), (f"{phone}, then 030 1234 5678 and 5678", "030 1234 5678"),
+             (f"{card}; 77 {card}", card), (f"{card}; 77 {card} 12", card), ("+1 (017) 555-7713 or (017) 555-7713", "(017) 555-7713"),
+             ("+1 (017) 555-7713 or 917.555.7713 x", "555.7713"), (f"{phone}, then 0049-30-12345678", "0049-30-12345678"),
+             (f"{phone}, then 30 1234\n5678 and 34 5678", None), ("ip 10.10.200.30 and 10 10 200 30, 200.30", "10 10 200 30"), (f"{card}; 78 {card[5:]}", card[5:])]
+    got = {r.doc_id: (r.base, r.spans) for r in personal_data.find_personal_data(shipped.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    for k, (t, item) in enumerate(cases):
+        base, spans = got[k]
+        kind, a, b = base.split(":")
+        at = t.rindex(item) if item else 0
+        assert spans == (base if item is None else f"{base},{kind}:{at}:{at + len(item)}"), t
+
+
 def test_language_model(docs, rows):
     got = language_model.score(docs).collect()
     assert len(got) == len(rows)
