@@ -4,13 +4,17 @@ Tokens are the words of the text with A-Z in lower case and one end token a text
 P(token | history) = P(class | history) * P(token | class). The first factor is a softmax over
 CLASSES classes with hashed n-gram features (last word, last two words, classes of the last
 three) and a skip feature (word before the last). The most frequent tokens are classes of their
-own, the others fall in classes by their last two bytes. The second factor is the smoothed share
-of the token within its class, with one place for unknown tokens, so the model is a proper
-distribution over the training vocabulary and "unknown".
+own, the others fall in classes by their last two bytes. The second factor reads the same history:
+a class is split ``depth`` times in WAYS by the bits of the tokens' hashes, each split is a softmax
+with hashed (n-gram or skip feature, node) weights that starts from the exact counts of its parts,
+and a leaf is shared by the smoothed counts of its tokens, with one place for unknown tokens. So the
+model is a proper distribution over the training vocabulary and "unknown". Depth and buckets grow
+with the exact numbers of distinct training tokens: a leaf for each token of the largest class, up
+to the bounds below.
 
 Training reads every training text: each task runs minibatch gradient steps over its texts from
-the common start, and the tasks' weights are averaged by their tokens, block by block on the
-executors. Scoring runs in sparse numpy batches. Token counts are exact counts over all training
+the common start, and the tasks' weights are averaged block by block on the executors, each weight
+by the squared gradients that it met, so tasks that never met it do not count. Scoring runs in sparse numpy batches. Token counts are exact counts over all training
 texts; the HEAD most frequent tokens (a bounded table) are broadcast, the rest of the tokens meet
 their counts in a hash join of per-text counts.
 
@@ -33,13 +37,16 @@ from pyspark.sql import functions as F
 from labelset.llm.landing import land
 from labelset.llm.textcore import U, Words, mix, text_chunks
 
-CLASSES, SINGLES, BUCKETS, TEMPLATES = 32, 12, 1 << 13, 4
+CLASSES, SINGLES, TEMPLATES = 64, 24, 4
+#: Bounds of log2 of the buckets a template and of the splits of a class; log2 of the parts of a split and of the weight rows of all splits.
+BUCKET_BITS, DEPTHS, WAY_BITS, INNER_BITS = (13, 15), (0, 3), 4, 17
+WAYS, INNER = 1 << WAY_BITS, 3  # the splits read the first INNER templates
 HEAD = 150_000
 ALPHA = 0.1
 BATCH, RATE = 4096, 0.5
 FLUSH = 200_000
 VALUES = 4096  # weights in one block row
-SIZE = TEMPLATES * BUCKETS * CLASSES + CLASSES
+ODD, ODDER = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
 def suffix_class(w: Words) -> np.ndarray:
@@ -64,7 +71,7 @@ def tokens(texts: pa.Array, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def features(h: np.ndarray, cls: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Rows of the weight table, TEMPLATES for each token."""
+    """Hashed history features, TEMPLATES for each token."""
     def back(x: np.ndarray, k: int) -> np.ndarray:
         y = np.full(len(x), 7, dtype=np.uint64)
         y[k:][row[k:] == row[:-k]] = x[:-k][row[k:] == row[:-k]]
@@ -74,41 +81,110 @@ def features(h: np.ndarray, cls: np.ndarray, row: np.ndarray) -> np.ndarray:
     one, two = back(h, 1), back(h, 2)
     shape = (back(c, 1) * U(97) + back(c, 2)) * U(97) + back(c, 3)
     keys = (mix(one), mix(one * U(0x9E3779B97F4A7C15) + two), mix(two + U(1)), mix(shape + U(2)))
-    return np.stack([(k % U(BUCKETS)).astype(np.int64) + BUCKETS * i for i, k in enumerate(keys)])
+    return np.stack([mix(k + U(i)) for i, k in enumerate(keys)])
 
 
-class Model:
-    """Weights: table (TEMPLATES * BUCKETS, CLASSES) and bias (CLASSES)."""
+def leaf_bits(h: np.ndarray, depth: int) -> np.ndarray:
+    """Leaf of each token within its class."""
+    return (mix(h ^ ODD) >> U(40)).astype(np.int64) & (WAYS**depth - 1)
+
+
+class Shape:
+    """Sizes of the model from the distinct training tokens in all and in the largest class, the class prior and the exact counts of the leaves."""
+
+    def __init__(self, n_distinct: int, largest: int):
+        bits, depth = (int(np.ceil(np.log2(max(x, 1)))) for x in (n_distinct, largest))
+        self.buckets = 1 << int(np.clip(bits, *BUCKET_BITS))
+        self.depth = int(np.clip(-(-depth // WAY_BITS), *DEPTHS))
+
+    def fit(self, prior: np.ndarray, leaves: np.ndarray) -> Shape:
+        """``leaves``: token counts (CLASSES, WAYS ** depth)."""
+        self.prior, self.offsets = prior, []  # of each split's parts, by (class, node)
+        for level in range(self.depth):
+            parts = leaves.reshape(CLASSES * WAYS**level, WAYS, -1).sum(axis=2) + 0.5
+            self.offsets.append(np.log(parts / parts.sum(axis=1, keepdims=True)).astype(np.float32))
+        return self
+
+    @property
+    def size(self) -> int:
+        return TEMPLATES * self.buckets * CLASSES + CLASSES + (WAYS << INNER_BITS)
+
+    def start(self) -> np.ndarray:
+        flat = np.zeros(self.size, dtype=np.float32)
+        a = TEMPLATES * self.buckets * CLASSES
+        flat[a:a + CLASSES] = np.log(self.prior)
+        return flat
+
 
-    def __init__(self, flat: np.ndarray):
-        self.table, self.bias = flat[:-CLASSES].reshape(-1, CLASSES).copy(), flat[-CLASSES:].copy()
+def softmax(base: np.ndarray, table: np.ndarray, f: np.ndarray) -> np.ndarray:
+    z = base + table.take(f[0], axis=0)
+    for k in f[1:]:
+        z += table.take(k, axis=0)
+    np.exp(np.clip(z, -60, 60, out=z), out=z)  # in the range of 32 bits, sums too
+    z /= np.einsum("ij->i", z)[:, None]
+    return z
 
-    def probabilities(self, f: np.ndarray) -> np.ndarray:
-        z = self.bias + sum(self.table[k] for k in f)
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
 
-    def train(self, f: np.ndarray, cls: np.ndarray, seen: np.ndarray) -> None:
-        """Gradient steps over the tokens in order; ``seen`` holds each table row's squared gradients."""
+def descend(table: np.ndarray, seen: np.ndarray, f: np.ndarray, grad: np.ndarray) -> None:
+    """A gradient step of the rows ``f`` of a table; ``seen`` holds each row's squared gradients."""
+    for k in f:
+        order = np.argsort(k)
+        sorted_ = k[order]
+        at = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        rows = sorted_[at]
+        total = np.add.reduceat(grad.take(order, axis=0), at, axis=0) if len(at) else grad  # sums of equal rows
+        met = seen[rows] + np.einsum("ij,ij->i", total, total)
+        seen[rows] = met
+        total *= (RATE / np.sqrt(met))[:, None]
+        table[rows] -= total
+
+
+class Model:
+    """Weights: table (TEMPLATES * buckets, CLASSES), bias (CLASSES) and the rows of the splits (inner)."""
+
+    def __init__(self, shape: Shape, flat: np.ndarray, learns: bool = False):
+        self.shape, a = shape, TEMPLATES * shape.buckets * CLASSES
+        self.flat = flat.copy() if learns else flat
+        self.table, self.bias, self.inner = self.flat[:a].reshape(-1, CLASSES), self.flat[a:a + CLASSES], self.flat[a + CLASSES:].reshape(-1, WAYS)
+        if learns:
+            self.seen, self.seen_inner, self.batches = np.ones(len(self.table), dtype=np.float32), np.ones(len(self.inner), dtype=np.float32), 0
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        return (keys % U(self.shape.buckets)).astype(np.int64) + self.shape.buckets * np.arange(TEMPLATES)[:, None]
+
+    def splits(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per split (rows of the inner table, probabilities of the parts, part of the token)."""
+        for level, offset in enumerate(self.shape.offsets):
+            rest = WAY_BITS * (self.shape.depth - level)
+            node = cls << WAY_BITS * level | leaf >> rest
+            f = ((keys[:INNER] ^ (node * 4 + level + 1).astype(np.uint64) * ODD) * ODDER >> U(64 - INNER_BITS)).view(np.int64)
+            yield f, softmax(offset[node], self.inner, f), leaf >> rest - WAY_BITS & WAYS - 1
+
+    def train(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> None:
+        """Gradient steps over the tokens in order."""
+        f = self.rows(keys)
         for a in range(0, len(cls), BATCH):
             part, y = f[:, a:a + BATCH], cls[a:a + BATCH]
-            grad = self.probabilities(part)
+            grad = softmax(self.bias, self.table, part)
             grad[np.arange(len(y)), y] -= 1
-            for k in part:
-                order = np.argsort(k, kind="stable")
-                at = np.flatnonzero(np.diff(k[order], prepend=-1))
-                rows = k[order[at]]
-                total = np.cumsum(grad[order], axis=0)[np.r_[at[1:], len(order)] - 1]  # sums of equal rows, by difference
-                total[1:] -= total[:-1].copy()
-                seen[rows] += np.einsum("ij,ij->i", total, total)
-                self.table[rows] -= RATE / np.sqrt(seen[rows])[:, None] * total
+            descend(self.table, self.seen, part, grad)
             self.bias -= 0.02 * grad.mean(axis=0)
-
-    def class_scores(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        out = np.empty(len(cls))
+            self.batches += 1
+            many = np.flatnonzero(y >= SINGLES) + a
+            for rows, grad, way in self.splits(keys[:, many], cls[many], leaf[many]):
+                grad[np.arange(len(many)), way] -= 1
+                descend(self.inner, self.seen_inner, rows, grad)
+
+    def scores(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """log10 P(class and leaf | history) of the tokens."""
+        f, out = self.rows(keys), np.empty(len(cls))
+        log_of = lambda p, k: np.log10(np.maximum(p[np.arange(len(k)), k], 1e-30))
         for a in range(0, len(cls), BATCH):
             y = cls[a:a + BATCH]
-            out[a:a + BATCH] = np.log10(np.maximum(self.probabilities(f[:, a:a + BATCH])[np.arange(len(y)), y], 1e-30))
+            out[a:a + BATCH] = log_of(softmax(self.bias, self.table, f[:, a:a + BATCH]), y)
+            many = np.flatnonzero(y >= SINGLES) + a
+            for _, p, way in self.splits(keys[:, many], cls[many], leaf[many]):
+                out[many] += log_of(p, way)
         return out
 
 
@@ -137,40 +213,40 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, h long, cls int, c long").groupBy("word", "h", "cls").agg(F.sum("c").alias("c"))
 
 
-def train(texts: DataFrame, singles: np.ndarray, prior: np.ndarray) -> np.ndarray:
+def train(texts: DataFrame, singles: np.ndarray, form: Shape) -> np.ndarray:
     """Averaged weights of the tasks' gradient runs over all ``texts`` (text), flat."""
-    start = np.zeros(SIZE, dtype=np.float32)
-    start[-CLASSES:] = np.log(prior)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, n = Model(start), np.full(TEMPLATES * BUCKETS, 1.0, dtype=np.float32), 0
+        model = None
         for batch in batches:
             for part in text_chunks(batch):
+                model = model or Model(form, form.start(), learns=True)
                 h, cls, row, _ = tokens(part.column("text"), singles)
-                model.train(features(h, cls, row), cls, seen)
-                n += len(cls)
-        if n:
-            flat = np.r_[model.table.ravel(), model.bias].astype("<f2")
-            cuts = [flat[a:a + VALUES].tobytes() for a in range(0, SIZE, VALUES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([n] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], names=["block", "n", "w"])
+                model.train(features(h, cls, row), cls, leaf_bits(h, form.depth))
+        if model:
+            # each weight counts by the squared gradients it met: 0 if it was never touched
+            met = np.minimum(np.r_[np.repeat(model.seen - 1, CLASSES), np.full(CLASSES, model.batches, dtype=np.float32), np.repeat(model.seen_inner - 1, WAYS)], 60_000).astype("<f2")
+            for k, a in enumerate(range(0, form.size, VALUES)):
+                n = met[a:a + VALUES]
+                if n.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([model.flat[a:a + VALUES].astype("<f2").tobytes()], pa.binary())], names=["block", "n", "w"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        weight: Counter = Counter()
+        met: dict[int, np.ndarray] = {}
         for b in batches:
             for k, n, w in zip(*(b.column(c).to_pylist() for c in ("block", "n", "w")), strict=True):
-                x = np.frombuffer(w, dtype="<f2").astype(np.float64) * n
-                total[k] = total[k] + x if k in total else x
-                weight[k] += n
-        cuts = [(total[k] / weight[k]).astype("<f4").tobytes() for k in total]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([weight[k] for k in total], pa.int64()), pa.array(cuts, pa.binary())], names=["block", "n", "w"])
-
-    schema = "block int, n long, w binary"
-    blocks = texts.mapInArrow(run, schema).repartition(64, "block").mapInArrow(average, schema)
-    for r in blocks.collect():  # SIZE weights in all, whatever the corpus
+                n = np.frombuffer(n, dtype="<f2").astype(np.float64)
+                x = np.frombuffer(w, dtype="<f2") * n
+                total[k], met[k] = (total[k] + x, met[k] + n) if k in total else (x, n)
+        cuts = [np.where(met[k] > 0, total[k] / np.where(met[k] > 0, met[k], 1), 0).astype("<f4").tobytes() for k in total]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(cuts, pa.binary())], names=["block", "w"])
+
+    blocks = texts.mapInArrow(run, "block int, n binary, w binary").repartition(64, "block").mapInArrow(average, "block int, w binary")
+    flat = form.start()
+    for r in blocks.collect():  # form.size weights in all, bounded whatever the corpus
         x = np.frombuffer(r["w"], dtype="<f4")
-        start[r["block"] * VALUES:r["block"] * VALUES + len(x)] = x
-    return start
+        flat[r["block"] * VALUES:r["block"] * VALUES + len(x)] = x
+    return flat
 
 
 def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,28 +278,41 @@ def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text:
             v_cls[head_cls[k]] -= 1
             n_cls[own], v_cls[own], head_cls[k] = head_c[k], 1, own
     prior = (n_cls + 1) / (n_cls + 1).sum()
-    weights = train(training, singles, prior)
+    form = Shape(n_distinct, int(v_cls[SINGLES:].max()))
+    # (class, leaf) of every token but the singles, at most CLASSES * WAYS ** depth rows
+    leaves, kinds = np.zeros((2, CLASSES, WAYS**form.depth))
+
+    def by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(leaf_bits(h, form.depth)), b.column("c"), pa.array(np.isin(h, singles) | (h == 0))], names=["cls", "leaf", "c", "own"])
+
+    for r in counts.select("h", "cls", "c").mapInArrow(by_leaf, "cls int, leaf long, c long, own boolean").where("NOT own").groupBy("cls", "leaf").agg(
+            F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        leaves[r["cls"], r["leaf"]], kinds[r["cls"], r["leaf"]] = r["n"], r["v"]
+    weights = train(training, singles, form.fit(prior, leaves))
     base_of = np.log10(n_tokens + ALPHA * (n_distinct + 1))
-    # a class of one token has no unknown tokens; the others keep one place for them
-    class_of = np.log10(np.maximum(n_cls + ALPHA * (v_cls + 1), ALPHA))
-    shared = spark.sparkContext.broadcast((weights, singles, head_h, head_c, head_cls))
+    # a class of one token has no unknown tokens; the leaves of the others keep one place for them each
+    leaf_of = np.log10(leaves + ALPHA * (kinds + 1))
+    shared = spark.sparkContext.broadcast((weights, singles, head_h, head_c, form, leaf_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, single, hh, hc, _ = shared.value
-        model = Model(flat)
+        flat, single, hh, hc, form, leaf_of = shared.value
+        model = Model(form, flat)
         for batch in batches:
             for part in text_chunks(batch):
                 h, cls, row, w = tokens(part.column("text"), single)
+                leaf = leaf_bits(h, form.depth)
                 at = np.minimum(np.searchsorted(hh, h), max(len(hh) - 1, 0))
                 known = hh[at] == h if len(hh) else np.zeros(len(h), bool)
                 c = np.where(known, hc[at] if len(hh) else 0, 0)
                 lone = cls < SINGLES
                 base = np.where(known, np.log10(c + ALPHA) - base_of, 0.0)
-                inner = np.where(known & ~lone, np.log10(c + ALPHA) - class_of[cls], 0.0)
-                own = model.class_scores(features(h, cls, row), cls) + inner
+                inner = np.where(known & ~lone, np.log10(c + ALPHA) - leaf_of[cls, leaf], 0.0)
+                own = model.scores(features(h, cls, row), cls, leaf) + inner
                 total = lambda x: np.bincount(row, x, minlength=part.num_rows)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()),
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()),
                                                   pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(total(known).astype(np.int64)), pa.array(total(base)), pa.array(total(own))], schema=schema)
                 # the other tokens go on to the join, once per text and token
                 ends = np.zeros(len(h), bool)
@@ -235,16 +324,15 @@ def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text:
                     word = np.flatnonzero(rest)[first]
                     text_ = [w.data[a:b].tobytes() for a, b in zip(w.start[word], w.end[word], strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column("rid").take(pa.array(w.doc[word])), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(text_, pa.binary()).cast(pa.string()),
-                                                      pa.array(cls[~ends][word].astype(np.int32)), pa.array(np.bincount(back.ravel(), minlength=m).astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], schema=schema)
+                                                      pa.array(leaf_of[cls[~ends][word], leaf[~ends][word]]), pa.array(np.bincount(back.ravel(), minlength=m).astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], schema=schema)
 
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.string()), ("cls", pa.int32()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.string()), ("share", pa.float64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
     out = land(all_.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        run, "rid long, doc_id long, held_out boolean, word string, cls int, n long, known long, base double, own double"))
-    class_col = F.get(F.array(*[F.lit(float(x)) for x in class_of]), F.col("cls"))
-    met = out.where("word IS NOT NULL").select("rid", "word", "cls", "n").join(counts.select("word", "c"), "word", "left")
+        run, "rid long, doc_id long, held_out boolean, word string, share double, n long, known long, base double, own double"))
+    met = out.where("word IS NOT NULL").select("rid", "word", "share", "n").join(counts.select("word", "c"), "word", "left")
     c = F.log10(F.coalesce("c", F.lit(0)) + ALPHA)
     tail = met.groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("t_known"),
-                                  F.sum(F.col("n") * (c - float(base_of))).alias("t_base"), F.sum(F.col("n") * (c - class_col)).alias("t_own"))
+                                  F.sum(F.col("n") * (c - float(base_of))).alias("t_base"), F.sum(F.col("n") * (c - F.col("share"))).alias("t_own"))
     zero = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
     return out.where("word IS NULL").join(tail, "rid", "left").select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), zero("known", "t_known").cast("long").alias("n_known"),

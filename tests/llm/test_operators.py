@@ -323,6 +323,24 @@ def test_language_model_uses_history(shipped):
     assert got and sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
 
 
+def test_language_model_history_within_a_class(shipped):
+    """The history tells words of one suffix class apart, and the model stays a distribution."""
+    data = [(i, " ".join(f"w{(i * 7 + j) % 90:02d}ab" for j in range(150))) for i in range(500)]
+    docs = shipped.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    got = [r for r in language_model.score(docs).collect() if r.held_out]
+    assert got and sum(r.score for r in got) > 0.4 * sum(r.base_score for r in got)
+    rng = np.random.default_rng(1)
+    form = language_model.Shape(1 << 10, 16).fit(np.full(language_model.CLASSES, 1 / language_model.CLASSES), rng.integers(0, 9, (language_model.CLASSES, 16)))
+    flat = form.start()
+    flat += rng.normal(size=len(flat)).astype(np.float32)
+    n = language_model.CLASSES * 16
+    cls, leaf = np.divmod(np.arange(n), 16)
+    p = 10 ** language_model.Model(form, flat).scores(np.full((4, n), 5, dtype=np.uint64), cls, leaf)
+    lone = cls < language_model.SINGLES
+    assert form.depth == 1 and abs(p[~lone].sum() + p[lone].sum() / 16 - 1) < 1e-4
+    assert language_model.Shape(1 << 20, 1 << 13).buckets > form.buckets and language_model.Shape(1 << 20, 1 << 11).depth == 3
+
+
 def test_language_model_tail_tokens(docs, rows, monkeypatch):
     """Tokens outside the broadcast head get the same scores through the join."""
     full = {r.doc_id: (r.n_known, r.base_score) for r in language_model.score(docs).collect()}
