@@ -8,9 +8,8 @@ Defined results: null text counts as empty (no words, so ``too_few_words`` fails
 are measured independently; texts have no length limit; an empty table gives an empty ledger;
 other columns are carried unless a measurement has the same name, which it then replaces.
 
-3-word windows are compared by the high bits of a 64-bit hash, with the position in the low
-bits: a text of n words has 64 - log2(n) hash bits, so two windows of a 1000-word text collide
-with a chance below 1e-10 per text.
+3-word windows are compared by 64 hash bits, sorted with their positions: two windows of a text
+of a million words collide with a chance below 1e-7 per text.
 """
 
 from __future__ import annotations
@@ -45,22 +44,21 @@ def policy_mask(policy: str) -> int:
     return sum(BITS[r] for r in POLICIES[policy])
 
 
-def _windows(hashes: Column, high: Column) -> Column:
-    """One long per 3-word window: its hash under the mask ``high``, its position in the other bits."""
+def _windows(hashes: Column) -> Column:
+    """Struct (``h``, ``at``) of hash and position per 3-word window."""
     def one(x: Column, i: Column) -> Column:
-        h = F.xxhash64(x, F.get(hashes, i + 1), F.get(hashes, i + 2))
-        return h.bitwiseAND(high).bitwiseOR(i)
+        return F.struct(F.xxhash64(x, F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.cast("long").alias("at"))
 
     return F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), one)
 
 
-def _repeated_positions(win: Column, high: Column) -> Column:
+def _repeated_positions(win: Column) -> Column:
     """Sorted positions of the windows whose hash occurs twice or more (``win`` is sorted)."""
     def twin(w: Column, i: Column) -> Column:
-        same = lambda o: w.bitwiseXOR(o).bitwiseAND(high) == 0  # noqa: E731 - null past either end
+        same = lambda o: w["h"] == o["h"]  # noqa: E731 - null past either end
         return same(F.get(win, i - 1)) | same(F.get(win, i + 1))
 
-    return F.sort_array(F.transform(F.filter(win, twin), lambda w: w.bitwiseAND(F.bitwise_not(high))))
+    return F.sort_array(F.transform(F.filter(win, twin), lambda w: w["at"]))
 
 
 def _covered(pos: Column, width: int) -> Column:
@@ -84,11 +82,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
         "n_capitals": long(F.regexp_count(body, F.lit("[A-ZÀ-ÖØ-Þ]"))),
         "n_exclamations": long(F.char_length(body) - F.char_length(F.replace(body, F.lit("!"), F.lit("")))),
-        "_high": F.expr("shiftleft(-1L, length(bin(size(_words))))"),
         "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
     })
-    d = d.withColumn("_win", F.sort_array(_windows(F.col("_hashes"), F.col("_high"))))
-    d = d.withColumn("_pos", _repeated_positions(F.col("_win"), F.col("_high")))
+    d = d.withColumn("_win", F.sort_array(_windows(F.col("_hashes"))))
+    d = d.withColumn("_pos", _repeated_positions(F.col("_win")))
     d = d.withColumn("n_repeat_words", _covered(F.col("_pos"), 3))
     # the generator keeps filters on measurements above it: pushed below, the optimiser would inline
     # the arrays into the lambdas over them and compute them again for every element

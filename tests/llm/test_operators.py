@@ -66,6 +66,12 @@ def test_quality_rules(docs, rows):
         assert bool(r.failures & 1) == (len(w) < 50)
 
 
+def test_quality_windows_keep_all_hash_bits(shipped):
+    """Windows whose hashes differ in their low bits alone are not repeats."""
+    d = shipped.createDataFrame([([(16, 3), (16, 9), (17, 1), (18, 2), (2**40, 0), (2**40, 8)],)], "win array<struct<h: long, at: long>>")
+    assert d.select(quality_rules._repeated_positions(F.col("win")).alias("p")).first().p == [0, 3, 8, 9]
+
+
 def test_policies_and_ablation(docs):
     led = quality_rules.ledger(docs)
     rows = led.select("failures").collect()
