@@ -44,6 +44,7 @@ from labelset.session import scratch_path
 BLOCK_BYTES = 32 << 20  # of query vectors in one broadcast
 TILE_QUERIES, TILE_ROWS = 512, 2048  # pairs of one bound matrix in a task
 PAIR_BYTES = 16 << 20  # of vectors gathered for a finer level at once
+SPARSE = 32  # fewer than one pair in so many: go on pair by pair
 SEEDS = 1024
 TAME = 1e100  # norms up to this have floating bounds
 PLAIN = 2.0 ** 25  # norms up to this give products that are exact in a double
@@ -89,11 +90,10 @@ def statistics(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def exact(q: np.ndarray, c: np.ndarray, plain: bool) -> np.ndarray:
-    """Integer products of the rows of q and c, pair by pair: doubles that hold them exactly, or Python integers."""
-    if plain:
-        return np.einsum("ij,ij->i", q, c)
-    return np.array([sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q.tolist(), c.tolist())], dtype=object)
+def big(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Integer products of the rows of q and c, pair by pair, for vectors too long for exact doubles; held to 64 bits."""
+    exact = (sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q.tolist(), c.tolist()))
+    return np.array([max(-LONG - 1, min(LONG, s)) for s in exact], dtype=np.int64)
 
 
 @dataclass
@@ -128,17 +128,15 @@ def query_blocks(ids: np.ndarray, column: pa.Array) -> list[Block]:
     return out
 
 
-def distinct(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+def distinct(ids: np.ndarray, null: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     """Rows without copies of one vector beyond its k + 1 smallest ids: no others can be among a query's k best."""
-    rank = sorted(range(len(ids)), key=lambda r: (ids[r] is None, ids[r] or 0)) if len(ids) else []
     met: dict[bytes, int] = {}
-    keep = []
-    for r in rank:
+    keep = np.zeros(len(ids), dtype=bool)
+    for r in np.lexsort((ids, null)).tolist():
         key = x[r].tobytes()
         met[key] = met.get(key, 0) + 1
-        if met[key] <= k + 1:
-            keep.append(r)
-    return np.array(sorted(keep), dtype=np.int64)
+        keep[r] = met[key] <= k + 1
+    return keep
 
 
 class Best:
@@ -146,78 +144,81 @@ class Best:
 
     def __init__(self, block: Block, k: int):
         self.block, self.k = block, k
-        self.held: list[list[tuple]] = [[] for _ in block.no]
+        self.found = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, bool, np.int64))  # query, id, null id, score
         self.least = block.least.copy()
 
-    def add(self, query: np.ndarray, ids: list, scores: list) -> None:
-        """Pairs in any order; a null id sorts last among equal scores."""
-        touched = set()
-        for q, i, s in zip(query.tolist(), ids, scores):
-            self.held[q].append((-max(-LONG - 1, min(LONG, int(s))), i is None, 0 if i is None else i))
-            touched.add(q)
-        for q in touched:
-            mine = sorted(self.held[q])[:self.k]
-            self.held[q] = mine
-            if len(mine) == self.k:
-                self.least[q] = max(self.least[q], float(-mine[-1][0]))
-
-    def search(self, ids: np.ndarray, c: np.ndarray) -> None:
+    def add(self, q: np.ndarray, ids: np.ndarray, null: np.ndarray, scores: np.ndarray) -> None:
+        """Pairs in any order, scores as 64-bit integers; among equal scores the smaller id is better, a null id worst."""
+        q, ids, null, scores = (np.concatenate(x) for x in zip(self.found, (q, ids, null, scores)))
+        order = np.lexsort((ids, null, ~scores, q))
+        q, ids, null, scores = q[order], ids[order], null[order], scores[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        keep, full = rank < self.k, rank == self.k - 1
+        self.found = (q[keep], ids[keep], null[keep], scores[keep])
+        self.least[q[full]] = np.maximum(self.least[q[full]], scores[full].astype(float))
+
+    def search(self, ids: np.ndarray, null: np.ndarray, c: np.ndarray) -> None:
         """Meet candidates of the block's length."""
-        rows = distinct(ids, c, self.k)
-        ids, c = ids[rows], c[rows]
+        some = distinct(ids, null, c, self.k)
+        ids, null, c = ids[some], null[some], c[some]
         norm = norms(c)
         tame = norm <= TAME if self.block.norm[0] <= TAME else np.zeros(len(c), dtype=bool)
         for r in np.flatnonzero(~tame):  # no floating bounds: exact products with every query
-            others = np.flatnonzero(self.block.ids != ids[r])
-            self.add(others, [ids[r]] * len(others), exact(self.block.x[others], np.repeat(c[r:r + 1], len(others), axis=0), False).tolist())
-        ids, c, norm = ids[tame], c[tame], norm[tame]
+            q = np.flatnonzero(self._others(slice(None), ids[r:r + 1], null[r:r + 1])[:, 0])
+            self.add(q, np.repeat(ids[r], len(q)), np.repeat(null[r], len(q)), big(self.block.x[q], np.repeat(c[r:r + 1], len(q), axis=0)))
+        ids, null, c, norm = ids[tame], null[tame], c[tame], norm[tame]
         for at in range(0, len(c), TILE_ROWS):
             to = at + TILE_ROWS
-            self._tile(ids[at:to], c[at:to], norm[at:to], statistics(c[at:to]))
+            self._tile(ids[at:to], null[at:to], c[at:to], norm[at:to], statistics(c[at:to]))
 
-    def _tile(self, ids: np.ndarray, c: np.ndarray, norm: np.ndarray, stats: list[np.ndarray]) -> None:
-        """Coarse bounds for all pairs of the tile, then finer ones and products for those left."""
-        b, pairs = self.block, max(1, PAIR_BYTES // (16 * max(1, c.shape[1])))
+    def _others(self, some: slice, ids: np.ndarray, null: np.ndarray) -> np.ndarray:
+        return (self.block.ids[some, None] != ids[None, :]) | null[None, :]
+
+    def _tile(self, ids: np.ndarray, null: np.ndarray, c: np.ndarray, norm: np.ndarray, stats: list[np.ndarray]) -> None:
+        """Bounds from coarse to fine, then products: for the whole tile while many pairs are left, else pair by pair."""
+        b = self.block
         for q0 in range(0, len(b.no), TILE_QUERIES):
             some = slice(q0, min(q0 + TILE_QUERIES, len(b.no)))
-            bound = b.stats[0][some] @ stats[0].T + b.slack(some, norm[:, None]).T if stats else np.zeros((some.stop - q0, len(c)))
-            qi, ci = np.nonzero(bound >= self.least[some, None])
-            order = np.argsort(-bound[qi, ci], kind="stable")  # promising pairs first, so that thresholds rise early
-            qi, ci = qi[order] + q0, ci[order]
-            for at in range(0, len(qi), pairs):
-                self._pairs(qi[at:at + pairs], ci[at:at + pairs], ids, c, norm, stats)
-
-    def _pairs(self, qi: np.ndarray, ci: np.ndarray, ids: np.ndarray, c: np.ndarray, norm: np.ndarray, stats: list) -> None:
+            left, least = self._others(some, ids, null), self.least[some, None]
+            slack = b.slack(some, norm[:, None]).T
+            level = 0
+            while level < len(stats) and left.sum() * SPARSE > left.size:
+                left &= b.stats[level][some] @ stats[level].T + slack >= least
+                level += 1
+            plain = (b.norm[some] <= PLAIN).all() and (norm <= PLAIN).all()
+            if plain and left.sum() * SPARSE > left.size:
+                scores = np.where(left, b.x[some] @ c.T, -np.inf)
+                if scores.shape[1] > self.k:  # only a row's k best and what equals them
+                    least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k, None])
+                qi, ci = np.nonzero((scores >= least) & left)
+                self.add(qi + q0, ids[ci], null[ci], scores[qi, ci].astype(np.int64))
+                continue
+            qi, ci = np.nonzero(left)
+            step = max(1, PAIR_BYTES // (16 * max(1, c.shape[1])))
+            for at in range(0, len(qi), step):
+                self._pairs(qi[at:at + step] + q0, ci[at:at + step], level, ids, null, c, norm, stats)
+
+    def _pairs(self, q: np.ndarray, i: np.ndarray, level: int, ids: np.ndarray, null: np.ndarray, c: np.ndarray,
+               norm: np.ndarray, stats: list[np.ndarray]) -> None:
         b = self.block
-        for mine, theirs in zip(b.stats, stats):  # the coarsest again, as thresholds have risen
-            left = np.einsum("ij,ij->i", mine[qi], theirs[ci]) + b.slack(qi, norm[ci]) >= self.least[qi]
-            qi, ci = qi[left], ci[left]
-        other = ids[ci] != b.ids[qi]
-        qi, ci = qi[other], ci[other]
-        plain = (b.norm[qi] <= PLAIN) & (norm[ci] <= PLAIN)
-        q, i = qi[~plain], ci[~plain]
-        if len(q):
-            self.add(q, ids[i].tolist(), exact(b.x[q], c[i], False).tolist())
-        q, i = qi[plain], ci[plain]
-        if len(q):
-            scores = exact(b.x[q], c[i], True)
-            order = np.lexsort((-scores, q))
-            q, i, scores = q[order], i[order], scores[order]
-            kth = np.minimum(np.searchsorted(q, q, side="left") + self.k, np.searchsorted(q, q, side="right")) - 1
-            keep = (scores >= scores[kth]) & (scores >= self.least[q])
-            self.add(q[keep], ids[i[keep]].tolist(), scores[keep].tolist())
-
-    def rows(self) -> Iterator[tuple]:
-        """(query's number, its id, candidate's id, score)."""
-        for q, mine in enumerate(self.held):
-            for s, null, i in mine:
-                yield int(self.block.no[q]), self.block.ids[q], None if null else i, -s
-
-
-def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    out = np.empty(len(column), dtype=object)
-    out[:] = column.to_pylist()
-    return out
+        for mine, theirs in zip(b.stats[level:], stats[level:]):
+            left = np.einsum("ij,ij->i", mine[q], theirs[i]) + b.slack(q, norm[i]) >= self.least[q]
+            q, i = q[left], i[left]
+        plain = (b.norm[q] <= PLAIN) & (norm[i] <= PLAIN)
+        p, j = q[~plain], i[~plain]
+        if len(p):
+            self.add(p, ids[j], null[j], big(b.x[p], c[j]))
+        p, j = q[plain], i[plain]
+        if len(p):
+            scores = np.einsum("ij,ij->i", b.x[p], c[j])
+            keep = scores >= self.least[p]
+            self.add(p[keep], ids[j[keep]], null[j[keep]], scores[keep].astype(np.int64))
+
+
+def _ids(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as 64-bit integers (0 for null) and which are null."""
+    null = column.is_null().to_numpy(**({} if isinstance(column, pa.ChunkedArray) else {"zero_copy_only": False}))
+    return column.cast(pa.int64()).fill_null(0).to_numpy().astype(np.int64), null
 
 
 def _seeds(spark: SparkSession, sent: Broadcast, counts: list[int], k: int) -> list[np.ndarray]:
@@ -245,48 +246,48 @@ def _seeds(spark: SparkSession, sent: Broadcast, counts: list[int], k: int) -> l
     return out
 
 
-def _scan(rows: DataFrame, sent: Broadcast, least: Broadcast, k: int, id_type: str) -> DataFrame:
+def _scan(rows: DataFrame, sent: Broadcast, least: Broadcast, k: int) -> DataFrame:
     """The k best candidates of each task for each query of the block."""
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(replace(b, least=t), k) for b, t in zip(sent.value, least.value)]
-        kind = pa.int64()
         for batch in batches:
-            kind, ids = batch.schema.field(0).type, _ids(batch.column(0))
+            ids, null = _ids(batch.column(0))
             for at, c in vectors_of(batch.column(1)):
                 for mine in best:
                     if mine.block.x.shape[1] == c.shape[1]:
-                        mine.search(ids[at], c)
-        out = [row for mine in best for row in mine.rows()]
-        for at in range(0, len(out), 1 << 16):
-            q, query, found, score = zip(*out[at:at + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(query, kind), pa.array(found, kind), pa.array(score, pa.int64())],
+                        mine.search(ids[at], null[at], c)
+        for mine in best:
+            q, found, none, score = mine.found
+            yield pa.RecordBatch.from_arrays([pa.array(mine.block.no[q]), pa.array(mine.block.ids[q]), pa.array(found, mask=none), pa.array(score)],
                                              names=["q", "query_id", "found", "score"])
 
-    return rows.mapInArrow(meet, f"q bigint, query_id {id_type}, found {id_type}, score bigint")
+    return rows.mapInArrow(meet, "q bigint, query_id bigint, found bigint, score bigint")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``query_id, rank, id_col, score``: the k candidates of highest score for each row for which ``is_query`` holds."""
+    """``query_id, rank, id_col, score``: the k candidates of highest score for each row for which ``is_query`` holds.
+
+    Ids are integers; ``vec_col`` is an array of numbers.
+    """
     spark = vectors.sparkSession
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     asked = land(vectors.where(is_query & F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-                 .select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+                 .select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
                  .withColumn("no", F.monotonically_increasing_id()))
     size = asked.agg(F.sum(24 + 8 * F.size("v").cast("long"))).first()[0] or 0
     blocks = -(-size // block_bytes)
-    shape = f"query_id {id_type}, rank int, `{id_col}` {id_type}, score bigint"
+    shape = f"query_id bigint, rank int, `{id_col}` bigint, score bigint"
     out = scratch_path(spark, f"top-k-{uuid.uuid4().hex}")
     for number in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("no"), F.lit(blocks)) == number).orderBy("no").toArrow()
-        block = query_blocks(_ids(part.column("id")), part.column("v"))
+        block = query_blocks(_ids(part.column("id"))[0], part.column("v"))
         if not block:
             continue
         sent = spark.sparkContext.broadcast(block)
         least = spark.sparkContext.broadcast(_seeds(spark, sent, [len(b.no) for b in block], k))
         order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("found"))
-        ranked = _scan(rows, sent, least, k, id_type).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = _scan(rows, sent, least, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         ranked.select("query_id", "rank", F.col("found").alias(id_col), "score").write.mode("append").parquet(out)
         for held in (sent, least):
             held.unpersist()
