@@ -118,58 +118,126 @@ def match_exact(names: DataFrame, universe: DataFrame, name: str = "name",
 def _token_rows(df: DataFrame, id_col: str, tok_col: str) -> DataFrame:
     # 64-bit token hashes: a collision only adds a candidate, the strings are compared at the end
     hashed = F.array_distinct(F.transform(F.col(tok_col), lambda t: F.xxhash64(t)))
-    return df.select(F.col(id_col).alias("id"), F.explode(hashed).alias("tok"),
-                     F.size(F.col(tok_col)).alias("sz"))
+    # the size goes with each element: beside the explode it would be computed again for every row
+    return df.select(F.col(id_col).alias("id"), hashed.alias("_h")).select(
+        "id", F.inline(F.transform("_h", lambda t: F.struct(t.alias("tok"), F.size("_h").alias("sz")))))
 
 
-def _prefixes(rows: DataFrame, freq: DataFrame) -> DataFrame:
-    """Keep the rarest ``floor(sz/2)+1`` tokens of every set, with their position.
+#: A posting list longer than this is split; its partner rows are repeated for each part.
+POSTING_ROWS = 4096
+#: Cost of shipping one token of a candidate's two sets to its verification, in joined prefix rows.
+VERIFY_COST = 0.4
+#: Shared tokens asked of a contained set and the set that contains it.
+CONTAINED = 2
 
-    If Jaccard(a, b) >= 0.5 then |a & b| >= ceil(|a|/2) and >= ceil(|b|/2), so under one
-    global token order the two prefixes share a token: the filter loses no pair.
+
+def _ranked(rows: DataFrame, freq: DataFrame) -> DataFrame:
+    """``id, tok, sz, pos, len, df``: each set's tokens from the rarest on, and its prefix extension.
+
+    A set keeps ``sz - ceil(0.6 sz) + len`` tokens of its global frequency order. Two sets with
+    Jaccard >= 0.6 then share ``len`` of them (the smaller of the two extensions), so a longer
+    prefix costs more joined rows and leaves fewer candidates. ``len`` minimises, per set,
+    S + S / len * (cost of verifying a candidate), S the posting rows that its prefix meets: at
+    most S / len partners can share len tokens.
+    """
+    by_set = Window.partitionBy("id")
+    order = by_set.orderBy("df", "tok")
+    base = F.col("sz") - F.ceil(F.col("sz") * 3 / 5)
+    r = rows.join(freq, "tok").withColumn("pos", F.row_number().over(order))
+    met = F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    step = F.col("pos") - base
+    cost = met * (1 + VERIFY_COST * F.col("sz") / step)
+    best = F.min(F.when(step >= 1, F.struct(cost, step.alias("len")))).over(by_set)
+    return r.withColumn("len", best["len"].cast("int"))
+
+
+def _side(ranked: DataFrame, side: str, prefix: Column) -> DataFrame:
+    """A side's rows within the prefix, columns named by the side."""
+    return ranked.filter(F.col("pos") <= prefix).select(
+        F.col("id").alias(f"{side}id"), "tok", "df", *(F.col(c).alias(f"{side}{c}") for c in ("sz", "pos", "len")))
+
+
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both sides with one token; the left rows of a hot token are dealt over parts, the right ones repeated."""
+    parts = F.ceil(F.col("df") / POSTING_ROWS)
+    l = left.withColumn("part", F.pmod(F.xxhash64("lid"), parts)).drop("df")
+    r = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("df")
+    return l.join(r, ["tok", "part"])
+
+
+def _jaccard_candidates(left: DataFrame, right: DataFrame, self_join: bool) -> DataFrame:
+    """Pairs that can reach a Jaccard of 0.6: ``lid, rid``.
+
+    They need ``need = ceil(3/8 (a + b))`` common tokens, hence ``k`` of them within the first
+    ``size - need + k`` tokens of either set, ``k`` the smaller extension.
     """
-    w = F.row_number().over(Window.partitionBy("id").orderBy("df", "tok"))
-    ranked = rows.join(freq, "tok").withColumn("pos", w)
-    return ranked.filter(F.col("pos") <= F.floor(F.col("sz") / 2) + 1)
+    prefix = F.col("sz") - F.ceil(F.col("sz") * 3 / 5) + F.col("len")
+    rows = _meet(_side(left, "l", prefix), _side(right, "r", prefix))
+    need = F.ceil((F.col("lsz") + F.col("rsz")) * 3 / 8)
+    k = F.least("llen", "rlen", need)
+    rows = rows.filter((need <= F.least("lsz", "rsz")) & (F.col("lpos") <= F.col("lsz") - need + k)
+                       & (F.col("rpos") <= F.col("rsz") - need + k))
+    if self_join:
+        rows = rows.filter("rid < lid")
+    shared = rows.groupBy("lid", "rid").agg(F.count(F.lit(1)).alias("n"), F.max(k).alias("k"))
+    return shared.filter("n >= k").select("lid", "rid")
+
+
+def _contained_candidates(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs of a set (``lid``) that may lie whole in one of 5/3 to 2 times its size (``rid``): below 0.6
+    they pass by the bonus only. The small set's first tokens are all in the large one, which
+    has at most ``b - a`` others before them."""
+    l = _side(small, "l", F.lit(CONTAINED))
+    r = _side(large, "r", F.col("sz") - F.ceil(F.col("sz") / 2) + CONTAINED)
+    rows = _meet(l, r).filter((F.col("rsz") * 3 > F.col("lsz") * 5) & (F.col("rsz") <= F.col("lsz") * 2)
+                              & (F.col("rpos") <= F.col("rsz") - F.col("lsz") + F.col("lpos")))
+    k = F.least(F.lit(CONTAINED), F.col("lsz"))
+    shared = rows.groupBy("lid", "rid").agg(F.count(F.lit(1)).alias("n"), F.max(k).alias("k"))
+    return shared.filter("n >= k").select("lid", "rid")
+
+
+def token_candidates(left: DataFrame, right: DataFrame, self_join: bool = False,
+                     materialize: bool = True) -> DataFrame:
+    """Distinct pairs ``(lid, rid)`` of ``(id, tokens)`` tables that can score 0.6; see :func:`token_similarity_pairs`."""
+    lrows = _token_rows(left, "id", "tokens")
+    rrows = lrows if self_join else _token_rows(right, "id", "tokens")
+    every = lrows if self_join else lrows.unionByName(rrows)
+    freq = every.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    # prefix rows are read by both kinds of candidates: rank them once (reliable checkpoint)
+    reach = F.col("sz") - F.least(F.ceil(F.col("sz") * 3 / 5) - F.col("len"), F.ceil(F.col("sz") / 2) - CONTAINED)
+    land = lambda df: cut_lineage(df.filter(F.col("pos") <= reach)) if materialize else df
+    l = land(_ranked(lrows, freq))
+    r = l if self_join else land(_ranked(rrows, freq))
+    swapped = _contained_candidates(r, l).select(F.col("rid").alias("lid"), F.col("lid").alias("rid"))
+    if self_join:
+        contained = swapped.select(F.greatest("lid", "rid").alias("lid"), F.least("lid", "rid").alias("rid"))
+    else:
+        contained = _contained_candidates(l, r).unionByName(swapped)
+    # sizes keep the two kinds apart, so no pair comes twice
+    return _jaccard_candidates(l, r, self_join).unionByName(contained)
 
 
 def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                            left_tokens: str = "tokens", right_tokens: str = "tokens",
-                           self_join: bool = False) -> DataFrame:
+                           self_join: bool = False, materialize: bool = True) -> DataFrame:
     """All pairs with token score >= 0.6: ``(left_id, right_id, inter, score)``.
 
-    score = |a&b| / |a|b| + 0.1 if one set contains the other. Accepting needs Jaccard
-    >= 0.5, hence (lossless): prefix filter on frequency-ordered tokens, size ratio within
-    [1/2, 2], the positional bound 1 + min(|a|-i, |b|-j) >= ceil((|a|+|b|)/3) at the
-    first shared prefix token, and a prefix of only |x| - ceil(2|x|/3) + 1 tokens for the
-    smaller set x (its share of the overlap is at least two thirds). Survivors are verified exactly with ``array_intersect``.
+    score = |a&b| / |a|b| + 0.1 if one set contains the other. A pair passes with a Jaccard of
+    0.6, or with 0.5 if one set contains the other. Candidates (lossless) come from equi-joins
+    on prefixes of the sets in one global frequency order: extended prefixes with a per-set
+    extension for the first kind, the rarest tokens of the small set for the second. Posting lists
+    of hot tokens are split over tasks. Candidates are verified with ``array_intersect``.
     With ``self_join`` both sides are the same table and only ``right_id < left_id`` pairs
     are produced. Empty token sets never pair.
     """
-    l = left.select(F.col(left_id).alias("lid"), F.col(left_tokens).alias("lt")).filter(F.size("lt") > 0)
-    r = (l.select(F.col("lid").alias("rid"), F.col("lt").alias("rt")) if self_join else
-         right.select(F.col(right_id).alias("rid"), F.col(right_tokens).alias("rt"))
-         .filter(F.size("rt") > 0))
-    lrows = _token_rows(l, "lid", "lt")
-    rrows = lrows if self_join else _token_rows(r, "rid", "rt")
-    all_rows = lrows if self_join else lrows.unionByName(rrows)
-    freq = all_rows.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    lp = _prefixes(lrows, freq).select(F.col("id").alias("lid"), "tok", F.col("sz").alias("ls"),
-                                       F.col("pos").alias("lpos"))
-    rp = (lp.select(F.col("lid").alias("rid"), "tok", F.col("ls").alias("rs"), F.col("lpos").alias("rpos"))
-          if self_join else
-          _prefixes(rrows, freq).select(F.col("id").alias("rid"), "tok", F.col("sz").alias("rs"),
-                                        F.col("pos").alias("rpos")))
-    cond = [lp.tok == rp.tok,
-            rp.rs * 2 >= lp.ls, lp.ls * 2 >= rp.rs,
-            (F.lit(1) + F.least(lp.ls - lp.lpos, rp.rs - rp.rpos)) * 3 >= lp.ls + rp.rs,
-            # the smaller set needs two thirds of its tokens in common: its prefix is shorter
-            F.when(lp.ls <= rp.rs, lp.lpos <= lp.ls - F.ceil(lp.ls * 2 / 3) + 1)
-            .otherwise(rp.rpos <= rp.rs - F.ceil(rp.rs * 2 / 3) + 1)]
-    if self_join:
-        cond.append(rp.rid < lp.lid)
-    cand = lp.join(rp, cond).select("lid", "rid").distinct()
-    ver = cand.join(l, "lid").join(r, "rid")
+    def sets(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
+        return df.select(F.col(id_col).alias("id"), F.col(tokens).alias("tokens")).filter(F.size("tokens") > 0)
+
+    l = sets(left, left_id, left_tokens)
+    r = l if self_join else sets(right, right_id, right_tokens)
+    cand = token_candidates(l, r, self_join, materialize)
+    ver = (cand.join(l.select(F.col("id").alias("lid"), F.col("tokens").alias("lt")), "lid")
+           .join(r.select(F.col("id").alias("rid"), F.col("tokens").alias("rt")), "rid"))
     inter = F.size(F.array_intersect("lt", "rt"))
     ls, rs = F.size("lt"), F.size("rt")
     jacc = inter.cast("double") / (ls + rs - inter).cast("double")
@@ -201,26 +269,27 @@ def best_earlier_match(docs: DataFrame, id_col: str, tokens: str = "tokens",
     group of copies holding a large share of the rows therefore costs one hash
     aggregation, not a quadratic number of candidate pairs.
     """
-    s = docs.select(F.col(id_col).alias("_id"), F.col(tokens).alias("_t")).filter(F.size("_t") > 0)
-    s = s.withColumn("_h", F.sha2(F.array_join(F.array_sort("_t"), " "), 256))
+    s = docs.select(F.col(id_col).alias("_id"), F.col(tokens).alias("_t"))
     if materialize:
-        # the token sets are read by the grouping, the prefixes and both verification
+        # the token sets are read by the filter, the hash, the prefixes and both verification
         # sides: compute them once (reliable checkpoint in the shared folder)
         s = cut_lineage(s)
+    s = s.filter(F.size("_t") > 0).withColumn("_h", F.sha2(F.array_join(F.array_sort("_t"), " "), 256))
     groups = s.groupBy("_h").agg(F.min("_id").alias("_rep"))
     tagged = s.join(groups, "_h")
     copies = tagged.filter(F.col("_id") != F.col("_rep")).select(
         F.col("_id").alias(id_col), F.col("_rep").alias(match_col),
         F.lit(1.0 + CONTAINMENT_BONUS).alias("score"))
     reps = tagged.filter(F.col("_id") == F.col("_rep")).select("_id", "_t")
-    pairs = token_similarity_pairs(reps, reps, "_id", "_m", "_t", "_t", self_join=True)
+    pairs = token_similarity_pairs(reps, reps, "_id", "_m", "_t", "_t", self_join=True,
+                                   materialize=materialize)
     best = best_match(pairs, "_id", "_m").select(
         F.col("_id").alias(id_col), F.col("_m").alias(match_col), "score")
     return best.unionByName(copies)
 
 
 def match_tokens(names: DataFrame, universe: DataFrame, name: str = "name", norm: str = "norm",
-                 stopwords=STOPWORDS) -> DataFrame:
+                 stopwords=STOPWORDS, materialize: bool = True) -> DataFrame:
     """Best universe entry per name by token score (>= 0.6): ``(name, canon, score)``.
 
     Ties: the smallest universe entry. Names with an empty token set get no row here.
@@ -229,7 +298,7 @@ def match_tokens(names: DataFrame, universe: DataFrame, name: str = "name", norm
         "tokens", token_set(F.col("_n"), stopwords, normalized=True))
     u = universe.select(F.col(norm).alias("_u")).distinct().withColumn(
         "tokens", token_set(F.col("_u"), stopwords, normalized=True))
-    pairs = token_similarity_pairs(n, u, "_n", "_u")
+    pairs = token_similarity_pairs(n, u, "_n", "_u", materialize=materialize)
     best = best_match(pairs, "_n", "_u")
     return best.select(F.col("_n").alias(name), F.col("_u").alias("canon"), "score")
 
@@ -375,8 +444,9 @@ def canonicalize(names: DataFrame, universe: DataFrame, name: str = "name", norm
     """Canonical form of every distinct normalised name: ``(name, canon, stage)``.
 
     The distinct names feed five branches (rules, exact, residual, final join); with
-    ``materialize`` they are computed once and checkpointed in the shared folder, so the
-    (possibly large) input is scanned and de-duplicated a single time.
+    ``materialize`` they, the distinct universe, the residual of the cheap stages and the token
+    matches are computed once and checkpointed in the shared folder, so no input is
+    scanned and no stage computed twice; an empty residual ends the work there.
 
     Precedence rules -> exact -> tokens -> strings -> unchanged. The cheap stages see
     every distinct name; the token and string stages only the names the cheap stages left
@@ -386,8 +456,9 @@ def canonicalize(names: DataFrame, universe: DataFrame, name: str = "name", norm
     "". Output of a stage is not fed back to the rules.
     """
     d = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    u = universe.select(F.col(norm).alias("norm")).distinct()
     if materialize:
-        d = cut_lineage(d)
+        d, u = cut_lineage(d), cut_lineage(u)
     cands, cheap = [], []
     if "rules" in stages:
         r = d.select("name", match_rules(F.col("name"), rules).alias("canon"))
@@ -395,7 +466,7 @@ def canonicalize(names: DataFrame, universe: DataFrame, name: str = "name", norm
         cands.append(r.select("name", "canon", F.lit(1).alias("rank"), F.lit("rules").alias("stage")))
         cheap.append(r.select("name"))
     if "exact" in stages:
-        e = match_exact(d, universe, "name", norm)
+        e = match_exact(d, u, "name", "norm")
         cands.append(e.select("name", "canon", F.lit(2).alias("rank"), F.lit("exact").alias("stage")))
         cheap.append(e.select("name"))
     rest = d
@@ -405,13 +476,19 @@ def canonicalize(names: DataFrame, universe: DataFrame, name: str = "name", norm
             done = done.unionByName(c)
         rest = d.join(done, "name", "left_anti")
     rest = rest.filter(F.size(token_set(F.col("name"), stopwords, normalized=True)) > 0)
+    if materialize and ("tokens" in stages or "strings" in stages):
+        rest = cut_lineage(rest)
+        if rest.isEmpty():  # nothing is left for the costly stages
+            stages = [s for s in stages if s not in ("tokens", "strings")]
     if "tokens" in stages:
-        t = match_tokens(rest, universe, "name", norm, stopwords)
+        t = match_tokens(rest, u, "name", "norm", stopwords, materialize)
+        if materialize:
+            t = cut_lineage(t)  # read by the winner and by the residual of the string stage
         cands.append(t.select("name", "canon", F.lit(3).alias("rank"), F.lit("tokens").alias("stage")))
     if "strings" in stages:
         # the residual of the token stage only
         left = rest.join(t.select("name"), "name", "left_anti") if "tokens" in stages else rest
-        st = match_strings(left, universe, "name", norm, string_method)
+        st = match_strings(left, u, "name", "norm", string_method)
         cands.append(st.select("name", "canon", F.lit(4).alias("rank"), F.lit("strings").alias("stage")))
     out = d.select("name", F.col("name").alias("canon"), F.lit("unchanged").alias("stage"))
     if cands:

@@ -225,6 +225,29 @@ def q_lenient_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recs.select("request_id", "scenario_id", "model", "latency_s", "prompt_tokens")
 
 
+@register("split_read", sql="""
+SELECT CAST(event_id AS VARCHAR) AS request_id, event_type AS scenario_id, 'u' || user_id AS model, value AS latency_s,
+       row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos
+FROM events
+""")
+def q_split_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of a type in one results document, with a trailing comma, read in parts by byte ranges."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    bare = F.col("event_type").isin("click", "view")
+    rec = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.col("event_type").alias("scenario_id"),
+                             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("model"), F.col("value").alias("latency_s")))
+    lines = ev.select("event_type", F.lit(1).alias("place"), "event_id", F.concat(rec, F.lit(",")).alias("line"))
+    types = ev.select("event_type").distinct()
+    edge = lambda place, a, b: types.select(
+        "event_type", F.lit(place).alias("place"), F.lit(None).cast("long").alias("event_id"), F.when(bare, a).otherwise(b).alias("line"))
+    doc = lines.unionByName(edge(0, "[", '{"results": [')).unionByName(edge(2, "]", '], "kind": {"n": 1}}'))
+    out = scratch_path(spark, f"split_read-{uuid.uuid4().hex}")
+    (doc.repartition("event_type").sortWithinPartitions("event_type", "place", "event_id")
+     .select("event_type", "line").write.partitionBy("event_type").text(out))
+    recs = results_table(read_results(spark, f"{out}/*/*.txt", layout="documents", split_bytes=0))
+    return recs.select("request_id", "scenario_id", "model", "latency_s", "pos")
+
+
 @register("flatten_records", sql="""
 SELECT conv_id AS "rec.conv_id", turn AS "rec.meta.turn", role AS "rec.meta.role",
        length(text) AS n_chars
@@ -237,7 +260,7 @@ def q_flatten_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_records(nested)
 
 
-STREAM_FILES = 2  # landed files, one micro-batch each; a customer's orders span both
+STREAM_BATCHES = 8  # micro-batches of the streamed job, at least; a customer's orders span them
 
 
 def _evaluate_runs_sql() -> str:
@@ -248,18 +271,20 @@ def _evaluate_runs_sql() -> str:
 
 @register("evaluate_stream", sql=_evaluate_runs_sql())
 def q_evaluate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scoring job run incrementally: order records land as several files, a
-    file-source stream scores them batch by batch; the final scores equal the batch job."""
+    """The scoring job run incrementally: order records land as files, the two streams score
+    them in ``STREAM_BATCHES`` batches or more; the final scores equal the batch job."""
     from labelset.streaming.incremental import current_scores, evaluate_stream
 
     base = scratch_path(spark, f"evaluate_stream-{uuid.uuid4().hex}")
     src = f"{base}/landing"
+    files = max(STREAM_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     recs = order_records(spark, sf_dir)
-    recs.select("pos", "record").repartition(STREAM_FILES).write.json(src)
+    recs.select("pos", "record").repartition(files).write.json(src)
     part = table(spark, sf_dir, "part").select("p_name")
     universe = expand_universe(part, "p_name")
-    q = evaluate_stream(spark, src, base, universe, order_gold(spark, sf_dir), source="orders")
-    q.awaitTermination()
+    per_batch = -(-files // STREAM_BATCHES)
+    evaluate_stream(spark, src, base, universe, order_gold(spark, sf_dir), source="orders",
+                    max_files_per_trigger=per_batch, max_landed_files=per_batch)
     cur = current_scores(spark, base)
     return cur.select("model", "sid_norm", *M.COUNT_COLS, *[r6(m).alias(m) for m in M.METRIC_COLS])
 

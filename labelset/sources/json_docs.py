@@ -102,19 +102,27 @@ def _layout(spark: SparkSession, path: str) -> str:
     return kinds.pop() if len(kinds) == 1 else "lines" if any(n == "_SUCCESS" or n.startswith("part-") for n in names) else "documents"
 
 
-def read_results(spark: SparkSession, paths: Sequence[str] | str, layout: str | None = None) -> DataFrame:
+def read_results(spark: SparkSession, paths: Sequence[str] | str, layout: str | None = None,
+                 split_bytes: int | None = None) -> DataFrame:
     """One row per record object: ``(_source_file, pos, record)`` with ``record`` the raw
     JSON text and ``_source_file`` the full path (the given one for folders of lines or
     Parquet, as ``write_results`` leaves them). Non-object elements are skipped. Missing
     files are skipped. ``layout`` (``documents``, ``lines``, ``parquet``) overrides the
-    choice by name; several files are united by column name.
+    choice by name; several files are united by column name. Documents longer than
+    ``split_bytes`` (by default the session's ``spark.sql.files.maxPartitionBytes``) are read in
+    parts by many tasks, with the same rows (:mod:`labelset.sources.json_split`).
     """
     paths = existing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
     kinds = {p: layout or _layout(spark, p) for p in paths}
-    docs = read_json_lenient(spark, [p for p in paths if kinds[p] == "documents"])
-    out = docs.select(F.col("path").alias("_source_file"),
-                      F.posexplode(record_texts(F.col("text"))).alias("pos", "record"))
-    out = out.withColumn("pos", F.col("pos").cast("long"))
+    whole, large = _by_length(spark, [p for p in paths if kinds[p] == "documents"], split_bytes)
+    out = _whole_records(spark, whole)
+    if large:
+        from labelset.sources.json_split import split_results
+
+        parts, left = split_results(spark, large)
+        # one path a document, bounded by the given ones
+        rest = _whole_records(spark, [r["file"] for r in left.collect()])
+        out = out.unionByName(parts).unionByName(rest)
     for p in paths:
         if kinds[p] == "documents":
             continue
@@ -124,6 +132,39 @@ def read_results(spark: SparkSession, paths: Sequence[str] | str, layout: str |
     return out.filter(strip_ws(F.col("record")).startswith("{"))
 
 
+def _whole_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    docs = read_json_lenient(spark, paths)
+    out = docs.select(F.col("path").alias("_source_file"),
+                      F.posexplode(record_texts(F.col("text"))).alias("pos", "record"))
+    return out.withColumn("pos", F.col("pos").cast("long"))
+
+
+_PACKED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
+
+
+def _by_length(spark: SparkSession, paths: Sequence[str], most: int | None) -> tuple[list[str], list[str]]:
+    """Paths of documents to read whole, and files longer than ``most`` bytes that can be cut."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # noqa: BLE001 - no JVM handle: lengths are not known
+        return list(paths), []
+    if most is None:
+        most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    whole, large = [], []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        found = list(fs.globStatus(path) or [])
+        files = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+        long = [f.getPath().toString() for f in files if f.isFile() and f.getLen() > most and not f.getPath().getName().endswith(_PACKED)]
+        if not long:
+            whole.append(p)
+            continue
+        large += long
+        whole += [q for q in (f.getPath().toString() for f in files if f.isFile() and not f.getPath().getName().startswith(("_", "."))) if q not in long]
+    return whole, large
+
+
 read_runs = read_results
 
 

@@ -1,19 +1,26 @@
 """Incremental scoring of result records that keep landing (X2).
 
-Records arrive as JSON-lines files ``{"pos": ..., "record": "<record JSON text>"}``. Every
-micro-batch (``foreachBatch``):
-
-1. parses its records, canonicalises its distinct names and appends the long predicted
-   items and seen keys to two state tables (Parquet, append);
-2. recomputes the metrics of the keys the batch touched from the *whole* state (a late
-   record that adds items to a known key changes that key's metrics) and appends them,
-   tagged with the batch id, to the output table.
-
-The latest row per key (highest batch id) is the current score: :func:`current_scores`.
-Every write of a batch goes to that batch's own ``batch_id`` partitions with dynamic
-partition overwrite, so replaying a batch after a failure replaces its rows instead of
-adding copies (and the state holds sets, so the recomputed metrics are the same). The stream
-checkpoint and the tables live under one folder in the shared checkpoint location.
+Records arrive as JSON-lines files ``{"pos": ..., "record": "<record JSON text>"}``. Two
+streaming queries share the work:
+
+* **ingest** (``foreachBatch``, stateless): parses a batch's records, canonicalises the
+  batch's own distinct names and lands one row per seen key and one per predicted item of
+  the batch (distinct within it, so a hot key leaves at most one row per universe item);
+* **score** (keyed state in the state store): reads the landed rows, drops the items a key
+  already has (streaming deduplication on key and item), tags the others with the gold
+  table and keeps TP, FP and the first raw spelling per key in a streaming aggregation.
+  In update mode a batch emits exactly the keys it touched, with their new counts; FN and TN
+  follow from the gold and universe sizes.
+
+A batch reads its own rows, the gold rows it joins and the state of its own keys; no earlier
+batch is read again. State lives in RocksDB (spills to disk, changelog in the checkpoint), so
+it may exceed memory. Both queries restart from their checkpoints: a landed batch replaces its
+own folder when it is replayed, the state store rolls back to the batch's version, and the
+emitted rows of a batch replace that batch's partition. Order does not matter: the state holds sets,
+and the first spelling is the one with the smallest position.
+
+``current_scores`` is the latest row per key; ``compact_scores`` folds the emitted batches
+into one snapshot and ``current_scores`` then reads that and the later batches only.
 """
 
 from __future__ import annotations
@@ -22,99 +29,189 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from labelset.functions.text import normalize_text_df
 from labelset.operators import metrics as M
 from labelset.operators.match import ALIAS_RULES, canonicalize
 from labelset.plans.scoring import GROUPS, KEYS, record_rows
-from labelset.functions.text import normalize_text_df
 from labelset.session import cut_lineage
+from labelset.sources.json_docs import existing_paths
 
 RECORD_SCHEMA = "pos long, record string"
-STATE_BUCKETS = 16  # default number of key-hash buckets partitioning the state tables
-
-
-def _bucket(n: int = STATE_BUCKETS):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in KEYS]), F.lit(n)).cast("int").alias("bucket")
-
-
-def _write_batch(df: DataFrame, path: str, parts: list[str]) -> None:
-    """Write into the batch's own partitions, replacing them if the batch is replayed."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*parts).parquet(path))
+LANDED_SCHEMA = "source string, model string, sid_norm string, sid_raw string, pos long, item string"
+SCORED_SCHEMA = ("source string, model string, sid_norm string, sid_raw string, tp long, fp long, fn long, "
+                 "tn long, skipped boolean, batch_id long")
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def _paths(base: str) -> dict[str, str]:
     b = base.rstrip("/")
-    return {"pred": f"{b}/state/pred", "seen": f"{b}/state/seen", "out": f"{b}/out/per_key",
-            "checkpoint": f"{b}/_checkpoint"}
+    return {"landed": f"{b}/landed", "out": f"{b}/out/per_key", "snapshot": f"{b}/out/snapshot",
+            "ingest_checkpoint": f"{b}/_checkpoint/ingest", "score_checkpoint": f"{b}/_checkpoint/score"}
 
 
-def score_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str, source: str,
-                universe: DataFrame, gold: DataFrame, rules=ALIAS_RULES,
-                string_method: str = "ratio", buckets: int = STATE_BUCKETS) -> None:
-    p = _paths(base)
-    recs = batch.select(F.lit(source).alias("_source_file"), "pos", "record")
-    rows = record_rows(recs).filter(F.col("sid_norm") != "")
-    # the parsed batch feeds three writes: parse it once (checkpoint in the shared folder)
+def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """The batch's own folder: a replayed batch replaces its rows."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+# --- ingest ----------------------------------------------------------------------------------
+def land_batch(rows: DataFrame, batch_id: int, base: str, universe: DataFrame,
+               rules=ALIAS_RULES, string_method: str = "ratio") -> None:
+    """Seen keys (``item`` NULL, first raw spelling) and distinct predicted items of one batch of parsed records."""
+    # they feed the keys and the names: parse them once
     rows = cut_lineage(rows)
-    seen = rows.select(*KEYS, "sid_raw", "pos", _bucket(buckets))
-    names = normalize_text_df(rows.select(*KEYS, F.explode("names").alias("raw_name")),
-                              "raw_name", "name").select(*KEYS, "name")
-    # distinct names feed several branches: canonicalize checkpoints them once
+    # records without a key stand under the empty one, which no gold has: their model stays known
+    seen = rows.groupBy(*KEYS).agg(F.min_by("sid_raw", "pos").alias("sid_raw"), F.min("pos").alias("pos"))
+    keyed = rows.filter(F.col("sid_norm") != "")
+    names = normalize_text_df(keyed.select(*KEYS, F.explode("names").alias("raw_name")),
+                              "raw_name", "name").select(*KEYS, "name").distinct()
     cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
                         string_method=string_method)
     kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
-    pred = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
-    # one writer per bucket: one file per bucket and batch; each batch owns its batch_id
-    # partitions (dynamic overwrite), so a replayed batch replaces its own rows
-    bid = F.lit(batch_id).cast("long").alias("batch_id")
-    _write_batch(pred.select("*", _bucket(buckets), bid).repartition("bucket"), p["pred"],
-                 ["batch_id", "bucket"])
-    _write_batch(seen.select("*", bid).repartition("bucket"), p["seen"], ["batch_id", "bucket"])
-    # touched keys carry their bucket: the semi joins below prune state partitions
-    # (dynamic partition pruning), so a batch reads the buckets it touched, not all history
-    touched = rows.select(*KEYS, _bucket(buckets)).distinct()
-    jk = ["bucket", *KEYS]
-    all_seen = spark.read.parquet(p["seen"]).join(touched, jk, "left_semi")
-    seen_k = all_seen.groupBy(*KEYS).agg(F.min_by("sid_raw", F.struct("batch_id", "pos")).alias("sid_raw"))
-    all_pred = (spark.read.parquet(p["pred"]).join(touched, jk, "left_semi")
-                .drop("bucket", "batch_id"))
-    gold_att = seen_k.select(*KEYS).join(gold.select("sid_norm", "item"), "sid_norm")
-    conf = M.set_confusion(all_pred, gold_att, list(KEYS), "item", universe=universe)
-    per_key = M.set_metrics(conf).join(seen_k, list(KEYS))
-    # keys that are seen but not (or no longer) evaluated get a row marked skipped
-    skipped = M.skipped_keys(seen_k, conf.select(*KEYS), list(KEYS))
-    out = per_key.withColumn("skipped", F.lit(False)).unionByName(
-        skipped.withColumn("skipped", F.lit(True)), allowMissingColumns=True)
-    _write_batch(out.withColumn("batch_id", F.lit(batch_id).cast("long")), p["out"], ["batch_id"])
+    items = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
+    out = (seen.withColumn("item", F.lit(None).cast("string"))
+           .unionByName(items, allowMissingColumns=True))
+    _replace_batch(out.select(*KEYS, "sid_raw", "pos", "item"), _paths(base)["landed"], batch_id)
+
+
+def ingest_stream(spark: SparkSession, source_dir: str, base: str, universe: DataFrame,
+                  source: str = "stream", rules=ALIAS_RULES, string_method: str = "ratio",
+                  max_files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
+    """Start landing the JSON-lines files of ``source_dir``."""
+    stream = (spark.readStream.schema(RECORD_SCHEMA)
+              .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
+    parsed = record_rows(stream.select(F.lit(source).alias("_source_file"), "pos", "record"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        land_batch(batch, batch_id, base, universe, rules, string_method)
+
+    return _start(parsed.writeStream.foreachBatch(each), _paths(base)["ingest_checkpoint"], available_now)
+
+
+# --- score -----------------------------------------------------------------------------------
+def keyed_counts(landed: DataFrame, gold: DataFrame) -> DataFrame:
+    """Running ``tp``, ``fp`` and first raw spelling per key of a stream of landed rows.
+
+    Two keyed states: the items each key has (deduplication), and the counts (aggregation).
+    """
+    pairs = gold.select("sid_norm", "item").distinct().withColumn("hit", F.lit(True))
+    fresh = landed.filter(F.col("item").isNotNull()).dropDuplicates([*KEYS, "item"])
+    tagged = fresh.join(pairs, ["sid_norm", "item"], "left").select(
+        *KEYS, F.lit(None).cast("string").alias("sid_raw"), F.lit(None).cast("long").alias("pos"),
+        F.coalesce("hit", F.lit(False)).alias("hit"))
+    seen = landed.filter(F.col("item").isNull()).select(*KEYS, "sid_raw", "pos", F.lit(None).cast("boolean").alias("hit"))
+    return tagged.unionByName(seen).groupBy(*KEYS).agg(
+        F.min_by("sid_raw", "pos").alias("sid_raw"), F.count_if(F.col("hit")).alias("tp"),
+        F.count_if(~F.col("hit")).alias("fp"))
+
+
+def with_misses(counts: DataFrame, gold: DataFrame, universe_size: int) -> DataFrame:
+    """``fn`` and ``tn`` from the number of gold items of a key; keys without any are ``skipped``."""
+    sizes = gold.groupBy("sid_norm").agg(F.count_distinct("item").alias("_gold"))
+    rows = counts.join(sizes, "sid_norm", "left")
+    fn = F.coalesce("_gold", F.lit(0)) - F.col("tp")
+    rows = rows.withColumn("fn", fn).withColumn("skipped", F.col("_gold").isNull())
+    return rows.withColumn("tn", F.greatest(F.lit(universe_size) - F.col("tp") - F.col("fp") - F.col("fn"), F.lit(0)).cast("long"))
+
+
+def score_stream(spark: SparkSession, base: str, universe: DataFrame, gold: DataFrame,
+                 max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """Start scoring the landed rows; every batch emits the keys it touched."""
+    p = _paths(base)
+    stream = spark.readStream.schema(LANDED_SCHEMA)
+    if max_files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", max_files_per_trigger)
+    landed = stream.parquet(f"{p['landed']}/*")
+    size = universe.agg(F.count_distinct("norm")).first()[0]
+    gold = M.in_universe(gold.select("sid_norm", "item"), universe, "item", "norm").filter(F.col("sid_norm") != "")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = with_misses(batch, gold, size)
+        _replace_batch(rows.select(*KEYS, "sid_raw", "tp", "fp", "fn", "tn", "skipped"), p["out"], batch_id)
+
+    writer = keyed_counts(landed, gold).writeStream.outputMode("update").foreachBatch(each)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():  # a query keeps the settings it starts with
+        spark.conf.set(k, v)
+    try:
+        return _start(writer, p["score_checkpoint"], available_now)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
+    w = writer.option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
 
 
 def evaluate_stream(spark: SparkSession, source_dir: str, base: str, universe: DataFrame,
                     gold: DataFrame, source: str = "stream", rules=ALIAS_RULES,
                     string_method: str = "ratio", max_files_per_trigger: int = 1,
-                    available_now: bool = True, buckets: int = STATE_BUCKETS) -> StreamingQuery:
-    """Start the incremental scorer over the JSON-lines files landing in ``source_dir``."""
-    p = _paths(base)
+                    max_landed_files: int | None = None) -> None:
+    """Score everything that has landed in ``source_dir`` since the last call, and return.
+
+    Files that land later are scored by the next call, which goes on from the checkpoints. For an
+    endless run start :func:`ingest_stream` and :func:`score_stream` with ``available_now=False``.
+    """
     # every batch reads gold and universe: compute them once
     universe, gold = cut_lineage(universe), cut_lineage(gold)
-    stream = (spark.readStream.schema(RECORD_SCHEMA)
-              .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
+    ingest_stream(spark, source_dir, base, universe, source, rules, string_method, max_files_per_trigger).awaitTermination()
+    if existing_paths(spark, [_paths(base)["landed"]]):
+        score_stream(spark, base, universe, gold, max_landed_files).awaitTermination()
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        score_batch(spark, batch, batch_id, base, source, universe, gold, rules, string_method,
-                    buckets)
 
-    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", p["checkpoint"])
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+# --- results ---------------------------------------------------------------------------------
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished batches in a folder."""
+    if not existing_paths(spark, [path]):
+        return []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(f.getPath().getName(), f.getPath()) for f in fs.listStatus(folder)]
+    return sorted(int(n.split("=", 1)[1]) for n, q in found if n.startswith("batch_id=") and fs.exists(hadoop.Path(q, "_SUCCESS")))
+
+
+def _emitted(spark: SparkSession, base: str) -> DataFrame:
+    """Rows of the newest snapshot and of the batches behind it, with their batch."""
+    p = _paths(base)
+    snaps = _batches(spark, p["snapshot"])[-1:]
+    later = [b for b in _batches(spark, p["out"]) if not snaps or b > snaps[0]]
+    paths = [f"{p['snapshot']}/batch_id={b}" for b in snaps] + [f"{p['out']}/batch_id={b}" for b in later]
+    if not paths:
+        return spark.createDataFrame([], SCORED_SCHEMA)
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch_id=(\d+)/[^/]*$", 1).cast("long")
+    return spark.read.schema(SCORED_SCHEMA.rsplit(",", 1)[0]).parquet(*paths).select("*", batch.alias("batch_id"))
+
+
+def _latest(spark: SparkSession, base: str) -> DataFrame:
+    rows = _emitted(spark, base)
+    values = [c for c in rows.columns if c not in KEYS]
+    last = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*values), "batch_id").alias("_last"))
+    return last.select(*KEYS, "_last.*")
+
+
+def compact_scores(spark: SparkSession, base: str) -> int | None:
+    """Fold the emitted batches into one snapshot, named after the last of them; that number."""
+    p = _paths(base)
+    done = _batches(spark, p["out"])
+    if not done or done[-1:] == _batches(spark, p["snapshot"])[-1:]:
+        return done[-1] if done else None
+    _replace_batch(_latest(spark, base).drop("batch_id"), p["snapshot"], done[-1])
+    return done[-1]
 
 
 def current_scores(spark: SparkSession, base: str) -> DataFrame:
-    """Latest row per key over all batches; keys currently skipped are left out."""
-    out = spark.read.parquet(_paths(base)["out"])
-    latest = out.groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
-    cur = out.join(latest, [*KEYS, "batch_id"])
-    return cur.filter(~F.col("skipped")).drop("skipped", "batch_id")
+    """Metrics of every evaluated key after the last batch."""
+    rows = _latest(spark, base).filter(~F.col("skipped")).drop("skipped", "batch_id")
+    return M.set_metrics(rows.select(*KEYS, "sid_raw", *M.COUNT_COLS))
 
 
 def current_macro(spark: SparkSession, base: str) -> DataFrame:
-    return M.macro_average(current_scores(spark, base), list(GROUPS))
+    """Macro averages of every (source, model) seen so far; 0.0 where no key is evaluated."""
+    groups = _latest(spark, base).select(*GROUPS).distinct()
+    return M.macro_average(current_scores(spark, base), list(GROUPS), groups)

@@ -3,7 +3,7 @@
 import json
 import os
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row
 
 from labelset.plans.scoring import evaluate_runs
 from labelset.functions.text import expand_universe
@@ -45,23 +45,84 @@ def test_evaluate_runs(spark):
     assert all(r.tp + r.fp + r.fn + r.tn == usize for r in s.per_key.collect())
 
 
-def test_stream_equals_batch(spark, scratch):
-    from labelset.streaming.incremental import current_scores, evaluate_stream
+def _land(folder, name, rows):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        for r in rows:
+            f.write(json.dumps({"pos": r.pos, "record": r.record}) + "\n")
+
+
+def _counts(df):
+    return {(r.source, r.model, r.sid_norm, r.sid_raw, r.tp, r.fp, r.fn, r.tn) for r in df.collect()}
+
+
+def test_stream_equals_batch_in_any_order(spark, scratch):
+    """Late files with earlier positions, repeated files, restarts between files, one record a file."""
+    from labelset.streaming.incremental import compact_scores, current_macro, current_scores, evaluate_stream
 
     df, u, gold = _inputs(spark)
-    src = os.path.join(scratch, "landing")
+    src, base = os.path.join(scratch, "landing"), os.path.join(scratch, "stream")
     rows = df.collect()
-    for i, part in enumerate([rows[:2], rows[2:4], rows[4:]]):
-        with open(os.path.join(src if os.path.isdir(src) else (os.makedirs(src) or src), f"b{i}.json"), "w") as f:
-            for r in part:
-                f.write(json.dumps({"pos": r.pos, "record": r.record}) + "\n")
-    base = os.path.join(scratch, "stream")
-    q = evaluate_stream(spark, src, base, u, gold, source="r.json")
+    want = evaluate_runs(df, u, gold)
+    assert compact_scores(spark, base) is None and current_scores(spark, base).count() == 0
+    run = lambda: evaluate_stream(spark, src, base, u, gold, source="r.json", max_landed_files=1)
+    for i, k in enumerate([4, 1]):
+        _land(src, f"a{i}.json", rows[k:k + 1])
+    run()
+    partial = {(r.model, r.sid_norm): r for r in current_scores(spark, base).collect()}
+    assert set(partial) == {("m1", "a"), ("unknown_model", "a")} and partial["m1", "a"].sid_raw == "a"
+    assert compact_scores(spark, base) is not None
+    _land(src, "b0.json", [rows[5], rows[3]])
+    _land(src, "b1.json", [rows[0], rows[2], rows[0]])  # record 0 is the first spelling of key a, and comes twice
+    run()
+    assert _counts(current_scores(spark, base)) == _counts(want.per_key)
+    assert sorted(map(tuple, current_macro(spark, base).collect())) == sorted(map(tuple, want.macro.collect()))
+    run()  # nothing new
+    last = compact_scores(spark, base)
+    assert _counts(current_scores(spark, base)) == _counts(want.per_key) and compact_scores(spark, base) == last
+
+
+def test_stream_emits_touched_keys_only(spark, scratch):
+    """A batch's output, and the state rows it updates, follow its own keys and not the history."""
+    from labelset.streaming import incremental as inc
+
+    _, u, gold = _inputs(spark)
+    src, base = os.path.join(scratch, "touched-in"), os.path.join(scratch, "touched")
+    rec = lambda i, kpi: Row(pos=i, record=json.dumps({"scenario_id": f"k{i}", "model": "m", "parsed_items": [{"kpi": kpi}]}))
+    _land(src, "a.json", [rec(i, "CPA") for i in range(400)])
+    inc.evaluate_stream(spark, src, base, u, gold)
+    _land(src, "b.json", [rec(7, "CTR"), rec(8, "CPA")])
+    inc.ingest_stream(spark, src, base, u).awaitTermination()
+    q = inc.score_stream(spark, base, u, gold)
     q.awaitTermination()
-    got = {(r.model, r.sid_norm, r.tp, r.fp, r.fn, r.tn) for r in current_scores(spark, base).collect()}
-    batch = evaluate_runs(df, u, gold).per_key
-    want = {(r.model, r.sid_norm, r.tp, r.fp, r.fn, r.tn) for r in batch.collect()}
-    assert got == want
+    ops = [p for p in q.recentProgress if p["numInputRows"]][-1]["stateOperators"]
+    assert {o["operatorName"] for o in ops} == {"dedupe", "stateStoreSave"}
+    assert all(o["numRowsUpdated"] <= 2 and o["numRowsTotal"] >= 400 for o in ops)
+    emitted = inc._batches(spark, inc._paths(base)["out"])
+    out = spark.read.parquet(f"{inc._paths(base)['out']}/batch_id={emitted[-1]}")
+    assert sorted((r.sid_norm, r.tp, r.fp) for r in out.collect()) == [("k7", 0, 2), ("k8", 0, 1)]
+
+
+def test_stream_replays_a_batch_that_was_not_committed(spark, scratch):
+    from labelset.streaming import incremental as inc
+
+    df, u, gold = _inputs(spark)
+    src, base = os.path.join(scratch, "replay-in"), os.path.join(scratch, "replay")
+    rows = df.collect()
+    _land(src, "a.json", rows[:3])
+    inc.evaluate_stream(spark, src, base, u, gold, source="r.json")
+    _land(src, "b.json", rows[3:])
+    inc.evaluate_stream(spark, src, base, u, gold, source="r.json")
+    want = _counts(evaluate_runs(df, u, gold).per_key)
+    assert _counts(inc.current_scores(spark, base)) == want
+    for query in ("ingest_checkpoint", "score_checkpoint"):  # as if the driver was lost before the last commit
+        commits = os.path.join(inc._paths(base)[query], "commits")
+        last = max(int(n) for n in os.listdir(commits) if n.isdigit())
+        for name in (str(last), f".{last}.crc"):
+            if os.path.exists(os.path.join(commits, name)):
+                os.remove(os.path.join(commits, name))
+    inc.evaluate_stream(spark, src, base, u, gold, source="r.json")
+    assert _counts(inc.current_scores(spark, base)) == want
 
 
 def test_entry_contract(spark):
@@ -72,17 +133,3 @@ def test_entry_contract(spark):
     assert "precision" in out.columns and "c_mktsegment" in out.columns
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 25
-
-
-def test_stream_batch_replay_is_idempotent(spark, scratch):
-    from labelset.streaming.incremental import current_scores, score_batch
-
-    df, u, gold = _inputs(spark)
-    base = os.path.join(scratch, "replay")
-    batch = df.select("pos", "record")
-    score_batch(spark, batch.filter("pos < 3"), 0, base, "r.json", u, gold)
-    score_batch(spark, batch.filter("pos >= 3"), 1, base, "r.json", u, gold)
-    first = sorted(tuple(r) for r in current_scores(spark, base).collect())
-    score_batch(spark, batch.filter("pos >= 3"), 1, base, "r.json", u, gold)   # replay
-    again = sorted(tuple(r) for r in current_scores(spark, base).collect())
-    assert first == again and len({(r[0], r[1], r[2]) for r in again}) == len(again)
