@@ -8,8 +8,8 @@ joined back by the caller.
 * exact   : equi (semi) join on the normal form;
 * tokens  : token-set similarity (Jaccard + 0.1 on containment, accept >= 0.6), found
             with a lossless prefix-filter equi-join on rare tokens instead of all pairs;
-* strings : sequence similarity (>= 0.85) over a length-banded equi-join; the exact
-            ratio of the scored tool runs in an Arrow UDF, a native Levenshtein variant
+* strings : sequence similarity (>= 0.85) over equi-joins on rare bigrams (characters for
+            short strings); the exact ratio of the scored tool runs in an Arrow UDF, a native Levenshtein variant
             stays in the JVM.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,18 +131,18 @@ VERIFY_COST = 0.4
 CONTAINED = 2
 
 
-def _ranked(rows: DataFrame, freq: DataFrame) -> DataFrame:
+def _ranked(rows: DataFrame, freq: DataFrame, share: float = TOKEN_THRESHOLD) -> DataFrame:
     """``id, tok, sz, pos, len, df``: each set's tokens from the rarest on, and its prefix extension.
 
-    A set keeps ``sz - ceil(0.6 sz) + len`` tokens of its global frequency order. Two sets with
-    Jaccard >= 0.6 then share ``len`` of them (the smaller of the two extensions), so a longer
+    A set keeps ``sz - ceil(share * sz) + len`` tokens of its global frequency order. Two sets that have
+    that share of each in common (0.6 for a Jaccard of 0.6) then share ``len`` of them (the smaller of the two extensions), so a longer
     prefix costs more joined rows and leaves fewer candidates. ``len`` minimises, per set,
     S + S / len * (cost of verifying a candidate), S the posting rows that its prefix meets: at
     most S / len partners can share len tokens.
     """
     by_set = Window.partitionBy("id")
     order = by_set.orderBy("df", "tok")
-    base = F.col("sz") - F.ceil(F.col("sz") * 3 / 5)
+    base = _base(share)
     r = rows.join(freq, "tok").withColumn("pos", F.row_number().over(order))
     met = F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, 0))
     step = F.col("pos") - base
@@ -151,6 +151,10 @@ def _ranked(rows: DataFrame, freq: DataFrame) -> DataFrame:
     return r.withColumn("len", best["len"].cast("int"))
 
 
+def _base(share: float) -> Column:
+    return F.col("sz") - F.ceil(F.col("sz") * share - 1e-9)
+
+
 def _side(ranked: DataFrame, side: str, prefix: Column) -> DataFrame:
     """A side's rows within the prefix, columns named by the side."""
     return ranked.filter(F.col("pos") <= prefix).select(
@@ -165,20 +169,21 @@ def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, ["tok", "part"])
 
 
-def _jaccard_candidates(left: DataFrame, right: DataFrame, self_join: bool) -> DataFrame:
-    """Pairs that can reach a Jaccard of 0.6: ``lid, rid``.
+def _overlap_candidates(left: DataFrame, right: DataFrame, need: Callable[[Column, Column], Column], share: float,
+                        keep: Column | None = None) -> DataFrame:
+    """Pairs ``lid, rid`` of ranked sets of sizes a and b that can have ``need(a, b)`` tokens in common.
 
-    They need ``need = ceil(3/8 (a + b))`` common tokens, hence ``k`` of them within the first
-    ``size - need + k`` tokens of either set, ``k`` the smaller extension.
+    They have ``k`` of them within the first ``size - need + k`` tokens of either set, ``k`` the smaller extension.
+    ``need(a, b)`` is at least ``share`` of each size for every pair that is possible at all.
     """
-    prefix = F.col("sz") - F.ceil(F.col("sz") * 3 / 5) + F.col("len")
+    prefix = _base(share) + F.col("len")
     rows = _meet(_side(left, "l", prefix), _side(right, "r", prefix))
-    need = F.ceil((F.col("lsz") + F.col("rsz")) * 3 / 8)
-    k = F.least("llen", "rlen", need)
-    rows = rows.filter((need <= F.least("lsz", "rsz")) & (F.col("lpos") <= F.col("lsz") - need + k)
-                       & (F.col("rpos") <= F.col("rsz") - need + k))
-    if self_join:
-        rows = rows.filter("rid < lid")
+    needed = need(F.col("lsz"), F.col("rsz"))
+    k = F.least("llen", "rlen", needed)
+    rows = rows.filter((needed <= F.least("lsz", "rsz")) & (F.col("lpos") <= F.col("lsz") - needed + k)
+                       & (F.col("rpos") <= F.col("rsz") - needed + k))
+    if keep is not None:
+        rows = rows.filter(keep)
     shared = rows.groupBy("lid", "rid").agg(F.count(F.lit(1)).alias("n"), F.max(k).alias("k"))
     return shared.filter("n >= k").select("lid", "rid")
 
@@ -204,7 +209,7 @@ def token_candidates(left: DataFrame, right: DataFrame, self_join: bool = False,
     every = lrows if self_join else lrows.unionByName(rrows)
     freq = every.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     # prefix rows are read by both kinds of candidates: rank them once (reliable checkpoint)
-    reach = F.col("sz") - F.least(F.ceil(F.col("sz") * 3 / 5) - F.col("len"), F.ceil(F.col("sz") / 2) - CONTAINED)
+    reach = F.greatest(_base(TOKEN_THRESHOLD) + F.col("len"), _base(0.5) + CONTAINED)
     land = lambda df: cut_lineage(df.filter(F.col("pos") <= reach)) if materialize else df
     l = land(_ranked(lrows, freq))
     r = l if self_join else land(_ranked(rrows, freq))
@@ -214,7 +219,9 @@ def token_candidates(left: DataFrame, right: DataFrame, self_join: bool = False,
     else:
         contained = _contained_candidates(l, r).unionByName(swapped)
     # sizes keep the two kinds apart, so no pair comes twice
-    return _jaccard_candidates(l, r, self_join).unionByName(contained)
+    jaccard = _overlap_candidates(l, r, lambda a, b: F.ceil((a + b) * 3 / 8), TOKEN_THRESHOLD,
+                                  F.col("rid") < F.col("lid") if self_join else None)
+    return jaccard.unionByName(contained)
 
 
 def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
@@ -304,23 +311,6 @@ def match_tokens(names: DataFrame, universe: DataFrame, name: str = "name", norm
 
 
 # --- J7: string similarity -------------------------------------------------------------------
-LENGTH_BUCKET = 8
-
-
-def _length_band_pairs(names: DataFrame, universe: DataFrame, lo_ratio: float,
-                       hi_ratio: float) -> DataFrame:
-    """Pairs ``(_n, _u)`` with lo_ratio <= len(u)/len(n) <= hi_ratio, by an equi-join on
-    length buckets (the universe side is exploded over the buckets it may meet)."""
-    n = names.withColumn("_ln", F.length("_n")).withColumn("_b", F.floor(F.col("_ln") / LENGTH_BUCKET))
-    u = universe.withColumn("_lu", F.length("_u"))
-    lo = F.floor(F.col("_lu") / F.lit(hi_ratio) / LENGTH_BUCKET)
-    hi = F.floor(F.col("_lu") / F.lit(lo_ratio) / LENGTH_BUCKET)
-    u = u.withColumn("_b", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-    j = n.join(u, "_b")
-    return j.filter((F.col("_lu") >= F.col("_ln") * F.lit(lo_ratio) - 1e-9) &
-                    (F.col("_lu") <= F.col("_ln") * F.lit(hi_ratio) + 1e-9))
-
-
 def sequence_ratio(threshold: float):
     """Arrow UDF (cand, name): difflib ratio with the name as the second sequence (as
     ``get_close_matches``); pairs whose cheap upper bounds miss ``threshold`` get 0.0."""
@@ -374,13 +364,25 @@ def _qgram_rows(df: DataFrame, col: str, need) -> DataFrame:
     return base.select("_s", "_l", "need", F.explode_outer("_g").alias("g"))
 
 
-def string_candidates(names: DataFrame, universe: DataFrame, need, lo: float, hi: float) -> DataFrame:
-    """Pairs ``(_n, _u, _ln, _lu)`` within the length band that can match.
+def _character_rows(df: DataFrame) -> DataFrame:
+    """``id, sz, tok``: the characters of each string, made unique by occurrence number."""
+    s = F.col("id")
+    chars = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, 1))
+    numbered = F.transform("_c", lambda c, i: F.concat(
+        c, F.lit("\u0000"), F.size(F.filter(F.slice("_c", 1, i), lambda d: d == c)).cast("string")))
+    rows = df.select("id", chars.alias("_c")).select("id", numbered.alias("_k"))
+    return rows.select("id", F.inline(F.transform("_k", lambda k: F.struct(k.alias("tok"), F.size("_k").alias("sz")))))
+
+
+def string_candidates(names: DataFrame, universe: DataFrame, need, common, share: float) -> DataFrame:
+    """Pairs ``(_n, _u, _ln, _lu)`` that can match.
 
     Strings with a positive ``need`` keep their ``|G| - need + 1`` rarest bigrams (one global
     frequency order); two such strings can only match if those prefixes share a bigram
-    (equi-join). A pair with a string too short for a positive bound, on either side, is
-    found through the length band. Lossless at every threshold.
+    (equi-join). Where either string is too short for a positive bound (or the threshold too
+    low), the pair is found by its characters: a match has ``common(ln, lu)`` of them in common, at least ``share`` of
+    either string, so extended prefixes of the rarest characters share several (as for token
+    sets). Lossless at every threshold.
     """
     nr = _qgram_rows(names.select("_n"), "_n", need).withColumn("side", F.lit("n"))
     ur = _qgram_rows(universe.select("_u"), "_u", need).withColumn("side", F.lit("u"))
@@ -392,15 +394,15 @@ def string_candidates(names: DataFrame, universe: DataFrame, need, lo: float, hi
     pref = ranked.filter(F.col("pos") <= n_grams - F.col("need") + 1)
     lp = pref.filter(F.col("side") == "n").select(F.col("_s").alias("_n"), F.col("_l").alias("_ln"), "g")
     rp = pref.filter(F.col("side") == "u").select(F.col("_s").alias("_u"), F.col("_l").alias("_lu"), "g")
-    band = ((F.col("_lu") >= F.col("_ln") * F.lit(lo) - 1e-9) &
-            (F.col("_lu") <= F.col("_ln") * F.lit(hi) + 1e-9))
-    blocked = lp.join(rp, "g").filter(band).select("_n", "_u", "_ln", "_lu").distinct()
-    short_n = names.filter(need(F.length("_n")) < 1)
-    short_u = universe.filter(need(F.length("_u")) < 1)
-    long_n = names.filter(need(F.length("_n")) >= 1)
-    pick = lambda df: df.select("_n", "_u", "_ln", "_lu")
-    short = pick(_length_band_pairs(short_n, universe, lo, hi)).unionByName(pick(_length_band_pairs(long_n, short_u, lo, hi)))
-    return blocked.unionByName(short).distinct()
+    possible = common(F.col("_ln"), F.col("_lu")) <= F.least("_ln", "_lu")
+    blocked = lp.join(rp, "g").filter(possible).select("_n", "_u").distinct()
+    nc = _character_rows(names.select(F.col("_n").alias("id")))
+    uc = _character_rows(universe.select(F.col("_u").alias("id")))
+    chars = nc.unionByName(uc).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    short = lambda c: need(F.length(c)) < 1
+    by_chars = _overlap_candidates(_ranked(nc, chars, share), _ranked(uc, chars, share), common, share, short("lid") | short("rid"))
+    pairs = blocked.unionByName(by_chars.select(F.col("lid").alias("_n"), F.col("rid").alias("_u")))
+    return pairs.withColumns({"_ln": F.length("_n"), "_lu": F.length("_u")})
 
 
 def match_strings(names: DataFrame, universe: DataFrame, name: str = "name", norm: str = "norm",
@@ -415,11 +417,14 @@ def match_strings(names: DataFrame, universe: DataFrame, name: str = "name", nor
     n = names.select(F.col(name).alias("_n")).distinct().filter(F.length("_n") > 0)
     u = universe.select(F.col(norm).alias("_u")).distinct().filter(F.length("_u") > 0)
     if method == "ratio":
-        pairs = string_candidates(n, u, lambda l: ratio_need(l, threshold), threshold / (2 - threshold),
-                                  (2 - threshold) / threshold)
+        # t <= 2M/(a+b) with M characters in common, and M <= the shorter length
+        pairs = string_candidates(n, u, lambda l: ratio_need(l, threshold),
+                                  lambda a, b: F.ceil((a + b) * (threshold / 2) - 1e-9), threshold / (2 - threshold))
         scored = pairs.withColumn("score", sequence_ratio(threshold)(F.col("_u"), F.col("_n")))
     elif method == "levenshtein":
-        pairs = string_candidates(n, u, lambda l: levenshtein_need(l, threshold), threshold, 1 / threshold)
+        # at most (1-t)max(a,b) edits leave t*max(a,b) characters in place
+        pairs = string_candidates(n, u, lambda l: levenshtein_need(l, threshold),
+                                  lambda a, b: F.ceil(F.greatest(a, b) * threshold - 1e-9), threshold)
         mx = F.greatest(F.col("_ln"), F.col("_lu"))
         k = F.floor(mx * F.lit(1 - threshold) + 1e-9).cast("int")
         d = F.call_function("levenshtein", F.col("_n"), F.col("_u"), k)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from labelset.functions import text as T
 from labelset.operators import match as MT
 from labelset.operators import metrics as M
+from labelset.operators.rule_index import match_rule_table
 from labelset.plans.registry import r6, register, table
 from labelset.plans.text_tables import sql_normalize, sql_token_list
 
@@ -23,7 +24,7 @@ PART_RULES: tuple[tuple[str, str], ...] = (
     (r"cold .*gizmo", "cold gizmo"),
     (r".*\bwidgets?\b.*\beconomy$", "new widget"),
 )
-SMALL_PART_SIZE = 25  # universe filter of in_universe / match_exact
+LISTED = "%o%"  # part names in the universe of in_universe / match_exact; the others are rejected
 
 _VARIANTS = (
     "p_name",
@@ -65,15 +66,39 @@ def q_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("match_rule_table", sql="""
+WITH n AS (SELECT p_partkey AS k, lower(p_name || ' ' || replace(p_brand, '#', ' ') || ' ' || p_partkey) AS name FROM part),
+h AS (SELECT name, 'customer ' || c_custkey AS target, 10 + c_custkey AS rule_order FROM n JOIN customer
+        ON k // 10 = c_custkey AND k % 10 IN (0, 5)
+      UNION ALL SELECT name, 'nation ' || n_nationkey, n_nationkey - 100 FROM n JOIN nation ON k = n_nationkey
+      UNION ALL SELECT name, 'any', 1000000000 FROM n WHERE name LIKE '%1')
+SELECT name, arg_min(target, rule_order) AS target, CAST(min(rule_order) AS BIGINT) AS rule_order FROM h GROUP BY name
+""")
+def q_match_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every customer and nation, and one without a needed literal, over the names of all parts."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(T.normalize_text(F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string"))).alias("name"))
+    key = lambda c: F.col(c).cast("string")
+    of_customer = table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") + 10).alias("rule_order"), F.concat(F.lit("[a-z ]+ brand [0-9]+ "), key("c_custkey"), F.lit("(?:0|5)$")).alias("pattern"),
+        F.concat(F.lit("customer "), key("c_custkey")).alias("target"))
+    of_nation = table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") - 100).cast("long").alias("rule_order"),
+        F.concat(F.lit("(?:.* |never )brand [0-9]+ "), key("n_nationkey"), F.lit("$")).alias("pattern"),
+        F.concat(F.lit("nation "), key("n_nationkey")).alias("target"))
+    rest = spark.range(1).select(F.lit(1_000_000_000).cast("long").alias("rule_order"), F.lit(".*1$").alias("pattern"), F.lit("any").alias("target"))
+    return match_rule_table(names, of_customer.unionByName(of_nation).unionByName(rest))
+
+
 def _small_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return part.filter(F.col("p_size") <= SMALL_PART_SIZE).select(F.col("p_name").alias("norm"))
+    return part.filter(F.col("p_name").like(LISTED)).select(F.col("p_name").alias("norm"))
 
 
 @register("in_universe", sql=f"""
 SELECT p.p_name, count(*) AS n_lines
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-WHERE p.p_name IN (SELECT p_name FROM part WHERE p_size <= {SMALL_PART_SIZE})
+WHERE p.p_name IN (SELECT p_name FROM part WHERE p_name LIKE '{LISTED}')
 GROUP BY p.p_name
 """)
 def q_in_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +112,7 @@ def q_in_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("match_exact", sql=f"""
 WITH {_sql_variants()}
 SELECT name, name AS canon FROM names
-WHERE name IN (SELECT p_name FROM part WHERE p_size <= {SMALL_PART_SIZE})
+WHERE name IN (SELECT p_name FROM part WHERE p_name LIKE '{LISTED}')
 """)
 def q_match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = part_name_variants(spark, sf_dir)
@@ -139,6 +164,23 @@ def q_match_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("name", "canon", r6("score").alias("score"))
 
 
+@register("match_strings_ratio", sql=f"""
+WITH u AS (SELECT DISTINCT p_name FROM part),
+n AS (SELECT p_name || 's' AS name, p_name AS canon FROM u
+      UNION SELECT left(p_name, length(p_name) - 1), p_name FROM u)
+SELECT name, canon, round(2.0 * least(length(name), length(canon)) / (length(name) + length(canon)), 6) AS score FROM n
+WHERE name NOT IN (SELECT p_name FROM u)
+""")
+def q_match_strings_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a letter more and a letter less against all part names, by the sequence-matcher ratio."""
+    universe = table(spark, sf_dir, "part").select(F.col("p_name").alias("norm")).distinct()
+    plural, cut = F.concat("norm", F.lit("s")), F.expr("left(norm, length(norm) - 1)")
+    names = universe.select(F.explode(F.array(plural, cut)).alias("name"))
+    rest = names.join(universe.select(F.col("norm").alias("name")), "name", "left_anti")
+    best = MT.match_strings(rest, universe, "name", "norm", method="ratio")
+    return best.select("name", "canon", r6("score").alias("score"))
+
+
 @register("canonicalize", sql=f"""
 WITH {_sql_variants()},
 u AS (SELECT DISTINCT p_name AS norm FROM part),

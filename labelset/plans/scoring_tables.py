@@ -16,8 +16,9 @@ from labelset.operators import metrics as M
 import uuid
 
 from labelset.plans.registry import register, round_cols, sql_metrics, table
-from labelset.session import scratch_path
-from labelset.sources.sinks import write_reports
+from labelset.session import cut_lineage, scratch_path
+from labelset.sources.json_docs import read_report_folder, read_report_scenarios
+from labelset.sources.sinks import write_report_documents, write_reports
 
 CUTOFF = "1998-01-01 00:00:00"
 LONG_DOC_CHARS = 1000  # prediction rule of binary_label_metrics: long documents are "good"
@@ -204,25 +205,55 @@ def q_binary_label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_cols(m.select("lang", *M.COUNT_COLS, *M.METRIC_COLS), M.METRIC_COLS)
 
 
-REPORT_SEGMENT = "BUILDING"  # the partition read back by write_reports
-
-
-@register("write_reports", sql=_CONF_SQL + f"""
-SELECT m.c_custkey, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall,
+@register("write_reports", sql=_CONF_SQL + """
+SELECT cu.c_mktsegment, m.c_custkey, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(f1, 6) AS f1, round(mcc, 6) AS mcc
 FROM m JOIN customer cu ON m.c_custkey = cu.c_custkey
-WHERE cu.c_mktsegment = '{REPORT_SEGMENT}'
 """)
 def q_write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write per-customer metrics as report rows partitioned by source and model slug,
-    then read one model's partition back (the other partitions are pruned)."""
+    """Write per-customer metrics as report rows partitioned by source and model slug, then
+    read all partitions back."""
     m, _ = _segment_metrics(spark, sf_dir)
     out = scratch_path(spark, f"write_reports-{uuid.uuid4().hex}")
     rows = m.select(F.lit("orders").alias("source"), "c_mktsegment", "c_custkey", *M.COUNT_COLS,
                     *M.METRIC_COLS)
     write_reports(rows, out, source="source", model="c_mktsegment")
-    back = spark.read.json(out).filter(F.col("model_slug") == REPORT_SEGMENT)
-    back = back.select(F.col("c_custkey").cast("long").alias("c_custkey"),
+    back = spark.read.json(out)
+    back = back.select("c_mktsegment", F.col("c_custkey").cast("long").alias("c_custkey"),
                        *[F.col(c).cast("long").alias(c) for c in M.COUNT_COLS],
                        *[F.col(c) for c in ("precision", "recall", "f1", "mcc")])
     return round_cols(back, ["precision", "recall", "f1", "mcc"])
+
+
+def _write_segment_reports(spark: SparkSession, sf_dir: str) -> str:
+    """Report documents of all segments (the models) over their customers (the scenarios); their folder."""
+    out = scratch_path(spark, f"report_documents-{uuid.uuid4().hex}")
+    m, _ = _segment_metrics(spark, sf_dir)
+    seen = customer_seen(spark, sf_dir).join(customer_segments(spark, sf_dir), "c_custkey")
+    name = [F.lit("orders").alias("source"), F.col("c_mktsegment").alias("model")]
+    sid = [F.concat(F.lit("cust "), F.col("c_custkey").cast("string")).alias("sid_norm"),
+           F.concat(F.lit('Cust "'), F.col("c_custkey").cast("string"), F.lit('"')).alias("sid_raw")]
+    m, seen = cut_lineage(m), cut_lineage(seen)
+    skipped = M.skipped_keys(seen, m.select("c_custkey"), ["c_custkey"])
+    segments = seen.select("c_mktsegment").distinct()
+    macro = M.macro_average(m, ["c_mktsegment"], segments)
+    totals = M.totals(m, ["c_mktsegment"], groups=segments)
+    write_report_documents(m.select(*name, *sid, *M.COUNT_COLS, *M.METRIC_COLS), macro.select(*name, *M.METRIC_COLS, "evaluated"),
+                           totals.select(*name, *M.COUNT_COLS), skipped.select(*name, *sid), out)
+    return out
+
+
+@register("report_documents", sql=_CONF_SQL + """,
+a AS (SELECT cu.c_mktsegment, avg(precision) AS ap, avg(f1) AS af, avg(mcc) AS am
+      FROM m JOIN customer cu ON m.c_custkey = cu.c_custkey GROUP BY 1)
+SELECT cu.c_mktsegment AS model, 'Cust "' || m.c_custkey || '"' AS sid_raw, tp, fp, fn, tn, round(f1, 6) AS f1, round(mcc, 6) AS mcc,
+       round(ap, 6) AS macro_precision, round(af, 6) AS macro_f1, round(am, 6) AS macro_mcc
+FROM m JOIN customer cu ON m.c_custkey = cu.c_custkey JOIN a ON a.c_mktsegment = cu.c_mktsegment
+""")
+def q_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report documents of all segments, written and read back: every scenario with its document's macro averages."""
+    out = _write_segment_reports(spark, sf_dir)
+    macro = read_report_folder(spark, out, {}, "none").select(F.col("model_raw").alias("model"), "macro_precision", "macro_f1", "macro_mcc")
+    rows = read_report_scenarios(spark, out)
+    rows = rows.select("model", "sid_raw", *[F.col(c.upper()).alias(c) for c in M.COUNT_COLS], "f1", "mcc").join(macro, "model")
+    return round_cols(rows, ["f1", "mcc", "macro_precision", "macro_f1", "macro_mcc"])

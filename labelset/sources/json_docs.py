@@ -268,23 +268,47 @@ def read_reports(spark: SparkSession, files_by_run: Mapping[str, str],
 
     Reports are read with an explicit schema (``by_scenario`` is not needed here).
     """
-    from labelset.operators.records import map_label
-
     paths = existing_paths(spark, list(files_by_run.values()))
     if not paths:
         return spark.createDataFrame([], "run string, model_raw string, model_label string, "
                                          "macro_precision double, macro_recall double, macro_f1 double, "
                                          "macro_mcc double, source_file string")
     df = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(paths)
-    df = df.withColumn("source_file", F.col("_metadata.file_name"))
     run_of = F.create_map(*[x for run, f in files_by_run.items()
                             for x in (F.lit(f.rsplit("/", 1)[-1]), F.lit(run))])
-    df = df.select(F.try_element_at(run_of, F.col("source_file")).alias("run"),
+    return _macro_rows(df, F.try_element_at(run_of, F.col("_metadata.file_name")), labels, default_label)
+
+
+def read_report_folder(spark: SparkSession, folder: str, labels: Mapping[str, str],
+                       default_label: str) -> DataFrame:
+    """The macro table of :func:`read_reports` over all documents that ``write_report_documents`` left in a
+    folder; the run is the document's source."""
+    df = spark.read.schema(REPORT_SCHEMA + ", file string").option("multiLine", True).option("recursiveFileLookup", True).json(folder)
+    return _macro_rows(df, F.col("file"), labels, default_label)
+
+
+SCENARIO_SCHEMA = ("struct<TP: bigint, FP: bigint, FN: bigint, TN: bigint, precision: double, recall: double, f1: double, "
+                   "denom: double, mcc: double, npv: double, fdr: double, pred: array<string>, gold: array<string>, sid_norm: string>")
+
+
+def read_report_scenarios(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scenario of the documents that ``write_report_documents`` left in a folder, by lines (so a long
+    document is read by many tasks): ``source, model, sid_raw`` and the fields of a report entry."""
+    df = spark.read.schema("value string, source string, model_slug string, model string").text(folder)
+    entry = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", "^,", ""), F.lit("}")), f"map<string, {SCENARIO_SCHEMA}>", RP.STRICT_JSON)
+    lines = df.filter(F.col("value").rlike(r'^,?".*\}$')).select("source", "model", F.explode(entry).alias("sid_raw", "_e"))
+    return lines.select("source", "model", "sid_raw", "_e.*")
+
+
+def _macro_rows(df: DataFrame, run: Column, labels: Mapping[str, str], default_label: str) -> DataFrame:
+    from labelset.operators.records import map_label
+
+    df = df.select(run.alias("run"), F.col("_metadata.file_name").alias("source_file"),
                    F.coalesce(F.col("model_name"), F.lit("")).alias("model_raw"),
                    F.col("macro_avg.precision").alias("macro_precision"),
                    F.col("macro_avg.recall").alias("macro_recall"),
                    F.col("macro_avg.f1").alias("macro_f1"),
-                   F.col("macro_avg.mcc").alias("macro_mcc"), "source_file")
+                   F.col("macro_avg.mcc").alias("macro_mcc"))
     df = map_label(df, "model_raw", labels, out="model_label", default=default_label)
     return df.select("run", "model_raw", "model_label", "macro_precision", "macro_recall",
                      "macro_f1", "macro_mcc", "source_file")

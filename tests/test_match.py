@@ -177,3 +177,44 @@ def test_string_stage_is_complete_at_any_threshold(spark):
                     want[a] = max(hits)[1]
             got = {r.name: r.canon for r in MT.match_strings(n, u, method=method, threshold=t).collect()}
             assert got == want, (method, t)
+
+
+def test_string_stage_complete_at_any_threshold(spark):
+    """Short strings, repeated letters and low thresholds: no pair is lost without a length band."""
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choice("aabcd e") for _ in range(rnd.randint(1, 9)))
+    us = sorted({word() for _ in range(45)} | {"a", "aa", "abcabcabcabc"})
+    ns = sorted({word() for _ in range(40)} | {u[:-1] for u in us[:8] if len(u) > 1} | {"zz"})
+    names = spark.createDataFrame([(n,) for n in ns], "name string")
+
+    def best(score, t):
+        hits = {n: max(((score(u, n), u) for u in us if score(u, n) >= t), default=None) for n in ns}
+        return {n: (h[1], round(h[0], 9)) for n, h in hits.items() if h}
+
+    ratio = lambda u, n: difflib.SequenceMatcher(None, u, n).ratio()
+    lev = lambda u, n: 1 - _lev(u, n) / max(len(u), len(n))
+    for t in (0.5, 0.67, 0.95):
+        for method, score in (("ratio", ratio), ("levenshtein", lev)):
+            got = {r["name"]: (r.canon, round(r.score, 9)) for r in MT.match_strings(names, uni(spark, us), method=method, threshold=t).collect()}
+            assert got == best(score, t), (method, t)
+
+
+def test_hot_posting_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr(MT, "POSTING_ROWS", 3)
+    rnd = random.Random(29)
+    sets = [{"hot", *rnd.sample([f"w{i}" for i in range(9)], rnd.randrange(1, 6))} for _ in range(60)]
+    s = spark.createDataFrame([(i, sorted(v)) for i, v in enumerate(sets)], "id int, tokens array<string>")
+    got = {(r.id, r.m) for r in MT.token_similarity_pairs(s, s, "id", "m", self_join=True).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i) if score(sets[i], sets[j]) >= 0.6}
+
+
+def test_few_candidates_for_large_sets(spark):
+    """Sets of one vocabulary that share many frequent tokens: extended prefixes leave few unverified pairs."""
+    rnd = random.Random(31)
+    weights = [1 / (i + 1) for i in range(3000)]
+    sets = [set(rnd.choices(range(3000), weights, k=120)) for _ in range(150)]
+    sets += [set(list(s)[: len(s) * 9 // 10]) for s in sets[:40]]
+    s = spark.createDataFrame([(i, [f"t{x}" for x in sorted(v)]) for i, v in enumerate(sets)], "id int, tokens array<string>")
+    cand = {(r.lid, r.rid) for r in MT.token_candidates(s, s, True).collect()}
+    true = {(i, j) for i in range(len(sets)) for j in range(i) if score(sets[i], sets[j]) >= 0.6}
+    assert true <= cand and len(cand) < 10 * len(true)

@@ -117,6 +117,39 @@ def test_sinks(spark, scratch):
     assert spark.read.option("header", True).csv(paths[1]).count() == 1
 
 
+def test_report_documents_are_whole_json(spark, scratch):
+    from labelset.plans.scoring import evaluate_runs, scenario_report
+    from labelset.sources.sinks import write_report_documents
+
+    u = spark.createDataFrame([("cpa",), ("roi",), ("cpl",)], "norm string")
+    gold = spark.createDataFrame([("a", "cpa"), ("b 1", "roi"), ("b 1", "cpl")], "sid_norm string, item string")
+    recs = [{"scenario_id": "A", "model": "m/1", "parsed_items": [{"kpi": "CPA"}, {"kpi": "ROI"}]}, {"scenario_id": 'B "1"', "model": "m/1"},
+            {"scenario_id": "Z\\", "model": "m/1"}, {"scenario_id": "y", "model": "m/1"}, {"scenario_id": "a", "model": "m 1"}, {"model": "none"}]
+    df = spark.createDataFrame([("in/r.json", i, json.dumps(r)) for i, r in enumerate(recs)], "_source_file string, pos long, record string")
+    s = evaluate_runs(df, u, gold)
+    out = os.path.join(scratch, "docs")
+    write_report_documents(scenario_report(s), s.macro, s.totals, s.skipped, out)
+    docs = {}
+    for folder, _, names in os.walk(out):
+        for name in names:
+            if name.startswith("part-"):
+                with open(os.path.join(folder, name)) as f:
+                    doc = json.load(f)
+                docs[doc["model_name"]] = doc
+    assert set(docs) == {"m/1", "m 1", "none"}
+    doc = docs["m/1"]
+    assert doc["file"] == "in/r.json" and list(doc["by_scenario"]) == ["A", 'B "1"'] and doc["skipped_scenarios"] == ["y", "Z\\"]
+    assert doc["by_scenario"]["A"] == {"TP": 1, "FP": 1, "FN": 0, "TN": 1, "precision": 0.5, "recall": 1.0, "f1": doc["by_scenario"]["A"]["f1"], "denom": 4.0,
+                                       "mcc": 0.5, "npv": 1.0, "fdr": 0.5, "pred": ["cpa", "roi"], "gold": ["cpa"], "sid_norm": "a"}
+    assert doc["totals"] == {"TP": 1, "FP": 1, "FN": 2, "TN": 2} and doc["evaluated_scenarios"] == 2
+    assert docs["none"]["by_scenario"] == {} and docs["none"]["macro_avg"]["f1"] == 0.0
+    macro = {r.model_raw: r for r in J.read_report_folder(spark, out, {"m/1": "M"}, "base").collect()}
+    assert set(macro) == set(docs) and macro["m/1"].model_label == "M" and macro["m/1"].run == "in/r.json"
+    assert abs(macro["m/1"].macro_precision - doc["macro_avg"]["precision"]) < 1e-12
+    back = {(r.model, r.sid_raw): (r.TP, r.gold) for r in J.read_report_scenarios(spark, out).collect()}
+    assert back == {("m/1", "A"): (1, ["cpa"]), ("m/1", 'B "1"'): (0, ["cpl", "roi"]), ("m 1", "A" if ("m 1", "A") in back else "a"): (0, ["cpa"])}
+
+
 def test_chart_tables(spark, scratch):
     from labelset.plans.charts import chart_tables
 
