@@ -11,16 +11,21 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelset.functions.replies import sanitize_reply
+from labelset.session import cut_lineage
 from labelset.sources.dimensions import CONDITIONS
+from labelset.sources.json_docs import existing_paths
 
 # ---------------------------------------------------------------------------
 # Prompt texts of the study.
@@ -92,7 +97,7 @@ def token_totals(prompt: Column, completion: Column) -> tuple[Column, Column, Co
 
 # --- X3 --------------------------------------------------------------------------------------
 RESPONSE_SCHEMA = ("content string, latency_s double, prompt_tokens long, "
-                   "completion_tokens long, total_tokens long, error string")
+                   "completion_tokens long, total_tokens long, error string, attempts int")
 
 
 def echo_lines_responder(model: str, system: str, user: str) -> dict:
@@ -102,40 +107,115 @@ def echo_lines_responder(model: str, system: str, user: str) -> dict:
             "completion_tokens": len(items)}
 
 
+def _called(responder: Callable[[str, str, str], dict], args: tuple, timeout_s: float | None) -> dict:
+    """The responder's answer; ``TimeoutError`` if it takes longer (its thread is then left behind)."""
+    if timeout_s is None:
+        return responder(*args) or {}
+    box: dict = {}
+
+    def work() -> None:
+        try:
+            box["value"] = responder(*args) or {}
+        except Exception as e:  # noqa: BLE001 - raised again below
+            box["error"] = e
+
+    t = threading.Thread(target=work, daemon=True)
+    t.start()
+    t.join(timeout_s)
+    if t.is_alive():
+        raise TimeoutError(f"no answer in {timeout_s} s")
+    if "error" in box:
+        raise box["error"]
+    return box["value"]
+
+
+def _response(responder: Callable[[str, str, str], dict], args: tuple, retries: int, timeout_s: float | None) -> tuple:
+    for attempt in range(1, retries + 2):
+        t0 = time.perf_counter()
+        try:
+            r = _called(responder, args, timeout_s)
+            lat = time.perf_counter() - t0
+            p = int(r.get("prompt_tokens") or 0)
+            c = int(r.get("completion_tokens") or 0)
+            return str(r.get("content") or ""), float(lat), p, c, p + c, None, attempt
+        except Exception as e:  # noqa: BLE001 - recorded per row
+            error = f"{type(e).__name__}: {e}"
+    return None, None, None, None, None, error, attempt
+
+
 def apply_responder(prompts: DataFrame, responder: Callable[[str, str, str], dict] = echo_lines_responder,
-                    n_partitions: int | None = None) -> DataFrame:
+                    n_partitions: int | None = None, retries: int = 0, timeout_s: float | None = None,
+                    concurrency: int = 1) -> DataFrame:
     """Call ``responder(model, system, user)`` for every prompt row.
 
-    Adds content, latency_s, prompt/completion/total tokens and ``error`` (``Type:
-    message`` when the call raised; the other fields are then NULL).
+    Adds content, latency_s (of the last call), prompt/completion/total tokens, ``error`` (``Type:
+    message`` when the last call raised or took longer than ``timeout_s``; the other fields are
+    then NULL) and ``attempts``. A failed call is repeated up to ``retries`` times; a task has at
+    most ``concurrency`` calls under way.
     """
     src = prompts.repartition(n_partitions) if n_partitions else prompts
     in_cols = src.columns
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
     out_schema = f"{out_schema}, {RESPONSE_SCHEMA}"
+    names = [c.split()[0] for c in RESPONSE_SCHEMA.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for model, system, user in zip(pdf["model"], pdf["system"], pdf["user"]):
-                t0 = time.perf_counter()
-                try:
-                    r = responder(model, system, user) or {}
-                    lat = time.perf_counter() - t0
-                    p = int(r.get("prompt_tokens") or 0)
-                    c = int(r.get("completion_tokens") or 0)
-                    rows.append((str(r.get("content") or ""), float(lat), p, c, p + c, None))
-                except Exception as e:  # noqa: BLE001 - recorded per row
-                    rows.append((None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            extra = pd.DataFrame(rows, columns=["content", "latency_s", "prompt_tokens",
-                                                "completion_tokens", "total_tokens", "error"])
-            extra = extra.astype({"latency_s": "float64", "prompt_tokens": "Int64",
-                                  "completion_tokens": "Int64", "total_tokens": "Int64"})
-            yield pd.concat([pdf[in_cols].reset_index(drop=True), extra], axis=1)
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                rows = list(pool.map(lambda args: _response(responder, args, retries, timeout_s),
+                                     zip(pdf["model"], pdf["system"], pdf["user"])))
+                extra = pd.DataFrame(rows, columns=names)
+                extra = extra.astype({"latency_s": "float64", "prompt_tokens": "Int64", "completion_tokens": "Int64",
+                                      "total_tokens": "Int64", "attempts": "Int32"})
+                yield pd.concat([pdf[in_cols].reset_index(drop=True), extra], axis=1)
 
     return src.mapInPandas(run, out_schema)
 
 
+REQUEST_KEYS = ("request_id", "model", "condition", "prompt_hash")
+
+
+def _append_results(df: DataFrame, out_dir: str) -> None:
+    df.write.mode("append").parquet(out_dir)
+
+
+def generate_runs(prompts: DataFrame, out_dir: str, responder: Callable[[str, str, str], dict] = echo_lines_responder,
+                  slices: int = 8, retries: int = 0, timeout_s: float | None = None, concurrency: int = 1) -> DataFrame:
+    """The generation job from prompts to persisted result records; goes on where an earlier run stopped.
+
+    ``prompts``: ``request_id, scenario_id, model, condition, system, user``, one row a request. Requests
+    whose record in ``out_dir`` has the same prompt hash and no error are left out (anti join), so a changed prompt
+    is called again. The others are called in ``slices`` by hash of their key; each slice's records
+    are committed before the next starts, so a lost run loses the calls of one slice. Failed
+    requests keep their record with its error and are called again by the next run. Returns all records, the
+    latest of each request.
+    """
+    spark = prompts.sparkSession
+    hashed = prompts.withColumn("prompt_hash", prompt_hash(F.col("system"), F.col("user")))
+    schema = T.StructType([f for f in score_replies(apply_responder(hashed.limit(0), responder)).schema.fields if f.name not in ("system", "user")])
+    schema = schema.add("run_id", T.StringType()).add("slice", T.IntegerType()).add("finished_at", T.TimestampType())
+    finished = lambda: spark.read.schema(schema).parquet(out_dir)
+    pending = hashed
+    if existing_paths(spark, [out_dir]):
+        done = finished().filter(F.col("error").isNull()).select(*REQUEST_KEYS)
+        pending = hashed.join(done, list(REQUEST_KEYS), "left_anti")
+    pending = cut_lineage(pending.withColumn("slice", F.pmod(F.xxhash64(*REQUEST_KEYS), F.lit(slices)).cast("int")))
+    run = run_id()
+    for k in [r["slice"] for r in pending.select("slice").distinct().orderBy("slice").collect()]:  # at most ``slices`` numbers
+        answered = apply_responder(pending.filter(F.col("slice") == k).drop("slice"), responder, None, retries, timeout_s, concurrency)
+        p, c, total = token_totals(F.col("prompt_tokens"), F.col("completion_tokens"))
+        ok = F.col("error").isNull()  # a failed record has no counts
+        counts = {"prompt_tokens": F.when(ok, p), "completion_tokens": F.when(ok, c), "total_tokens": F.when(ok, total)}
+        scored = score_replies(answered).withColumns(counts).drop("system", "user")
+        scored = scored.withColumns({"run_id": F.lit(run), "slice": F.lit(k), "finished_at": F.current_timestamp()})
+        _append_results(scored.select(*schema.names), out_dir)
+    if not existing_paths(spark, [out_dir]):
+        return spark.createDataFrame([], schema)
+    rest = [c for c in schema.names if c not in ("request_id", "model", "condition")]
+    latest = finished().groupBy("request_id", "model", "condition").agg(F.max_by(F.struct(*rest), "finished_at").alias("_r"))
+    return latest.select("request_id", "model", "condition", "_r.*")
+
+
 def score_replies(responses: DataFrame) -> DataFrame:
     """Salvage items from each reply (limited rows capped at 4); failed calls keep their
     error and get no items. ``issues`` is kept for the unlimited condition only."""

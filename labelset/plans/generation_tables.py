@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelset.plans import generation as G
+from labelset.session import scratch_path
 from labelset.plans.registry import register, table
 from labelset.sources.dimensions import MODELS
 
@@ -76,3 +79,24 @@ def q_apply_responder(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = G.score_replies(responses)
     return G.run_summary(scored).select("condition", "model", "n_records", "n_items", "n_valid",
                                         "n_failed")
+
+
+@register("generation_run", sql=rf"""
+WITH u AS (
+  SELECT conv_id || '-' || turn AS request_id, conv_id::VARCHAR AS scenario_id, c.condition,
+         substr(sha256({_lit(G.SYSTEM_PROMPT)} || chr(10) || text), 1, 12) AS prompt_hash,
+         len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '')) AS n
+  FROM conversations CROSS JOIN (VALUES ('unlimited'), ('limited')) c(condition) WHERE role = 'user')
+SELECT request_id, scenario_id, condition, prompt_hash, n AS completion_tokens,
+       CASE WHEN condition = 'limited' THEN least(n, 4) ELSE n END AS n_items, n > 0 AS valid, 1 AS attempts, 1 AS runs
+FROM u
+""")
+def q_generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generation job over all user turns, started twice: the second run finds every request answered."""
+    out = scratch_path(spark, f"generation_run-{uuid.uuid4().hex}")
+    prompts = user_turn_prompts(spark, sf_dir)
+    G.generate_runs(prompts, out, slices=4, concurrency=4)
+    records = G.generate_runs(prompts, out, slices=4, concurrency=4)
+    runs = records.select(F.count_distinct("run_id").cast("int")).scalar()
+    return records.select("request_id", "scenario_id", "condition", "prompt_hash", "completion_tokens",
+                          F.size("parsed_items").cast("long").alias("n_items"), "valid", "attempts", runs.alias("runs"))
