@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from labelset.functions import replies as RP
 from labelset.functions.text import UNIVERSE_ABBREVIATIONS, expand_universe, normalize_text
 from labelset.operators import metrics as M
-from labelset.operators.records import flatten_records, resolve_key
+from labelset.operators.records import flatten_records, label_lookup, resolve_key, split_errors
+from labelset.plans.charts import chart_tables
 from labelset.plans.registry import r6, register, sql_metrics, table
 from labelset.plans.scoring import evaluate_runs, scenario_report
 from labelset.plans.scoring_tables import CUTOFF
-from labelset.session import scratch_path
-from labelset.sources.json_docs import read_results, results_table
+from labelset.session import cut_lineage, scratch_path
+from labelset.sources.json_docs import read_gold, read_results, read_universe, results_table
 from labelset.sources.sinks import write_results
 
 _K = "get_json_object(props, '$.k')"
@@ -248,6 +249,86 @@ def q_split_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recs.select("request_id", "scenario_id", "model", "latency_s", "pos")
 
 
+@register("union_files", sql="""
+SELECT CAST(event_id AS VARCHAR) AS request_id, event_type AS folder,
+       CASE WHEN event_type = 'error' THEN 'lost' END AS error,
+       CASE WHEN event_type IN ('click', 'view') THEN value END AS latency_s,
+       CASE WHEN event_type <> 'view' THEN 'u' || user_id END AS model
+FROM events
+""")
+def q_union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result records of several folders, each with fields of its own, in one scan."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    kind = F.col("event_type")
+    rec = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.when(kind == "error", "lost").alias("error"),
+                             F.when(kind.isin("click", "view"), F.col("value")).alias("latency_s"),
+                             F.when(kind != "view", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("model")))
+    out = scratch_path(spark, f"union_files-{uuid.uuid4().hex}")
+    ev.select("event_type", rec.alias("value")).write.partitionBy("event_type").text(out)
+    kinds = [r["event_type"] for r in ev.select("event_type").distinct().collect()]
+    runs = results_table(read_results(spark, [f"{out}/event_type={k}" for k in kinds], layout="lines"))
+    return runs.select("request_id", F.regexp_extract("_source_file", "event_type=(.*)$", 1).alias("folder"), "error", "latency_s", "model")
+
+
+def _write_document(lines: DataFrame, path: str, head: str, tail: str) -> None:
+    """One JSON document from the sorted ``line`` rows (each with its comma), written by one task row by row."""
+    edge = lines.sparkSession.createDataFrame([(0, head), (2, tail)], "place int, line string")
+    body = lines.select(F.lit(1).alias("place"), "line").unionByName(edge)
+    body.repartition(1).sortWithinPartitions("place", "line").select("line").write.text(path)
+
+
+@register("gold_read", sql=f"""
+SELECT DISTINCT 'cust ' || o.o_custkey AS sid_norm, p.p_name AS item
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+WHERE o.o_orderdate >= TIMESTAMP '{CUTOFF}'
+""")
+def q_gold_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Universe and gold documents written from parts and orders, read back by the sources; the gold spells its names in plural."""
+    base = scratch_path(spark, f"gold_read-{uuid.uuid4().hex}")
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    quoted = F.regexp_extract(F.to_json(F.array("p_name")), r"^\[(.*)\]$", 1)
+    _write_document(names.select(F.concat(quoted, F.lit(",")).alias("line")), f"{base}/universe", "[", "]")
+    sold = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit(CUTOFF).cast("timestamp_ntz")).select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    bought = sold.join(li, sold.o_orderkey == li.l_orderkey).join(part, li.l_partkey == part.p_partkey)
+    gold = bought.groupBy("o_custkey").agg(F.collect_set(F.struct(F.concat(F.upper("p_name"), F.lit("s")).alias("KPI"))).alias("items"))
+    entry = F.concat(F.lit('"Cust-'), F.col("o_custkey").cast("string"), F.lit('": '), F.to_json("items"), F.lit(","))
+    _write_document(gold.select(entry.alias("line")), f"{base}/gold", "{", '"none": "no list"}')
+    universe = cut_lineage(read_universe(spark, f"{base}/universe/part-*"))
+    return read_gold(spark, f"{base}/gold/part-*", universe).select("sid_norm", "item")
+
+
+@register("chart_runs", sql="""
+SELECT CAST(event_id AS VARCHAR) AS request_id, CASE event_type WHEN 'click' THEN 'Clicks' ELSE event_type END AS model_label,
+       CASE WHEN event_type = 'view' THEN NULL ELSE value END AS latency_s,
+       CASE WHEN event_type = 'purchase' THEN 7.0 ELSE coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) + 2 END AS total_tokens,
+       event_type <> 'view' AS in_tokens_table, event_type = 'error' AS failed
+FROM events
+""")
+def q_chart_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs written as results, read into the sorted chart tables: totals filled, labels joined from a table, failed
+    runs told apart, and runs with both measures marked."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
+    kind = F.col("event_type")
+    rec = ev.select(F.col("event_id").cast("string").alias("request_id"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("scenario_id"),
+                    kind.alias("model"), F.lit("unlimited").alias("condition"),
+                    F.when(kind == "view", "n/a").otherwise(F.col("value").cast("string")).alias("latency_s"),
+                    F.expr(_K).cast("long").alias("prompt_tokens"), F.lit(2).alias("completion_tokens"),
+                    F.when(kind == "purchase", " 7 ").alias("total_tokens"), F.when(kind == "error", "lost").alias("error"))
+    base = scratch_path(spark, f"chart_runs-{uuid.uuid4().hex}")
+    write_results(rec, f"{base}/results.json")
+    charts = chart_tables(spark, base, report_files={}, result_files=["results.json", "absent.json"], labels={})
+    both = charts["tokens_latency"].select("request_id", F.lit(True).alias("_both"))
+    labels = spark.createDataFrame([("click", "Clicks")], "model string, label string")
+    runs = label_lookup(charts["runs"].drop("model_label"), labels, "model")
+    raw = results_table(read_results(spark, f"{base}/results.json"))
+    failed, scored = split_errors(raw)
+    known = failed.select("request_id", F.lit(True).alias("failed")).unionByName(scored.select("request_id", F.lit(False).alias("failed")))
+    out = runs.join(both, "request_id", "left").join(known, "request_id")
+    return out.select("request_id", "model_label", "latency_s", "total_tokens", F.coalesce("_both", F.lit(False)).alias("in_tokens_table"), "failed")
+
+
 @register("flatten_records", sql="""
 SELECT conv_id AS "rec.conv_id", turn AS "rec.meta.turn", role AS "rec.meta.role",
        length(text) AS n_chars

@@ -123,15 +123,36 @@ def read_results(spark: SparkSession, paths: Sequence[str] | str, layout: str |
         # one path a document, bounded by the given ones
         rest = _whole_records(spark, [r["file"] for r in left.collect()])
         out = out.unionByName(parts).unionByName(rest)
+    lines = [p for p in paths if kinds[p] == "lines"]
+    if lines:
+        out = out.unionByName(_line_records(spark, lines))
     for p in paths:
-        if kinds[p] == "documents":
-            continue
-        rows = (spark.read.parquet(p).select(F.to_json(F.struct("*")).alias("record")) if kinds[p] == "parquet"
-                else spark.read.text(p).select(F.col("value").alias("record")))
-        out = out.unionByName(rows.select(F.lit(p).alias("_source_file"), F.monotonically_increasing_id().alias("pos"), "record"))
+        if kinds[p] == "parquet":
+            rows = spark.read.parquet(p).select(F.to_json(F.struct("*")).alias("record"))
+            out = out.unionByName(rows.select(F.lit(p).alias("_source_file"), F.monotonically_increasing_id().alias("pos"), "record"))
     return out.filter(strip_ws(F.col("record")).startswith("{"))
 
 
+def _line_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Records of files and folders of lines in one scan, however many there are and whatever fields they have.
+
+    ``_source_file`` is the given path that holds the file; a wildcard's files keep their own paths.
+    """
+    def plain(c: Column) -> Column:
+        return F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "/")
+
+    given = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "given string").select(
+        "given", F.regexp_replace(plain(F.col("given")), "/+$", "").alias("_at"))
+    file = F.col("_metadata.file_path")
+    rows = spark.read.text(list(dict.fromkeys(paths))).select(file.alias("_file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("record"))
+    own, folder = plain(F.col("_file")), F.regexp_replace(plain(F.col("_file")), "/[^/]*$", "")
+    rows = rows.withColumns({"_own": own, "_folder": folder})
+    by_folder = rows.join(F.broadcast(given), F.col("_folder") == F.col("_at"), "left")  # one row a given path
+    by_file = given.select(F.col("given").alias("_given_file"), F.col("_at").alias("_at_file"))
+    found = by_folder.join(F.broadcast(by_file), F.col("_own") == F.col("_at_file"), "left")
+    return found.select(F.coalesce("_given_file", "given", "_file").alias("_source_file"), "pos", "record")
+
+
 def _whole_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     docs = read_json_lenient(spark, paths)
     out = docs.select(F.col("path").alias("_source_file"),

@@ -217,3 +217,18 @@ def test_report_with_empty_model_gets_base_label(spark, scratch):
                         MODEL_LABELS, DEFAULT_REPORT_LABEL)
     got = {r.run: (r.model_label, r.macro_precision, r.macro_recall) for r in df.collect()}
     assert got == {"r1": ("llama3.1:base", 0.1, None), "r2": ("llama3.1:trained", None, 0.2)}
+
+
+def test_many_files_with_own_columns_in_one_scan(spark, scratch):
+    paths, want = [], set()
+    for k in range(60):
+        p = os.path.join(scratch, f"f {k}+%.jsonl") if k % 2 else os.path.join(scratch, f"d{k}")
+        os.makedirs(p) if k % 2 == 0 else None
+        with open(p if k % 2 else os.path.join(p, "part-0.json"), "w") as f:
+            f.write(json.dumps({"request_id": f"r{k}", f"own{k}": k}) + "\n" + "not json\n")
+        paths.append(p)
+        want.add((p, f"r{k}", f"own{k}"))
+    recs = J.read_results(spark, paths, layout="lines")
+    assert {(r._source_file, json.loads(r.record)["request_id"], list(json.loads(r.record))[1]) for r in recs.collect()} == want
+    plan = J.read_results(spark, paths, layout="lines")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1
