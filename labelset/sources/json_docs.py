@@ -139,14 +139,15 @@ def _line_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     ``_source_file`` is the given path that holds the file; a wildcard's files keep their own paths.
     """
     def plain(c: Column) -> Column:
-        return F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "/")
+        return F.regexp_replace(c, "^file:/+", "/")
 
     given = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "given string").select(
         "given", F.regexp_replace(plain(F.col("given")), "/+$", "").alias("_at"))
     file = F.col("_metadata.file_path")
     rows = spark.read.text(list(dict.fromkeys(paths))).select(file.alias("_file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("record"))
-    own, folder = plain(F.col("_file")), F.regexp_replace(plain(F.col("_file")), "/[^/]*$", "")
-    rows = rows.withColumns({"_own": own, "_folder": folder})
+    # the source names files as URIs
+    decoded = F.coalesce(F.try_url_decode(F.regexp_replace("_file", r"\+", "%2B")), F.col("_file"))
+    rows = rows.withColumn("_own", plain(decoded)).withColumn("_folder", F.regexp_replace("_own", "/[^/]*$", ""))
     by_folder = rows.join(F.broadcast(given), F.col("_folder") == F.col("_at"), "left")  # one row a given path
     by_file = given.select(F.col("given").alias("_given_file"), F.col("_at").alias("_at_file"))
     found = by_folder.join(F.broadcast(by_file), F.col("_own") == F.col("_at_file"), "left")
