@@ -1,11 +1,13 @@
 """Quality classifier: Naive Bayes support vector machine.
 
-A text is its set of hashed n-gram indicators: words, word endings, 1- to 3-grams of word
-shapes, and how much of the text repeated 3-grams and repeated neighbours make up. Indicators
-are scaled by the class log-count ratios, which are counted over all labelled training rows; a
-linear hinge-loss model on the scaled indicators is fitted by dual coordinate descent on a
-bounded sample of them (about SAMPLE rows, chosen by a hash of the id), one fifth of which calibrates
-the margins to probabilities. Only the text enters a score.
+A text is its set of hashed n-gram indicators: 1- to 3-grams of words, word endings, 1- to 3-grams
+of word shapes, and, as extra features beside the n-grams, steps of how much of the text repeated 3-grams and
+repeated neighbours make up. Indicators are scaled by the class log-count ratios, which are
+counted over all labelled training rows; a linear hinge-loss model on the scaled indicators is
+fitted by dual coordinate descent on a bounded sample of them (about SAMPLE rows, chosen by a
+hash of the id), one fifth of which calibrates the margins to probabilities. The sample is
+ordered and split by hashes of its rows, so the same rows give the same model and scores however they
+are partitioned. Only the text enters a score.
 
 Defined results: null text is empty and has no indicators, its score is the calibrated margin
 0; repeated rows are scored alike; labels without a document, or null labels, are ignored;
@@ -20,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelset.llm.landing import small
 from labelset.llm.textcore import U, Words, mix, text_chunks
 
-FEATURES = 1 << 18
+FEATURES = 1 << 20
 SAMPLE = 8000
 COST, EPOCHS = 1.0, 12
 BROADCAST_LABELS = 400_000
@@ -51,6 +54,7 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     else:
         tail = np.zeros(0, np.uint64)
     found = [(w.hash, w.doc), (mix(tail + U(1 << 40)), w.doc)]
+    found += [(w.grams(k)[ok], w.doc[ok]) for k in (2, 3) for ok in (w.whole(k),)]
     code = shape + U(32) * (np.minimum(w.end - w.start, 12) // 3).astype(np.uint64)
     for k in (1, 2, 3):
         ok = w.whole(k)
@@ -84,8 +88,9 @@ class Model:
     shift: float
 
     def margins(self, f: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.weights[f])])
-        return total[bounds[1:]] - total[bounds[:-1]] + self.bias * (bounds[1:] > bounds[:-1])
+        # summed row by row, so a row's sum does not depend on its neighbours in a chunk
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        return np.bincount(row, weights=self.weights[f], minlength=len(bounds) - 1) + self.bias * (bounds[1:] > bounds[:-1])
 
     def scores(self, f: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(f, bounds) + self.shift, -30, 30)))
@@ -147,8 +152,8 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(rows: DataFrame) -> Model:
     """Model from labelled training rows (doc_id, text, y)."""
     counts = np.zeros((2, FEATURES + 1))
-    for r in feature_counts(rows).toLocalIterator():  # one row per hashed feature at most
-        counts[:, r["f"]] = r["n0"], r["n1"]
+    got = feature_counts(rows).toArrow()  # one row per hashed feature at most
+    counts[:, got.column("f").to_numpy()] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
     totals = counts[:, FEATURES]
     if not totals.all():
         share = totals[1] / totals.sum() if totals.sum() else 0.5
@@ -156,18 +161,23 @@ def fit(rows: DataFrame) -> Model:
     p = (counts[:, :FEATURES] + 1) / (totals[:, None] + 2)
     ratio = np.log(p[1] / p[0])
     share = min(1.0, SAMPLE / totals.sum())
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "y")
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(
+        "text", "y", F.xxhash64(F.lit(7), "doc_id").alias("h"), F.xxhash64("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 f, bounds = indicators(part.column("text"))
                 sets = pa.ListArray.from_arrays(bounds.astype(np.int32), f.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([sets, part.column("y")], names=["f", "y"])
-
-    got = sample.mapInArrow(run, "f array<int>, y int").toArrow()  # about SAMPLE rows
-    sets, y = [np.asarray(x, dtype=np.int64) for x in got.column("f").to_pylist()], got.column("y").to_numpy()
-    test = np.arange(len(y)) % 5 == 0
+                yield pa.RecordBatch.from_arrays([sets, *(part.column(c) for c in ("y", "h", "t"))], names=["f", "y", "h", "t"])
+
+    got = sample.mapInArrow(run, "f array<int>, y int, h long, t long").toArrow()  # about SAMPLE rows
+    y, h, t = (got.column(c).to_numpy() for c in ("y", "h", "t"))
+    lists = got.column("f").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(np.r_[0, pa.compute.list_value_length(lists).to_numpy()])
+    order = np.lexsort((y, t, h))  # rows of one id and text are alike
+    sets, y = [flat[ends[i]:ends[i + 1]].astype(np.int64) for i in order], y[order]
+    test = h[order].astype(np.uint64) % U(5) == 0
     w, b = descend([s for s, t in zip(sets, test, strict=True) if not t], y[~test], ratio)
     m = Model(w * ratio, b, 1.0, 0.0)
     bounds = np.cumsum([0, *(len(s) for s in sets)])
