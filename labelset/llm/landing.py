@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelset.session import scratch_path
@@ -17,6 +17,7 @@ def land(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small(landed: DataFrame, most_rows: int) -> DataFrame:
-    """A landed table, marked for broadcast if its counted rows are at most ``most_rows``; else it is shuffled."""
-    return F.broadcast(landed) if landed.count() <= most_rows else landed
+def small(landed: DataFrame, most: int, size: Column | None = None) -> DataFrame:
+    """A landed table, marked for broadcast if its rows (with ``size``, the sum of that over them) are at most ``most``; else it is shuffled."""
+    n = landed.count() if size is None else landed.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(landed) if n <= most else landed

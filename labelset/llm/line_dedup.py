@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from labelset.llm.landing import land, small
 
 MIN_WORDS = 8
-#: Key tables of at most this many rows (8 to 40 bytes each) are broadcast; larger ones are shuffled.
+#: Key tables of at most this many rows are broadcast; larger ones are shuffled. Half keys have 8 bytes a row, line
+#: keys 40; a document's wanted places 16 bytes each, so those tables are held to as many places.
 BROADCAST_KEYS = 400_000
 SWAP, WHOLE, DROP = 0, 1, 2
 
@@ -45,6 +46,21 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return each.where(F.col("_raw").rlike(r"[^\x20\x09-\x0D]")).select("_doc", "_no", one_spaced("_raw").alias("_line"))
 
 
+def with_lines(text: str, use) -> Column:
+    """``use(lines)`` with the text split once, whatever lambdas read the lines."""
+    return F.get(F.transform(F.array(F.split(text, "\n")), use), F.lit(0))
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """``lines`` but those at the sorted places ``gone``: the slices between them, in linear time."""
+    def between(places: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(places) - 1), lambda j: F.slice(
+            lines, F.get(places, j - 1) + 2, F.get(places, j) - F.get(places, j - 1) - 1)))
+
+    ends = F.concat(F.array(F.lit(-1)), F.filter(gone, lambda g: g < F.size(lines)), F.array(F.size(lines)))
+    return F.get(F.transform(F.array(ends), between), F.lit(0))
+
+
 def one_spaced(raw: str) -> Column:
     return F.btrim(F.regexp_replace(raw, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
 
@@ -107,10 +123,11 @@ def near_lines(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text:
         F.coalesce(F.max(F.when(~F.col("left"), F.col("_n") - F.col("size"))), F.lit(0)).alias("_to"))
     # a document's own lines: at most as many as its text has
     wanted = some.groupBy("_at._doc").agg(F.collect_list(F.struct(F.col("_at._no").alias("_no"), "_from", "_to")).alias("_want"))
-    at = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(small(land(wanted), BROADCAST_KEYS), "_doc")
-    marked = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(x.alias("_raw"), i.alias("_no"), F.get(F.filter("_want", lambda w: w["_no"] == i), F.lit(0)).alias("_w")))
-    at = at.select("_doc", F.explode(F.filter(marked, lambda x: x["_w"].isNotNull())).alias("_x"))
-    some = land(at.select(F.struct("_doc", "_x._no").alias("_at"), "_x._w._from", "_x._w._to", one_spaced("_x._raw").alias("_line"))
+    at = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(small(land(wanted), BROADCAST_KEYS, F.size("_want")), "_doc")
+    wanted = with_lines("_text", lambda lines: F.transform("_want", lambda w: F.struct(w.alias("_w"), F.get(lines, w["_no"]).alias("_raw"))))
+    # rows that share an id differ in their lines: a place beyond a row's last line is another row's
+    at = at.select("_doc", F.explode(wanted).alias("_x")).where("_x._raw is not null")
+    some = land(at.select(F.struct("_doc", "_x._w._no").alias("_at"), "_x._w._from", "_x._w._to", one_spaced("_x._raw").alias("_line"))
                 .groupBy("_at").agg(*[F.first(c).alias(c) for c in ("_from", "_to", "_line")]).withColumn("_n", n_words(F.col("_line"))))
     keyed = some.withColumn("_wh", F.transform(F.split("_line", " "), lambda w: F.xxhash64(w)))
     keyed = keyed.withColumn("_v", _variant_keys(F.col("_n"), F.col("_wh"))).select(
@@ -154,10 +171,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     """``docs`` with the removed lines cut from the text and ``n_lines_removed`` added."""
     # a document's own line numbers: at most as many as its text has lines
     gone = removed_lines(docs, min_words, doc_id, text).groupBy(F.col("_doc").alias("_gone_doc")).agg(
-        F.collect_set("_no").alias("_gone"))
+        F.array_sort(F.collect_set("_no")).alias("_gone"))
     d = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     d = d.join(gone, F.col("_id") == F.col("_gone_doc"), "left")
-    keep = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    keep = with_lines("_text", lambda lines: without(lines, F.col("_gone")))
     new = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(keep, "\n"))
     kept = [(new if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns if c != "n_lines_removed"]
     return d.select(*kept, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
