@@ -3,17 +3,18 @@
 Records arrive as JSON-lines files ``{"pos": ..., "record": "<record JSON text>"}``. Two
 streaming queries share the work:
 
-* **ingest** (``foreachBatch``, stateless): parses a batch's records, canonicalises the
-  batch's own distinct names and lands one row per seen key and one per predicted item of
-  the batch (distinct within it, so a hot key leaves at most one row per universe item);
+* **ingest** (``foreachBatch``): parses a batch's records, canonicalises the names that no earlier batch
+  had (the map of distinct names met so far is kept as a table) and lands one row per seen
+  key and one per predicted item of the batch (distinct within it, so a hot key leaves at
+  most one row per universe item);
 * **score** (keyed state in the state store): reads the landed rows, drops the items a key
   already has (streaming deduplication on key and item), tags the others with the gold
   table and keeps TP, FP and the first raw spelling per key in a streaming aggregation.
   In update mode a batch emits exactly the keys it touched, with their new counts; FN and TN
   follow from the gold and universe sizes.
 
-A batch reads its own rows, the gold rows it joins and the state of its own keys; no earlier
-batch is read again. State lives in RocksDB (spills to disk, changelog in the checkpoint), so
+A batch reads its own rows, the name map, the gold rows it joins and the state of its own keys;
+no earlier batch's records, items or scores are read again. State lives in RocksDB (spills to disk, changelog in the checkpoint), so
 it may exceed memory. Both queries restart from their checkpoints: a landed batch replaces its
 own folder when it is replayed, the state store rolls back to the batch's version, and the
 emitted rows of a batch replace that batch's partition. Order does not matter: the state holds sets,
@@ -38,6 +39,7 @@ from labelset.sources.json_docs import existing_paths
 
 RECORD_SCHEMA = "pos long, record string"
 LANDED_SCHEMA = "source string, model string, sid_norm string, sid_raw string, pos long, item string"
+NAMES_SCHEMA = "name string, canon string, listed boolean"
 SCORED_SCHEMA = ("source string, model string, sid_norm string, sid_raw string, tp long, fp long, fn long, "
                  "tn long, skipped boolean, batch_id long")
 STATE_STORE = {
@@ -48,7 +50,7 @@ STATE_STORE = {
 
 def _paths(base: str) -> dict[str, str]:
     b = base.rstrip("/")
-    return {"landed": f"{b}/landed", "out": f"{b}/out/per_key", "snapshot": f"{b}/out/snapshot",
+    return {"landed": f"{b}/landed", "names": f"{b}/names", "out": f"{b}/out/per_key", "snapshot": f"{b}/out/snapshot",
             "ingest_checkpoint": f"{b}/_checkpoint/ingest", "score_checkpoint": f"{b}/_checkpoint/score"}
 
 
@@ -68,15 +70,27 @@ def land_batch(rows: DataFrame, batch_id: int, base: str, universe: DataFrame,
     keyed = rows.filter(F.col("sid_norm") != "")
     names = normalize_text_df(keyed.select(*KEYS, F.explode("names").alias("raw_name")),
                               "raw_name", "name").select(*KEYS, "name").distinct()
-    cmap = canonicalize(names.select("name"), universe, "name", "norm", rules=rules,
-                        string_method=string_method)
-    kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
+    kept = _name_map(names.select("name"), batch_id, base, universe, rules, string_method)
     items = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
     out = (seen.withColumn("item", F.lit(None).cast("string"))
            .unionByName(items, allowMissingColumns=True))
     _replace_batch(out.select(*KEYS, "sid_raw", "pos", "item"), _paths(base)["landed"], batch_id)
 
 
+def _name_map(names: DataFrame, batch_id: int, base: str, universe: DataFrame, rules, string_method: str) -> DataFrame:
+    """``(name, canon)`` of the names whose canonical form is in the universe, those of this batch included."""
+    spark, path = names.sparkSession, _paths(base)["names"]
+    earlier = [f"{path}/batch_id={b}" for b in _batches(spark, path) if b < batch_id]  # a replayed batch starts from the same map
+    known = spark.read.schema(NAMES_SCHEMA).parquet(*earlier) if earlier else spark.createDataFrame([], NAMES_SCHEMA)
+    new = cut_lineage(names.distinct().join(known, "name", "left_anti"))
+    if not new.isEmpty():
+        cmap = canonicalize(new, universe, "name", "norm", rules=rules, string_method=string_method).select("name", "canon")
+        inside = universe.select(F.col("norm").alias("canon"), F.lit(True).alias("listed")).distinct()
+        _replace_batch(cmap.join(inside, "canon", "left").select("name", "canon", F.coalesce("listed", F.lit(False)).alias("listed")), path, batch_id)
+        known = known.unionByName(spark.read.schema(NAMES_SCHEMA).parquet(f"{path}/batch_id={batch_id}"))
+    return known.filter("listed").select("name", "canon")
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, base: str, universe: DataFrame,
                   source: str = "stream", rules=ALIAS_RULES, string_method: str = "ratio",
                   max_files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
