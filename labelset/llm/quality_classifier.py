@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,19 +172,25 @@ def fit(rows: DataFrame) -> Model:
 
     got = sample.mapInArrow(run, "f array<int>, y int, h long, t long").toArrow()  # about SAMPLE rows
     y, h, t = (got.column(c).to_numpy() for c in ("y", "h", "t"))
-    lists = got.column("f").combine_chunks()
-    flat, ends = lists.flatten().to_numpy(), np.cumsum(np.r_[0, pa.compute.list_value_length(lists).to_numpy()])
+    # each row's features stay where Arrow put them
+    lists = [x for chunk in got.column("f").chunks for x in _views(chunk)]
     order = np.lexsort((y, t, h))  # rows of one id and text are alike
-    sets, y = [flat[ends[i]:ends[i + 1]].astype(np.int64) for i in order], y[order]
-    test = h[order].astype(np.uint64) % U(5) == 0
-    w, b = descend([s for s, t in zip(sets, test, strict=True) if not t], y[~test], ratio)
+    test = h.astype(np.uint64) % U(5) == 0
+    fitted, tried = order[~test[order]], order[test[order]]
+    w, b = descend([lists[i] for i in fitted], y[fitted], ratio)
     m = Model(w * ratio, b, 1.0, 0.0)
-    bounds = np.cumsum([0, *(len(s) for s in sets)])
-    margin = m.margins(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), bounds)
-    m.slope, m.shift = calibrate(margin[test], y[test])
+    bounds = np.array([0, 0])
+    margin = np.array([m.margins(lists[i], bounds + [0, len(lists[i])])[0] for i in tried])
+    m.slope, m.shift = calibrate(margin, y[tried])
     return m
 
 
+def _views(chunk: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list array as slices of its one buffer."""
+    flat, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def held_out(doc_id: str = "doc_id", parts: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == 0, F.lit(True))
 
