@@ -1,15 +1,14 @@
-"""Near-duplicate join on word shingles: MinHash LSH forest, then exact verification.
+"""Near-duplicate join on word shingles: MinHash bands of one depth, then exact verification.
 
 Texts are sets of 5-word shingles (a text of 1 to 4 words is one shingle of all its words);
 two texts are linked if the Jaccard similarity of their sets is at least 0.8.
 
 1. Texts of equal shingle set (count and 128 hash bits) are one class entry with a multiplicity.
-2. Every entry gets a signature of TREES x MAX_DEPTH MinHash values. A tree of the forest is the
-   trie of the entries' value sequences; two entries meet in a tree if they share its prefix.
-   The matched prefix starts at MAX_DEPTH values and is shortened until the chance that two
-   texts at the threshold meet in some tree reaches the target recall.
-3. Entries that meet are joined to coarse groups through their trie node's smallest entry, so
-   a node of n entries costs n rows and not n * n.
+2. Every entry gets TREES keys of MinHash values, all of one depth: the greatest of at most MAX_DEPTH values at
+   which the chance that two texts at the threshold share a key reaches the target recall. This
+   stands in for a forest: there are no sorted tries and no depth per entry.
+3. Entries that meet are joined to coarse groups through their key's smallest entry, so
+   a key of n entries costs n rows and not n * n.
 4. Exact verification runs inside coarse groups. A group is dealt by hash to blocks of about
    BLOCK entries, each pair of blocks is one task that multiplies the incidence matrices of
    its shared shingles; it returns link counts and a spanning forest of the links, never the

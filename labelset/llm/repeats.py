@@ -1,17 +1,16 @@
-"""Repeated passages by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Repeated passages by window minimisers against indexed reference blocks.
 
 A word goes if a window of SPAN consecutive words covers it whose word sequence starts earlier
 too (smaller document id, or same document and earlier start); windows are judged on the input.
 
-Method. The corpus is its own reference. Its blocks are the neighbourhoods of anchors: the
-anchor of a window is the smallest of its ANCHOR-word hashes (leftmost on ties), so equal
-windows have equal anchors at equal places, and a block holds the windows that its anchor
-stands for. The index keeps, per anchor hash that occurs again, the block of its first place.
-Each document is then parsed against the index: at every anchor the factor is extended window
-by window as long as the block agrees, neighbouring anchors continue it. At the boundaries of
-the factors, windows whose anchor is indexed but whose block disagrees are looked up exactly:
-they are grouped with all other such windows, which is complete, since every further place of
-such a window disagrees with the same block. Factors are at least SPAN words long by build.
+Method. This stands in for a greedy relative Lempel-Ziv parse: no longest factors are formed, as the
+result needs only which windows occur earlier. The anchor of a window is the smallest of its ANCHOR-word
+hashes (leftmost on ties), so equal windows have equal anchors at equal places, and a block holds
+the windows that its anchor stands for. The index keeps, per anchor hash that occurs again, the
+block of its first place. At every anchor of a document the windows that agree with the indexed
+block are known to be repeats. Windows whose anchor is indexed but whose block disagrees are
+grouped exactly with all other such windows, which is complete, since every further place of such
+a window disagrees with the same block.
 
 Anchors are counted with a map-side combine and joined by hash, no occurrence list is ever
 gathered. A bit table of fixed size over the indexed anchors keeps the anchors that occur once
