@@ -9,8 +9,7 @@ plus a validity flag and issue codes:
 4. otherwise salvage every top-level balanced ``{...}`` (F8) and normalise those;
 5. cap the items when the condition is limited (O4) and render compact JSON (F15).
 
-The character scans are native ``aggregate`` folds over the characters of the text, so
-everything stays in the JVM. Objects are parsed into ``map<string, variant>``, which keeps
+The two bracket scans (F7, F8) are Arrow UDFs; all else stays in the JVM. Objects are parsed into ``map<string, variant>``, which keeps
 document key order and duplicate keys (later wins after key normalisation) and the JSON
 kind of every value.
 """

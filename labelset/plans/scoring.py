@@ -3,7 +3,8 @@
 Plan shape: one scan of the records; distinct item names are canonicalised once (the
 costly stages see each distinct name once, not once per record) and joined back; the
 universe and gold are joined by key; the comparison is the union-and-aggregate of
-:mod:`labelset.operators.metrics`. No action runs inside.
+:mod:`labelset.operators.metrics`. With ``materialize`` the parsed records and the name map are
+written once as checkpoints, which runs jobs inside.
 """
 
 from __future__ import annotations
