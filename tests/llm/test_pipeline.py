@@ -85,7 +85,7 @@ def test_pipeline_runs_on_an_empty_table(shipped, no_docs):
 
 def test_registered_queries():
     names = list(corpus_pipeline.pipeline_queries())
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
 
 
