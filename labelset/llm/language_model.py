@@ -12,11 +12,15 @@ model is a proper distribution over the training vocabulary and "unknown". Depth
 with the exact numbers of distinct training tokens: a leaf for each token of the largest class, up
 to the bounds below.
 
-Training reads every training text: each task runs minibatch gradient steps over its texts from
-the common start, and the tasks' weights are averaged block by block on the executors, each weight
-by the squared gradients that it met, so tasks that never met it do not count. Scoring runs in sparse numpy batches. Token counts are exact counts over all training
-texts; the HEAD most frequent tokens (a bounded table) are broadcast, the rest of the tokens meet
-their counts in a hash join of per-text counts.
+Training reads every training text in each of ``rounds`` + 1 synchronous rounds. A round sums, over
+all texts and at weights that every task shares, the counts of the features that are observed (first
+round: at the start the head expects its prior everywhere, so no softmax is needed) or that the model
+expects (later rounds); their difference is the gradient, and each weight moves by the log of their
+ratio with pseudo-counts. Sums do not depend on how the texts lie in files or partitions, but for
+rounding (sums travel in 16 bits under each row's greatest value). One task a core sums its share,
+touched rows only, and rows meet by block. Scoring runs in sparse numpy batches. Token counts are
+exact counts over all training texts; the HEAD most frequent tokens (a bounded table) are broadcast,
+the rest of the tokens meet their counts in a hash join of per-text counts.
 
 Defined results: null text is empty (its end token alone); repeated rows are scored each; a null
 id counts as held out; without training texts every factor is uniform; an empty table gives an
@@ -41,9 +45,11 @@ CLASSES, SINGLES, TEMPLATES = 64, 24, 4
 #: Bounds of log2 of the buckets a template and of the splits of a class; log2 of the parts of a split and of the weight rows of all splits.
 BUCKET_BITS, DEPTHS, WAY_BITS, INNER_BITS = (13, 15), (0, 3), 4, 17
 WAYS, INNER = 1 << WAY_BITS, 3  # the splits read the first INNER templates
-HEAD = 150_000
+HEAD = 500_000
 ALPHA = 0.1
-BATCH, RATE = 4096, 0.5
+BATCH, SLAB, OFTEN = 4096, 1 << 18, 24
+#: Rate and pseudo-counts of the first and the later steps; bound of a weight.
+FIRST, NEXT, LARGEST = (0.5, 5.0), (0.2, 50.0), 9.0
 FLUSH = 200_000
 VALUES = 4096  # weights in one block row
 ODD, ODDER = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -109,6 +115,11 @@ class Shape:
     def size(self) -> int:
         return TEMPLATES * self.buckets * CLASSES + CLASSES + (WAYS << INNER_BITS)
 
+    def zeros(self, columns: bool = False) -> list[np.ndarray]:
+        """Sums for the head (the bias last) and the inner rows; ``columns``: the latter lie as columns."""
+        inner = (WAYS, 1 << INNER_BITS) if columns else (1 << INNER_BITS, WAYS)
+        return [np.zeros(n, dtype=np.float32) for n in ((TEMPLATES * self.buckets + 1, CLASSES), inner)]
+
     def start(self) -> np.ndarray:
         flat = np.zeros(self.size, dtype=np.float32)
         a = TEMPLATES * self.buckets * CLASSES
@@ -116,77 +127,108 @@ class Shape:
         return flat
 
 
-def softmax(base: np.ndarray, table: np.ndarray, f: np.ndarray) -> np.ndarray:
+def logits(base: np.ndarray, table: np.ndarray, f: np.ndarray) -> np.ndarray:
     z = base + table.take(f[0], axis=0)
     for k in f[1:]:
         z += table.take(k, axis=0)
-    np.exp(np.clip(z, -60, 60, out=z), out=z)  # in the range of 32 bits, sums too
-    z /= np.einsum("ij->i", z)[:, None]
     return z
 
 
-def descend(table: np.ndarray, seen: np.ndarray, f: np.ndarray, grad: np.ndarray) -> None:
-    """A gradient step of the rows ``f`` of a table; ``seen`` holds each row's squared gradients."""
-    for k in f:
-        order = np.argsort(k)
-        sorted_ = k[order]
-        at = np.flatnonzero(np.diff(sorted_, prepend=-1))
-        rows = sorted_[at]
-        total = np.add.reduceat(grad.take(order, axis=0), at, axis=0) if len(at) else grad  # sums of equal rows
-        met = seen[rows] + np.einsum("ij,ij->i", total, total)
-        seen[rows] = met
-        total *= (RATE / np.sqrt(met))[:, None]
-        table[rows] -= total
+def softmax(z: np.ndarray) -> np.ndarray:
+    """In place; weights are within LARGEST, so sums stay in the range of 32 bits."""
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
+    return z
+
+
+def log_share(z: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """log10 of the softmax at column ``k`` of each row."""
+    own = z[np.arange(len(k)), k]
+    np.exp(z, out=z)
+    return (own - np.log(z @ np.ones(z.shape[1], dtype=z.dtype))) / np.log(10)
+
+
+def add_rows(total: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """``total[rows] += x`` with the rows that occur repeatedly summed."""
+    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits at a time: a radix sort
+    order = order[np.argsort((rows >> 16).astype(np.uint16)[order], kind="stable")]
+    sorted_ = rows[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    n = np.diff(first, append=len(rows))
+    for a, m in zip(first[n > OFTEN], n[n > OFTEN], strict=True):
+        total[sorted_[a]] += np.ones(m, dtype=x.dtype) @ x.take(order[a:a + m], axis=0)
+    few = np.flatnonzero(n <= OFTEN)
+    few = few[np.argsort(OFTEN - n[few].astype(np.uint16), kind="stable")]  # by falling number
+    first, n = first[few], n[few]
+    if len(few):
+        part = x.take(order[first], axis=0)
+        for j in range(1, int(n[0])):
+            m = int(np.searchsorted(-n, -j, side="left"))  # those with more than j
+            part[:m] += x.take(order[first[:m] + j], axis=0)
+        total[sorted_[first]] += part
+
+
+def add_columns(total: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """``total[:, k] += x[i]`` for each k of ``rows[:, i]``; ``total`` holds narrow rows as columns."""
+    many = rows.ravel()
+    for own, w in zip(total, np.ascontiguousarray(x.T, dtype=np.float64), strict=True):
+        own += np.bincount(many, np.tile(w, len(rows)), total.shape[1])
 
 
 class Model:
-    """Weights: table (TEMPLATES * buckets, CLASSES), bias (CLASSES) and the rows of the splits (inner)."""
+    """Weights: head (TEMPLATES * buckets rows of CLASSES, then the bias) and the rows of the splits (inner)."""
 
-    def __init__(self, shape: Shape, flat: np.ndarray, learns: bool = False):
-        self.shape, a = shape, TEMPLATES * shape.buckets * CLASSES
-        self.flat = flat.copy() if learns else flat
-        self.table, self.bias, self.inner = self.flat[:a].reshape(-1, CLASSES), self.flat[a:a + CLASSES], self.flat[a + CLASSES:].reshape(-1, WAYS)
-        if learns:
-            self.seen, self.seen_inner, self.batches = np.ones(len(self.table), dtype=np.float32), np.ones(len(self.inner), dtype=np.float32), 0
+    def __init__(self, shape: Shape, flat: np.ndarray):
+        self.shape, a = shape, TEMPLATES * shape.buckets * CLASSES + CLASSES
+        self.head, self.inner = flat[:a].reshape(-1, CLASSES), flat[a:].reshape(-1, WAYS)
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
         return (keys % U(self.shape.buckets)).astype(np.int64) + self.shape.buckets * np.arange(TEMPLATES)[:, None]
 
     def splits(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per split (rows of the inner table, probabilities of the parts, part of the token)."""
+        """Per split (rows of the inner table, offsets of the parts, part of the token)."""
         for level, offset in enumerate(self.shape.offsets):
             rest = WAY_BITS * (self.shape.depth - level)
             node = cls << WAY_BITS * level | leaf >> rest
             f = ((keys[:INNER] ^ (node * 4 + level + 1).astype(np.uint64) * ODD) * ODDER >> U(64 - INNER_BITS)).view(np.int64)
-            yield f, softmax(offset[node], self.inner, f), leaf >> rest - WAY_BITS & WAYS - 1
-
-    def train(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> None:
-        """Gradient steps over the tokens in order."""
-        f = self.rows(keys)
-        for a in range(0, len(cls), BATCH):
-            part, y = f[:, a:a + BATCH], cls[a:a + BATCH]
-            grad = softmax(self.bias, self.table, part)
-            grad[np.arange(len(y)), y] -= 1
-            descend(self.table, self.seen, part, grad)
-            self.bias -= 0.02 * grad.mean(axis=0)
-            self.batches += 1
-            many = np.flatnonzero(y >= SINGLES) + a
-            for rows, grad, way in self.splits(keys[:, many], cls[many], leaf[many]):
-                grad[np.arange(len(many)), way] -= 1
-                descend(self.inner, self.seen_inner, rows, grad)
+            yield f, offset[node], leaf >> rest - WAY_BITS & WAYS - 1
 
     def scores(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """log10 P(class and leaf | history) of the tokens."""
         f, out = self.rows(keys), np.empty(len(cls))
-        log_of = lambda p, k: np.log10(np.maximum(p[np.arange(len(k)), k], 1e-30))
         for a in range(0, len(cls), BATCH):
             y = cls[a:a + BATCH]
-            out[a:a + BATCH] = log_of(softmax(self.bias, self.table, f[:, a:a + BATCH]), y)
+            out[a:a + BATCH] = log_share(logits(self.head[-1], self.head, f[:, a:a + BATCH]), y)
             many = np.flatnonzero(y >= SINGLES) + a
-            for _, p, way in self.splits(keys[:, many], cls[many], leaf[many]):
-                out[many] += log_of(p, way)
+            for rows, offset, way in self.splits(keys[:, many], cls[many], leaf[many]):
+                out[many] += log_share(logits(offset, self.inner, rows), way)
         return out
 
+    def observe(self, sums: list[np.ndarray], keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> None:
+        """Adds the observed counts of the features to ``sums`` (head, inner by columns)."""
+        head, inner = sums
+        np.add.at(head.reshape(-1), (self.rows(keys) * CLASSES + cls).ravel(), np.float32(1))
+        head[-1] += np.bincount(cls, minlength=CLASSES)
+        many = np.flatnonzero(cls >= SINGLES)
+        for rows, _, way in self.splits(keys[:, many], cls[many], leaf[many]):
+            np.add.at(inner.reshape(-1), (way * inner.shape[1] + rows).ravel(), np.float32(1))
+
+    def expect(self, sums: list[np.ndarray], keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> None:
+        """Adds the counts that the model expects of the features to ``sums`` (head, inner by columns)."""
+        head, inner = sums
+        f = self.rows(keys)
+        for a in range(0, len(cls), SLAB):
+            part = f[:, a:a + SLAB]
+            p = np.empty((part.shape[1], CLASSES), dtype=np.float32)
+            for b in range(0, len(p), BATCH):
+                p[b:b + BATCH] = softmax(logits(self.head[-1], self.head, part[:, b:b + BATCH]))
+            for k in part:
+                add_rows(head, k, p)
+            head[-1] += np.ones(len(p), dtype=p.dtype) @ p
+            many = np.flatnonzero(cls[a:a + SLAB] >= SINGLES) + a
+            for rows, offset, _ in self.splits(keys[:, many], cls[many], leaf[many]):
+                add_columns(inner, rows, softmax(logits(offset, self.inner, rows)))
+
 
 def token_counts(texts: DataFrame) -> DataFrame:
     """``word`` (empty: the end token), ``h``, ``cls`` (by suffix) and ``c`` over all ``texts`` (text)."""
@@ -213,43 +255,111 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, h long, cls int, c long").groupBy("word", "h", "cls").agg(F.sum("c").alias("c"))
 
 
-def train(texts: DataFrame, singles: np.ndarray, form: Shape) -> np.ndarray:
-    """Averaged weights of the tasks' gradient runs over all ``texts`` (text), flat."""
+PIECES = "block int, rows binary, top binary, x binary"
+
+
+def pieces(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows of the tables that are not 0, in blocks of VALUES: each its greatest size and, in 16 bits, its shares of that."""
+    block = 0
+    for t in tables:
+        top, step = np.maximum(t.max(axis=1), -t.min(axis=1)), VALUES // t.shape[1]
+        for a in range(0, len(t), step):
+            if len(at := np.flatnonzero(top[a:a + step])):
+                size = top[a:a + step][at].astype("<f4")
+                x = (t[a:a + step][at] / size[:, None]).astype("<f2")
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (at.astype("<u2"), size, x))], names=["block", "rows", "top", "x"])
+            block += 1
+
+
+def add_piece(tables: list[np.ndarray], block: int, rows: bytes, top: bytes, x: bytes) -> None:
+    for t in tables:
+        step = VALUES // t.shape[1]
+        n = -(-len(t) // step)
+        if block < n:
+            at = np.frombuffer(rows, dtype="<u2").astype(np.int64) + block * step
+            t[at] += np.frombuffer(x, dtype="<f2").astype(np.float32).reshape(-1, t.shape[1]) * np.frombuffer(top, dtype="<f4")[:, None]
+            return
+        block -= n
+
+
+def summed(texts: DataFrame, singles: np.ndarray, form: Shape, flat: np.ndarray, sum_of: str) -> list[np.ndarray]:
+    """Sums over all ``texts`` (text) of ``Model.observe`` or ``Model.expect`` (``sum_of``) at the weights ``flat``.
+
+    One task a core sums its texts; the tasks' touched rows meet by block, so what is sent is bounded by cores times model.
+    """
+    sc = texts.sparkSession.sparkContext
+    shared = sc.broadcast((flat, singles, form))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
+        flat, single, form = shared.value
+        model, sums = Model(form, flat), None
         for batch in batches:
             for part in text_chunks(batch):
-                model = model or Model(form, form.start(), learns=True)
-                h, cls, row, _ = tokens(part.column("text"), singles)
-                model.train(features(h, cls, row), cls, leaf_bits(h, form.depth))
-        if model:
-            # each weight counts by the squared gradients it met: 0 if it was never touched
-            met = np.minimum(np.r_[np.repeat(model.seen - 1, CLASSES), np.full(CLASSES, model.batches, dtype=np.float32), np.repeat(model.seen_inner - 1, WAYS)], 60_000).astype("<f2")
-            for k, a in enumerate(range(0, form.size, VALUES)):
-                n = met[a:a + VALUES]
-                if n.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([model.flat[a:a + VALUES].astype("<f2").tobytes()], pa.binary())], names=["block", "n", "w"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sums = sums or form.zeros(columns=True)
+                h, cls, row, _ = tokens(part.column("text"), single)
+                getattr(model, sum_of)(sums, features(h, cls, row), cls, leaf_bits(h, form.depth))
+        if sums:
+            yield from pieces([sums[0], np.ascontiguousarray(sums[1].T)])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        met: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, n, w in zip(*(b.column(c).to_pylist() for c in ("block", "n", "w")), strict=True):
-                n = np.frombuffer(n, dtype="<f2").astype(np.float64)
-                x = np.frombuffer(w, dtype="<f2") * n
-                total[k], met[k] = (total[k] + x, met[k] + n) if k in total else (x, n)
-        cuts = [np.where(met[k] > 0, total[k] / np.where(met[k] > 0, met[k], 1), 0).astype("<f4").tobytes() for k in total]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(cuts, pa.binary())], names=["block", "w"])
-
-    blocks = texts.mapInArrow(run, "block int, n binary, w binary").repartition(64, "block").mapInArrow(average, "block int, w binary")
-    flat = form.start()
-    for r in blocks.collect():  # form.size weights in all, bounded whatever the corpus
-        x = np.frombuffer(r["w"], dtype="<f4")
-        flat[r["block"] * VALUES:r["block"] * VALUES + len(x)] = x
-    return flat
-
-
-def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            for r in b.to_pylist():
+                n = len(r["x"]) // 2 // (len(r["rows"]) // 2)
+                own = total.setdefault(r["block"], np.zeros((VALUES // n, n), dtype=np.float32))
+                add_piece([own], 0, r["rows"], r["top"], r["x"])
+        for k, t in total.items():
+            for p in pieces([t]):
+                yield p.set_column(0, "block", pa.array([k], pa.int32()))
+
+    blocks = texts.coalesce(max(1, sc.defaultParallelism)).mapInArrow(run, PIECES).repartition(64, "block").mapInArrow(meet, PIECES)
+    out = form.zeros()
+    for r in blocks.collect():  # at most the model's size, bounded whatever the corpus
+        add_piece(out, r["block"], r["rows"], r["top"], r["x"])
+    shared.unpersist()
+    return out
+
+
+def step(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, floor: np.ndarray, rate_kappa: tuple[float, float]) -> None:
+    """A scaled gradient step: each weight moves by the log of observed over expected, both with kappa pseudo-counts spread by ``floor``."""
+    rate, kappa = rate_kappa
+    weights += np.float32(rate) * np.log((observed + np.float32(kappa) * floor) / (np.maximum(expected, 0) + np.float32(kappa) * floor))
+    np.clip(weights, -LARGEST, LARGEST, out=weights)
+
+
+class Trainer:
+    """Weights from the observed counts and then from the expected counts of each round."""
+
+    def __init__(self, form: Shape):
+        self.form, self.flat, self.rounds = form, form.start(), 0
+        self.prior, self.even = form.prior.astype(np.float32), np.float32(1 / WAYS)
+
+    def begin(self, observed: list[np.ndarray]) -> None:
+        """First step of the head: at the start the model expects the prior in every context."""
+        self.head, self.inner = observed
+        model = Model(self.form, self.flat)
+        step(model.head[:-1], self.head[:-1], self.head[:-1].sum(axis=1, keepdims=True) * self.prior, self.prior, FIRST)
+
+    def advance(self, expected: list[np.ndarray]) -> None:
+        """Next step of the head, first or next step of the splits."""
+        model = Model(self.form, self.flat)
+        bias = model.head[-1] + np.float32(NEXT[0]) * np.log((self.head[-1] + 1) / (expected[0][-1] + 1))
+        step(model.head, self.head, expected[0], self.prior, NEXT)
+        model.head[-1] = np.maximum(bias, -4 * LARGEST)
+        step(model.inner, self.inner, expected[1], self.even, NEXT if self.rounds else FIRST)
+        self.rounds += 1
+
+
+def train(texts: DataFrame, singles: np.ndarray, form: Shape, rounds: int) -> np.ndarray:
+    """Weights (flat): a step from the counts observed in all ``texts`` (text), then ``rounds`` synchronous steps over all of them."""
+    trainer = Trainer(form)
+    trainer.begin(summed(texts, singles, form, trainer.flat, "observe"))
+    for _ in range(rounds):
+        trainer.advance(summed(texts, singles, form, trainer.flat, "expect"))
+    return trainer.flat
+
+
+def score(docs: DataFrame, held_out_of: int = 10, rounds: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per text ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % held_out_of == 0, F.lit(True))
@@ -265,18 +375,20 @@ def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text:
         if room < 0:
             break
         least = r["c"]
-    head = sorted(((r["h"] % 2**64, r["c"], r["cls"]) for r in counts.where((F.col("c") >= least) | (F.col("word") == "")).collect()))
-    top = sorted((c, h) for h, c, _ in head if h)[-(SINGLES - 1):]
+    head = counts.where((F.col("c") >= least) | (F.col("word") == "")).select("h", "c", "cls").toArrow()
+    head_h, head_c, head_cls = (head.column(k).to_numpy().astype(t) for k, t in (("h", np.uint64), ("c", np.int64), ("cls", np.int64)))
+    order = np.argsort(head_h)
+    head_h, head_c, head_cls = head_h[order], head_c[order], head_cls[order]
+    top = sorted((c, h) for h, c in zip(*(x[np.lexsort((head_h, head_c))[-SINGLES:]].tolist() for x in (head_h, head_c)), strict=True) if h)[-(SINGLES - 1):]
     singles = np.array(sorted(h for _, h in top), dtype=np.uint64)
     stats = {r["cls"]: [r["n"], r["v"]] for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     n_cls, v_cls = (np.array([stats.get(k, (0, 0))[i] for k in range(CLASSES)], dtype=np.float64) for i in (0, 1))
     single_of = {int(h): k + 1 for k, h in enumerate(singles)}
-    head_h, head_c, head_cls = (np.array([r[i] for r in head], dtype=t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-    for k, h in enumerate(head_h):
-        if (own := single_of.get(int(h))) is not None:
-            n_cls[head_cls[k]] -= head_c[k]
-            v_cls[head_cls[k]] -= 1
-            n_cls[own], v_cls[own], head_cls[k] = head_c[k], 1, own
+    for h, own in single_of.items():
+        k = int(np.searchsorted(head_h, U(h)))
+        n_cls[head_cls[k]] -= head_c[k]
+        v_cls[head_cls[k]] -= 1
+        n_cls[own], v_cls[own], head_cls[k] = head_c[k], 1, own
     prior = (n_cls + 1) / (n_cls + 1).sum()
     form = Shape(n_distinct, int(v_cls[SINGLES:].max()))
     # (class, leaf) of every token but the singles, at most CLASSES * WAYS ** depth rows
@@ -290,7 +402,7 @@ def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text:
     for r in counts.select("h", "cls", "c").mapInArrow(by_leaf, "cls int, leaf long, c long, own boolean").where("NOT own").groupBy("cls", "leaf").agg(
             F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         leaves[r["cls"], r["leaf"]], kinds[r["cls"], r["leaf"]] = r["n"], r["v"]
-    weights = train(training, singles, form.fit(prior, leaves))
+    weights = train(training, singles, form.fit(prior, leaves), rounds)
     base_of = np.log10(n_tokens + ALPHA * (n_distinct + 1))
     # a class of one token has no unknown tokens; the leaves of the others keep one place for them each
     leaf_of = np.log10(leaves + ALPHA * (kinds + 1))
@@ -318,13 +430,14 @@ def score(docs: DataFrame, held_out_of: int = 10, doc_id: str = "doc_id", text:
                 ends = np.zeros(len(h), bool)
                 ends[w.first[1:] + np.arange(n)] = True
                 rest = ~known[~ends]
-                key, first, back = np.unique(np.stack([w.doc[rest].astype(np.uint64), w.hash[rest]]), axis=1, return_index=True, return_inverse=True) if rest.any() else (None, np.zeros(0, int), np.zeros(0, int))
+                _, kind = np.unique(w.hash[rest], return_inverse=True)
+                _, first, back = np.unique(w.doc[rest] * (len(kind) + 1) + kind, return_index=True, return_inverse=True)
                 m = len(first)
                 if m:
                     word = np.flatnonzero(rest)[first]
                     text_ = [w.data[a:b].tobytes() for a, b in zip(w.start[word], w.end[word], strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column("rid").take(pa.array(w.doc[word])), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(text_, pa.binary()).cast(pa.string()),
-                                                      pa.array(leaf_of[cls[~ends][word], leaf[~ends][word]]), pa.array(np.bincount(back.ravel(), minlength=m).astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], schema=schema)
+                                                      pa.array(leaf_of[cls[~ends][word], leaf[~ends][word]]), pa.array(np.bincount(back, minlength=m).astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], schema=schema)
 
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.string()), ("share", pa.float64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
     out = land(all_.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(

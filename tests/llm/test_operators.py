@@ -347,6 +347,35 @@ def test_language_model_history_within_a_class(shipped):
     assert language_model.Shape(1 << 20, 1 << 13).buckets > form.buckets and language_model.Shape(1 << 20, 1 << 11).depth == 3
 
 
+def test_language_model_ignores_partitions(docs):
+    """Rounds sum over all texts, so the layout of the input moves no score by more than rounding."""
+    one, many = ({r.doc_id: r.score for r in language_model.score(docs.repartition(n)).collect()} for n in (1, 16))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) <= 0.002 * abs(one[k]) for k in one)
+
+
+def test_language_model_sums(shipped):
+    """Row sums against a plain loop, exact rows back from the pieces, expected counts of each context adding up to its tokens."""
+    rng = np.random.default_rng(2)
+    rows, x = rng.zipf(1.3, 500) % 70_000, rng.normal(size=(500, 16)).astype(np.float32)
+    want = np.zeros((70_000, 16), np.float32)
+    np.add.at(want, rows, x)
+    got, cols = np.zeros_like(want), np.zeros((16, 70_000), np.float32)
+    language_model.add_rows(got, rows, x)
+    language_model.add_columns(cols, rows[None], x)
+    assert np.allclose(got, want, atol=1e-4) and np.allclose(cols.T, want, atol=1e-4)
+    back = np.zeros_like(want)
+    for p in language_model.pieces([got]):
+        language_model.add_piece([back], *(p.column(k)[0].as_py() for k in range(4)))
+    assert np.allclose(back, got, atol=2e-3 * np.abs(got).max())
+    form = language_model.Shape(1 << 10, 16).fit(np.full(language_model.CLASSES, 1 / language_model.CLASSES), rng.integers(0, 9, (language_model.CLASSES, 16)))
+    keys, cls, leaf = rng.integers(0, 99, (4, 3000)).astype(np.uint64), rng.integers(0, language_model.CLASSES, 3000), rng.integers(0, 16, 3000)
+    flat = form.start() + rng.normal(size=form.size).astype(np.float32)
+    model, seen, expected = language_model.Model(form, flat), form.zeros(columns=True), form.zeros(columns=True)
+    model.observe(seen, keys, cls, leaf)
+    model.expect(expected, keys, cls, leaf)
+    assert np.allclose(seen[0].sum(axis=1), expected[0].sum(axis=1), atol=1e-2) and np.allclose(seen[1].sum(axis=0), expected[1].sum(axis=0), atol=1e-2)
+
+
 def test_language_model_tail_tokens(docs, rows, monkeypatch):
     """Tokens outside the broadcast head get the same scores through the join."""
     full = {r.doc_id: (r.n_known, r.base_score) for r in language_model.score(docs).collect()}
