@@ -2,10 +2,12 @@
 
 A generated ``CASE`` tries every rule on every name. Here a rule is looked up by text that it needs:
 each pattern is parsed for literals that every match contains (for alternatives: literals of
-each alternative), and the rarest 3-gram of those literals among the names becomes the rule's
-join key. Names meet only the rules whose key they contain (equi-join on 3-grams); the
-pattern then decides, and the first rule by order wins. Rules without such a literal (at
-most ``MOST_OPEN``) go through one ``CASE`` over all names.
+each alternative), and the literal that is rarest among the names (of a long one its rarest
+``PIECE`` characters) becomes the rule's join key. Names are cut only where a rule's
+literal may start, into the lengths that such literals have, and meet only the rules whose key they
+contain (equi-join, the names of a hot key dealt over parts); the pattern then decides, and
+the first rule by order wins. Rules without such a literal (at most ``MOST_OPEN``) go through one ``CASE`` over
+all names. No table that grows with names or rules is broadcast.
 """
 
 from __future__ import annotations
@@ -24,8 +26,15 @@ except ImportError:
     import sre_constants as sre
     import sre_parse as sre_parser
 
+from labelset.session import cut_lineage
+
 GRAM = 3
+PIECE = 16
 MOST_OPEN = 1000
+#: Classes of the 3-grams at the start of a key: bounds the one table that every task of the names holds.
+HEADS = 1 << 14
+#: Names of one key in one part; the key's rules are repeated for each part.
+KEY_ROWS = 4096
 
 
 def _literals(seq) -> tuple[list[str], list[list[list[str]]]]:
@@ -83,8 +92,47 @@ def _needed(pattern: pd.Series) -> pd.Series:
     return pattern.map(lambda p: needed_literals(p) if p is not None else [])
 
 
-def _grams(c):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, GRAM)))
+def _windows(c, least: int):
+    """Distinct stretches of ``PIECE`` characters of a text; at its end shorter ones down to ``least``."""
+    last = F.greatest(F.length(c) - least + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, PIECE)))
+
+
+def _head(c):
+    return F.pmod(F.xxhash64(F.substring(c, 1, GRAM)), F.lit(HEADS)).cast("int")
+
+
+def _name_pieces(n: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``(_n, piece)`` of the parts of each name that may be one of ``pieces``: same class of start, same length."""
+    heads = pieces.groupBy(_head("piece").alias("head")).agg(F.collect_set(F.length("piece")).alias("sizes"))
+    places = n.filter(F.length("_n") >= GRAM).select("_n", F.explode(_windows(F.col("_n"), GRAM)).alias("at"))
+    places = places.withColumn("head", _head("at")).join(F.broadcast(heads), "head")  # at most HEADS rows of PIECE lengths
+    cut = F.array_distinct(F.transform("sizes", lambda k: F.substring("at", F.lit(1), k)))
+    # a place near the end of the name is cut shorter than some lengths; such a part is looked up once
+    return places.select("_n", F.explode(cut).alias("piece"))
+
+
+def rule_candidates(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(_n, rule_order, pattern, target)``: each name (``_n``) with the rules whose rarest needed literal it contains.
+
+    ``rules`` carry their needed literals as ``_alts``.
+    """
+    alts = rules.filter(F.size("_alts") > 0).select("rule_order", "pattern", "target", F.posexplode("_alts").alias("_alt", "_words"))
+    r_pieces = alts.select("rule_order", "pattern", "target", "_alt", F.explode(F.array_distinct(F.flatten(
+        F.transform("_words", lambda w: _windows(w, PIECE))))).alias("piece"))
+    n_pieces = _name_pieces(names, r_pieces.select("piece"))
+    df = n_pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
+    # an alternative with a literal that no name has cannot match; the others are keyed by their rarest one
+    keyed = r_pieces.join(df.hint("merge"), "piece", "left").groupBy("rule_order", "pattern", "target", "_alt").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "piece")).alias("_key")).filter("_key.df > 0")
+    parts = F.ceil(F.col("df") / KEY_ROWS)
+    keyed = keyed.select("rule_order", "pattern", "target", F.col("_key.piece").alias("piece"), F.col("_key.df").alias("df")).distinct()
+    keyed = keyed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("df")
+    # at most one hot key in KEY_ROWS rows
+    hot = df.filter(F.col("df") > KEY_ROWS).select("piece", parts.alias("_parts"))
+    dealt = n_pieces.join(F.broadcast(hot), "piece", "left").select(
+        "_n", "piece", F.pmod(F.xxhash64("_n"), F.coalesce("_parts", F.lit(1))).alias("part"))
+    return keyed.join(dealt.hint("merge"), ["piece", "part"]).select("_n", "rule_order", "pattern", "target")
 
 
 def match_rule_table(names: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
@@ -95,17 +143,10 @@ def match_rule_table(names: DataFrame, rules: DataFrame, name: str = "name") ->
     the smallest pattern, then target.
     """
     n = names.select(F.col(name).alias("_n")).filter(F.col("_n").isNotNull()).distinct()
-    r = rules.select("rule_order", "pattern", "target").filter(F.col("pattern").isNotNull()).withColumn("_alts", _needed("pattern"))
-    n_grams = n.filter(F.length("_n") >= GRAM).select("_n", F.explode(_grams(F.col("_n"))).alias("gram"))
-    df = n_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    alts = r.filter(F.size("_alts") > 0).select("rule_order", "pattern", "target", F.posexplode("_alts").alias("_alt", "_words"))
-    r_grams = alts.select("rule_order", "pattern", "target", "_alt",
-                          F.explode(F.array_distinct(F.flatten(F.transform("_words", _grams)))).alias("gram"))
-    # an alternative with a 3-gram that no name has cannot match; the others are keyed by their rarest one
-    keyed = r_grams.join(df, "gram", "left").groupBy("rule_order", "pattern", "target", "_alt").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("_key")).filter("_key.df > 0")
-    keyed = keyed.select("rule_order", "pattern", "target", F.col("_key.gram").alias("gram"))
-    hits = n_grams.join(keyed, "gram").filter(F.rlike(F.col("_n"), F.concat(F.lit("^(?:"), "pattern", F.lit(")"))))
+    r = rules.select("rule_order", "pattern", "target").filter(F.col("pattern").isNotNull())
+    # the parsed rules feed the keys, the heads and the open rules: parse them once, by many tasks
+    r = cut_lineage(r.repartition("pattern").withColumn("_alts", _needed("pattern")))
+    hits = rule_candidates(n, r).filter(F.rlike(F.col("_n"), F.concat(F.lit("^(?:"), "pattern", F.lit(")"))))
     hits = hits.select("_n", F.struct("rule_order", "pattern", "target").alias("_rule"))
     open_ = r.filter(F.size("_alts") == 0).select("rule_order", "pattern", "target").limit(MOST_OPEN + 1).collect()
     if len(open_) > MOST_OPEN:

@@ -53,3 +53,30 @@ def test_too_many_open_rules(spark):
     rules = spark.range(1200).select(F.col("id").alias("rule_order"), F.lit(".*").alias("pattern"), F.lit("t").alias("target"))
     with pytest.raises(ValueError):
         match_rule_table(df, rules)
+
+
+def test_candidates_by_whole_literals(spark):
+    """Numbered rules and names: a name meets the rules whose literal it contains, not all that share a 3-gram."""
+    from labelset.operators.rule_index import rule_candidates
+
+    names = spark.range(3000).select(F.concat(F.lit("part brand "), (F.col("id") + 10000).cast("string")).alias("_n"))
+    rules = spark.range(300).select(F.col("id").alias("rule_order"), F.concat(F.lit("[a-z ]+ "), (F.col("id") * 10 + 10000).cast("string"), F.lit("$")).alias("pattern"),
+                                    F.lit("t").alias("target"), F.array(F.array(F.concat(F.lit(" "), (F.col("id") * 10 + 10000).cast("string")))).alias("_alts"))
+    met = rule_candidates(names, rules)
+    assert met.count() == 300 and met.filter(F.rlike("_n", F.col("pattern"))).count() == 300
+    # a literal that every name has deals the names over parts; its rules meet them all, once
+    every = rules.limit(2).withColumn("_alts", F.array(F.array(F.lit("part brand 1"))))
+    more = names.unionByName(spark.range(6000).select(F.concat(F.lit("part brand 1"), F.col("id").cast("string")).alias("_n"))).distinct()
+    assert rule_candidates(more, every).distinct().count() == 2 * more.count() == rule_candidates(more, every).count()
+
+
+def test_long_and_repeated_literals(spark):
+    rng = random.Random(7)
+    words = ["taxa de conversao de visitantes", "taxa de conversao de clientes", "aaaa", "aaaaaaaaaaaaaaaaaaaa", "çãé", "\U0001f600\U0001f600x"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(80)]
+    pats = [f".*{w}{e}" for w in words for e in ("", "$", " a")] + ["(?:çãé|taxa de conversao de clientes pagantes|aaaa a).*"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    rules = spark.createDataFrame([(i, p, p) for i, p in enumerate(pats)], "rule_order int, pattern string, target string")
+    got = {r["name"]: r["target"] for r in match_rule_table(df, rules).collect()}
+    want = {n: next(p for p in pats if re.match(p, n)) for n in names if any(re.match(p, n) for p in pats)}
+    assert got == want and len(want) > 20
