@@ -9,6 +9,7 @@ typed parse is needed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from labelset.functions import replies as RP
 from labelset.functions.text import expand_universe, normalize_text_df, repair_trailing_commas, strip_ws
+from labelset.session import scratch_path
 
 
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -229,36 +231,55 @@ def results_table(records: DataFrame) -> DataFrame:
 
 
 # --- S6 --------------------------------------------------------------------------------------
-def gold_names(text: Column) -> Column:
-    """``{sid: [ {kpi|nome|metric|name}, ... ] | [str, ...]}`` -> array of
-    ``struct<sid, at, name>`` (``at``: place of the key); non-list values are skipped; a non-string name gives ""."""
-    m = F.from_json(strip_ws(text), "map<string,string>", RP.STRICT_JSON)
+def _gold_list(value: Column) -> Column:
+    """Names of a gold member ``[ {kpi|nome|metric|name}, ... ] | [str, ...]``; empty when it is no list; a
+    non-string name gives ""."""
+    def one(x):
+        obj = RP.parse_object(x["raw"])
+        v = RP.first_truthy([RP.get_ci(obj, k) for k in RP.NAME_KEYS])
+        from_obj = F.when(RP.kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+        return F.coalesce(F.when(x["kind"] == "OBJECT", from_obj).when(x["kind"] == "STRING", x["raw"]), F.lit(""))
 
-    def names(e, at):
-        elems = RP.json_array_elements(e["value"])
+    elems = RP.json_array_elements(value)
+    return F.transform(F.coalesce(elems, F.array().cast("array<struct<raw:string,kind:string>>")), one)
 
-        def one(x):
-            obj = RP.parse_object(x["raw"])
-            v = RP.first_truthy([RP.get_ci(obj, k) for k in RP.NAME_KEYS])
-            from_obj = F.when(RP.kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
-            return F.struct(e["key"].alias("sid"), at.alias("at"),
-                            F.coalesce(F.when(x["kind"] == "OBJECT", from_obj)
-                                       .when(x["kind"] == "STRING", x["raw"]), F.lit("")).alias("name"))
 
-        return F.transform(F.coalesce(elems, F.array().cast("array<struct<raw:string,kind:string>>")), one)
+#: A gold document longer than this is read in parts: as one row it is held beside all its parsed entries.
+GOLD_SPLIT_BYTES = 8 << 20
 
-    return F.flatten(F.transform(F.map_entries(m), names))
 
+def _gold_members(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
+    """``(path, at, key, value)`` of the members of the gold documents."""
+    def whole(paths):
+        docs = read_json_lenient(spark, paths)
+        entries = F.map_entries(F.from_json(strip_ws(F.col("text")), "map<string,string>", RP.STRICT_JSON))
+        return docs.select("path", F.posexplode(entries).alias("at", "_e")).select("path", F.col("at").cast("long").alias("at"), "_e.key", "_e.value")
 
-def read_gold(spark: SparkSession, path: str, universe: DataFrame, canon=None) -> DataFrame:
+    small, large = _by_length(spark, existing_paths(spark, [path]), split_bytes)
+    out = whole(small)
+    if large:
+        from labelset.sources.json_split import split_members
+
+        parts, left = split_members(spark, large)
+        out = out.unionByName(parts)
+        # one path a document, bounded by the given ones
+        if rest := [r["file"] for r in left.collect()]:
+            out = out.unionByName(whole(rest))
+    return out
+
+
+def read_gold(spark: SparkSession, path: str, universe: DataFrame, canon=None, split_bytes: int = GOLD_SPLIT_BYTES) -> DataFrame:
     """Long gold ``(sid_norm, sid_raw, item)``: names normalised and canonicalised, only
-    items in the universe kept (a scenario without any vanishes)."""
+    items in the universe kept (a scenario without any vanishes). Documents longer than ``split_bytes`` are
+    read in parts by many tasks, with the same rows."""
     from labelset.operators.match import canonicalize
 
-    docs = read_json_lenient(spark, path)
-    rows = docs.select(F.explode(gold_names(F.col("text"))).alias("g")).select(
-        F.col("g.sid").alias("sid_raw"), F.col("g.at").alias("at"), F.col("g.name").alias("raw"))
-    rows = normalize_text_df(normalize_text_df(rows, "sid_raw", "sid_norm"), "raw", "name")
+    members = _gold_members(spark, path, split_bytes).select(F.col("key").alias("sid_raw"), "at", "value")
+    rows = normalize_text_df(members, "sid_raw", "sid_norm").select("sid_raw", "sid_norm", "at", F.explode(_gold_list(F.col("value"))).alias("raw"))
+    # the rows are read for the last lists, the names and the items: parse and land them once
+    landed = scratch_path(spark, f"gold-{uuid.uuid4().hex}")
+    normalize_text_df(rows, "raw", "name").select("sid_raw", "sid_norm", "at", "name").write.parquet(landed)
+    rows = spark.read.parquet(landed)
     # of several keys with one normal form the last non-empty list holds
     last = rows.groupBy("sid_norm").agg(F.max("at").alias("at"))
     rows = rows.join(last, ["sid_norm", "at"])

@@ -79,3 +79,40 @@ def test_random_documents_in_many_tasks(spark, scratch, small_blocks):
     assert spark.read.option("lineSep", "}").text(paths).rdd.getNumPartitions() > 30
     records, left = split_results(spark, paths)
     assert collected(records) == want and left.count() == 0
+
+
+GOLD = {
+    "plain": '{"s1": [{"kpi": "CPA"}, {"KPI": "Roi"}], "s2": ["lead time", "x]"], "none": "no list"}',
+    "spaces": ' \n{\n "a" : [ "CPA" ]\n , "b":["ROI", {"kpi": {"n": [1]}}] \n}\n ',
+    "keys": '{"A b": ["CPA"], "a-b": ["ROI"], "A  B": [], "c": "x]", "d": {"e": ["CPA"]}, "f": [["CPA"]], "g": ["CPA"]}',
+    "trailing": '{"a": ["CPA",], "b": ["ROI"],}\n', "trailing_in_text": '{"a": ["x,]", "CPA"], "b]": ["ROI"],}',
+    "last_list": '{"a": ["CPA"], "b": ["ROI"]}', "empty": "{}", "empty_list": '{"a": []}', "blank": " \n", "word": "hello ]",
+    "list": '[["CPA"], {"a": ["ROI"]}]', "no_lists": '{"a": 1, "b": "ROI"}', "twice": '{"a": ["CPA"], "a": ["ROI"]}',
+    "cut": '{"a": ["CPA"], "b": ["ROI"]', "cut_in_text": '{"a": ["CPA"], "b": ["RO', "cut_after_comma": '{"a": ["CPA"],', "no_comma": '{"a": ["CPA"] "b": ["ROI"]}',
+    "two_commas": '{"a": ["CPA"],, "b": ["ROI"]}', "mismatch": '{"a": ["CPA"}, "b": ["ROI"]}', "bad_value": '{"a": [tru], "b": ["ROI"]}', "after": '{"a": ["CPA"]} ["b"]',
+    "first_comma": '{, "a": ["CPA"]}', "escape": '{"a\\\\\\"]": ["CPA", "\\u005d"], "b": ["\\"]", "ROI"]}', "mark": "﻿" + '{"a": ["CPA"]}', "unicode": '{"é日": ["CPA"], "b": ["Éfi"]}',
+}
+
+
+def test_gold_in_parts_equals_whole_reader(spark, scratch, small_blocks):
+    from labelset.sources.json_docs import _gold_members, read_gold
+    from pyspark.sql import functions as F
+
+    for name, text in GOLD.items():
+        with open(os.path.join(scratch, f"{name}.json"), "w", encoding="utf-8") as f:
+            f.write(text)
+    with open(os.path.join(scratch, "bytes.json"), "wb") as f:
+        f.write(b'{"a": ["x\xff]y"], "b": ["CPA"]}')
+    found = lambda least: {(r["path"].rsplit("/", 1)[-1][:-5], r["at"], r["key"], r["value"])
+                           for r in _gold_members(spark, f"{scratch}/*.json", least).collect()}
+    want = found(1 << 40)
+    assert {m for m, *_ in want} >= {"plain", "spaces", "keys", "trailing", "trailing_in_text", "last_list", "escape", "unicode", "bytes", "twice"}
+    small_blocks(24)
+    assert found(0) == want
+    lists = [[{"kpi": f"n{j}"} for j in range(i % 4)] if i % 3 else f"]{i}" for i in range(200)]
+    big = os.path.join(scratch, "big")
+    with open(big, "w") as f:
+        f.write("{" + ",\n".join(f'"K-{i}": {json.dumps(v)}' for i, v in enumerate(lists)) + ',"k 7": ["n2"]}')
+    u = spark.createDataFrame([("n0",), ("n2",)], "norm string").withColumn("canon", F.col("norm")).withColumn("tokens", F.split("norm", " "))
+    rows = lambda least: sorted((r.sid_norm, r.sid_raw, r.item) for r in read_gold(spark, big, u, split_bytes=least).collect())
+    assert rows(0) == rows(1 << 40) and ("k 7", "k 7", "n2") in rows(0)
