@@ -84,7 +84,10 @@ def evaluate_runs(records: DataFrame, universe: DataFrame, gold: DataFrame,
     # then joined back to the name rows
     kept = M.in_universe(cmap.select("name", "canon"), universe, "canon", "norm")
     pred = names.join(kept, "name").select(*KEYS, F.col("canon").alias("item")).distinct()
-    gold_att = seen.select(*KEYS).join(gold.select("sid_norm", "item"), "sid_norm")
+    # a gold row becomes a cell of every run that has its key: parts joined up to the advised size by their
+    # compressed bytes would hold too many cells for one task, so the session's number of partitions stands
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gold_att = seen.select(*KEYS).join(gold.select("sid_norm", "item").repartition(parts, "sid_norm"), "sid_norm")
     conf = M.set_confusion(pred, gold_att, list(KEYS), "item", universe=universe)
     per_key = M.set_metrics(conf).join(seen, list(KEYS))
     skipped = M.skipped_keys(seen, conf.select(*KEYS), list(KEYS))

@@ -4,6 +4,7 @@ import json
 import os
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from labelset.plans.scoring import evaluate_runs
 from labelset.functions.text import expand_universe
@@ -133,3 +134,21 @@ def test_entry_contract(spark):
     assert "precision" in out.columns and "c_mktsegment" in out.columns
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 25
+
+
+def test_attached_gold_keeps_the_partitions(spark):
+    """Small compressed parts are not joined into one task, where every run of a key repeats the gold."""
+    recs = [(json.dumps({"scenario_id": f"S{i}", "model": f"m{j}", "parsed_items": [{"kpi": "cpa"}]}), i * 3 + j) for i in range(40) for j in range(3)]
+    df = spark.createDataFrame(recs, "record string, pos long").withColumn("_source_file", F.lit("r.json"))
+    u = spark.createDataFrame([("cpa",), ("roi",)], "norm string")
+    gold = spark.createDataFrame([(f"s{i}", x) for i in range(40) for x in ("cpa", "roi", "roi")], "sid_norm string, item string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 6)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        s = evaluate_runs(df, u, gold)
+        assert s.gold.rdd.getNumPartitions() == 6
+        assert {(r.tp, r.fp, r.fn, r.tn) for r in s.per_key.collect()} == {(1, 0, 1, 0)} and s.per_key.count() == 120
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
