@@ -312,19 +312,25 @@ def summed(texts: DataFrame, singles: np.ndarray, form: Shape, flat: np.ndarray,
             for p in pieces([t]):
                 yield p.set_column(0, "block", pa.array([k], pa.int32()))
 
-    blocks = texts.coalesce(max(1, sc.defaultParallelism)).mapInArrow(run, PIECES).repartition(64, "block").mapInArrow(meet, PIECES)
+    blocks = land(texts.coalesce(max(1, sc.defaultParallelism)).mapInArrow(run, PIECES).repartition(64, "block").mapInArrow(meet, PIECES))
+    shared.destroy()  # the driver's copy too; the sums have landed
     out = form.zeros()
-    for r in blocks.collect():  # at most the model's size, bounded whatever the corpus
+    for r in blocks.toLocalIterator():  # at most the model's size, bounded whatever the corpus; a few blocks at a time
         add_piece(out, r["block"], r["rows"], r["top"], r["x"])
-    shared.unpersist()
     return out
 
 
-def step(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, floor: np.ndarray, rate_kappa: tuple[float, float]) -> None:
-    """A scaled gradient step: each weight moves by the log of observed over expected, both with kappa pseudo-counts spread by ``floor``."""
-    rate, kappa = rate_kappa
-    weights += np.float32(rate) * np.log((observed + np.float32(kappa) * floor) / (np.maximum(expected, 0) + np.float32(kappa) * floor))
-    np.clip(weights, -LARGEST, LARGEST, out=weights)
+def step(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray | None, floor: np.ndarray, rate_kappa: tuple[float, float]) -> None:
+    """A scaled gradient step: each weight moves by the log of observed over expected, both with kappa pseudo-counts spread by ``floor``.
+
+    ``expected`` None: what the floor expects of the observed rows. Rows go BATCH at a time, so no copy of the model is made.
+    """
+    rate, kappa = np.float32(rate_kappa[0]), np.float32(rate_kappa[1])
+    for a in range(0, len(weights), BATCH):
+        w, o = weights[a:a + BATCH], observed[a:a + BATCH]
+        e = o.sum(axis=1, keepdims=True) * floor if expected is None else expected[a:a + BATCH]
+        w += rate * np.log((o + kappa * floor) / (np.maximum(e, 0) + kappa * floor))
+        np.clip(w, -LARGEST, LARGEST, out=w)
 
 
 class Trainer:
@@ -338,7 +344,7 @@ class Trainer:
         """First step of the head: at the start the model expects the prior in every context."""
         self.head, self.inner = observed
         model = Model(self.form, self.flat)
-        step(model.head[:-1], self.head[:-1], self.head[:-1].sum(axis=1, keepdims=True) * self.prior, self.prior, FIRST)
+        step(model.head[:-1], self.head[:-1], None, self.prior, FIRST)
 
     def advance(self, expected: list[np.ndarray]) -> None:
         """Next step of the head, first or next step of the splits."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -376,6 +377,24 @@ def test_language_model_sums(shipped):
     assert np.allclose(seen[0].sum(axis=1), expected[0].sum(axis=1), atol=1e-2) and np.allclose(seen[1].sum(axis=0), expected[1].sum(axis=0), atol=1e-2)
 
 
+def test_language_model_step_copies_no_model():
+    rng = np.random.default_rng(5)
+    weights, observed, expected = (rng.random((1 << 16, 64), dtype=np.float32) for _ in range(3))
+    floor = np.full(64, 1 / 64, dtype=np.float32)
+    want = np.clip(weights + np.float32(0.2) * np.log((observed + np.float32(50) * floor) / (expected + np.float32(50) * floor)), -9, 9)
+    tracemalloc.start()
+    language_model.step(weights, observed, expected, floor, (0.2, 50.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    form = language_model.Shape(1 << 14, 16).fit(floor, np.ones((language_model.CLASSES, 16)))
+    trainer, sums = language_model.Trainer(form), form.zeros()
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    trainer.begin(sums)
+    first = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert np.array_equal(weights, want) and peak < weights.nbytes and first < sums[0].nbytes
+
+
 def test_language_model_tail_tokens(docs, rows, monkeypatch):
     """Tokens outside the broadcast head get the same scores through the join."""
     full = {r.doc_id: (r.n_known, r.base_score) for r in language_model.score(docs).collect()}
