@@ -16,6 +16,8 @@ joined back by the caller.
 from __future__ import annotations
 
 import difflib
+import functools
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from labelset.functions.text import STOPWORDS, token_set
-from labelset.session import cut_lineage
+from labelset.session import cut_lineage, land_table
 
 TOKEN_THRESHOLD = 0.60
 CONTAINMENT_BONUS = 0.1
@@ -129,6 +131,8 @@ POSTING_ROWS = 4096
 VERIFY_COST = 0.4
 #: Shared tokens asked of a contained set and the set that contains it.
 CONTAINED = 2
+#: Joined rows of a round of candidates before sizes and positions are compared, for each prefix row, and at least.
+ROUND_ROWS, LEAST_ROUND = 32, 1 << 22
 
 
 def _ranked(rows: DataFrame, freq: DataFrame, share: float = TOKEN_THRESHOLD) -> DataFrame:
@@ -201,18 +205,28 @@ def _contained_candidates(small: DataFrame, large: DataFrame) -> DataFrame:
     return shared.filter("n >= k").select("lid", "rid")
 
 
-def token_candidates(left: DataFrame, right: DataFrame, self_join: bool = False,
-                     materialize: bool = True) -> DataFrame:
-    """Distinct pairs ``(lid, rid)`` of ``(id, tokens)`` tables that can score 0.6; see :func:`token_similarity_pairs`."""
+def ranked_sets(left: DataFrame, right: DataFrame, self_join: bool = False,
+                materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Ranked prefix rows of the ``(id, tokens)`` tables, as far as any candidate needs them."""
     lrows = _token_rows(left, "id", "tokens")
     rrows = lrows if self_join else _token_rows(right, "id", "tokens")
     every = lrows if self_join else lrows.unionByName(rrows)
     freq = every.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    # prefix rows are read by both kinds of candidates: rank them once (reliable checkpoint)
+    # prefix rows are read by both kinds of candidates: rank them once
     reach = F.greatest(_base(TOKEN_THRESHOLD) + F.col("len"), _base(0.5) + CONTAINED)
-    land = lambda df: cut_lineage(df.filter(F.col("pos") <= reach)) if materialize else df
+    land = lambda df: land_table(df.filter(F.col("pos") <= reach)) if materialize else df
     l = land(_ranked(lrows, freq))
-    r = l if self_join else land(_ranked(rrows, freq))
+    return l, l if self_join else land(_ranked(rrows, freq))
+
+
+def token_candidates(left: DataFrame, right: DataFrame, self_join: bool = False,
+                     materialize: bool = True) -> DataFrame:
+    """Distinct pairs ``(lid, rid)`` of ``(id, tokens)`` tables that can score 0.6; see :func:`token_similarity_pairs`."""
+    return _candidates(*ranked_sets(left, right, self_join, materialize), self_join)
+
+
+def _candidates(l: DataFrame, r: DataFrame, self_join: bool) -> DataFrame:
+    """:func:`token_candidates` of ranked sets."""
     swapped = _contained_candidates(r, l).select(F.col("rid").alias("lid"), F.col("lid").alias("rid"))
     if self_join:
         contained = swapped.select(F.greatest("lid", "rid").alias("lid"), F.least("lid", "rid").alias("rid"))
@@ -224,6 +238,20 @@ def token_candidates(left: DataFrame, right: DataFrame, self_join: bool = False,
     return jaccard.unionByName(contained)
 
 
+def candidate_rounds(l: DataFrame, r: DataFrame, self_join: bool) -> int:
+    """Rounds that keep the joined rows of one within ROUND_ROWS times the prefix rows: they may grow
+    with the square of the sets, the disk of a round then grows with the sets only."""
+    prefix = F.col("pos") <= _base(TOKEN_THRESHOLD) + F.col("len")
+    count = lambda df: df.filter(prefix).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    n = count(l)
+    if self_join:
+        met = n.select((F.col("n") * (F.col("n") - 1) / 2).alias("met"), F.col("n").alias("rows"))
+    else:
+        met = n.join(count(r).withColumnRenamed("n", "m"), "tok").select((F.col("n") * F.col("m")).alias("met"), (F.col("n") + F.col("m")).alias("rows"))
+    total = met.agg(F.sum("met").cast("double").alias("met"), F.sum("rows").alias("rows")).first()
+    return max(1, math.ceil((total["met"] or 0) / max(ROUND_ROWS * (total["rows"] or 0), LEAST_ROUND)))
+
+
 def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                            left_tokens: str = "tokens", right_tokens: str = "tokens",
                            self_join: bool = False, materialize: bool = True) -> DataFrame:
@@ -234,6 +262,8 @@ def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, righ
     on prefixes of the sets in one global frequency order: extended prefixes with a per-set
     extension for the first kind, the rarest tokens of the small set for the second. Posting lists
     of hot tokens are split over tasks. Candidates are verified with ``array_intersect``.
+    With ``materialize`` the left sets go in rounds (see :func:`candidate_rounds`), each of which lands
+    its candidates and its verified pairs.
     With ``self_join`` both sides are the same table and only ``right_id < left_id`` pairs
     are produced. Empty token sets never pair.
     """
@@ -242,16 +272,26 @@ def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, righ
 
     l = sets(left, left_id, left_tokens)
     r = l if self_join else sets(right, right_id, right_tokens)
-    cand = token_candidates(l, r, self_join, materialize)
-    ver = (cand.join(l.select(F.col("id").alias("lid"), F.col("tokens").alias("lt")), "lid")
-           .join(r.select(F.col("id").alias("rid"), F.col("tokens").alias("rt")), "rid"))
-    inter = F.size(F.array_intersect("lt", "rt"))
-    ls, rs = F.size("lt"), F.size("rt")
-    jacc = inter.cast("double") / (ls + rs - inter).cast("double")
-    score = jacc + F.when(inter == F.least(ls, rs), F.lit(CONTAINMENT_BONUS)).otherwise(F.lit(0.0))
-    out = ver.select(F.col("lid").alias(left_id), F.col("rid").alias(right_id),
-                     inter.alias("inter"), score.alias("score"))
-    return out.filter(F.col("score") >= F.lit(TOKEN_THRESHOLD))
+    def verified(cand: DataFrame) -> DataFrame:
+        ver = (cand.join(l.select(F.col("id").alias("lid"), F.col("tokens").alias("lt")), "lid")
+               .join(r.select(F.col("id").alias("rid"), F.col("tokens").alias("rt"))
+                     .join(cand.select("rid"), "rid", "left_semi"), "rid"))  # only the sets that are met move
+        inter = F.size(F.array_intersect("lt", "rt"))
+        ls, rs = F.size("lt"), F.size("rt")
+        jacc = inter.cast("double") / (ls + rs - inter).cast("double")
+        score = jacc + F.when(inter == F.least(ls, rs), F.lit(CONTAINMENT_BONUS)).otherwise(F.lit(0.0))
+        out = ver.select(F.col("lid").alias(left_id), F.col("rid").alias(right_id),
+                         inter.alias("inter"), score.alias("score"))
+        return out.filter(F.col("score") >= F.lit(TOKEN_THRESHOLD))
+
+    lrows, rrows = ranked_sets(l, r, self_join, materialize)
+    if not materialize:
+        return verified(_candidates(lrows, rrows, self_join))
+    n = candidate_rounds(lrows, rrows, self_join)
+    of_round = lambda k: lrows.filter(F.pmod(F.hash("id"), F.lit(n)) == k) if n > 1 else lrows
+    # candidates land first: then their size tells how to join them with the sets
+    done = [land_table(verified(land_table(_candidates(of_round(k), rrows, self_join)))) for k in range(n)]
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def best_match(pairs: DataFrame, left_id: str, right_id: str, score: str = "score") -> DataFrame:
@@ -276,18 +316,19 @@ def best_earlier_match(docs: DataFrame, id_col: str, tokens: str = "tokens",
     group of copies holding a large share of the rows therefore costs one hash
     aggregation, not a quadratic number of candidate pairs.
     """
-    s = docs.select(F.col(id_col).alias("_id"), F.col(tokens).alias("_t"))
+    # generated columns: a filter on the sets or hashes does not compute them again below
+    s = docs.select(F.col(id_col).alias("_id"), F.explode(F.array(tokens)).alias("_t")).filter(F.size("_t") > 0)
+    s = s.select("_id", F.inline(F.array(F.struct("_t", F.sha2(F.array_join(F.array_sort("_t"), " "), 256).alias("_h")))))
+    ids = s.select("_id", "_h")
     if materialize:
-        # the token sets are read by the filter, the hash, the prefixes and both verification
-        # sides: compute them once (reliable checkpoint in the shared folder)
-        s = cut_lineage(s)
-    s = s.filter(F.size("_t") > 0).withColumn("_h", F.sha2(F.array_join(F.array_sort("_t"), " "), 256))
-    groups = s.groupBy("_h").agg(F.min("_id").alias("_rep"))
-    tagged = s.join(groups, "_h")
-    copies = tagged.filter(F.col("_id") != F.col("_rep")).select(
+        ids = land_table(ids)  # without the sets, of which only the representatives' are written
+    groups = ids.groupBy("_h").agg(F.min("_id").alias("_rep"))
+    copies = ids.join(groups, "_h").filter(F.col("_id") != F.col("_rep")).select(
         F.col("_id").alias(id_col), F.col("_rep").alias(match_col),
         F.lit(1.0 + CONTAINMENT_BONUS).alias("score"))
-    reps = tagged.filter(F.col("_id") == F.col("_rep")).select("_id", "_t")
+    reps = s.join(groups, "_h").filter(F.col("_id") == F.col("_rep")).select("_id", "_t")
+    if materialize:
+        reps = land_table(reps)  # read by the prefixes and by both verification sides
     pairs = token_similarity_pairs(reps, reps, "_id", "_m", "_t", "_t", self_join=True,
                                    materialize=materialize)
     best = best_match(pairs, "_id", "_m").select(

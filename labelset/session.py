@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +88,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         held.unpersist()
 
 
+#: Shuffle files of a query go when it ends (else when the driver collects its garbage).
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def land_table(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and read back.
+
+    Smaller than a checkpoint's row files, and the shuffle files of the write go at once, so several
+    such steps take the disk of the largest of them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"land-{uuid.uuid4().hex}")
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -218,3 +219,35 @@ def test_few_candidates_for_large_sets(spark):
     cand = {(r.lid, r.rid) for r in MT.token_candidates(s, s, True).collect()}
     true = {(i, j) for i in range(len(sets)) for j in range(i) if score(sets[i], sets[j]) >= 0.6}
     assert true <= cand and len(cand) < 10 * len(true)
+
+
+def test_token_rounds_bound_disk(spark, monkeypatch):
+    """Many small rounds give the brute-force partners, and no step leaves its shuffle files behind."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(i, sorted(rng.sample(vocab, rng.randint(1, 9)))) for i in range(150)]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[:5])]
+    rounds = []
+    monkeypatch.setattr(MT, "ROUND_ROWS", 0)
+    monkeypatch.setattr(MT, "LEAST_ROUND", 1000)
+    count = MT.candidate_rounds
+    monkeypatch.setattr(MT, "candidate_rounds", lambda *a: rounds.append(count(*a)) or rounds[-1])
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for f in disk.getAllFiles().mkString("\n").split("\n") if (n := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    before = files()
+    best = MT.best_earlier_match(df, "id")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    kinds = {f.split("_")[1] for f in left}
+    assert len(kinds) <= 4 and rounds[0] > 2  # at most those of the small reads that size the rounds
+    want = {}
+    for i, a in rows:
+        a = set(a)
+        scored = [(-(len(a & set(b)) / len(a | set(b)) + (0.1 if a <= set(b) or set(b) <= a else 0)), j) for j, b in rows if j < i]
+        s, j = min(scored, default=(0, 0))
+        if -s >= 0.6 - 1e-9:
+            want[i] = (j, round(-s, 9))
+    assert {r.id: (r.match_id, round(r.score, 9)) for r in best.collect()} == want
