@@ -34,7 +34,7 @@ from labelset.functions.text import normalize_text_df
 from labelset.operators import metrics as M
 from labelset.operators.match import ALIAS_RULES, canonicalize
 from labelset.plans.scoring import GROUPS, KEYS, record_rows
-from labelset.session import cut_lineage
+from labelset.session import cut_lineage, land_table
 from labelset.sources.json_docs import existing_paths
 
 RECORD_SCHEMA = "pos long, record string"
@@ -109,9 +109,9 @@ def ingest_stream(spark: SparkSession, source_dir: str, base: str, universe: Dat
 def keyed_counts(landed: DataFrame, gold: DataFrame) -> DataFrame:
     """Running ``tp``, ``fp`` and first raw spelling per key of a stream of landed rows.
 
-    Two keyed states: the items each key has (deduplication), and the counts (aggregation).
+    ``gold``: distinct ``(sid_norm, item)``; every batch joins it. Two keyed states: the items each key has (deduplication), and the counts (aggregation).
     """
-    pairs = gold.select("sid_norm", "item").distinct().withColumn("hit", F.lit(True))
+    pairs = gold.select("sid_norm", "item").withColumn("hit", F.lit(True))
     fresh = landed.filter(F.col("item").isNotNull()).dropDuplicates([*KEYS, "item"])
     tagged = fresh.join(pairs, ["sid_norm", "item"], "left").select(
         *KEYS, F.lit(None).cast("string").alias("sid_raw"), F.lit(None).cast("long").alias("pos"),
@@ -122,9 +122,8 @@ def keyed_counts(landed: DataFrame, gold: DataFrame) -> DataFrame:
         F.count_if(~F.col("hit")).alias("fp"))
 
 
-def with_misses(counts: DataFrame, gold: DataFrame, universe_size: int) -> DataFrame:
-    """``fn`` and ``tn`` from the number of gold items of a key; keys without any are ``skipped``."""
-    sizes = gold.groupBy("sid_norm").agg(F.count_distinct("item").alias("_gold"))
+def with_misses(counts: DataFrame, sizes: DataFrame, universe_size: int) -> DataFrame:
+    """``fn`` and ``tn`` from the number of gold items of a key (``sizes``: ``sid_norm, _gold``); keys without any are ``skipped``."""
     rows = counts.join(sizes, "sid_norm", "left")
     fn = F.coalesce("_gold", F.lit(0)) - F.col("tp")
     rows = rows.withColumn("fn", fn).withColumn("skipped", F.col("_gold").isNull())
@@ -140,10 +139,13 @@ def score_stream(spark: SparkSession, base: str, universe: DataFrame, gold: Data
         stream = stream.option("maxFilesPerTrigger", max_files_per_trigger)
     landed = stream.parquet(f"{p['landed']}/*")
     size = universe.agg(F.count_distinct("norm")).first()[0]
+    # every batch reads the distinct gold and the sizes of its keys: make them once
     gold = M.in_universe(gold.select("sid_norm", "item"), universe, "item", "norm").filter(F.col("sid_norm") != "")
+    gold = land_table(gold.distinct())
+    sizes = land_table(gold.groupBy("sid_norm").agg(F.count_distinct("item").alias("_gold")))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = with_misses(batch, gold, size)
+        rows = with_misses(batch, sizes, size)
         _replace_batch(rows.select(*KEYS, "sid_raw", "tp", "fp", "fn", "tn", "skipped"), p["out"], batch_id)
 
     writer = keyed_counts(landed, gold).writeStream.outputMode("update").foreachBatch(each)

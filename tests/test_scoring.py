@@ -152,3 +152,17 @@ def test_attached_gold_keeps_the_partitions(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_batches_do_not_group_the_gold_again(spark):
+    """Distinct gold pairs and the sizes of their keys come ready: a batch groups only its own rows."""
+    import labelset.streaming.incremental as inc
+
+    landed = spark.createDataFrame([("s", "m", "k", None, None, "a"), ("s", "m", "k", None, None, "a"), ("s", "m", "k", None, None, "x"),
+                                    ("s", "m", "k", "K", 1, None), ("s", "m", "none", "N", 2, None)], inc.LANDED_SCHEMA)
+    gold = spark.createDataFrame([("k", "a"), ("k", "b")], "sid_norm string, item string")
+    counts = inc.keyed_counts(landed, gold)
+    assert str(counts._jdf.queryExecution().optimizedPlan().toString()).count("Aggregate [") == 2
+    sizes = spark.createDataFrame([("k", 2)], "sid_norm string, _gold long")
+    rows = {r.sid_norm: (r.sid_raw, r.tp, r.fp, r.fn, r.tn, r.skipped) for r in inc.with_misses(counts, sizes, 10).collect()}
+    assert rows == {"k": ("K", 1, 1, 1, 7, False), "none": ("N", 0, 0, 0, 10, True)}
