@@ -16,13 +16,13 @@ columns other than the id and the text are not carried.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,38 +32,93 @@ from labelset.session import cut_lineage
 CAPACITY, END_ID = 4096, 1
 #: Rows that one (length, salt) group holds on average at most.
 GROUP_ROWS = 20_000
-#: Words and word pieces kept per Python worker with their ids; others are encoded again in each batch.
-CACHE_WORDS, CACHE_PIECES = 400_000, 400_000
+#: Word pieces kept per Python worker with their ids, twice: the ones met last and the ones met before them.
+CACHE_PIECES = 400_000
+#: Text bytes that are split and looked up together.
+CHUNK_BYTES = 16 << 20
+#: Pieces that the tokenizer gets in one call, and in one text of that call.
+CALL_PIECES, TEXT_PIECES = 16_384, 256
 #: Words whose pieces are known without the tokenizer: printable ASCII and Latin letters that
 #: stay one letter in lower case. The pieces follow the vocabulary file's own splitter.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+")
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-įı-ɏ0-9]+")
+PLAIN = r"^[!-~À-ÖØ-öø-įı-ɏ]+$"
+PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-įı-ɏ0-9]+)"
+#: Ends the vocabulary's last token of each piece.
+LAST = "</w>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_tokenizers: dict = {}
+_encoders: dict[str, _Encoder] = {}
 
 
-def _tokenizer(path: str):
-    """The worker's tokenizer for this file with its caches of word and piece ids."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _plain(words: pa.Array) -> pa.Array:
+    return pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))
+
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}, {}
-    return _tokenizers[path]
+def _glued(ids: pa.Array, offsets: pa.Array) -> pa.Array:
+    """One value for each stretch of ``ids`` (large binary) between two ``offsets``."""
+    _, ends, data = ids.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[ids.offset:ids.offset + len(ids) + 1]
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends[offsets.to_numpy()]), data])
 
 
-def _encode(words: list[str], tok, cache: dict[str, bytes]) -> dict[str, bytes]:
-    """Ids of the words; pieces of plain words are encoded once each."""
-    split = {w: PIECE.findall(w) if PLAIN.fullmatch(w) and "<|" not in w else [w] for w in words}
-    new = list(set().union(*split.values()).difference(cache)) if split else []
-    got = tok.encode_batch(new, add_special_tokens=False) if new else []
-    ids = {x: np.asarray(e.ids, dtype="<u4").tobytes() for x, e in zip(new, got, strict=True)}
-    if len(cache) + len(ids) <= CACHE_PIECES:
-        cache.update(ids)
-    return {w: b"".join([ids[x] if x in ids else cache[x] for x in xs]) for w, xs in split.items()}
+class _Encoder:
+    """The worker's tokenizer for a vocabulary file, with the ids of the pieces met last."""
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.last[[i for token, i in vocab.items() if token.endswith(LAST)]] = True
+        self.met: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of pieces of plain words, many encoded as one text; a piece ends where a last token stands."""
+        for at in range(0, len(pieces), CALL_PIECES):
+            some = pieces[at:at + CALL_PIECES]
+            ids = np.concatenate(self._ids([" ".join(some[k:k + TEXT_PIECES]) for k in range(0, len(some), TEXT_PIECES)]))
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                yield from (data[a:b] for a, b in zip([0, *ends], ends, strict=False))
+            else:  # a vocabulary that does not mark last tokens
+                yield from (x.tobytes() for x in self._ids(some))
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.met.get, pieces))
+        late = [k for k, ids in enumerate(found) if ids is None]
+        names = [pieces[k] for k in late]
+        new = dict(zip(names, map(self.before.get, names), strict=True))
+        unknown = [x for x, ids in new.items() if ids is None]
+        plain = _plain(pa.array(unknown, pa.large_string())).to_pylist()
+        whole = [x for x, p in zip(unknown, plain, strict=True) if not p]
+        split = [x for x, p in zip(unknown, plain, strict=True) if p]
+        for at in range(0, len(whole), CALL_PIECES):
+            some = whole[at:at + CALL_PIECES]
+            new.update(zip(some, (x.tobytes() for x in self._ids(some)), strict=True))
+        new.update(zip(split, self._encode(split), strict=True))
+        self.met.update(new)
+        if len(self.met) > CACHE_PIECES:
+            self.met, self.before = {}, dict(islice(self.met.items(), CACHE_PIECES))
+        for k, ids in zip(late, new.values(), strict=True):
+            found[k] = ids
+        return found
+
+    def ids_of(self, words: pa.Array) -> pa.Array:
+        """Ids of each of the distinct words; the tokenizer gets pieces that were not met lately."""
+        words = words.cast(pa.large_string())
+        cut = pc.ascii_rtrim_whitespace(pc.replace_substring_regex(words, PIECE, r"\1 "))
+        cut = pc.ascii_split_whitespace(pc.if_else(_plain(words), cut, words))
+        parts = cut.values.dictionary_encode()
+        ids = pa.array(self._look_up(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        return _glued(ids.take(parts.indices), cut.offsets)
+
+
+def token_bytes(texts: pa.Array | list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers.
 
     Words (runs without ASCII white space) are encoded once each: this vocabulary's splitter
@@ -71,17 +126,14 @@ def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
     order. It also folds case, so A-Z go to lower case first, unless the text could hold the
     name of a special token.
     """
-    tok, cache, pieces_ = _tokenizer(path)
-    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    new = list(set().union(*split).difference(cache)) if split else []
-    ids = dict(zip(new, _encode([w.decode() for w in new], tok, pieces_).values(), strict=True))
-    room = len(cache) + len(ids) <= CACHE_WORDS
-    cache.update(ids)
-    for words in split:
-        yield b"".join(map(cache.__getitem__, words))
-    if not room:
-        for w in ids:
-            del cache[w]
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    each = words.values.dictionary_encode()
+    ids = _glued(_encoders[path].ids_of(each.dictionary).take(each.indices), words.offsets)
+    for k in range(len(ids)):
+        yield ids[k].as_py()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -92,9 +144,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=CHUNK_BYTES):
                 out: list[tuple] = []
-                for key, data in zip(part.column("doc_id").to_pylist(), token_bytes(part.column("text").cast(pa.binary()).to_pylist(), tokenizer_path), strict=True):
+                for key, data in zip(part.column("doc_id").to_pylist(), token_bytes(part.column("text"), tokenizer_path), strict=True):
                     data += end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[at:at + 4 * capacity]

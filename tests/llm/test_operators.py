@@ -236,6 +236,53 @@ def test_token_bytes_equal_the_tokenizer():
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+ODD = [*"abcdeFGHI'''''sstrvmld0123.,;|<>-#ÉßñéÿıİǅŁȺʼń \x1c\x85\t\n\x0bΣ日本한́𝔸ſK", "'s", "'re", "'ll", "<|endoftext|>", "<|", "</w>", " ", " ", "  "]
+
+
+@pytest.mark.parametrize("kept, marked", [(400_000, True), (40, True), (400_000, False)])
+def test_token_bytes_of_odd_texts(monkeypatch, kept, marked):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    monkeypatch.setattr(packing, "CACHE_PIECES", kept)
+    monkeypatch.setattr(packing, "_encoders", {vocabulary(): packing._Encoder(vocabulary())})
+    packing._encoders[vocabulary()].last &= marked
+    got = [b for at in range(0, len(texts), 150) for b in packing.token_bytes([t.encode() for t in texts[at:at + 150]], vocabulary())]
+    tok = Tokenizer.from_file(vocabulary())
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_tokenizer_gets_few_texts(monkeypatch):
+    """Many pieces go into one text, and pieces met lately are not encoded again once the cache was full."""
+    import tokenizers
+
+    texts, real = [], tokenizers.Tokenizer.from_file(vocabulary())
+
+    class Counted:
+        def __getattr__(self, name):
+            def call(batch, **kw):
+                texts.append(len(batch))
+                return getattr(real, name)(batch, **kw)
+            return call if name.startswith("encode_batch") else getattr(real, name)
+
+    class Tokenizer:
+        from_file = staticmethod(lambda path: Counted())
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Tokenizer)
+    for name in ("CACHE_WORDS", "CACHE_PIECES"):
+        monkeypatch.setattr(packing, name, 3000, raising=False)
+    letters = lambda k: "".join(chr(97 + k // 26 ** i % 26) for i in range(4))
+    early, late = (" ".join(letters(k) for k in r).encode() for r in (range(5000), range(9000, 11000)))
+    # a name of its own keeps other tests' caches out
+    path = f"{vocabulary()}#counted"
+    list(packing.token_bytes([early], path))
+    assert sum(texts) <= 5000 // 100
+    first = list(packing.token_bytes([late], path))
+    del texts[:]
+    assert list(packing.token_bytes([late], path)) == first and not sum(texts)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_fullest_bin(seed):
     rng = random.Random(seed)
