@@ -35,7 +35,7 @@ GROUP_ROWS = 20_000
 #: Word pieces kept per Python worker with their ids, twice: the ones met last and the ones met before them.
 CACHE_PIECES = 400_000
 #: Text bytes that are split and looked up together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Pieces that the tokenizer gets in one call, and in one text of that call.
 CALL_PIECES, TEXT_PIECES = 16_384, 256
 #: Words whose pieces are known without the tokenizer: printable ASCII and Latin letters that
