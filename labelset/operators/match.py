@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from labelset.functions.text import STOPWORDS, token_set
-from labelset.session import cut_lineage, land_table
+from labelset.operators import set_sketch as S
+from labelset.session import cut_lineage, dropped_shuffles, land_table
 
 TOKEN_THRESHOLD = 0.60
 CONTAINMENT_BONUS = 0.1
@@ -131,8 +133,13 @@ POSTING_ROWS = 4096
 VERIFY_COST = 0.4
 #: Shared tokens asked of a contained set and the set that contains it.
 CONTAINED = 2
-#: Joined rows of a round of candidates before sizes and positions are compared, for each prefix row, and at least.
+#: Joined rows of a round of candidates before sizes and positions are compared (of one table with itself: bytes
+#: that move), for each prefix row, and at least.
 ROUND_ROWS, LEAST_ROUND = 32, 1 << 22
+#: Prefix rows in a part of a table's join with itself; a posting list is split there at so many times POSTING_ROWS.
+PART_ENTRIES, LONG_POSTINGS = 3 << 20, 8
+#: Candidates of a set that are verified first, and next if the best partner is still open; then the rest.
+BEST_STEPS = (1, 8)
 
 
 def _ranked(rows: DataFrame, freq: DataFrame, share: float = TOKEN_THRESHOLD) -> DataFrame:
@@ -222,7 +229,12 @@ def ranked_sets(left: DataFrame, right: DataFrame, self_join: bool = False,
 def token_candidates(left: DataFrame, right: DataFrame, self_join: bool = False,
                      materialize: bool = True) -> DataFrame:
     """Distinct pairs ``(lid, rid)`` of ``(id, tokens)`` tables that can score 0.6; see :func:`token_similarity_pairs`."""
-    return _candidates(*ranked_sets(left, right, self_join, materialize), self_join)
+    if not (self_join and materialize):
+        return _candidates(*ranked_sets(left, right, self_join, materialize), self_join)
+    sets = _numbered(left)
+    ids = sets.select("n", "id")
+    pairs = _self_candidates(_signed(sets)).join(ids.toDF("a", "l"), "a").join(ids.toDF("b", "r"), "b").filter("l <> r")
+    return pairs.select(F.greatest("l", "r").alias("lid"), F.least("l", "r").alias("rid"))
 
 
 def _candidates(l: DataFrame, r: DataFrame, self_join: bool) -> DataFrame:
@@ -238,18 +250,133 @@ def _candidates(l: DataFrame, r: DataFrame, self_join: bool) -> DataFrame:
     return jaccard.unionByName(contained)
 
 
-def candidate_rounds(l: DataFrame, r: DataFrame, self_join: bool) -> int:
-    """Rounds that keep the joined rows of one within ROUND_ROWS times the prefix rows: they may grow
+def candidate_rounds(load: float, rows: float) -> int:
+    """Rounds that keep the load of one (joined rows, or bytes that move) within ROUND_ROWS times the prefix rows: it may grow
     with the square of the sets, the disk of a round then grows with the sets only."""
+    return max(1, math.ceil((load or 0) / max(ROUND_ROWS * (rows or 0), LEAST_ROUND)))
+
+
+def _met_rows(l: DataFrame, r: DataFrame) -> tuple[float, float]:
+    """Joined rows of two ranked tables before sizes and positions are compared, and the prefix rows of both."""
     prefix = F.col("pos") <= _base(TOKEN_THRESHOLD) + F.col("len")
     count = lambda df: df.filter(prefix).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
-    n = count(l)
-    if self_join:
-        met = n.select((F.col("n") * (F.col("n") - 1) / 2).alias("met"), F.col("n").alias("rows"))
-    else:
-        met = n.join(count(r).withColumnRenamed("n", "m"), "tok").select((F.col("n") * F.col("m")).alias("met"), (F.col("n") + F.col("m")).alias("rows"))
+    met = count(l).join(count(r).withColumnRenamed("n", "m"), "tok").select((F.col("n") * F.col("m")).alias("met"), (F.col("n") + F.col("m")).alias("rows"))
     total = met.agg(F.sum("met").cast("double").alias("met"), F.sum("rows").alias("rows")).first()
-    return max(1, math.ceil((total["met"] or 0) / max(ROUND_ROWS * (total["rows"] or 0), LEAST_ROUND)))
+    return total["met"], total["rows"]
+
+
+# A table with itself: prefix rows meet in Arrow kernels, no joined row is written (see set_sketch).
+def _numbered(sets: DataFrame) -> DataFrame:
+    """The sets landed with a number ``n`` for each row; ids may repeat."""
+    return land_table(sets.withColumn("n", F.monotonically_increasing_id()))
+
+
+def _signed(sets: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Signatures of the numbered sets, of those in ``kept`` (``n``) if given: size, sketch, rarest tokens."""
+    spark = sets.sparkSession
+    hashed = sets.select("n", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    with dropped_shuffles(spark):
+        # one row per hash bucket at most, a fixed number of them
+        counted = hashed.select("h").mapInArrow(S.count_buckets, S.COUNTS).groupBy("bucket").agg(F.sum("n").alias("n"))
+        cls = F.least(F.lit(S.CLASSES - 1), F.ceil(F.log2("n") * S.STEPS)).cast("byte")
+        got = counted.filter("n > 1").select("bucket", cls.alias("cls")).toArrow()
+    table = np.zeros(1 << S.BUCKET_BITS, np.uint8)
+    table[got["bucket"].to_numpy()] = got["cls"].to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+    signed = hashed.mapInArrow(S.sign_sets(lambda: shared.value, LONG_POSTINGS * POSTING_ROWS), S.SIGNED)
+    out = land_table(signed if kept is None else signed.join(kept, "n", "left_semi"))
+    shared.destroy()
+    return out
+
+
+def _deal_labels(spark, parts: int) -> list[int]:
+    """Numbers that a hash partitioning of this many parts deals to part 0, 1, ..."""
+    rows = spark.range(20 * parts).select(F.col("id").cast("int").alias("v")).select("v", F.pmod(F.hash("v"), F.lit(parts)).alias("p")).toArrow()
+    found = dict(zip(rows["p"].to_pylist(), rows["v"].to_pylist(), strict=True))
+    return [found.get(p, p) for p in range(parts)]
+
+
+def _self_candidates(signed: DataFrame) -> DataFrame:
+    """Distinct pairs of numbers ``a, b`` whose sets can score 0.6, and the score ``at_most`` that their sketches allow.
+
+    Prefix rows are dealt by token over parts, a set's rows of one part with one copy of its sketch, in rounds
+    of whole parts (see :func:`candidate_rounds`).
+    """
+    spark = signed.sparkSession
+    with dropped_shuffles(spark):
+        entries = signed.agg(F.sum(F.size("keys"))).first()[0] or 0
+        parts = max(1, math.ceil(entries / PART_ENTRIES))
+        moved = F.least(F.size("keys"), F.lit(parts)) * (F.length("sketch") + 24) + 8 * F.size("keys")
+        load = signed.agg(F.sum(moved)).first()[0]
+    rounds = candidate_rounds(load, entries)
+    each = math.ceil(parts / rounds)
+    labels = _deal_labels(spark, each)
+    labels = [labels[p // rounds] for p in range(each * rounds)]
+    done = [land_table(signed.mapInArrow(S.deal_entries(each * rounds, rounds, k, labels), S.DEALT).repartition(each, "deal")
+                       .mapInArrow(S.meet_entries, S.MET).distinct()) for k in range(rounds)]
+    return land_table(functools.reduce(DataFrame.unionByName, done).distinct()) if rounds > 1 else done[0]
+
+
+def _self_pairs(sets: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """:func:`token_similarity_pairs` of numbered sets with themselves."""
+    signed = _signed(sets)
+    cand = _self_candidates(signed)
+    done = _verified_rounds(cand, _met_sets(sets, cand), signed)
+    return done.select(F.col("lid").alias(left_id), F.col("rid").alias(right_id), "inter", "score")
+
+
+def _met_sets(sets: DataFrame, cand: DataFrame) -> DataFrame:
+    met = cand.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    return land_table(sets.select("n", "id", "tokens").join(met, "n", "left_semi"))  # only the sets that are met move
+
+
+def _verified_rounds(pairs: DataFrame, met: DataFrame, signed: DataFrame) -> DataFrame:
+    """``lid, rid, inter, score`` of the landed pairs of numbers that score 0.6, the greater id at the left."""
+    with dropped_shuffles(signed.sparkSession):
+        size = signed.agg(F.sum(F.size("keys")).alias("entries"), F.avg("sz").alias("sz")).first()
+        n = candidate_rounds(pairs.count() * 16 * (size["sz"] or 0), size["entries"])
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.select("a", "b").join(met.toDF("a", "lid", "lt"), "a").join(met.toDF("b", "rid", "rt"), "b").filter("lid <> rid")
+        return _scored(both, F.greatest("lid", "rid").alias("lid"), F.least("lid", "rid").alias("rid"))
+
+    done = [land_table(verified(pairs.filter(F.pmod(F.hash("a"), F.lit(n)) == k) if n > 1 else pairs)) for k in range(n)]
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _best_of_self(sets: DataFrame, kept: DataFrame) -> DataFrame:
+    """Best earlier partner ``lid, rid, score`` of the numbered sets in ``kept``, as :func:`best_match` of all pairs.
+
+    A set's candidates are verified from those on that can score most, in BEST_STEPS; after each, those that cannot
+    beat the best partner found go unverified, so a cluster of near copies does not have all its pairs verified.
+    """
+    signed = _signed(sets, kept)
+    cand = _self_candidates(signed)
+    ids = sets.select("n", "id").join(kept, "n", "left_semi")
+    named = cand.join(ids.toDF("a", "l"), "a").join(ids.toDF("b", "r"), "b").filter("l <> r").select(
+        "a", "b", "at_most", F.greatest("l", "r").alias("lid"), F.least("l", "r").alias("rid"))
+    place = F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("at_most"), "rid"))
+    left, met = land_table(named.withColumn("place", place)), _met_sets(sets, cand)
+    best = _verified_rounds(left.filter(F.col("place") <= BEST_STEPS[0]), met, signed)
+    for least, most in zip(BEST_STEPS, (*BEST_STEPS[1:], None), strict=True):
+        best = best_match(best, "lid", "rid")
+        known = best.toDF("lid", "_r", "_s")
+        beats = F.col("_s").isNull() | (F.col("at_most") > F.col("_s")) | ((F.col("at_most") == F.col("_s")) & (F.col("rid") < F.col("_r")))
+        left = land_table(left.filter(F.col("place") > least).join(known, "lid", "left").filter(beats).drop("_r", "_s"))
+        if left.isEmpty():
+            break
+        step = left if most is None else left.filter(F.col("place") <= most)
+        best = best.unionByName(_verified_rounds(step, met, signed).drop("inter"))
+    return best_match(best, "lid", "rid")
+
+
+def _scored(pairs: DataFrame, left_id: Column, right_id: Column) -> DataFrame:
+    """Pairs of sets ``lt``, ``rt`` that score 0.6: the ids, ``inter`` and ``score``."""
+    inter = F.size(F.array_intersect("lt", "rt"))
+    ls, rs = F.size("lt"), F.size("rt")
+    jacc = inter.cast("double") / (ls + rs - inter).cast("double")
+    score = jacc + F.when(inter == F.least(ls, rs), F.lit(CONTAINMENT_BONUS)).otherwise(F.lit(0.0))
+    return pairs.select(left_id, right_id, inter.alias("inter"), score.alias("score")).filter(F.col("score") >= F.lit(TOKEN_THRESHOLD))
 
 
 def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
@@ -265,29 +392,26 @@ def token_similarity_pairs(left: DataFrame, right: DataFrame, left_id: str, righ
     With ``materialize`` the left sets go in rounds (see :func:`candidate_rounds`), each of which lands
     its candidates and its verified pairs.
     With ``self_join`` both sides are the same table and only ``right_id < left_id`` pairs
-    are produced. Empty token sets never pair.
+    are produced; with ``materialize`` too, prefix rows meet by :func:`_self_candidates`. Empty token sets never pair.
     """
     def sets(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
         return df.select(F.col(id_col).alias("id"), F.col(tokens).alias("tokens")).filter(F.size("tokens") > 0)
 
     l = sets(left, left_id, left_tokens)
+    if self_join and materialize:
+        return _self_pairs(_numbered(l), left_id, right_id)
     r = l if self_join else sets(right, right_id, right_tokens)
+
     def verified(cand: DataFrame) -> DataFrame:
         ver = (cand.join(l.select(F.col("id").alias("lid"), F.col("tokens").alias("lt")), "lid")
                .join(r.select(F.col("id").alias("rid"), F.col("tokens").alias("rt"))
                      .join(cand.select("rid"), "rid", "left_semi"), "rid"))  # only the sets that are met move
-        inter = F.size(F.array_intersect("lt", "rt"))
-        ls, rs = F.size("lt"), F.size("rt")
-        jacc = inter.cast("double") / (ls + rs - inter).cast("double")
-        score = jacc + F.when(inter == F.least(ls, rs), F.lit(CONTAINMENT_BONUS)).otherwise(F.lit(0.0))
-        out = ver.select(F.col("lid").alias(left_id), F.col("rid").alias(right_id),
-                         inter.alias("inter"), score.alias("score"))
-        return out.filter(F.col("score") >= F.lit(TOKEN_THRESHOLD))
+        return _scored(ver, F.col("lid").alias(left_id), F.col("rid").alias(right_id))
 
     lrows, rrows = ranked_sets(l, r, self_join, materialize)
     if not materialize:
         return verified(_candidates(lrows, rrows, self_join))
-    n = candidate_rounds(lrows, rrows, self_join)
+    n = candidate_rounds(*_met_rows(lrows, rrows))
     of_round = lambda k: lrows.filter(F.pmod(F.hash("id"), F.lit(n)) == k) if n > 1 else lrows
     # candidates land first: then their size tells how to join them with the sets
     done = [land_table(verified(land_table(_candidates(of_round(k), rrows, self_join)))) for k in range(n)]
@@ -318,21 +442,22 @@ def best_earlier_match(docs: DataFrame, id_col: str, tokens: str = "tokens",
     """
     # generated columns: a filter on the sets or hashes does not compute them again below
     s = docs.select(F.col(id_col).alias("_id"), F.explode(F.array(tokens)).alias("_t")).filter(F.size("_t") > 0)
-    s = s.select("_id", F.inline(F.array(F.struct("_t", F.sha2(F.array_join(F.array_sort("_t"), " "), 256).alias("_h")))))
-    ids = s.select("_id", "_h")
+    s = s.select("_id", F.inline(F.array(F.struct("_t", F.sha2(F.array_join(F.sort_array("_t"), " "), 256).alias("_h")))))
     if materialize:
-        ids = land_table(ids)  # without the sets, of which only the representatives' are written
-    groups = ids.groupBy("_h").agg(F.min("_id").alias("_rep"))
+        s = _numbered(s.toDF("id", "tokens", "_h"))  # the sets are made and written once
+        ids = s.select(F.col("id").alias("_id"), "_h", "n")
+        first = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "n")))
+        groups = ids.groupBy("_h").agg(first.alias("_f")).select("_h", F.col("_f._id").alias("_rep"), F.col("_f.n").alias("_n"))
+        best = _best_of_self(s, groups.select(F.col("_n").alias("n"))).toDF("_id", "_m", "score")
+    else:
+        ids = s.select("_id", "_h")
+        groups = ids.groupBy("_h").agg(F.min("_id").alias("_rep"))
+        reps = s.join(groups, "_h").filter(F.col("_id") == F.col("_rep")).select("_id", "_t")
+        best = best_match(token_similarity_pairs(reps, reps, "_id", "_m", "_t", "_t", self_join=True, materialize=False), "_id", "_m")
     copies = ids.join(groups, "_h").filter(F.col("_id") != F.col("_rep")).select(
         F.col("_id").alias(id_col), F.col("_rep").alias(match_col),
         F.lit(1.0 + CONTAINMENT_BONUS).alias("score"))
-    reps = s.join(groups, "_h").filter(F.col("_id") == F.col("_rep")).select("_id", "_t")
-    if materialize:
-        reps = land_table(reps)  # read by the prefixes and by both verification sides
-    pairs = token_similarity_pairs(reps, reps, "_id", "_m", "_t", "_t", self_join=True,
-                                   materialize=materialize)
-    best = best_match(pairs, "_id", "_m").select(
-        F.col("_id").alias(id_col), F.col("_m").alias(match_col), "score")
+    best = best.select(F.col("_id").alias(id_col), F.col("_m").alias(match_col), "score")
     return best.unionByName(copies)
 
 

@@ -6,10 +6,12 @@ The library never builds its own session inside a transform; callers pass one in
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +94,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run within leave no shuffle files."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+
+
 def land_table(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
@@ -100,12 +113,8 @@ def land_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"land-{uuid.uuid4().hex}")
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    with dropped_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

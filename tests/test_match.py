@@ -251,3 +251,40 @@ def test_token_rounds_bound_disk(spark, monkeypatch):
         if -s >= 0.6 - 1e-9:
             want[i] = (j, round(-s, 9))
     assert {r.id: (r.match_id, round(r.score, 9)) for r in best.collect()} == want
+
+
+def test_near_copies_are_not_all_verified(spark, monkeypatch):
+    """The best partner in a cluster of near copies is found from few of its pairs."""
+    rng = random.Random(17)
+    words = [f"c{i}" for i in range(60)]
+    sets = [set(rng.sample(words, rng.randrange(50, 60))) for _ in range(60)] + [{f"o{i}", f"p{i % 7}"} for i in range(20)]
+    verified, verify = [], MT._verified_rounds
+    monkeypatch.setattr(MT, "_verified_rounds", lambda pairs, *a: verified.append(pairs.count()) or verify(pairs, *a))
+    df = spark.createDataFrame([(i, sorted(v)) for i, v in enumerate(sets)], "id int, tokens array<string>")
+    got = {r.id: (r.match_id, round(r.score, 9)) for r in MT.best_earlier_match(df, "id").collect()}
+    want = {}
+    for i, a in enumerate(sets):
+        s, j = max(((score(a, b), -j) for j, b in enumerate(sets[:i])), default=(0, 0))
+        if s >= 0.6:
+            want[i] = (-j, round(s, 9))
+    assert got == want
+    assert sum(verified) < 60 * 59 / 2 / 2
+
+
+def test_self_join_over_many_parts(spark, monkeypatch):
+    """Sets around the sketch sizes, contained ones and hot tokens, over many small parts: no pair is lost."""
+    monkeypatch.setattr(MT, "PART_ENTRIES", 400)
+    monkeypatch.setattr(MT, "POSTING_ROWS", 2)
+    rng = random.Random(19)
+    words = [f"w{i}" for i in range(900)]
+    sets = [set(rng.sample(words, n)) for n in (1, 2, 3, 5, 16, 17, 32, 33, 64, 65, 100, 128, 129, 257, 400)]
+    for s in list(sets):
+        some = sorted(s)
+        for share in (1.0, 0.8, 0.75, 0.6, 0.5):
+            part = set(some[:max(1, int(len(some) * share))])
+            sets += [part, part | set(rng.sample(words, max(1, len(some) // 6)))]
+    df = spark.createDataFrame([(i, sorted(v)) for i, v in enumerate(sets)], "id int, tokens array<string>")
+    got = {(r.id, r.m): round(r.score, 9) for r in MT.token_similarity_pairs(df, df, "id", "m", self_join=True).collect()}
+    assert got == {(i, j): round(s, 9) for i in range(len(sets)) for j in range(i) if (s := score(sets[i], sets[j])) >= 0.6}
+    cand = {(r.lid, r.rid) for r in MT.token_candidates(df, df, True).collect()}
+    assert set(got) <= cand and len(cand) < 2 * len(got)
